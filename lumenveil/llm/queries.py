@@ -4,26 +4,62 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenveil.llm import packing, simhash
+from lumenveil.llm import ann, debruijn, language, packing, secrets, simhash
 from lumenveil.session import table
 
 
+def op2_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every row of ``documents``, learnt from the rest."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", language.held_out())
+    model = language.train(docs.filter("not held_out"))
+    return language.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "language.*")
+
+
+def op5_one_bit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 rows of ``embeddings`` nearest to every twentieth one."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of ``documents`` and its place in a 1024-token sequence."""
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every row of ``documents`` without repeated windows."""
+    left = debruijn.without_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every row of ``documents``."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every row of ``documents``."""
+    found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s["kind"] != "entropy")
+    return found.select(
+        "doc_id", number("assign"), number("access"), number("hex"), number("entropy"),
+        F.sha2(secrets.written(base), 256).alias("base_sha256"), secrets.written(F.col("spans")).alias("spans"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_ecoc_language": op2_ecoc_language,
+        "op5_one_bit_neighbours": op5_one_bit_neighbours,
+        "op10_secret_scan": op10_secret_scan,
+        "op7_debruijn_dedup": op7_debruijn_dedup,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op6_best_fit_packing": op6_best_fit_packing,
     }
