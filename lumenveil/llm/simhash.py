@@ -3,17 +3,21 @@
 A 64-bit fingerprint is cut into three segments of 22, 21 and 21 bits, each
 read as a word of the binary Golay code (23 bits, 4096 codewords, every word
 within 3 bits of exactly one codeword). If two fingerprints differ in at most 4
-bits, then by the pigeonhole principle either two segments hold at most one
-error each, or one segment holds none and the other two hold two each:
+bits, then by the pigeonhole principle either one segment holds no error and
+another at most two, or all three hold one or two and at most one of them two.
 
-* at most one error each: the codeword nearest to the one's segment is within 4
-  bits of the other's. One fingerprint is stored under the pair of its nearest
-  codewords, the other asks for all pairs of codewords within 4 bits (1 or 6
-  per segment).
-* none and two: the next segment's codewords within 4 bits are 1 or 6, the six
-  partition the 23 bits, and two words at most 2 bits apart share one of them.
-  Both sides use the whole segment and each of these codewords.
+Codewords within 4 bits of a segment are 1 or 6, and the 6 partition its bits:
+words that differ in one bit find each other's nearest codeword among them, and
+words that differ in two bits share one. So
 
+* for the first case both sides use a whole segment and another's codewords
+  within 4 bits (the stored side only its nearest one, where the remaining
+  segment can take the place if that holds two errors), and
+* for the second, a fingerprint is stored under its three nearest codewords with
+  one of them exchanged for any within 4 bits, and asks for all triples of
+  codewords within 4 bits.
+
+Keys hold 33 to 36 bits, so that few unrelated fingerprints meet in them.
 Joined fingerprints are verified on all 64 bits. Groups of copies never become
 pairs: rows of one key are dealt in blocks of bounded size, and a task returns
 a spanning forest of the verified links it has seen.
@@ -42,7 +46,6 @@ SHINGLE_WORDS = 4
 MAX_BITS = 4
 #: (shift, width) of the segments of a fingerprint.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
-PAIRS = ((0, 1), (0, 2), (1, 2))
 #: Most stored, and about as many asking, fingerprints of one key in a block.
 BLOCK = 4096
 #: Fixed value: a generator polynomial of the binary Golay code.
@@ -138,36 +141,38 @@ def _near(fps: np.ndarray, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return [codewords(x, most) for x in _segments(fps)]
 
 
-def _exact_keys(fps: np.ndarray, near: list) -> list[list[np.ndarray]]:
-    """Keys of one whole segment and the next one's codewords within 4 bits."""
+def _exact_keys(fps: np.ndarray, near: list, asking: bool) -> list[list[np.ndarray]]:
+    """Keys of one whole segment and another's nearby codewords."""
     keys = []
     for i, raw in enumerate(_segments(fps)):
-        indices, number = near[(i + 1) % 3]
-        high = ((len(PAIRS) + i) << 40) | (raw << 12)
-        keys.append([h | x[:n] for h, x, n in zip(high, indices, number)])
+        for step in (1, 2):
+            indices, number = near[(i + step) % 3]
+            high = ((1 + 2 * i + step) << 40) | (raw << 12)
+            keys.append([h | x[: n if asking or step == 1 else 1] for h, x, n in zip(high, indices, number)])
     return keys
 
 
 def stored_keys(fps: np.ndarray) -> list[np.ndarray]:
     """The keys under which each fingerprint is stored."""
     near = _near(fps, 4)
-    exact = _exact_keys(fps, near)
-    nearest = [indices[:, 0] for indices, _ in near]
-    pairs = np.stack([(k << 24) | (nearest[i] << 12) | nearest[j] for k, (i, j) in enumerate(PAIRS)], axis=1)
-    return [np.concatenate([pairs[row], *(x[row] for x in exact)]) for row in range(len(fps))]
+    exact = _exact_keys(fps, near, asking=False)
+    (a, na), (b, nb), (c, nc) = ((x << (12 * k), n) for k, (x, n) in enumerate(near))
+    stored = []
+    for row in range(len(fps)):
+        x, y, z = a[row, : na[row]], b[row, : nb[row]], c[row, : nc[row]]
+        stored.append(np.concatenate([x | y[0] | z[0], x[0] | y[1:] | z[0], x[0] | y[0] | z[1:], *(k[row] for k in exact)]))
+    return stored
 
 
 def asked_keys(fps: np.ndarray) -> list[np.ndarray]:
     """Every key that a fingerprint within four bits may be stored under."""
     near = _near(fps, 4)
-    exact = _exact_keys(fps, near)
+    exact = _exact_keys(fps, near, asking=True)
+    (a, na), (b, nb), (c, nc) = ((x << (12 * k), n) for k, (x, n) in enumerate(near))
     asked = []
     for row in range(len(fps)):
-        keys = [x[row] for x in exact]
-        for k, (i, j) in enumerate(PAIRS):
-            (a, na), (b, nb) = near[i], near[j]
-            keys.append(((k << 24) | (a[row, : na[row], None] << 12) | b[row, None, : nb[row]]).ravel())
-        asked.append(np.concatenate(keys))
+        all_three = a[row, : na[row], None, None] | b[row, None, : nb[row], None] | c[row, None, None, : nc[row]]
+        asked.append(np.concatenate([all_three.ravel(), *(k[row] for k in exact)]))
     return asked
 
 
