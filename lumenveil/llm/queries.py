@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenveil.llm import ann, debruijn, language, packing, secrets, simhash
+from lumenveil.llm import ann, debruijn, html, language, lines, packing, quotes, secrets, simhash, tiling
 from lumenveil.session import table
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every row of ``pages``."""
+    found = html.extract_text(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "removed")
+
+
 def op2_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every row of ``documents``, learnt from the rest."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", language.held_out())
@@ -18,6 +24,17 @@ def op2_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "language.*")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``documents`` without lines that many sources share."""
+    left = lines.without_widespread(table(spark, sf_dir, "documents"), counts=True)
+    return left.select("doc_id", "n_lines", "n_removed", F.md5(F.col("text").cast("binary")).alias("kept_md5"))
+
+
+def op4_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``conversations`` without quotes, with its reply order."""
+    return quotes.conversations(table(spark, sf_dir, "conversations"))
+
+
 def op5_one_bit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 rows of ``embeddings`` nearest to every twentieth one."""
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
@@ -34,6 +51,11 @@ def op7_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of ``documents`` that cover a benchmark item, with the coverage."""
+    return tiling.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every row of ``documents``."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -56,7 +78,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_extraction": op1_html_extraction,
         "op2_ecoc_language": op2_ecoc_language,
+        "op3_line_dedup": op3_line_dedup,
+        "op4_quotation_linking": op4_quotation_linking,
+        "op8_string_tiling": op8_string_tiling,
         "op5_one_bit_neighbours": op5_one_bit_neighbours,
         "op10_secret_scan": op10_secret_scan,
         "op7_debruijn_dedup": op7_debruijn_dedup,
@@ -66,4 +92,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_line_dedup": lines.ORACLE_SQL}

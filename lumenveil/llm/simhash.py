@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenveil.llm.components import components
-from lumenveil.session import materialize
+from lumenveil.session import materialize, shuffle_partitions
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
@@ -78,15 +78,15 @@ def fingerprint(text: bytes | None, shingle_words: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, *, shingle_words: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, fp long) of every row."""
+    """(id_col, text_key, fp long) of every row; text_key is the text's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(x.as_py(), shingle_words) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=[id_col, "fp"])
+            found = [fingerprint(x.as_py(), shingle_words) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64())], names=[id_col, "text_key", "fp"])
 
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
-    return docs.select(id_col, F.col(text_col).cast("binary").alias("text")).mapInArrow(run, schema)
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("text_key", T.LongType()), T.StructField("fp", T.LongType())])
+    return docs.select(id_col, F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, schema)
 
 
 # -- the Golay code -------------------------------------------------------
@@ -258,6 +258,7 @@ def links(fps: DataFrame, *, max_bits: int = MAX_BITS) -> DataFrame:
     """
     if max_bits > MAX_BITS:
         raise ValueError(f"the three segments hold {MAX_BITS} differing bits at most")
+    fps = fps.select("fp").repartition(shuffle_partitions(fps.sparkSession), "fp")  # a row becomes 200: not to be coalesced
     stored = _keyed(fps, stored_keys)
     sizes = stored.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("one"))
     asks = _keyed(fps, asked_keys).join(sizes, "key").filter("n > 1 or one <> fp")
@@ -278,7 +279,7 @@ def links(fps: DataFrame, *, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, fp, component): the least id among the documents reachable.
+    """(id_col, text_key, fp, component): the least id among the documents reachable.
 
     Documents are linked when their fingerprints differ in at most ``max_bits``.
     Copies meet in an aggregation by fingerprint first, so the search runs over
@@ -290,4 +291,4 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = SHINGLE_WORDS, max_
     least = distinct.join(roots, "fp").groupBy("root").agg(F.min("least_id").alias("component"))
     grouped = roots.join(least, "root").select("fp", "component")
     named = distinct.join(grouped, "fp", "left").select("fp", F.coalesce("component", "least_id").alias("component"))
-    return marked.join(named, "fp").select(id_col, "fp", "component")
+    return marked.join(named, "fp").select(id_col, "text_key", "fp", "component")

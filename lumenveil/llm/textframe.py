@@ -22,18 +22,21 @@ def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("binary").alias("text"))
 
 
-def compressed(texts: DataFrame) -> DataFrame:
-    """keyed_texts() with zstd-compressed text, to be shuffled once more cheaply."""
+def compressed(rows: DataFrame) -> DataFrame:
+    """The rows with their last column, a binary, compressed by zstd.
+
+    For texts that are shuffled whole.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            packed = pa.array([None if x is None else squeeze(x) for x in batch.column(2).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed], names=["id", "text_key", "text"])
+            packed = pa.array([None if x is None else squeeze(x) for x in batch.columns[-1].to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], packed], names=batch.schema.names)
 
-    return texts.mapInArrow(run, texts.schema)
+    return rows.mapInArrow(run, rows.schema)
 
 
 def decompressor():

@@ -144,6 +144,16 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, m: int):
         yield Block([r.id for r in rows], [r.text for r in rows], m)
 
 
+def _overlaps_udf(sent, kind: T.DataType):
+    names = [f.name for f in kind.elementType.fields]
+
+    @F.pandas_udf(kind)
+    def overlaps(texts: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip(names, x)) for x in sent.value.overlaps(t)] for t in texts], dtype=object)
+
+    return overlaps
+
+
 def with_overlaps(
     docs: DataFrame, benchmark: DataFrame, *, min_match: int = MIN_MATCH, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", name: str = "overlaps"
 ) -> DataFrame:
@@ -157,14 +167,7 @@ def with_overlaps(
     context = docs.sparkSession.sparkContext
     parts = []
     for block in _blocks(benchmark, item_id_col, item_text_col, min_match):
-        sent = context.broadcast(block)
-
-        @F.pandas_udf(kind)
-        def overlaps(texts: pd.Series, sent=sent) -> pd.Series:
-            keys = ("item_id", "tiles", "covered", "coverage")
-            return pd.Series([[dict(zip(keys, x)) for x in sent.value.overlaps(t)] for t in texts], dtype=object)
-
-        parts.append(overlaps(F.col(text_col)))
+        parts.append(_overlaps_udf(context.broadcast(block), kind)(F.col(text_col)))
     return docs.withColumn(name, F.concat(*parts) if len(parts) > 1 else parts[0])
 
 
