@@ -134,7 +134,7 @@ def _search(codes: OneBitCodes, k: int):
                 chosen = estimate + width >= least[:, None]
                 for row, name in enumerate(names):
                     near = np.flatnonzero(chosen[row] & (ids != name))
-                    score = (vectors[near] * some[row]).sum(axis=1)
+                    score = np.cumsum(vectors[near] * some[row], axis=1)[:, -1] if len(near) else np.zeros(0)  # adds in order, as SQL does
                     if len(near) > 4 * k:  # ties with the k-th stay
                         keep = score >= np.partition(score, len(near) - k)[len(near) - k]
                         near, score = near[keep], score[keep]
@@ -168,3 +168,20 @@ def nearest(rows: DataFrame, is_query: Column, *, k: int = 20, id_col: str = "ve
     )
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+#: The same outcome in DuckDB, by brute force.
+ORACLE_SQL = """
+WITH vectors AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(c.v, q.v) AS score
+  FROM vectors q JOIN vectors c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 20
+"""

@@ -244,3 +244,28 @@ def without_repeats(docs: DataFrame, *, k: int = WINDOW_WORDS, m: int = MINIMIZE
                 yield emit(out, batch.column(0), schema)
 
     return joined.mapInArrow(run, schema)
+
+
+#: The same outcome in DuckDB, from every window as a string.
+ORACLE_SQL = f"""
+WITH texts AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+), windows AS (
+  SELECT doc_id, unnest(range(1, len(words) - {WINDOW_WORDS - 2})) AS first, words FROM texts
+), keyed AS (
+  SELECT doc_id, first, md5(array_to_string(words[first:first + {WINDOW_WORDS - 1}], ' ')) AS digest FROM windows
+), earliest AS (
+  SELECT digest, min(doc_id) AS source FROM keyed GROUP BY digest
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(first, first + {WINDOW_WORDS})) AS place
+  FROM keyed JOIN earliest USING (digest) WHERE source < doc_id
+), placed AS (
+  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM texts
+), kept AS (
+  SELECT p.doc_id, string_agg(p.word, ' ' ORDER BY p.place) AS text, count(*) AS n
+  FROM placed p ANTI JOIN gone g ON p.doc_id = g.doc_id AND p.place = g.place GROUP BY p.doc_id
+)
+SELECT t.doc_id, CAST(len(t.words) AS BIGINT) AS n_words, CAST(len(t.words) - coalesce(k.n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(k.text, '')) AS kept_sha256
+FROM texts t LEFT JOIN kept k ON t.doc_id = k.doc_id
+"""

@@ -81,16 +81,16 @@ ORACLE_SQL = f"""
 WITH split AS (
   SELECT doc_id, source, string_split(text, chr(10)) AS parts FROM documents
 ), placed AS (
-  SELECT doc_id, source, unnest(parts) AS line, generate_subscripts(parts, 1) AS at FROM split
+  SELECT doc_id, source, unnest(parts) AS line, generate_subscripts(parts, 1) AS place FROM split
 ), spread AS (
-  SELECT trim(line) AS line, min((doc_id, at)) AS keeps FROM placed
+  SELECT trim(line) AS line, min((doc_id, place)) AS keeps FROM placed
   WHERE length(trim(line)) >= {MIN_CHARS}
   GROUP BY trim(line) HAVING count(DISTINCT source) >= {MIN_SITES}
 ), judged AS (
-  SELECT p.doc_id, p.line, p.at, s.line IS NOT NULL AND s.keeps <> (p.doc_id, p.at) AS gone
+  SELECT p.doc_id, p.line, p.place, s.line IS NOT NULL AND s.keeps <> (p.doc_id, p.place) AS gone
   FROM placed p LEFT JOIN spread s ON trim(p.line) = s.line
 )
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
-       md5(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (NOT gone), '')) AS kept_md5
+       md5(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_md5
 FROM judged GROUP BY doc_id
 """

@@ -92,4 +92,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": lines.ORACLE_SQL}
+    return {
+        "op3_line_dedup": lines.ORACLE_SQL,
+        "op5_one_bit_neighbours": ann.ORACLE_SQL,
+        "op7_debruijn_dedup": debruijn.ORACLE_SQL,
+    }
