@@ -175,8 +175,10 @@ def repeated_runs(docs: DataFrame, *, k: int = WINDOW_WORDS, m: int = MINIMIZER_
     by_minimizer = found.groupBy("minimizer").agg(
         F.min("id").alias("least"), F.max("id").alias("most"), F.min("body").alias("body0"), F.max("body").alias("body1")
     )
-    shared = by_minimizer.filter("least < most").select("minimizer", "least", (F.col("body0") != F.col("body1")).alias("branches"))
-    shared = materialize(found.join(shared, "minimizer"), "debruijn-shared")
+    # Sides of joins on keys that may be hot are written first: a join of plain
+    # tables can split the rows of one key among tasks.
+    repeated = by_minimizer.filter("least < most").select("minimizer", "least", (F.col("body0") != F.col("body1")).alias("branches"))
+    shared = materialize(found.join(materialize(repeated, "debruijn-minimizers"), "minimizer"), "debruijn-shared")
 
     whole = shared.filter("not branches and id > least").select("id", "text_key", "first", "number")
 
@@ -185,13 +187,14 @@ def repeated_runs(docs: DataFrame, *, k: int = WINDOW_WORDS, m: int = MINIMIZER_
     classes = materialize(classes.select("minimizer", "body", "source.*"), "debruijn-classes")
     windows = materialize(_expand(classes, texts, k).distinct(), "debruijn-windows")  # a row may be there twice
     owned = windows.join(classes.select("minimizer", "body", "id"), ["minimizer", "body"])
-    earliest = owned.groupBy("minimizer", "window").agg(F.min("id").alias("earliest"))
+    earliest = materialize(owned.groupBy("minimizer", "window").agg(F.min("id").alias("earliest")), "debruijn-earliest")
     fates = (
         windows.join(earliest, ["minimizer", "window"])
         .groupBy("minimizer", "body")
         .agg(F.array_sort(F.collect_list(F.struct("at", "earliest"))).alias("fates"))
         .select("minimizer", "body", "fates.earliest")
     )
+    fates = materialize(fates, "debruijn-fates")
     marked = forks.join(fates, ["minimizer", "body"]).filter("exists(earliest, e -> e < id)")
     runs = F.expr("if(forall(earliest, e -> e < id), array(struct(first as first, number as number)),"
                   " transform(filter(sequence(0, number - 1), i -> earliest[i] < id), i -> struct(first + i as first, 1 as number)))")

@@ -62,6 +62,7 @@ def without_widespread(
     """
     lines = _lines(docs, id_col, text_col, site_col, min_chars)
     spread = widespread(lines, min_sites=min_sites)
+    spread = materialize(spread, "widespread")  # a plain table: a hot line's rows can then be split among tasks
     placed = lines.filter("id is not null").select("id", "text_key", "at", "line").join(spread, "line")
     gone = placed.filter("keeps.id <> id or keeps.at <> at").groupBy("id", "text_key").agg(F.collect_set("at").alias("gone"))
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"))

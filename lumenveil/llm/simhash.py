@@ -291,4 +291,5 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = SHINGLE_WORDS, max_
     least = distinct.join(roots, "fp").groupBy("root").agg(F.min("least_id").alias("component"))
     grouped = roots.join(least, "root").select("fp", "component")
     named = distinct.join(grouped, "fp", "left").select("fp", F.coalesce("component", "least_id").alias("component"))
+    named = materialize(named, "simhash-components")  # a plain table: rows of a hot fingerprint can be split among tasks
     return marked.join(named, "fp").select(id_col, "text_key", "fp", "component")
