@@ -50,7 +50,7 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
             "concat('worker-', cast(s_suppkey % 25 as string), '-slot-', cast(cast(floor(s_suppkey / 25) as bigint) as string)) as worker_id",
             "case s_suppkey % 6 when 0 then 'busy' when 1 then 'cancelling' when 2 then 'offline' else 'ready' end as status",
             "case when s_suppkey % 6 < 2 then concat('task-', lpad(cast(s_suppkey * 10 + 1 as string), 8, '0')) end as current_task_id",
-            "1700000000 + cast(s_acctbal as bigint) as last_seen_at",
+            "1700000000 + cast(floor(s_acctbal) as bigint) as last_seen_at",
             "concat('10.0.', cast(s_suppkey % 4 as string), '.', cast(s_suppkey % 25 as string)) as controller_seen_ip",
         ],
     ),

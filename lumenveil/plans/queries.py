@@ -519,7 +519,7 @@ def segment_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-, f AS (SELECT DISTINCT video_id, frame_idx FROM detections), s AS (SELECT *, (frame_idx - 1) // 100 AS own FROM f)
+, f AS (SELECT DISTINCT video_id, frame_idx FROM detections), s AS (SELECT *, floor((frame_idx - 1) / 100.0) AS own FROM f)
 SELECT video_id, frame_idx, CAST(own AS BIGINT) AS seg_idx, false AS warm_up FROM s UNION ALL SELECT video_id, frame_idx, CAST(own + 1 AS BIGINT), true FROM s WHERE (frame_idx - 1) % 100 >= 90
 """)
 def segment_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
