@@ -305,7 +305,7 @@ def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 , queue AS (SELECT task_id, row_number() OVER (ORDER BY finished_at, created_at, task_id) AS n FROM {_FREE}), asking AS (SELECT n_name AS reviewer, row_number() OVER (ORDER BY n_name) AS n FROM nation)
-SELECT reviewer, task_id, {NOW + 300.0} AS lease_until FROM asking JOIN queue USING (n)
+SELECT reviewer, task_id, CAST({NOW + 300.0} AS DOUBLE) AS lease_until FROM asking JOIN queue USING (n)
 """)
 def review_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     reviewers = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_name").alias("reviewer"))
