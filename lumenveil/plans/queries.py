@@ -512,7 +512,7 @@ def frame_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 , n AS (SELECT video_id, duration, unnest(range(0, CAST(greatest(ceil(duration / 60), 1) AS INTEGER))) AS seg_idx FROM video_info)
-SELECT video_id, CAST(seg_idx AS INTEGER) AS seg_idx, round(seg_idx * 60.0, 6) AS start, round(least((seg_idx + 1) * 60.0, duration), 6) AS "end", CASE WHEN seg_idx > 0 THEN 12 ELSE 0 END AS overlap FROM n
+SELECT video_id, CAST(seg_idx AS INTEGER) AS seg_idx, round(CAST(seg_idx * 60 AS DOUBLE), 6) AS start, round(least(CAST((seg_idx + 1) * 60 AS DOUBLE), duration), 6) AS "end", CASE WHEN seg_idx > 0 THEN 12 ELSE 0 END AS overlap FROM n
 """)
 def segment_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(timeline.segments(view(spark, sf_dir, "video_info"), 60.0, skip=3), "start", "end")
