@@ -41,7 +41,7 @@ BUCKETS = 1 << 14
 ORDERS = (1, 2, 3)
 EXHAUSTIVE = 6
 #: A text is ambiguous if the best language's share is less than this above the next.
-AMBIGUOUS = 0.1
+AMBIGUOUS = 0.05
 #: Characters handled at a time, which bounds a worker's memory.
 CHARS = 1 << 18
 

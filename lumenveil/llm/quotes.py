@@ -83,19 +83,20 @@ def passages(rows: DataFrame) -> DataFrame:
 
     depth 0 is a message's own words; each line and each whole passage counts.
     """
-    whole = F.aggregate(
-        F.filter("lines", lambda x: F.trim(x["text"]) != ""),
-        F.expr("cast(array() as array<struct<depth:int,text:string>>)"),
-        lambda done, x: F.when(
-            F.coalesce(F.get(done, F.size(done) - 1)["depth"] == x["depth"], F.lit(False)),
-            F.concat(
-                F.slice(done, 1, F.size(done) - 1), F.array(F.struct(x["depth"].alias("depth"), F.concat_ws(" ", F.get(done, F.size(done) - 1)["text"], x["text"]).alias("text")))
-            ),
-        ).otherwise(F.concat(done, F.array(x))),
+    written = rows.withColumn("written", F.filter("lines", lambda x: F.trim(x["text"]) != ""))
+    starts = F.filter(  # where the quote level changes; the end of the text closes the last passage
+        F.sequence(F.lit(0), F.size("written")),
+        lambda i: ~F.get("written", i)["depth"].eqNullSafe(F.get("written", i - 1)["depth"]),
+    )
+    run = lambda at, upto: F.array_join(F.transform(F.slice("written", at + 1, upto - at), lambda x: x["text"]), " ")
+    whole = F.transform(
+        F.slice("starts", 1, F.size("starts") - 1),
+        lambda at, k: F.struct(F.get("written", at)["depth"].alias("depth"), run(at, F.get("starts", k + 1)).alias("text")),
     )
     own = F.array(F.struct(F.lit(0).alias("depth"), F.col("own").alias("text")))
     every = F.concat(F.col("lines"), F.filter(whole, lambda x: x["depth"] > 0), own)
-    found = rows.filter("conv is not null and turn is not null").select("conv", "turn", F.inline(F.array_distinct(every)))
+    placed = written.filter("conv is not null and turn is not null").withColumn("starts", F.when(F.size("written") > 0, starts).otherwise(F.array(F.lit(0))))
+    found = placed.select("conv", "turn", F.inline(every))
     normal = found.withColumn("text", _normal(F.col("text"))).filter("text <> ''")
     return normal.select("conv", "turn", "depth", F.xxhash64("text").alias("hash"), F.length("text").alias("size")).distinct()
 

@@ -33,10 +33,12 @@ CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
 WINDOW = 20
 #: Character classes in order: (name, pattern of the whole candidate, bits per character).
 CLASSES = (("hex", r"^[0-9A-Fa-f]+$", 3.0), ("alphanumeric", r"^[0-9A-Za-z]+$", 3.7), ("base64", r"^[0-9A-Za-z+/_-]+$", 3.9))
+#: Matches gathered at a time.
+BLOCK = 256
 #: Candidates that are no secrets: UUIDs, words joined to paths or slugs, samples.
 ALLOWED = (
     r"^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$",
-    r"^/?([A-Za-z]+[0-9]{0,4}[/_-]+)+[A-Za-z]*[0-9]{0,4}$",
+    r"^/?(?:[A-Za-z]++[0-9]{0,4}+[/_-]++)++[A-Za-z]*+[0-9]{0,4}+$",
     r"(?i)(example|sample|dummy|placeholder)",
 )
 
@@ -47,10 +49,14 @@ def _let(value: Column, body) -> Column:
 
 
 def _located(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, text>>: all matches of ``pattern``, code points."""
+    """array<struct<start, end, text>>: all matches of ``pattern``, code points.
+
+    Adding to an array copies it, so matches are gathered in blocks.
+    """
+    none = F.expr("cast(array() as array<struct<start:int,end:int,text:string>>)")
 
     def place(parts: Column) -> Column:
-        empty = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,text:string>>)").alias("out"))
+        number = F.size(parts["matches"])
 
         def step(state: Column, i: Column) -> Column:
             start = state["at"] + F.length(F.get(parts["between"], i))
@@ -60,9 +66,14 @@ def _located(text: Column, pattern: str) -> Column:
                 lambda m: F.struct(m["end"].alias("at"), F.concat(state["out"], F.array(m)).alias("out")),
             )
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(parts["matches"]) - 1), empty, step, lambda state: state["out"])
+        def block(state: Column, k: Column) -> Column:
+            empty = F.struct(state["at"].alias("at"), none.alias("out"))
+            some = F.sequence(k * BLOCK, F.least((k + 1) * BLOCK, number) - 1)
+            return _let(F.aggregate(some, empty, step), lambda done: F.struct(done["at"].alias("at"), F.concat(state["out"], F.array(done["out"])).alias("out")))
+
+        start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<array<struct<start:int,end:int,text:string>>>)").alias("out"))
+        return F.aggregate(F.sequence(F.lit(0), ((number - 1) / BLOCK).cast("int")), start, block, lambda state: F.flatten(state["out"]))
 
-    none = F.expr("cast(array() as array<struct<start:int,end:int,text:string>>)")
     return _let(
         F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)),
         lambda matches: F.when(F.size(matches) == 0, none).otherwise(
