@@ -108,7 +108,7 @@ def linked(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "t
     quoted passages the turn has. reply_to is null for a first turn.
     """
     rows = parsed(messages.select(F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(text_col).alias("text")))
-    units = passages(rows)
+    units = materialize(passages(rows), "passages")  # read four times below
     asked = units.filter("depth > 0").select("conv", "hash").distinct()
     origins = units.filter("depth = 0").select("conv", "turn", "hash").distinct().join(asked, ["conv", "hash"], "left_semi").withColumn("depth", F.lit(0)).withColumn("size", F.lit(0))
     both = units.filter("depth > 0").unionByName(origins)
@@ -138,11 +138,12 @@ def branches(replies: DataFrame) -> DataFrame:
     Turns that reply to the turn before them run on in one piece; only pieces are
     linked by doubling, so conversations without jumps need no round.
     """
+    replies = materialize(replies, "replies")
     first = replies.filter("reply_to is not null").groupBy("conv", F.col("reply_to").alias("parent")).agg(F.min("turn").alias("first"))
     begins = (F.col("before").isNull()) | (F.col("reply_to") != F.col("before"))
     placed = replies.withColumn("_begin", F.when(begins, F.col("turn")))
     placed = _latest_before(placed, ["conv"], F.col("_begin"), "_earlier").withColumn("piece", F.coalesce("_begin", "_earlier")).drop("_begin", "_earlier")
-    placed = materialize(placed, "replies")
+    placed = materialize(placed, "pieces")
     jumps = placed.filter("turn = piece and reply_to is not null").select("conv", "turn", F.col("reply_to").alias("parent"))
     followed = jumps.join(first, ["conv", "parent"]).filter("first = turn").select("conv", "turn", "parent")
     at = placed.select("conv", F.col("turn").alias("parent"), F.col("piece").alias("to"))
