@@ -50,11 +50,11 @@ def uuid5_url(name: Column) -> Column:
 
 
 def format_duration(seconds: Column) -> Column:
-    """h:mm:ss, or m:ss under an hour; null for null or negative."""
-    s = F.floor(seconds).cast("long")
+    """h:mm:ss, or m:ss under an hour; null for null, 0:00 below zero."""
+    s = F.when(seconds.isNotNull(), F.greatest(F.floor(seconds), F.lit(0))).cast("long")
     h, m, r = F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60
     two = lambda x: F.lpad(x.cast("string"), 2, "0")
-    return F.when(seconds < 0, None).when(h > 0, F.concat(h.cast("string"), F.lit(":"), two(m), F.lit(":"), two(r))).otherwise(F.concat(m.cast("string"), F.lit(":"), two(r)))
+    return F.when(h > 0, F.concat(h.cast("string"), F.lit(":"), two(m), F.lit(":"), two(r))).otherwise(F.concat(m.cast("string"), F.lit(":"), two(r)))
 
 
 def spoken_duration(seconds: Column) -> Column:

@@ -31,6 +31,12 @@ def numbered(df: DataFrame, order: list[Column | str], name: str, ranges: int =
     return dealt.join(F.broadcast(carried), "_range").withColumn(name, F.row_number().over(inside) + F.col("_before")).drop("_range", "_before")
 
 
+def changed(df: DataFrame, when: Column, values: dict[str, Column]) -> DataFrame:
+    """df with ``values`` where ``when`` holds; columns it lacks are passed over."""
+    hit = F.coalesce(when, F.lit(False))
+    return df.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in values.items() if c in df.columns})
+
+
 def claimable(tasks: DataFrame) -> DataFrame:
     return tasks.filter((F.col("status") == "pending") & (F.col("attempt_count") < F.col("max_attempts")))
 
@@ -90,26 +96,45 @@ def cancel(tasks: DataFrame, ids: DataFrame, now: float) -> DataFrame:
     """(task_id, old_status, new_status, rejected, finished_at) of the ids."""
     hit = tasks.join(ids.select("task_id").distinct(), "task_id", "left_semi")
     new = cancelled_status(F.col("status"))
-    return hit.select("task_id", F.col("status").alias("old_status"), F.coalesce(new, F.col("status")).alias("new_status"), new.isNull().alias("rejected"), F.when(F.col("status") == "pending", F.lit(now)).otherwise(F.col("finished_at")).alias("finished_at"))
+    told = F.when(F.col("status") == "pending", "cancelled by administrator").when(F.col("status").isin(*(s for s in ACTIVE if s != "cancelling")), "cancellation requested by administrator")
+    return hit.select(
+        "task_id", F.col("status").alias("old_status"), F.coalesce(new, F.col("status")).alias("new_status"), new.isNull().alias("rejected"),
+        F.when(F.col("status") == "pending", F.lit(now)).otherwise(F.col("finished_at")).alias("finished_at"), told.alias("error_message"),
+    )
+
+
+def _fresh(now: float) -> dict[str, Column]:
+    """Columns of a task that begins anew."""
+    empty = {c: F.lit(None) for c in ("assigned_worker_id", "error_message", "started_at", "restarted_at", "finished_at")}
+    return empty | {"status": F.lit("pending"), "attempt_count": F.lit(0), "progress": F.lit("{}"), "updated_at": F.lit(now)}
+
+
+def _marked(tasks: DataFrame, ids: DataFrame) -> DataFrame:
+    return tasks.join(ids.select("task_id", F.lit(True).alias("_again")).distinct(), "task_id", "left")
+
 
+def restart(tasks: DataFrame, ids: DataFrame, now: float, *, algorithm: str | None = None, arguments: list[str] | None = None) -> DataFrame:
+    """tasks where terminal ones among ids begin anew, outputs and leases cleared.
+
+    algorithm and arguments may be exchanged, but only together.
+    """
+    if (algorithm is None) != (arguments is None):
+        raise ValueError("algorithm and arguments must be updated together")
+    cleared = {c: F.lit(None) for c in ("output_sha256", "output_duration_seconds", "face_review_owner", "face_review_lease_until")}
+    values = _fresh(now) | cleared | {"restarted_at": F.lit(now)}
+    if algorithm is not None:
+        values |= {"algorithm": F.lit(algorithm), "arguments": F.array(*map(F.lit, arguments)) if arguments else F.expr("cast(array() as array<string>)")}
+    return changed(_marked(tasks, ids), F.col("_again") & F.col("status").isin(*TERMINAL), values).drop("_again")
 
-def restart(tasks: DataFrame, ids: DataFrame, now: float) -> DataFrame:
-    """tasks where terminal ones among ids begin anew, outputs and leases cleared."""
-    wanted = ids.select("task_id", F.lit(True).alias("_again")).distinct()
-    again = F.coalesce(F.col("_again") & F.col("status").isin(*TERMINAL), F.lit(False))
-    clear = {c: F.when(again, F.lit(None)).otherwise(F.col(c)) for c in ("assigned_worker_id", "output_duration_seconds", "started_at", "finished_at", "face_review_owner", "face_review_lease_until")}
-    return tasks.join(wanted, "task_id", "left").withColumns(
-        clear | {"status": F.when(again, "pending").otherwise(F.col("status")), "attempt_count": F.when(again, 0).otherwise(F.col("attempt_count")), "updated_at": F.when(again, F.lit(now)).otherwise(F.col("updated_at"))}
-    ).drop("_again")
+
+def restart_completed(tasks: DataFrame, now: float) -> DataFrame:
+    """tasks where all completed ones begin anew; labels stay."""
+    return restart(tasks, tasks.filter("status = 'completed'"), now)
 
 
 def retry(tasks: DataFrame, ids: DataFrame, now: float) -> DataFrame:
     """tasks where failed ones among ids are pending again; outputs stay."""
-    wanted = ids.select("task_id", F.lit(True).alias("_again")).distinct()
-    again = F.coalesce(F.col("_again") & (F.col("status") == "failed"), F.lit(False))
-    return tasks.join(wanted, "task_id", "left").withColumns(
-        {"status": F.when(again, "pending").otherwise(F.col("status")), "attempt_count": F.when(again, 0).otherwise(F.col("attempt_count")), "updated_at": F.when(again, F.lit(now)).otherwise(F.col("updated_at"))}
-    ).drop("_again")
+    return changed(_marked(tasks, ids), F.col("_again") & (F.col("status") == "failed"), _fresh(now)).drop("_again")
 
 
 def orphaned(tasks: DataFrame, workers: DataFrame, now: float, ttl: float) -> DataFrame:
@@ -146,8 +171,8 @@ def purge(tasks: DataFrame) -> DataFrame:
 
 def leases(tasks: DataFrame, now: float) -> DataFrame:
     """tasks with expired review leases cleared."""
-    over = F.col("face_review_lease_until") <= now
-    return tasks.withColumns({c: F.when(F.coalesce(over, F.lit(False)), F.lit(None)).otherwise(F.col(c)) for c in ("face_review_owner", "face_review_lease_until")})
+    values = {"face_review_owner": F.lit(None), "face_review_lease_until": F.lit(None), "updated_at": F.lit(now)}
+    return changed(tasks, F.col("face_review_lease_until") <= now, values)
 
 
 def review_queue(tasks: DataFrame, now: float) -> DataFrame:
@@ -164,10 +189,13 @@ def review_claims(tasks: DataFrame, reviewers: DataFrame, now: float, lease: flo
 
 
 def review_status(tasks: DataFrame, now: float) -> DataFrame:
-    """(task_id, label, reviewing, owner): a lease counts while it lasts."""
+    """(task_id, reviewable, label, reviewing, owner, lease_until): a lease counts while it lasts."""
     live = F.coalesce(F.col("face_review_owner").isNotNull() & (F.col("face_review_lease_until") > now), F.lit(False))
     label = F.when(F.col("face_annotation") == 1, "has_face").when(F.col("face_annotation") == 0, "no_face").otherwise("unlabelled")
-    return tasks.select("task_id", label.alias("label"), live.alias("reviewing"), F.when(live, F.col("face_review_owner")).alias("owner"))
+    return tasks.select(
+        "task_id", F.coalesce((F.col("status") == "completed") & (F.col("source_object_key") != ""), F.lit(False)).alias("reviewable"), label.alias("label"), live.alias("reviewing"),
+        F.when(live, F.col("face_review_owner")).alias("owner"), F.when(live, F.col("face_review_lease_until")).otherwise(F.lit(0)).cast("double").alias("lease_until"),
+    )
 
 
 def upsert(current: DataFrame, changes: DataFrame, key: str) -> DataFrame:
@@ -175,6 +203,20 @@ def upsert(current: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     return current.join(changes.select(key), key, "left_anti").unionByName(changes, allowMissingColumns=True)
 
 
+def running_jobs(jobs: DataFrame, started: DataFrame, now: float) -> DataFrame:
+    """jobs after starts (path, source_duration): one attempt more, no error."""
+    joined = jobs.join(started.select("path", F.col("source_duration").alias("_source"), F.lit(True).alias("_begun")), "path", "left")
+    values = {"status": F.lit("running"), "attempts": F.col("attempts") + 1, "error": F.lit(None), "source_duration": F.col("_source"), "updated_at": F.lit(now)}
+    return changed(joined, F.col("_begun"), values).select(jobs.columns)
+
+
+def ended_jobs(jobs: DataFrame, results: DataFrame, now: float) -> DataFrame:
+    """jobs after results (path, ok, duration, output_duration, error)."""
+    joined = jobs.join(results.select("path", *(F.col(c).alias(f"_{c}") for c in ("ok", "duration", "output_duration", "error"))), "path", "left")
+    values = {"status": F.when(F.col("_ok"), "success").otherwise("failed"), "updated_at": F.lit(now)} | {c: F.col(f"_{c}") for c in ("duration", "output_duration", "error")}
+    return changed(joined, F.col("_ok").isNotNull(), values).select(jobs.columns)
+
+
 def prepared_jobs(files: DataFrame, jobs: DataFrame, *, force: bool = False) -> DataFrame:
     """(path, size, mtime_ns, status, reason) of every file against the stored jobs.
 

@@ -53,7 +53,10 @@ def actions(hosts: DataFrame, *, pending: int, oldest_age: float, now: float, ne
     if pending:
         requested = hosts.filter((F.col("status") == "stopped") & (F.col("start_requested_at") > now - start_grace)).agg(F.coalesce(F.sum("capacity"), F.lit(0)).alias("n")).first().n
         free = hosts.filter(~F.coalesce(F.col("start_requested_at") > now - start_grace, F.lit(False)))
-        begin = cumulative_fill(free, max(0, needed - requested), max_start) if oldest_age >= pending_grace else free.limit(0)
+        missing = max(0, needed - requested)
+        ranked = start_order(free, missing)
+        before = F.coalesce(F.sum("capacity").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        begin = ranked.withColumn("before", before).filter((F.col("before") < missing) & (F.col("rank") <= max_start)) if oldest_age >= pending_grace else free.limit(0)
         return begin.select(F.lit("start").alias("kind"), "name", F.lit("pending work").alias("reason"))
     running = hosts.filter("status = 'running'")
     idle = running.filter(F.col("all_ready") & (F.col("idle_since") <= now - idle_seconds) & ~F.coalesce(F.col("stop_requested_at") > now - stop_grace, F.lit(False)))

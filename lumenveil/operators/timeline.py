@@ -22,15 +22,21 @@ def sampled(frames: DataFrame, k: int) -> DataFrame:
     return frames.filter((F.col("frame_idx") - 1) % k == 0)
 
 
-def segments(videos: DataFrame, length: float, *, skip: int = 1, interval: int = 5, grace: int = 5) -> DataFrame:
+def segments(videos: DataFrame, length: float, *, skip: int = 1, interval: int = 5, grace: int = 5, fps: Column | None = None) -> DataFrame:
     """(video_id, seg_idx, start, end, overlap): segments of ``length`` seconds.
 
-    overlap: frames before the start that warm a segment's tracker up.
+    overlap: frames at a segment's start that warm its tracker up; a segment
+    begins so much earlier (25 frames a second unless ``fps`` says otherwise). A
+    video without a duration is one empty segment.
     """
     overlap = max(10, -(-(interval + grace) // skip) * skip)
-    n = F.greatest(F.ceil(F.col("duration") / length), F.lit(1)).cast("int")
-    out = videos.select("video_id", "duration", F.explode(F.sequence(F.lit(0), n - 1)).alias("seg_idx"))
-    return out.select("video_id", "seg_idx", (F.col("seg_idx") * length).alias("start"), F.least((F.col("seg_idx") + 1) * length, F.col("duration")).alias("end"), F.when(F.col("seg_idx") > 0, overlap).otherwise(0).alias("overlap"))
+    known = F.greatest(F.coalesce("duration", F.lit(0.0)), F.lit(0.0))
+    rate = F.lit(25.0) if fps is None else fps
+    n = F.greatest(F.ceil(known / length), F.lit(1)).cast("int")
+    out = videos.select("video_id", known.alias("duration"), rate.alias("fps"), F.explode(F.sequence(F.lit(0), n - 1)).alias("seg_idx"))
+    later = F.col("seg_idx") > 0
+    start = F.col("seg_idx") * length - F.when(later & (F.col("fps") > 0), overlap / F.col("fps")).otherwise(0.0)
+    return out.select("video_id", "seg_idx", F.greatest(start, F.lit(0.0)).alias("start"), F.least((F.col("seg_idx") + 1) * length, F.col("duration")).alias("end"), F.when(later, overlap).otherwise(0).alias("overlap"))
 
 
 def segment_frames(frames: DataFrame, size: int, overlap: int) -> DataFrame:

@@ -177,14 +177,20 @@ def track(fused: DataFrame, config: TrackConfig | None = None) -> DataFrame:
 
 
 class Holder:
-    """A single-box tracker: follows the best overlap, holds it for some misses."""
+    """A single-box tracker: from the largest box on it follows the best overlap.
+
+    The last box is held for ``grace`` misses.
+    """
 
     def __init__(self, grace: int) -> None:
         self.grace, self.box, self.misses = grace, None, 0
 
     def step(self, boxes: list[list]) -> list | None:
         if boxes:
-            self.box, self.misses = (max(boxes, key=lambda b: _iou(b, self.box)) if self.box else boxes[0]), 0
+            area = lambda b: max(1, (b[2] - b[0]) * (b[3] - b[1]))
+            shared = lambda b: max(0, min(b[2], self.box[2]) - max(b[0], self.box[0])) * max(0, min(b[3], self.box[3]) - max(b[1], self.box[1]))
+            overlap = lambda b: shared(b) / (area(b) + area(self.box) - shared(b))
+            self.box, self.misses = max(boxes, key=overlap if self.box else area), 0
         elif self.box:
             self.misses += 1
             if self.misses > self.grace:

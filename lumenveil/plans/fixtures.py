@@ -161,4 +161,7 @@ def with_views(sql: str) -> str:
         derived = ", ".join(_DERIVED)
         parts.append(f"started_tasks AS (SELECT *, {_STARTED} FROM base_tasks)")
         parts.append(f"tasks AS (SELECT * EXCLUDE (owner), {derived} FROM started_tasks)")
-    return f"WITH {', '.join(parts)} {sql.strip()}" if parts else sql
+    sql = sql.strip()
+    if parts:
+        return f"WITH {', '.join(parts)} {sql}"
+    return f"WITH {sql[1:].strip()}" if sql.startswith(",") else sql

@@ -5,42 +5,18 @@ Doubles are rounded to 6 digits where sums depend on their order.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumenveil.functions import boxes, scalars
 from lumenveil.operators import audit, control, fusion, listing, logs, planner, stats, timeline, tracking
-from lumenveil.plans.fixtures import view, with_views
+from lumenveil.plans.fixtures import view
+from lumenveil.plans.registry import query
 from lumenveil.sources import discovery, sinks
 
-Query = Callable[[SparkSession, str], DataFrame]
 START, END, HOUR = 1704067200, 1704067200 + 30 * 86400, 3600
 NOW, TTL = 1705300000.0, 86400.0
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a function under its name, with its oracle if it has one."""
-
-    def add(run: Query) -> Query:
-        _QUERIES[run.__name__] = run
-        if sql is not None:
-            _SQL[run.__name__] = with_views(sql)
-        return run
-
-    return add
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
 
 
 def r6(c: Column | str) -> Column:
@@ -273,7 +249,8 @@ def finish_transition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 SELECT task_id, status AS old_status, CASE WHEN status = 'pending' THEN 'cancelled' WHEN status IN {_ACTIVE} THEN 'cancelling' ELSE status END AS new_status,
- status NOT IN ('pending', 'assigned', 'downloading', 'processing', 'uploading', 'cancelling') AS rejected, round(CASE WHEN status = 'pending' THEN {NOW} ELSE finished_at END, 6) AS finished_at FROM tasks WHERE n % 4 = 1 OR n % 10 = 0
+ status NOT IN ('pending', 'assigned', 'downloading', 'processing', 'uploading', 'cancelling') AS rejected, round(CASE WHEN status = 'pending' THEN {NOW} ELSE finished_at END, 6) AS finished_at,
+ CASE WHEN status = 'pending' THEN 'cancelled by administrator' WHEN status IN {_ACTIVE} AND status <> 'cancelling' THEN 'cancellation requested by administrator' END AS error_message FROM tasks WHERE n % 4 = 1 OR n % 10 = 0
 """)
 def cancel_transition(spark: SparkSession, sf_dir: str) -> DataFrame:
     tasks = view(spark, sf_dir, "tasks")
@@ -313,8 +290,9 @@ def review_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-SELECT task_id, CASE face_annotation WHEN 1 THEN 'has_face' WHEN 0 THEN 'no_face' ELSE 'unlabelled' END AS label, coalesce(face_review_lease_until > {NOW}, false) AS reviewing,
- CASE WHEN face_review_lease_until > {NOW} THEN face_review_owner END AS owner FROM tasks
+SELECT task_id, status = 'completed' AND source_object_key <> '' AS reviewable, CASE face_annotation WHEN 1 THEN 'has_face' WHEN 0 THEN 'no_face' ELSE 'unlabelled' END AS label,
+ coalesce(face_review_lease_until > {NOW}, false) AS reviewing, CASE WHEN face_review_lease_until > {NOW} THEN face_review_owner END AS owner,
+ CAST(CASE WHEN face_review_lease_until > {NOW} THEN face_review_lease_until ELSE 0 END AS DOUBLE) AS lease_until FROM tasks
 """)
 def review_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return control.review_status(view(spark, sf_dir, "tasks"), NOW)
@@ -511,11 +489,11 @@ def frame_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-, n AS (SELECT video_id, duration, unnest(range(0, CAST(greatest(ceil(duration / 60), 1) AS INTEGER))) AS seg_idx FROM video_info)
-SELECT video_id, CAST(seg_idx AS INTEGER) AS seg_idx, round(CAST(seg_idx * 60 AS DOUBLE), 6) AS start, round(least(CAST((seg_idx + 1) * 60 AS DOUBLE), duration), 6) AS "end", CASE WHEN seg_idx > 0 THEN 12 ELSE 0 END AS overlap FROM n
+, n AS (SELECT video_id, duration, CASE fps_text WHEN '30000/1001' THEN 30000 / 1001 WHEN '60' THEN 60.0 ELSE 25.0 END AS fps, unnest(range(0, CAST(greatest(ceil(duration / 60), 1) AS INTEGER))) AS seg_idx FROM video_info)
+SELECT video_id, CAST(seg_idx AS INTEGER) AS seg_idx, round(greatest(CAST(seg_idx * 60 AS DOUBLE) - CASE WHEN seg_idx > 0 THEN 12.0 / fps ELSE 0.0 END, 0.0), 6) AS start, round(least(CAST((seg_idx + 1) * 60 AS DOUBLE), duration), 6) AS "end", CASE WHEN seg_idx > 0 THEN 12 ELSE 0 END AS overlap FROM n
 """)
 def segment_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(timeline.segments(view(spark, sf_dir, "video_info"), 60.0, skip=3), "start", "end")
+    return rounded(timeline.segments(view(spark, sf_dir, "video_info"), 60.0, skip=3, fps=scalars.parse_fps(F.col("fps_text"))), "start", "end")
 
 
 @query("""

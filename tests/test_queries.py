@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from lumenveil.plans import queries as plans
+from lumenveil.plans import catalogue as plans
 
 SQL = plans.oracle_sql()
 QUERIES = plans.queries()
