@@ -8,9 +8,9 @@ the inner product with the residual without bias, and its error is bounded by
 
     norm * |query| * sqrt(1 - a^2) / a * EPSILON / sqrt(dimensions - 1)
 
-except with a probability that falls as exp(-EPSILON^2 / 2). Only vectors whose
-upper bound reaches the k-th best lower bound are scored on the original
-numbers, in double precision.
+except with a probability that falls as exp(-EPSILON^2 / 2). The k vectors of
+best estimate are scored on the original numbers, in double precision, and after
+them every vector whose upper bound reaches the least of those scores.
 
 The index covers every row; only centroids are fitted, on the SAMPLE_ROWS rows
 with the least id hashes. Search deals queries and rows in blocks of bounded
@@ -39,6 +39,8 @@ CENTROIDS = 16
 EPSILON = 3.0
 QUERY_BLOCK = 1024
 ROW_BLOCK = 8192
+#: Queries compared at a time.
+QUERY_BATCH = 128
 SEED = 7
 
 
@@ -77,14 +79,22 @@ class OneBitCodes:
 
     def bounds(self, queries: np.ndarray, own, packed, norm, align) -> tuple[np.ndarray, np.ndarray]:
         """Estimated inner products [queries, rows] and their error bounds."""
-        d = queries.shape[1]
+        return self.prepared(own, packed, norm, align)(queries)
+
+    def prepared(self, own, packed, norm, align):
+        """A function from queries to their bounds over the rows of a block."""
+        d = self.rotation.shape[0]
         signs = np.unpackbits(packed, axis=1, count=d).astype(np.float32) * 2 - 1
-        turned = (queries @ self.rotation.T).astype(np.float32)
-        scale = (norm / align / math.sqrt(d)).astype(np.float32)
-        estimate = (turned @ signs.T) * scale + (queries @ self.centres.T).astype(np.float32)[:, own]
+        signs *= (norm / align / math.sqrt(d)).astype(np.float32)[:, None]
         width = norm * np.sqrt(np.maximum(0, 1 - align**2)) / align * EPSILON / math.sqrt(max(1, d - 1))
-        length = np.linalg.norm(queries, axis=1)
-        return estimate, np.outer(length, width + 1e-5 * (norm + np.abs(self.centres).max())).astype(np.float32)
+        width = (width + 1e-5 * (norm + np.abs(self.centres).max())).astype(np.float32)
+
+        def bounds(queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            estimate = (queries @ self.rotation.T).astype(np.float32) @ signs.T
+            estimate += (queries @ self.centres.T).astype(np.float32)[:, own]
+            return estimate, np.linalg.norm(queries, axis=1).astype(np.float32)[:, None] * width
+
+        return bounds
 
 
 def fit(vectors: DataFrame, dimensions: int) -> OneBitCodes:
@@ -115,31 +125,46 @@ def _matrix(column: pa.ChunkedArray, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(values), kind).reshape(len(values), -1)
 
 
+def _best(names: np.ndarray, asked: np.ndarray, ids: np.ndarray, vectors: np.ndarray, bounds, k: int):
+    """(query, ids, scores) of the k best rows of a block for a batch of queries.
+
+    The k rows of best estimate are scored first; the least of their scores is a
+    bound that every other row's upper bound has to reach to be scored at all.
+    """
+    estimate, width = bounds(asked)
+    estimate[names[:, None] == ids[None, :]] = -np.inf
+    if len(ids) > k + 1:  # the query itself may be a row
+        first = np.argpartition(estimate, len(ids) - k, axis=1)[:, len(ids) - k :]
+        least = np.einsum("bkd,bd->bk", vectors[first], asked).min(axis=1)
+        slack = 1e-9 * (1 + np.abs(least))
+        estimate += width
+        chosen = estimate >= (least - slack)[:, None]
+    else:
+        chosen = estimate > -np.inf
+    for row, name in enumerate(names):
+        near = np.flatnonzero(chosen[row])
+        near = near[ids[near] != name]
+        if len(near) > 4 * k:  # those that rounding cannot lift into the k best go
+            rough = vectors[near] @ asked[row]
+            near = near[rough >= np.partition(rough, len(near) - k)[len(near) - k] - 1e-9 * (1 + np.abs(rough).max())]
+        score = np.cumsum(vectors[near] * asked[row], axis=1)[:, -1] if len(near) else np.zeros(0)  # adds in order, as SQL does
+        best = np.lexsort((ids[near], -score))[:k]
+        yield name, ids[near][best], score[best]
+
+
 def _search(codes: OneBitCodes, k: int):
     """A function of one block of index rows and one of queries (Arrow tables)."""
 
     def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
         found: list[tuple[np.ndarray, ...]] = []
         if rows.num_rows and queries.num_rows:
-            ids = rows.column("id").to_numpy()
+            ids, vectors = rows.column("id").to_numpy(), _matrix(rows.column("vector"), np.float64)
             own, norm, align = (rows.column(c).to_numpy() for c in ("centre", "norm", "align"))
-            packed, vectors = _matrix(rows.column("code"), np.uint8), _matrix(rows.column("vector"), np.float64)
+            bounds = codes.prepared(own, _matrix(rows.column("code"), np.uint8), norm, align)
             query_ids, asked = queries.column("id").to_numpy(), _matrix(queries.column("vector"), np.float64)
-            for at in range(0, len(query_ids), 128):
-                some, names = asked[at : at + 128], query_ids[at : at + 128]
-                estimate, width = codes.bounds(some, own, packed, norm, align)
-                estimate[names[:, None] == ids[None, :]] = -np.inf
-                low = estimate - width
-                least = np.partition(low, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(names), -np.inf)
-                chosen = estimate + width >= least[:, None]
-                for row, name in enumerate(names):
-                    near = np.flatnonzero(chosen[row] & (ids != name))
-                    score = np.cumsum(vectors[near] * some[row], axis=1)[:, -1] if len(near) else np.zeros(0)  # adds in order, as SQL does
-                    if len(near) > 4 * k:  # ties with the k-th stay
-                        keep = score >= np.partition(score, len(near) - k)[len(near) - k]
-                        near, score = near[keep], score[keep]
-                    best = np.lexsort((ids[near], -score))[:k]
-                    found.append((np.full(len(best), name), ids[near][best], score[best]))
+            for at in range(0, len(query_ids), QUERY_BATCH):
+                for name, near, score in _best(query_ids[at : at + QUERY_BATCH], asked[at : at + QUERY_BATCH], ids, vectors, bounds, k):
+                    found.append((np.full(len(near), name), near, score))
         columns = [np.concatenate([x[c] for x in found]) if found else np.zeros(0, t) for c, t in ((0, np.int64), (1, np.int64), (2, np.float64))]
         return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
 
