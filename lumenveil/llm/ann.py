@@ -31,14 +31,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 SAMPLE_ROWS = 4096
 CENTROIDS = 16
 #: Width of the error bound.
 EPSILON = 3.0
-QUERY_BLOCK = 1024
-ROW_BLOCK = 8192
+#: Numbers in a block of vectors, and the fewest vectors of one.
+BLOCK_VALUES = 1 << 19
+BLOCK_ROWS = 256
 #: Queries compared at a time.
 QUERY_BATCH = 128
 SEED = 7
@@ -104,7 +106,11 @@ def fit(vectors: DataFrame, dimensions: int) -> OneBitCodes:
 
 
 def encode(vectors: DataFrame, codes: OneBitCodes) -> DataFrame:
-    """The index: (id, centre, code, norm, align, vector binary) of every row."""
+    """The index: (id, centre, code, norm, align, vector binary) of every row.
+
+    Vectors are kept as the numbers they were: floats stay floats.
+    """
+    kind = _kind(vectors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,13 +119,17 @@ def encode(vectors: DataFrame, codes: OneBitCodes) -> DataFrame:
             vectors = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
             own, packed, norm, align = codes.encode(vectors)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(own, pa.int32()), pa.array([x.tobytes() for x in packed], pa.binary()), pa.array(norm), pa.array(align), pa.array([x.tobytes() for x in vectors], pa.binary())],
+                [batch.column(0), pa.array(own, pa.int32()), pa.array([x.tobytes() for x in packed], pa.binary()), pa.array(norm), pa.array(align), pa.array([x.tobytes() for x in vectors.astype(kind)], pa.binary())],
                 names=["id", "centre", "code", "norm", "align", "vector"],
             )
 
     return vectors.select("id", "vector").mapInArrow(run, "id long, centre int, code binary, norm double, align double, vector binary")
 
 
+def _kind(vectors: DataFrame) -> str:
+    return "<f4" if vectors.schema["vector"].dataType.elementType == T.FloatType() else "<f8"
+
+
 def _matrix(column: pa.ChunkedArray, kind: str) -> np.ndarray:
     values = column.to_pylist()
     return np.frombuffer(b"".join(values), kind).reshape(len(values), -1)
@@ -152,16 +162,16 @@ def _best(names: np.ndarray, asked: np.ndarray, ids: np.ndarray, vectors: np.nda
         yield name, ids[near][best], score[best]
 
 
-def _search(codes: OneBitCodes, k: int):
+def _search(codes: OneBitCodes, k: int, kind: str):
     """A function of one block of index rows and one of queries (Arrow tables)."""
 
     def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
         found: list[tuple[np.ndarray, ...]] = []
         if rows.num_rows and queries.num_rows:
-            ids, vectors = rows.column("id").to_numpy(), _matrix(rows.column("vector"), np.float64)
+            ids, vectors = rows.column("id").to_numpy(), _matrix(rows.column("vector"), kind).astype(np.float64)
             own, norm, align = (rows.column(c).to_numpy() for c in ("centre", "norm", "align"))
             bounds = codes.prepared(own, _matrix(rows.column("code"), np.uint8), norm, align)
-            query_ids, asked = queries.column("id").to_numpy(), _matrix(queries.column("vector"), np.float64)
+            query_ids, asked = queries.column("id").to_numpy(), _matrix(queries.column("vector"), kind).astype(np.float64)
             for at in range(0, len(query_ids), QUERY_BATCH):
                 for name, near, score in _best(query_ids[at : at + QUERY_BATCH], asked[at : at + QUERY_BATCH], ids, vectors, bounds, k):
                     found.append((np.full(len(near), name), near, score))
@@ -179,7 +189,8 @@ def nearest(rows: DataFrame, is_query: Column, *, k: int = 20, id_col: str = "ve
     vectors = rows.filter(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), is_query.alias("asks"))
     sizes = vectors.agg(F.max(F.size("vector")).alias("d"), F.count("*").alias("n"), F.count_if("asks").alias("q")).first()
     dimensions = sizes.d or 1
-    row_blocks, query_blocks = max(1, -(-sizes.n // ROW_BLOCK)), max(1, -(-sizes.q // QUERY_BLOCK))
+    block_rows = max(BLOCK_ROWS, BLOCK_VALUES // dimensions)
+    row_blocks, query_blocks = max(1, -(-sizes.n // block_rows)), max(1, -(-sizes.q // block_rows))
     vectors = vectors.filter(F.size("vector") == dimensions)
     codes = fit(vectors, dimensions)
     block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
@@ -189,7 +200,7 @@ def nearest(rows: DataFrame, is_query: Column, *, k: int = 20, id_col: str = "ve
     near = (
         index.groupBy("row_block", "query_block")
         .cogroup(asked.groupBy("row_block", "query_block"))
-        .applyInArrow(_search(codes, k), "query_id long, vec_id long, score double")
+        .applyInArrow(_search(codes, k, _kind(vectors)), "query_id long, vec_id long, score double")
     )
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -36,8 +36,8 @@ def test_recall_of_the_query(spark, sf_dir):
 
 
 def test_many_blocks(spark, monkeypatch):
-    monkeypatch.setattr(ann, "ROW_BLOCK", 150)
-    monkeypatch.setattr(ann, "QUERY_BLOCK", 8)
+    monkeypatch.setattr(ann, "BLOCK_VALUES", 0)
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 20)
     dice = np.random.default_rng(6)
     rows = [(i, dice.normal(size=24).astype(np.float32).tolist()) for i in range(700)]
     want, got = slow(rows), search(spark.createDataFrame(rows, KIND))
