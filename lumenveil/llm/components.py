@@ -14,24 +14,28 @@ from pyspark.sql import functions as F
 from lumenveil.session import discard, materialize
 
 
-def _star(pairs: DataFrame, keep) -> DataFrame:
-    """Link the neighbours chosen by ``keep`` to the least node of each star.
+def _least(pairs: DataFrame) -> DataFrame:
+    """(node, least): the least of each node and its neighbours, as a table.
 
-    pairs: (node, other) in the direction that the step groups by.
+    A join of two plain tables can split the rows of a hub among tasks; a join
+    with an aggregation that has just run cannot.
     """
-    least = pairs.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("least"))
-    return pairs.join(least, "node").filter(keep).select(F.col("other").alias("node"), F.col("least").alias("other"))
+    return materialize(pairs.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("least")), "least")
 
 
 def _round(edges: DataFrame) -> DataFrame:
     """One large-star and one small-star step on edges (node > other)."""
     both = edges.unionByName(edges.select(F.col("other").alias("node"), F.col("node").alias("other")))
-    large = _star(both, F.col("other") > F.col("node")).distinct()
-    least = large.groupBy("node").agg(F.min("other").alias("least"))
-    small = large.join(least, "node").select(
-        F.explode(F.array(F.struct(F.col("other").alias("node"), F.col("least").alias("other")), F.struct("node", F.col("least").alias("other")))).alias("e")
-    )
-    return small.select("e.node", "e.other").filter(F.col("node") > F.col("other")).distinct()
+    least = _least(both)
+    larger = both.filter("other > node").join(least, "node").select(F.col("other").alias("node"), F.col("least").alias("other"))
+    large = materialize(larger.distinct(), "large-star")
+    own = _least(large)
+    steps = F.array(F.struct(F.col("other").alias("node"), F.col("least").alias("other")), F.struct("node", F.col("least").alias("other")))
+    small = large.join(own, "node").select(F.inline(steps)).filter("node > other").distinct()
+    after = materialize(small, "edges")
+    for table in (least, large, own):
+        discard(table)
+    return after
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -52,7 +56,7 @@ def components(edges: DataFrame) -> DataFrame:
         if tuple(now) == state or not now[0]:
             break
         state = tuple(now)
-        after = materialize(_round(current), "edges")
+        after = _round(current)
         discard(current)
         current = after
     roots = current.select("other").distinct().select(F.col("other").alias("node"), F.col("other").alias("root"))
