@@ -11,7 +11,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenveil.session import discard, materialize
+from lumenveil.session import discard, materialize, shuffle_partitions
+
+
+def _table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a written table of few files: rounds are many, edges are small.
+
+    Every core still has work, and no file is larger than eight partitions.
+    """
+    spark = df.sparkSession
+    return materialize(df.coalesce(max(4 * spark.sparkContext.defaultParallelism, shuffle_partitions(spark) // 8)), name)
 
 
 def _least(pairs: DataFrame) -> DataFrame:
@@ -20,7 +29,7 @@ def _least(pairs: DataFrame) -> DataFrame:
     A join of two plain tables can split the rows of a hub among tasks; a join
     with an aggregation that has just run cannot.
     """
-    return materialize(pairs.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("least")), "least")
+    return _table(pairs.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("least")), "least")
 
 
 def _round(edges: DataFrame) -> DataFrame:
@@ -28,11 +37,11 @@ def _round(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("other").alias("node"), F.col("node").alias("other")))
     least = _least(both)
     larger = both.filter("other > node").join(least, "node").select(F.col("other").alias("node"), F.col("least").alias("other"))
-    large = materialize(larger.distinct(), "large-star")
+    large = _table(larger.distinct(), "large-star")
     own = _least(large)
     steps = F.array(F.struct(F.col("other").alias("node"), F.col("least").alias("other")), F.struct("node", F.col("least").alias("other")))
     small = large.join(own, "node").select(F.inline(steps)).filter("node > other").distinct()
-    after = materialize(small, "edges")
+    after = _table(small, "edges")
     for table in (least, large, own):
         discard(table)
     return after
@@ -46,7 +55,7 @@ def components(edges: DataFrame) -> DataFrame:
     Stops when a round changes nothing, which the row count and the sum of row
     hashes show; these two numbers are all that reaches the driver.
     """
-    current = materialize(
+    current = _table(
         edges.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("other")).filter("node > other").distinct(),
         "edges",
     )
