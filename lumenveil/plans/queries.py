@@ -153,8 +153,8 @@ def label_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT worker_id, status, row_number() OVER (ORDER BY CASE status WHEN 'busy' THEN 0 WHEN 'cancelling' THEN 1 WHEN 'ready' THEN 2 ELSE 3 END, last_seen_at DESC, worker_id) AS n FROM workers")
 def worker_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.orderBy(listing.worker_rank(), F.desc("last_seen_at"), "worker_id")  # workers of one controller: a small table
-    return view(spark, sf_dir, "workers").select("worker_id", "status", F.row_number().over(order).cast("long").alias("n"))
+    order = [listing.worker_rank(), F.desc("last_seen_at"), F.col("worker_id")]
+    return control.numbered(view(spark, sf_dir, "workers"), order, "n").select("worker_id", "status", F.col("n").cast("long").alias("n"))
 
 
 @query("""
