@@ -126,18 +126,22 @@ def concurrency(tasks: DataFrame, start: float, end: float, width: int = 3600) -
     """(bucket, in_flight_seconds, average, peak) of every bucket.
 
     At equal times ends count before starts. A bucket's events are summed in
-    SLICES parts of its width first; the parts' sums are carried on.
+    SLICES parts of its width first; the parts' sums are carried on. Seconds come
+    from the same events: a start takes its place in the bucket off, an end adds it.
     """
     parts = clipped(tasks, start, end, width)
-    seconds = parts.groupBy("bucket").agg(F.sum(F.col("e") - F.col("s")).alias("in_flight_seconds"))
     steps = parts.select("bucket", F.inline(F.array(F.struct(F.col("s").alias("t"), F.lit(1).alias("d")), F.struct(F.col("e").alias("t"), F.lit(-1).alias("d")))))
-    steps = steps.groupBy("bucket", "t", "d").agg(F.sum("d").alias("change")).withColumn("slice", F.floor((F.col("t") - F.col("bucket")) / (width / SLICES)))
-    inside = Window.partitionBy("bucket", "slice").orderBy("t", "d").rowsBetween(Window.unboundedPreceding, 0)
-    running = steps.withColumn("level", F.sum("change").over(inside))
-    slices = running.groupBy("bucket", "slice").agg(F.max("level").alias("high"), F.sum("change").alias("change"))
+    placed = steps.withColumn("place", F.col("t") - F.col("bucket")).withColumn("slice", F.floor(F.col("place") / (width / SLICES)))
+    inside = Window.partitionBy("bucket", "slice").orderBy("place", "d").rowsBetween(Window.unboundedPreceding, 0)
+    slices = (
+        placed.withColumn("level", F.sum("d").over(inside))
+        .groupBy("bucket", "slice")
+        .agg(F.max("level").alias("high"), F.sum("d").alias("change"), F.sum(-F.col("d") * F.col("place")).alias("seconds"))
+    )
     before = Window.partitionBy("bucket").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    peaks = slices.withColumn("peak", F.col("high") + F.coalesce(F.sum("change").over(before), F.lit(0))).groupBy("bucket").agg(F.greatest(F.max("peak"), F.lit(0)).alias("peak"))
-    joined = spine(tasks.sparkSession, start, end, width).join(seconds, "bucket", "left").join(peaks, "bucket", "left")
+    levels = slices.withColumn("peak", F.col("high") + F.coalesce(F.sum("change").over(before), F.lit(0)))
+    found = levels.groupBy("bucket").agg(F.sum("seconds").alias("in_flight_seconds"), F.greatest(F.max("peak"), F.lit(0)).alias("peak"))
+    joined = spine(tasks.sparkSession, start, end, width).join(found, "bucket", "left")
     return joined.select(
         "bucket", F.coalesce("in_flight_seconds", F.lit(0.0)).alias("in_flight_seconds"), (F.coalesce("in_flight_seconds", F.lit(0.0)) / width).alias("average"), F.coalesce("peak", F.lit(0)).cast("long").alias("peak")
     )
