@@ -131,12 +131,14 @@ def concurrency(tasks: DataFrame, start: float, end: float, width: int = 3600) -
     """
     parts = clipped(tasks, start, end, width)
     steps = parts.select("bucket", F.inline(F.array(F.struct(F.col("s").alias("t"), F.lit(1).alias("d")), F.struct(F.col("e").alias("t"), F.lit(-1).alias("d")))))
-    placed = steps.withColumn("place", F.col("t") - F.col("bucket")).withColumn("slice", F.floor(F.col("place") / (width / SLICES)))
+    # Long intervals give many events at the bounds of buckets, which are added up where they are made.
+    counted = steps.groupBy("bucket", (F.col("t") - F.col("bucket")).alias("place"), "d").agg(F.sum("d").alias("change"))
+    placed = counted.withColumn("slice", F.floor(F.col("place") / (width / SLICES)))
     inside = Window.partitionBy("bucket", "slice").orderBy("place", "d").rowsBetween(Window.unboundedPreceding, 0)
     slices = (
-        placed.withColumn("level", F.sum("d").over(inside))
+        placed.withColumn("level", F.sum("change").over(inside))
         .groupBy("bucket", "slice")
-        .agg(F.max("level").alias("high"), F.sum("d").alias("change"), F.sum(-F.col("d") * F.col("place")).alias("seconds"))
+        .agg(F.max("level").alias("high"), F.sum("change").alias("change"), F.sum(-F.col("change") * F.col("place")).alias("seconds"))
     )
     before = Window.partitionBy("bucket").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     levels = slices.withColumn("peak", F.col("high") + F.coalesce(F.sum("change").over(before), F.lit(0)))
