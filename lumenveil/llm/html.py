@@ -1,13 +1,21 @@
 """Main text of web pages, with site templates removed by recurring subtrees.
 
-Every block element outside a page's article is hashed over its whole source.
-Spark counts, per host, on how many different contents a subtree occurs (copies
-of one page count once); subtrees on MIN_CONTENTS of them are template and are
-deleted from that host's pages. What is left loses elements that are no article
-by their tag, role, class or id; if the page marks its article (or main part),
-only that is read. Character references are decoded, white space inside a block
+Every block element is hashed over its whole source. Spark counts, per host, on
+how many different contents a subtree occurs (copies of one page count once);
+subtrees on MIN_CONTENTS of them are template and are deleted from that host's
+pages before the article is chosen. Inside an article or main part a subtree must
+also be on INSIDE_SHARE of the host's contents, so passages that some articles
+share stay there. What is left loses elements that are no article by their tag,
+role, class or id. If the page marks its main part, only that is read, or of it
+only the articles if they hold most of its text; without one its articles are
+read, else the page. Character references are decoded, white space inside a block
 becomes one space, and blocks are joined by line feeds in page order.
 
+Names count only as a whole: each part of a class or id must be a name of what is
+no article or a neutral word. Elements that hold an article or main part are never
+dropped by name, nor are those with nearly all text of a page that marks neither.
+An article is dropped by name only inside another article (a comment).
+
 Pages travel once, compressed, to meet the list of their own template subtrees;
 no task needs the templates of a whole host.
 
@@ -29,9 +37,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenveil.llm.textframe import compressed, decompressor, emit
+from lumenveil.session import materialize
 
 #: Different contents of a host on which a subtree makes it a template.
 MIN_CONTENTS = 5
+#: Share of a host's contents on which a subtree inside an article or main part must be besides.
+INSIDE_SHARE = 0.5
+#: An element with a larger share of the text of a page without article and main part is not dropped by name.
+MOST = 0.8
 #: A block without an article around it is a menu from this share of link text on.
 LINK_SHARE = 0.6
 
@@ -53,6 +66,11 @@ NAMES = set(
     "discussion share sharing social related recommended pagination pager widget toolbar promo promotion sponsor sponsored".split()
 )
 PREFIXES = ("advert", "adsby", "cookie", "comment", "sidebar", "sponsor", "newsletter", "breadcrumb", "promo", "disqus", "navbar")
+NEUTRAL = set(
+    "site page main global top bottom left right inner outer primary secondary box wrap wrapper container block section area zone bar list "
+    "link links item items button buttons icon icons form post posts article articles entry body header title text media"
+    .split()
+)
 OUTSIDE_ONLY = set("header masthead topbar".split())
 CLOSED_BY = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -73,6 +91,7 @@ class Page:
 
     elements: [tag, parent, start, end, kind]; kind is "drop" for what is never an
     article, "outside" for what is dropped unless inside one, "article" or "main".
+    holds: whether an element contains an article or main part, or is one.
     texts: (element, text, is a link's); None as text is a block boundary.
     """
 
@@ -139,15 +158,54 @@ class Page:
         for k in stack[1:]:
             self.elements[k][3] = len(source)
 
-    def subtrees(self) -> list[tuple[int, str]]:
-        """(element, its source) of block elements outside article and main."""
+        self._settle()
+
+    def _settle(self) -> None:
+        """Decides on elements with names of what is no article by what they hold."""
+        n = len(self.elements)
+        dropped, size, self.holds, main = [False] * n, [0] * n, [False] * n, [False] * n
+        for element, text, _ in self.texts:
+            size[element] += len(text.strip()) if text else 0
+        for k, (_, parent, _, _, kind) in enumerate(self.elements):
+            dropped[k] = kind == "drop" or (parent >= 0 and dropped[parent])
+        for k in range(n - 1, -1, -1):
+            _, parent, _, _, kind = self.elements[k]
+            if dropped[k]:
+                continue
+            if kind == "article" and main[k]:
+                self.elements[k][4] = kind = "main"  # an article around the main part is read whole
+            self.holds[k] = self.holds[k] or kind in ("article", "main")
+            main[k] = main[k] or kind == "main"
+            if parent >= 0:
+                self.holds[parent], main[parent] = self.holds[parent] or self.holds[k], main[parent] or main[k]
+                size[parent] += size[k]
+        within = [False] * n
+        for k, (_, parent, _, _, kind) in enumerate(self.elements):
+            within[k] = parent >= 0 and within[parent]
+            if kind == "named" and (self.holds[k] or (not self.holds[0] and size[k] > MOST * size[0])):
+                self.elements[k][4] = ""
+            elif kind == "named":
+                self.elements[k][4] = "drop"
+            elif kind == "named article":
+                alone = not self.holds[0] and 2 * size[k] >= size[0]
+                self.elements[k][4] = "" if self.holds[k] else "drop" if within[k] else "article" if alone else ""
+            elif kind == "outside" and self.holds[k]:
+                self.elements[k][4] = ""
+            within[k] = within[k] or kind in ("article", "named article")
+
+    def subtrees(self) -> list[tuple[int, int]]:
+        """(element, hash) of block elements that hold no article or main part.
+
+        Hashes are odd inside an article or main part and for an article, else even.
+        """
         inside = [False] * len(self.elements)
         out = []
         for k, (tag, parent, start, end, kind) in enumerate(self.elements):
             inside[k] = kind in ("article", "main") or (parent >= 0 and inside[parent])
-            if not inside[k] and tag in BLOCK and tag not in ("html", "body"):
-                out.append((k, self.source[start:end]))
-        return [x for x in out if not any(inside[c] for c in self._below(x[0]))]
+            whole = not self.holds[k] or (kind == "article" and not any(self.holds[c] for c in self._below(k)))
+            if tag in BLOCK and tag not in ("html", "body") and whole:
+                out.append((k, _digest(self.source[start:end]) & ~1 | inside[k]))
+        return out
 
     def _below(self, top: int) -> Iterator[int]:
         _, _, _, end, _ = self.elements[top]
@@ -159,17 +217,23 @@ class Page:
     def text(self, templates: set[int] = frozenset()) -> str:
         """The main text; templates: elements to leave out."""
         n = len(self.elements)
-        gone, inside = [False] * n, [""] * n
-        kinds = set()
+        gone, article, main = [False] * n, [False] * n, [False] * n
         for k, (_, parent, _, _, kind) in enumerate(self.elements):
             if parent >= 0:
-                gone[k], inside[k] = gone[parent], inside[parent]
-            if kind in ("article", "main") and inside[k] != "article":
-                inside[k] = kind
-            gone[k] = gone[k] or k in templates or kind == "drop" or (kind == "outside" and not inside[k])
-            if not gone[k]:
-                kinds.add(inside[k])
-        wanted = "article" if "article" in kinds else "main" if "main" in kinds else ""
+                gone[k], article[k], main[k] = gone[parent], article[parent], main[parent]
+            article[k], main[k] = article[k] or kind == "article", main[k] or kind == "main"
+            gone[k] = gone[k] or k in templates or kind == "drop" or (kind == "outside" and not article[k] and not main[k])
+        kept = [k for k in range(n) if not gone[k]]
+        in_main = in_both = 0
+        for element, text, _ in self.texts:
+            if text and main[element] and not gone[element]:
+                in_main += len(text.strip())
+                in_both += len(text.strip()) * article[element]
+        marked = any(article[k] for k in kept)
+        if any(main[k] for k in kept) and (in_main or not marked):
+            wanted = [m and (a or 2 * in_both < in_main) for a, m in zip(article, main)] if in_both else main
+        else:
+            wanted = article if marked else None
         blocks, part, linked, length = [], [], 0, 0
         for element, text, link in [*self.texts, (0, None, False)]:
             if text is None:
@@ -177,7 +241,7 @@ class Page:
                 if block and (wanted or linked < LINK_SHARE * length):
                     blocks.append(block)
                 part, linked, length = [], 0, 0
-            elif not gone[element] and (not wanted or inside[element] == wanted):
+            elif not gone[element] and (not wanted or wanted[element]):
                 part.append(text)
                 length += len(text.strip())
                 linked += len(text.strip()) * link
@@ -217,12 +281,15 @@ def _digest(source: str) -> int:
 
 def _keyed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
     host = F.coalesce(F.lower(F.regexp_extract(F.coalesce(url_col, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
-    return pages.select(F.col(id_col).alias("id"), F.xxhash64(html_col).alias("text_key"), F.col(url_col).cast("string").alias("url"), host.alias("host"), F.col(html_col).cast("binary").alias("text"))
+    return pages.select(F.col(id_col).alias("id"), F.xxhash64(html_col).alias("text_key"), F.col(url_col).cast("string").alias("url"), F.xxhash64(host).alias("host"), F.col(html_col).cast("binary").alias("text"))
 
 
 def subtrees(pages: DataFrame) -> DataFrame:
-    """(id, text_key, host, content, subtree): hashes of the pages' subtrees."""
-    schema = T.StructType([pages.schema["id"], T.StructField("text_key", T.LongType()), T.StructField("host", T.StringType()), T.StructField("content", T.LongType()), T.StructField("subtree", T.LongType())])
+    """(id, text_key, host, content, subtree): hashes of the pages' subtrees.
+
+    Every page has a subtree 0 besides, which counts the contents of its host.
+    """
+    schema = T.StructType([pages.schema["id"], T.StructField("text_key", T.LongType()), T.StructField("host", T.LongType()), T.StructField("content", T.LongType()), T.StructField("subtree", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,11 +297,10 @@ def subtrees(pages: DataFrame) -> DataFrame:
             keys, hosts = batch.column("text_key").to_pylist(), batch.column("host").to_pylist()
             for row, source in enumerate(batch.column("text")):
                 page = Page((source.as_py() or b"").decode("utf-8", "replace"))
-                found = {_digest(s) for _, s in page.subtrees()}
-                if found:
-                    content = _digest(page.text())
-                    for column, values in zip(out, ([row] * len(found), [keys[row]] * len(found), [hosts[row]] * len(found), [content] * len(found), sorted(found))):
-                        column.extend(values)
+                found = {0, *(h for _, h in page.subtrees())}
+                content = _digest(page.text())
+                for column, values in zip(out, ([row] * len(found), [keys[row]] * len(found), [hosts[row]] * len(found), [content] * len(found), sorted(found))):
+                    column.extend(values)
             if out[0]:
                 yield emit(out, batch.column(0), schema)
 
@@ -246,7 +312,12 @@ def extract_text(pages: DataFrame, *, min_contents: int = MIN_CONTENTS, id_col:
     keyed = _keyed(pages, id_col, url_col, html_col)
     found = subtrees(keyed)
     recurring = found.select("host", "subtree", "content").distinct().groupBy("host", "subtree").agg(F.count("*").alias("n")).filter(F.col("n") >= min_contents)
-    own = found.join(recurring, ["host", "subtree"]).groupBy("id", "text_key").agg(F.collect_set("subtree").alias("templates"))
+    recurring = materialize(recurring, "recurring")  # its size is known then: if small, the subtrees are not shuffled to meet it
+    total = recurring.filter("subtree = 0").select("host", F.col("n").alias("total"))
+    outside = F.col("subtree") % 2 == 0
+    known = recurring.filter("subtree <> 0").join(total, "host").filter(outside | (F.col("n") >= INSIDE_SHARE * F.col("total"))).select("host", "subtree")
+    known = materialize(known, "templates")
+    own = found.join(known, ["host", "subtree"]).groupBy("id", "text_key").agg(F.collect_set("subtree").alias("templates"))
     joined = compressed(keyed.select("id", "text_key", "url", "text")).join(own, ["id", "text_key"], "left").select("id", "url", "text", "templates")
     schema = T.StructType([T.StructField(id_col, pages.schema[id_col].dataType), T.StructField(url_col, T.StringType()), T.StructField("text", T.StringType()), T.StructField("removed", T.IntegerType())])
 
@@ -259,7 +330,7 @@ def extract_text(pages: DataFrame, *, min_contents: int = MIN_CONTENTS, id_col:
                 for row, (url, source, templates) in enumerate(zip(part.column(1).to_pylist(), part.column(2), part.column(3).to_pylist())):
                     page = Page(grow(source.as_py()).decode("utf-8", "replace"))
                     known = set(templates or ())
-                    gone = {k for k, s in page.subtrees() if _digest(s) in known} if known else set()
+                    gone = {k for k, h in page.subtrees() if h in known} if known else set()
                     for column, value in zip(out, (row, url, page.text(gone), len(gone))):
                         column.append(value)
                 yield emit(out, part.column(0), schema)

@@ -82,3 +82,15 @@ def test_defined_cases(spark):
     assert len(found) == len(rows) and texts[1] == texts[2] == "" and texts[3] == "x" and texts[None] == "y" and texts[5] == "deep"
     assert texts[4].count("word") == 40_000
     assert html.extract_text(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("place", ["<main>{}</main>", "<div class=page>{}</div>", "<article>{}</article>"])
+def test_recurring_subtrees_go_inside_main_and_article(spark, place):
+    """Notices on all pages go; a passage that a third of the articles share stays."""
+    notice = "<div class=x><div>read our other stories</div></div>"
+    body = [notice + f"<div><p>story {k} tells something</p></div>" + ("<p>a shared passage</p>" if k % 3 == 0 else "") for k in range(18)]
+    rows = [(k, f"http://a.example/{k}", f"<body>{place.format(x)}</body>") for k, x in enumerate(body)]
+    got = {r.page_id: (r.text, r.removed) for r in html.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    passage = "" if "page" in place else "\na shared passage"
+    assert all(got[k][0] == f"story {k} tells something" + (passage if k % 3 == 0 else "") for k in range(18))
+    assert got[1][1] == 2
