@@ -253,7 +253,7 @@ def _kind(tag: str, attrs: str) -> str:
         return "drop"
     if tag in ("html", "body"):
         return ""
-    words: set[str] = set()
+    names: list[str] = []
     if attrs and not attrs.isspace():
         for name, *values in _ATTR.findall(attrs):
             name, value = name.lower(), next((v for v in values if v), "").lower()
@@ -265,12 +265,25 @@ def _kind(tag: str, attrs: str) -> str:
             elif name == "hidden" or (name == "aria-hidden" and value == "true"):
                 return "drop"
             elif name in ("class", "id"):
-                words.update(_WORD.findall(value))
-    if words & NAMES or any(w.startswith(PREFIXES) for w in words):
-        return "" if tag == "main" else "drop"
-    if tag in ("article", "main"):
+                names.extend(value.split())
+    if tag == "main":
         return tag
-    return "outside" if tag == "header" or words & OUTSIDE_ONLY else ""
+    if any(map(_is_name, names)):
+        return "named article" if tag == "article" else "named"
+    if tag == "article":
+        return tag
+    return "outside" if tag == "header" or not OUTSIDE_ONLY.isdisjoint(names) else ""
+
+
+def _is_name(name: str) -> bool:
+    """Whether a whole class or id names what is no article."""
+    told = False
+    for word in _WORD.findall(name):
+        if word in NAMES or word.startswith(PREFIXES):
+            told = True
+        elif word not in NEUTRAL and not word.isdigit():
+            return False
+    return told
 
 
 def _digest(source: str) -> int:

@@ -94,3 +94,26 @@ def test_recurring_subtrees_go_inside_main_and_article(spark, place):
     passage = "" if "page" in place else "\na shared passage"
     assert all(got[k][0] == f"story {k} tells something" + (passage if k % 3 == 0 else "") for k in range(18))
     assert got[1][1] == 2
+
+
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ("<div class='layout has-sidebar'><article><p>kept</p></article></div>", "kept"),
+        ("<div id=page class='no-ads'><article><p>kept</p></article></div>", "kept"),
+        ("<article class='post tag-social'><p>kept</p></article>", "kept"),
+        ("<article class=social><p>kept</p></article>", "kept"),
+        ("<div class=sidebar><main><p>kept</p></main></div>", "kept"),
+        ("<div class=topbar><div class=notice><main class=ad><p>kept</p></main></div></div>", "kept"),
+        ("<div class=overlay><p>all the words of a page</p></div>", "all the words of a page"),
+        ("<main><p>the main text is here</p></main><article><p>teaser</p></article>", "the main text is here"),
+        ("<main><p>the main text is here</p><article><p>teaser</p></article></main>", "the main text is here\nteaser"),
+        ("<main><p>x</p><article><p>the main text is here</p></article></main><article><p>teaser</p></article>", "the main text is here"),
+        ("<article><h1>T</h1><main><p>body</p></main></article>", "T\nbody"),
+        ("<article><p>kept</p><article class=comment><p>first of all comments</p></article></article>", "kept"),
+        ("<article><p>kept</p></article><div class='comments-area'><article class=comment-body><p>first</p></article></div>", "kept"),
+        ("<p>kept</p><div class='site-footer'>no</div><div class='social-links'>no</div><div id=comment-12>no</div>", "kept"),
+    ],
+)
+def test_names_never_drop_what_holds_the_text(source, want):
+    assert text(source) == want
