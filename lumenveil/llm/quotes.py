@@ -1,9 +1,11 @@
 """Conversations without quotations, ordered by who replies to whom.
 
 Lines are parsed for nested quote marks; the text after them is normalised
-(lower case, single spaces) and hashed, line by line and for every unbroken
-passage of one quote level as a whole, and so are the lines and the whole of each
-message's own words. A quoted hash is joined to the latest earlier message of
+(lower case, single spaces) and hashed, line by line, for every unbroken passage
+of one quote level and for every paragraph of it, and so are the lines, paragraphs,
+unbroken passages and the whole of each message's own words: a quote that a mail
+client has wrapped anew differs in its lines, not in its paragraphs. Lines that
+introduce a deeper quote end a paragraph and belong to none. A quoted hash is joined to the latest earlier message of
 its conversation with the same hash; the message that supplies most quoted
 characters at the outermost level is the one replied to (ties: the latest).
 Messages without a linked quote reply to the message before them.
@@ -81,21 +83,34 @@ def parsed(messages: DataFrame, text_col: str = "text") -> DataFrame:
 def passages(rows: DataFrame) -> DataFrame:
     """(conv, turn, depth, hash, size): hashed passages of parsed messages.
 
-    depth 0 is a message's own words; each line and each whole passage counts.
+    depth 0 is a message's own words; each line, paragraph and whole passage counts.
     """
-    written = rows.withColumn("written", F.filter("lines", lambda x: F.trim(x["text"]) != ""))
-    starts = F.filter(  # where the quote level changes; the end of the text closes the last passage
-        F.sequence(F.lit(0), F.size("written")),
-        lambda i: ~F.get("written", i)["depth"].eqNullSafe(F.get("written", i - 1)["depth"]),
-    )
-    run = lambda at, upto: F.array_join(F.transform(F.slice("written", at + 1, upto - at), lambda x: x["text"]), " ")
-    whole = F.transform(
-        F.slice("starts", 1, F.size("starts") - 1),
-        lambda at, k: F.struct(F.get("written", at)["depth"].alias("depth"), run(at, F.get("starts", k + 1)).alias("text")),
+    deeper = lambda x, i: F.coalesce(F.get("lines", i + 1)["depth"] > x["depth"], F.lit(False)) | (
+        (F.trim(F.coalesce(F.get("lines", i + 1)["text"], F.lit("x"))) == "") & F.coalesce(F.get("lines", i + 2)["depth"] > x["depth"], F.lit(False))
     )
+    placed = F.transform("lines", lambda x, i: F.struct(x["depth"].alias("depth"), x["text"].alias("text"), i.alias("at"), (deeper(x, i) & x["text"].rlike(INTRODUCES)).alias("intro")))
+    written = rows.withColumn("written", F.filter(placed, lambda x: F.trim(x["text"]) != "")).withColumn("told", F.filter("written", lambda x: ~x["intro"]))
+
+    def starts(of: str, gaps: bool) -> Column:
+        """Where the quote level changes (or lines are left out); the end of the text closes the last passage."""
+        same = lambda i: F.get(of, i)["depth"].eqNullSafe(F.get(of, i - 1)["depth"])
+        near = lambda i: F.get(of, i)["at"].eqNullSafe(F.get(of, i - 1)["at"] + 1)
+        found = F.filter(F.sequence(F.lit(0), F.size(of)), lambda i: ~(same(i) & near(i)) if gaps else ~same(i))
+        return F.when(F.size(of) > 0, found).otherwise(F.array(F.lit(0)))
+
+    def runs(of: str, begins: str) -> Column:
+        text = lambda at, upto: F.array_join(F.transform(F.slice(of, at + 1, upto - at), lambda x: x["text"]), " ")
+        return F.transform(
+            F.slice(begins, 1, F.size(begins) - 1),
+            lambda at, k: F.struct(F.get(of, at)["depth"].alias("depth"), text(at, F.get(begins, k + 1)).alias("text")),
+        )
+
     own = F.array(F.struct(F.lit(0).alias("depth"), F.col("own").alias("text")))
-    every = F.concat(F.col("lines"), F.filter(whole, lambda x: x["depth"] > 0), own)
-    placed = written.filter("conv is not null and turn is not null").withColumn("starts", F.when(F.size("written") > 0, starts).otherwise(F.array(F.lit(0))))
+    whole = F.filter(runs("written", "starts"), lambda x: x["depth"] > 0)
+    every = F.concat(F.col("lines"), whole, runs("told", "levels"), runs("told", "paragraphs"), own)
+    placed = written.filter("conv is not null and turn is not null").withColumns(
+        {"starts": starts("written", False), "levels": starts("told", False), "paragraphs": starts("told", True)}
+    )
     found = placed.select("conv", "turn", F.inline(every))
     normal = found.withColumn("text", _normal(F.col("text"))).filter("text <> ''")
     return normal.select("conv", "turn", "depth", F.xxhash64("text").alias("hash"), F.length("text").alias("size")).distinct()

@@ -131,3 +131,22 @@ def test_other_columns_are_kept(spark):
     got = quotes.conversations(messages)
     assert got.columns == ["conv_id", "turn", "text", "own", "depth", "reply_to", "branch", "linked", "quoted"]
     assert [(r.own, r.depth) for r in got.orderBy("turn").collect()] == [("own", 5), ("lines", 6)]
+
+
+def test_a_paragraph_that_was_wrapped_anew_is_linked(spark):
+    """One paragraph, or one own passage between quotes, whose line ends have moved."""
+    rows = [
+        (1, 0, "The first paragraph is\nof two lines.\n\nThe second one has\ntwo lines as well."),
+        (1, 1, "Nothing to do with it."),
+        (1, 2, "> The second one\n> has two lines as\n> well.\n\nIndeed."),
+        (1, 3, "> The first paragraph\n> is of two lines.\n>\n> Never said by\n> anyone.\n\nAnd this."),
+        (2, 0, "Where is\nthe key?"),
+        (2, 1, "> Where is\n> the key?\nUnder the\n\nmat.\nOn Tue, A wrote:\n> the key?\nAs ever."),
+        (2, 2, "No."),
+        (2, 3, "On Wed, B wrote:\n> Under\n> the mat.\n> On Tue, A wrote:\n>> the key?\n\nThanks."),
+    ]
+    got = result(spark, rows)
+    assert [got[1, t][1] for t in range(4)] == [None, 0, 0, 0]
+    assert [got[2, t][1] for t in range(4)] == [None, 0, 1, 1]
+    assert got[1, 2][3] == 1 and got[1, 3][3] == 1
+    assert got[2, 3][0] == "Thanks."
