@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumenveil.functions import boxes
+from lumenveil.operators.runs import over_sequences
 
 # Horizons of the tracker, in frames, and of the preview sampler.
 GAP, BURST, STREAK = 5, 5, 300
@@ -104,6 +105,26 @@ def smoothed(boxes_: Column, alpha: float = 0.65) -> Column:
     return F.aggregate(F.slice(boxes_, 2, F.greatest(F.size(boxes_) - 1, F.lit(0))), first, lambda s, x: F.struct(*(mix(x[k], s[k]).alias(k) for k in boxes.SIDES)))
 
 
+def smoothed_tracks(detections: DataFrame, keys: list[str], alpha: float = 0.65) -> DataFrame:
+    """The boxes of every frame, smoothed along each group of ``keys``: one row each.
+
+    As ``smoothed``, but a group is stepped through with its last box as state.
+    """
+    names = [*keys, "frame_idx", *boxes.SIDES]
+    mix = lambda new, old: None if new is None or old is None else float(round(new * alpha + old * (1 - alpha)))
+
+    def step(state: dict, _: int, rows: list[dict]) -> list[dict]:
+        out = []
+        for row in rows:
+            now = {k: row[k] for k in boxes.SIDES}
+            state["box"] = {k: mix(v, state["box"][k]) for k, v in now.items()} if state else now
+            out.append({**row, **state["box"]})
+        return out
+
+    rows = detections.select(*names[: len(keys) + 1], *(F.col(k).cast("double").alias(k) for k in boxes.SIDES))
+    return over_sequences(rows, keys, "frame_idx", list(boxes.SIDES), lambda _: {}, step, rows.schema)
+
+
 def preview_buckets(videos: DataFrame, most: int = PREVIEW_BUCKETS) -> DataFrame:
     """(video_id, bucket, low, high): strata of the preview sampler, in seconds."""
     pad = F.least(F.col("duration") * PREVIEW_PADDING, F.lit(PREVIEW_PADDING_SECONDS))

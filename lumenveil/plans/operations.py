@@ -429,12 +429,11 @@ def plausible_landmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT video_id, min(x1) AS x1, min(y1) AS y1, max(x1) AS x2, max(y1) AS y2 FROM detections GROUP BY video_id")
 def polygon_hulls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = view(spark, sf_dir, "detections").groupBy("video_id").agg(F.collect_set(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y"))).alias("points"))
-    return points.select("video_id", *(c.alias(n) for n, c in zip(boxes.SIDES, boxes.hull(F.col("points")))))
+    point = F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")))
+    hulls = view(spark, sf_dir, "detections").select("video_id", *(c.alias(n) for n, c in zip(boxes.SIDES, boxes.hull(point))))
+    return hulls.groupBy("video_id").agg(*((F.min if n in ("x1", "y1") else F.max)(n).alias(n) for n in boxes.SIDES))
 
 
 @query()
 def smoothed_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = view(spark, sf_dir, "jittered").filter("det_id < 3")
-    path = F.transform(F.array_sort(F.collect_list(F.struct("frame_idx", "det_id", *boxes.SIDES))), lambda b: F.struct(*(b[s].alias(s) for s in boxes.SIDES)))
-    return rows.groupBy("video_id").agg(path.alias("path")).select("video_id", timeline.smoothed(F.col("path")).alias("b")).select("video_id", "b.*")
+    return timeline.smoothed_tracks(view(spark, sf_dir, "jittered"), ["video_id", "det_id"])

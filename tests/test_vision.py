@@ -193,3 +193,22 @@ def test_scalars(spark):
     assert [scalars.column_name(n) for n in (1, 26, 27, 703)] == ["A", "Z", "AA", "AAA"]
     assert one(scalars.slots(F.lit("1, 3-5,4,99"))) == [1, 3, 4, 5]
     assert one(boxes.correlation(F.array(F.lit(1.0), F.lit(2.0)), F.array(F.lit(5.0), F.lit(5.0)))) == 0.0
+
+
+def test_every_box_is_smoothed_along_its_track(spark, sf_dir):
+    from lumenveil.plans.catalogue import queries
+
+    rows = sorted(view(spark, sf_dir, "jittered").collect(), key=lambda r: (r.video_id, r.det_id, r.frame_idx, r.x1, r.y1, r.x2, r.y2))
+    last: dict[tuple, list] = {}
+    want = []
+    for r in rows:
+        now, track = [r.x1, r.y1, r.x2, r.y2], (r.video_id, r.det_id)
+        last[track] = [float(round(a * 0.65 + b * (1 - 0.65))) for a, b in zip(now, last[track])] if track in last else now
+        want.append((*track, r.frame_idx, *last[track]))
+    assert sorted(map(tuple, queries()["smoothed_boxes"](spark, sf_dir).collect())) == sorted(want)
+
+
+def test_hulls_gather_no_points_of_a_video(spark, sf_dir):
+    from lumenveil.plans.catalogue import queries
+
+    assert "collect_" not in queries()["polygon_hulls"](spark, sf_dir)._jdf.queryExecution().toString()
