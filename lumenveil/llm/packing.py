@@ -18,7 +18,8 @@ are taken apart and packed once more over an eighth of the partitions, so the
 loss per partition does not add up. Only piece headers move between tasks; the
 memory of a task is bounded by the buffer and the open bins.
 
-Defined cases: a null or empty text is the single end id; a repeated document
+Defined cases: a null or empty text is the single end id; an added token of the
+vocabulary (<|endoftext|>) in a text is its one id, as the tokenizer has it; a repeated document
 id or repeated row yields its own pieces; an empty table yields no rows; extra
 columns are ignored unless passed as payload of ``pack``.
 """
@@ -53,13 +54,26 @@ def _encoding(vocabulary: str):
     at several times the speed.
     """
     import base64
+    import json
 
     import public_tokenizers
     import tiktoken
 
     with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    with open(public_tokenizers.path(f"{vocabulary}.json"), encoding="utf-8") as file:
+        tokens = json.load(file)["added_tokens"]
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in tokens):
+        raise ValueError("an added token that takes in or needs what is around it")
+    added = {t["content"]: t["id"] for t in tokens}
+    return tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+
+
+def _ids(encoding, text: str) -> list[int]:
+    """Ids as the tokenizer gives them without adding any: added tokens in the text count."""
+    if any(token in text for token in encoding.special_tokens_set):
+        return encoding.encode(text, allowed_special="all")
+    return encoding.encode_ordinary(text)
 
 
 def _cut(total: int, capacity: int) -> list[tuple[int, int]]:
@@ -96,7 +110,7 @@ def tokenize_pieces(
             out: list[list] = [[], [], [], [], []]
             held = 0
             for row, text in enumerate(batch.column(1)):
-                ids = encoding.encode_ordinary(text.as_py() or "")
+                ids = _ids(encoding, text.as_py() or "")
                 ids.append(end_id)
                 packed = np.array(ids, "<u4").tobytes()
                 for piece, (start, length) in enumerate(_cut(len(ids), capacity)):

@@ -110,3 +110,18 @@ def test_the_packer_streams_with_bounded_memory(monkeypatch):
     run = packing._packer(1024, 32, 256, 0)
     out = list(run(iter([pa.RecordBatch.from_arrays([lengths], names=["length"])])))
     assert sum(b.num_rows for b in out) == 20_000 and most <= 32
+
+
+def test_added_tokens_in_a_text_are_one_id_as_the_tokenizer_has_them(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a<|endoftext|>b", "<|endoftext|>", " <|endoftext|> <|endoftext|><|endoftext|>\n\nx", "<|endoftext|", "word <|endoftext|>  naïve " * 400, "no token"]
+    want = {k: tokenizer.encode(t, add_special_tokens=False).ids + [2] for k, t in enumerate(texts)}
+    assert want[0] == [64, 50256, 65, 2]
+    rows = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    check_bins(rows)
+    for r in rows:
+        assert r.ids_crc32 == zlib.crc32(np.array(want[r.doc_id][r.start : r.start + r.length], "<u4").tobytes())
+    assert {k: sum(r.length for r in rows if r.doc_id == k) for k in want} == {k: len(x) for k, x in want.items()}
