@@ -27,8 +27,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that many sources share."""
-    return _counted(lines.without_widespread(docs))
+    """Documents without lines that many sources share, however short."""
+    return _counted(lines.without_widespread(docs, min_chars=1))
 
 
 def dedup_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -72,3 +72,11 @@ def test_stages_keep_columns_and_take_odd_rows(spark, sf_dir, stage):
     assert got.columns == docs.columns
     assert 0 < got.count() <= docs.count()
     assert function(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_short_widespread_lines_go_as_well(spark, sf_dir):
+    rows = [(k, f"Read more\nOk\n\nown words {k}", "en", f"s{k}", 0) for k in range(9)]
+    docs = spark.createDataFrame(rows, spark.read.parquet(f"{sf_dir}/documents.parquet").schema)
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.dedup_lines(spark, docs, sf_dir).collect()}
+    assert got[0][0] == "Read more\nOk\n\nown words 0"
+    assert all(got[k] == (f"\nown words {k}", 12) for k in range(1, 9))
