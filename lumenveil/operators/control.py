@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumenveil.schemas import ACTIVE, TERMINAL
+from lumenveil.session import materialize
 
 #: Ranges into which a queue is dealt before it is numbered.
 QUEUE_RANGES = 64
@@ -20,15 +21,17 @@ QUEUE_RANGES = 64
 def numbered(df: DataFrame, order: list[Column | str], name: str, ranges: int = QUEUE_RANGES) -> DataFrame:
     """Rows numbered from 1 in a total order, without one task seeing all.
 
-    Rows are range-partitioned by the order; each range numbers its own rows and
-    the counts of the ranges before are added.
+    Rows are range-partitioned by the order and written with the number of their
+    range: the bounds of ranges are sampled, so a second evaluation could draw
+    others. Each range numbers its own rows and the counts of the ranges before,
+    one number a range, are added.
     """
-    dealt = df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id())
+    dealt = materialize(df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()), "numbered")
     counts = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over `ranges` rows
     carried = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = Window.partitionBy("_range").orderBy(*order)
-    return dealt.join(F.broadcast(carried), "_range").withColumn(name, F.row_number().over(inside) + F.col("_before")).drop("_range", "_before")
+    return dealt.join(carried, "_range").withColumn(name, F.row_number().over(inside) + F.col("_before")).drop("_range", "_before")
 
 
 def changed(df: DataFrame, when: Column, values: dict[str, Column]) -> DataFrame:

@@ -18,6 +18,7 @@ SIDES = list(boxes.SIDES)
 # Thresholds of the fusion rules.
 CONSENSUS_IOU = 0.3
 CLUSTER_IOU = 0.30
+REJECT_COOLDOWN = 5
 SCORE_DROP, SCORE_EPSILON = 0.02, 1e-6
 VERIFY_MARGIN, VERIFY_RISK = 0.15, 0.35
 STEREO_X, STEREO_X_CALIBRATED, STEREO_Y, STEREO_RATIO = 0.16, 0.10, 0.08, (0.45, 2.20)
@@ -130,16 +131,20 @@ def overlapping(left: DataFrame, right: DataFrame, threshold: float, *, keep: bo
     return found.select(*(F.col(f"l_{c}").alias(c) for c in left.columns))
 
 
-def outside_cooldown(candidates: DataFrame, rejected: DataFrame, threshold: float) -> DataFrame:
-    """Candidates off every place that was rejected until their frame or later.
+def outside_cooldown(candidates: DataFrame, rejected: DataFrame, threshold: float, cooldown: int = REJECT_COOLDOWN) -> DataFrame:
+    """Candidates off every place that was rejected in the last ``cooldown`` frames.
 
-    rejected: video_id, eye, until, box. An anti join on video and eye.
+    rejected: video_id, eye, frame_idx, box. An anti join on video, eye and blocks
+    of frames: a candidate meets the rejections of its block and the one before.
     """
-    a = candidates.alias("c")
-    b = rejected.select("video_id", "eye", "until", *SIDES).alias("r")
+    block = lambda c: F.floor(c / (cooldown + 1))
+    b = rejected.select("video_id", "eye", "frame_idx", *SIDES)
+    b = b.withColumn("block", F.explode(F.array(block(F.col("frame_idx")), block(F.col("frame_idx")) + 1))).alias("r")
+    a = candidates.withColumn("_block", block(F.col("frame_idx"))).alias("c")
     near = boxes.iou(tuple(F.col(f"c.{s}") for s in SIDES), tuple(F.col(f"r.{s}") for s in SIDES)) >= threshold
-    same = (F.col("c.video_id") == F.col("r.video_id")) & F.col("c.eye").eqNullSafe(F.col("r.eye")) & (F.col("r.until") >= F.col("c.frame_idx"))
-    return a.join(b, same & near, "left_anti")
+    same = (F.col("c.video_id") == F.col("r.video_id")) & F.col("c.eye").eqNullSafe(F.col("r.eye")) & (F.col("c._block") == F.col("r.block"))
+    lasts = F.col("c.frame_idx").between(F.col("r.frame_idx"), F.col("r.frame_idx") + cooldown)
+    return a.join(b, same & lasts & near, "left_anti").drop("_block")
 
 
 def verified(candidates: DataFrame, verifier: DataFrame, *, keep_score: float = 0.45, threshold: float = 0.25) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lumenveil.operators.control import numbered
+
 MAX_HOSTS = 10_000
 
 
@@ -26,20 +28,24 @@ def shortfall(pending: int, ready: int, requested: int = 0) -> int:
 
 def start_order(hosts: DataFrame, needed: int) -> DataFrame:
     """Stopped hosts ranked: the smallest that covers the need, else the largest."""
-    stopped = hosts.filter("status = 'stopped'")
     covers = F.col("capacity") >= needed
-    return stopped.withColumn(
-        "rank", F.row_number().over(Window.orderBy(F.when(covers, 0).otherwise(1), F.when(covers, F.col("capacity")).otherwise(-F.col("capacity")), "name"))
-    )
+    order = [F.when(covers, 0).otherwise(1), F.when(covers, F.col("capacity")).otherwise(-F.col("capacity")), "name"]
+    return numbered(hosts.filter("status = 'stopped'"), order, "rank")
+
+
+def first_ranked(ranked: DataFrame, needed: int, most: int) -> DataFrame:
+    """The hosts of least ``rank``, at most ``most``, until their capacity covers the need.
+
+    ``most`` bounds the rows that the running sum sees.
+    """
+    order = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    begun = ranked.filter(F.col("rank") <= most).withColumn("before", F.coalesce(F.sum("capacity").over(order), F.lit(0)))
+    return begun.filter(F.col("before") < needed)
 
 
 def cumulative_fill(hosts: DataFrame, needed: int, most: int) -> DataFrame:
     """The hosts to start, largest first, until the need is covered."""
-    order = Window.orderBy(F.desc("capacity"), "name")
-    filled = hosts.filter("status = 'stopped'").withColumns(
-        {"rank": F.row_number().over(order), "before": F.coalesce(F.sum("capacity").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))}
-    )
-    return filled.filter((F.col("before") < needed) & (F.col("rank") <= most))
+    return first_ranked(numbered(hosts.filter("status = 'stopped'"), [F.desc("capacity"), "name"], "rank"), needed, most)
 
 
 def actions(hosts: DataFrame, *, pending: int, oldest_age: float, now: float, needed: int, max_start: int = 2, max_stop: int = 1, min_hosts: int = 1, pending_grace: float = 60, start_grace: float = 900, stop_grace: float = 1800, idle_seconds: float = 1800) -> DataFrame:
@@ -54,9 +60,7 @@ def actions(hosts: DataFrame, *, pending: int, oldest_age: float, now: float, ne
         requested = hosts.filter((F.col("status") == "stopped") & (F.col("start_requested_at") > now - start_grace)).agg(F.coalesce(F.sum("capacity"), F.lit(0)).alias("n")).first().n
         free = hosts.filter(~F.coalesce(F.col("start_requested_at") > now - start_grace, F.lit(False)))
         missing = max(0, needed - requested)
-        ranked = start_order(free, missing)
-        before = F.coalesce(F.sum("capacity").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        begin = ranked.withColumn("before", before).filter((F.col("before") < missing) & (F.col("rank") <= max_start)) if oldest_age >= pending_grace else free.limit(0)
+        begin = first_ranked(start_order(free, missing), missing, max_start) if oldest_age >= pending_grace else free.limit(0)
         return begin.select(F.lit("start").alias("kind"), "name", F.lit("pending work").alias("reason"))
     running = hosts.filter("status = 'running'")
     idle = running.filter(F.col("all_ready") & (F.col("idle_since") <= now - idle_seconds) & ~F.coalesce(F.col("stop_requested_at") > now - stop_grace, F.lit(False)))

@@ -378,13 +378,12 @@ def verified_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-, r AS (SELECT video_id, frame_idx + 5 AS until, x1, y1, x2, y2 FROM jittered WHERE model = 'B' AND score < 0.5)
-SELECT a.video_id, a.frame_idx, a.det_id FROM jittered a WHERE model = 'A' AND NOT EXISTS (SELECT 1 FROM r b WHERE a.video_id = b.video_id AND b.until >= a.frame_idx AND {_IOU} >= 0.3)
+, r AS (SELECT video_id, frame_idx AS since, x1, y1, x2, y2 FROM jittered WHERE model = 'B' AND score < 0.5)
+SELECT a.video_id, a.frame_idx, a.det_id FROM jittered a WHERE model = 'A' AND NOT EXISTS (SELECT 1 FROM r b WHERE a.video_id = b.video_id AND a.frame_idx BETWEEN b.since AND b.since + 5 AND {_IOU} >= 0.3)
 """)
 def reject_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = (x.withColumn("eye", F.lit(None).cast("string")) for x in _by_model(spark, sf_dir))
-    rejected = b.filter("score < 0.5").withColumn("until", F.col("frame_idx") + 5)
-    return fusion.outside_cooldown(a, rejected, 0.3).select("video_id", "frame_idx", "det_id")
+    return fusion.outside_cooldown(a, b.filter("score < 0.5"), 0.3).select("video_id", "frame_idx", "det_id")
 
 
 @query("SELECT video_id, frame_idx, det_id, score < 0.45 OR det_id % 5 * 0.1 >= 0.35 AS uncertain, score - det_id * 0.01 + 0.000001 >= score - 0.02 AS consistent FROM detections")

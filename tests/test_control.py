@@ -195,3 +195,19 @@ def test_jobs(spark):
     assert begun.first()[1:4] == ("running", 1, None)
     ended = control.ended_jobs(begun, spark.createDataFrame([("a", False, 2.0, None, "broken")], "path string, ok boolean, duration double, output_duration double, error string"), NOW)
     assert ended.select("status", "error", F.col("duration").cast("int")).first() == ("failed", "broken", 2)
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_numbers_of_a_long_queue_with_other_columns(spark, adaptive):
+    """Every number once, in order, whatever else the rows hold."""
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        rows = spark.range(1_000_000).select(F.xxhash64("id").alias("key"), F.col("id"), F.sha2(F.col("id").cast("string"), 256).alias("extra"))
+        got = control.numbered(rows, ["key"], "n")
+        least = got.agg(F.count_distinct("n"), F.min("n"), F.max("n"), F.count_distinct("id")).first()
+        assert tuple(least) == (1_000_000, 1, 1_000_000, 1_000_000)
+        ahead = got.filter("n % 1000 = 0").select("n", "key").toPandas().sort_values("n")
+        assert ahead.key.is_monotonic_increasing
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
