@@ -11,20 +11,22 @@ sums are close is flagged as ambiguous.
 Up to EXHAUSTIVE languages use the exhaustive code of 2^(n-1) - 1 bits, more a
 seeded random code of about 10*log2(n) bits whose rows lie far apart.
 
-The classifiers are fitted on a sample of labelled rows of about TRAIN_ROWS rows
-(all rows, if fewer), chosen by a hash of the row; n-gram counts are added up in
-Spark and only BUCKETS counts per language reach the driver.
+The classifiers are fitted on a sample of at most TRAIN_ROWS labelled rows (all, if
+there are fewer), those with the least hashes of id and text; n-gram counts are
+added up in Spark and only BUCKETS counts per language reach the driver.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0 and
 not ambiguous; without labelled rows everything is ``und``; with one language all
 texts with letters get it; very long texts are read whole; repeated rows repeat;
-an empty table yields no rows; other columns are kept.
+an empty table yields no rows; other columns are kept, and one with the name of
+the result is refused (``name`` gives another).
 """
 
 from __future__ import annotations
 
 import functools
 import math
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,6 +36,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenveil.session import discard, materialize
+
 UNDETERMINED = "und"
 #: Bound of the training sample, in rows.
 TRAIN_ROWS = 8000
@@ -48,20 +52,29 @@ CHARS = 1 << 18
 
 @functools.lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
-    """Lower-case code points of the basic plane; 32 for all but letters."""
-    table = np.full(1 << 16, 32, np.uint32)
-    for code in range(1 << 16):
+    """Lower-case code points of all planes; 32 for all but letters."""
+    table = np.full(sys.maxunicode + 1, 32, np.uint32)
+    for code in range(sys.maxunicode + 1):
         if not 0xD800 <= code < 0xE000 and chr(code).isalpha():
             table[code] = ord(chr(code).lower()[0])
     return table
 
 
 def ngram_buckets(text: str) -> Iterator[np.ndarray]:
-    """Bucket numbers of the n-grams, in pieces; none for a text without letters."""
+    """Bucket numbers of the n-grams, in pieces; none for a text without letters.
+
+    A piece begins with the last letters of the one before, of which only n-grams
+    that end in the piece count, so where a text is cut makes no difference.
+    """
+    tail = np.zeros(0, np.uint64)
     for at in range(0, len(text), CHARS):
-        points = np.frombuffer(text[max(0, at - 2) : at + CHARS].encode("utf-32-le", "replace"), np.uint32)
-        points = np.where(points < 1 << 16, _letters()[np.minimum(points, (1 << 16) - 1)], 0xFFFF)
-        points = points[np.concatenate([[True], (points[1:] != 32) | (points[:-1] != 32)])].astype(np.uint64)
+        points = np.frombuffer(text[at : at + CHARS].encode("utf-32-le", "replace"), np.uint32)
+        points = _letters()[points].astype(np.uint64)
+        last = tail[-1] if len(tail) else np.uint64(0)
+        points = points[np.concatenate([[points[0] != 32 or last != 32], (points[1:] != 32) | (points[:-1] != 32)])]
+        held = len(tail)
+        points = np.concatenate([tail, points])
+        tail = points[-(max(ORDERS) - 1) :]
         if not (points != 32).any():
             continue
         with np.errstate(over="ignore"):
@@ -73,7 +86,8 @@ def ngram_buckets(text: str) -> Iterator[np.ndarray]:
                     gram = gram[:-1] * np.uint64(0x100000001B3) + points[order - 1 :]
                 mixed = (gram + np.uint64(order)) * np.uint64(0x9E3779B97F4A7C15)
                 found = (mixed >> np.uint64(64 - int(math.log2(BUCKETS)))).astype(np.int32)
-                yield found if order > 1 else found[points != 32]
+                begin = max(0, held - order + 1)  # n-grams that end before the piece were counted with the last
+                yield found[begin:] if order > 1 else found[begin:][points[begin:] != 32]
 
 
 def code_matrix(n: int) -> np.ndarray:
@@ -150,12 +164,25 @@ def _margins(rows: DataFrame, model: LanguageModel) -> list:
     return rows.mapInArrow(run, "language string, margins array<double>").collect()
 
 
-def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS) -> LanguageModel | None:
-    """Fit on about ``train_rows`` rows with a language; None if there are none."""
+def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", train_rows: int = TRAIN_ROWS) -> LanguageModel | None:
+    """Fit on at most ``train_rows`` rows with a language; None if there are none.
+
+    Rows are chosen by a hash of id and text, so copies of one text do not come
+    or go together; the rows with the least hashes are the sample. If there are
+    more labelled rows than the bound, repeated rows (same id and text) count once.
+    """
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    n = rows.count()
+    n, sample = rows.count(), None
     if n > train_rows:
-        rows = rows.filter(F.pmod(F.xxhash64(text_col), F.lit(1 << 20)) < int(train_rows / n * (1 << 20)))
+        draw = F.xxhash64(F.lit("sample"), F.col(id_col).cast("string"), F.xxhash64(text_col)).alias("draw")
+        # A threshold first, a quarter and six deviations above the bound: hashes are 64
+        # bits wide, so a share of any size has one. Then the bound itself, exactly.
+        share = (1.25 * train_rows + 6 * train_rows**0.5 + 20) / n
+        drawn = rows.select(draw, F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter(F.col("draw") < int(-(1 << 63) + min(1.0, share) * ((1 << 64) - 1)))
+        drawn = materialize(drawn.dropDuplicates(["draw"]), "language-drawn")
+        past = drawn.select("draw").orderBy("draw").offset(train_rows).limit(1).collect()
+        sample = drawn
+        rows, lang_col, text_col = (drawn.filter(F.col("draw") < past[0].draw) if past else drawn), "lang", "text"
     rows = rows.select(F.col(lang_col).alias("language"), F.col(text_col).alias("text"))
     counted = _counts(rows).collect()
     languages = sorted({r.language for r in counted})
@@ -179,11 +206,18 @@ def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang"
         right = ((margins - model.centre) * code[own]) > 0
         weight = np.stack([right[own == k].mean(axis=0) if (own == k).any() else np.ones(bits) for k in range(len(languages))]) + 1e-6
         model.weight = weight / weight.sum(axis=1, keepdims=True)
+    if sample is not None:
+        discard(sample)
     return model
 
 
-def identify(docs: DataFrame, model: LanguageModel | None, *, text_col: str = "text") -> DataFrame:
-    """The given rows with language = struct<lang_pred, score, margin, ambiguous>."""
+def identify(docs: DataFrame, model: LanguageModel | None, *, text_col: str = "text", name: str = "language") -> DataFrame:
+    """The given rows with ``name`` = struct<lang_pred, score, margin, ambiguous>.
+
+    A given column that is called ``name`` already is an error.
+    """
+    if name in docs.columns:
+        raise ValueError(f"the rows have a column {name!r}; choose another name")
 
     @F.pandas_udf("lang_pred string, score double, margin double, ambiguous boolean")
     def predict(texts: pd.Series) -> pd.DataFrame:
@@ -194,7 +228,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, *, text_col: str = "t
             rows.append((language, score, margin, margins is not None and margin < AMBIGUOUS))
         return pd.DataFrame(rows, columns=["lang_pred", "score", "margin", "ambiguous"])
 
-    return docs.withColumn("language", predict(F.col(text_col)))
+    return docs.withColumn(name, predict(F.col(text_col)))
 
 
 def held_out(id_col: str = "doc_id") -> Column:

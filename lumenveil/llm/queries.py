@@ -71,8 +71,8 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     base = F.filter("spans", lambda s: s["kind"] != "entropy")
     return found.select(
-        "doc_id", number("assign"), number("access"), number("hex"), number("entropy"),
-        F.sha2(secrets.written(base), 256).alias("base_sha256"), secrets.written(F.col("spans")).alias("spans"),
+        "doc_id", number("assign"), number("access"), number("hex"),
+        F.sha2(secrets.written(base), 256).alias("base_sha256"), secrets.written(F.col("spans")).alias("spans"), number("entropy"),
     )
 
 
