@@ -21,9 +21,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     close. The classifiers learn from labelled rows as the query op2 does.
     """
     model = language.train(docs.filter(~language.held_out()))
-    told = language.identify(docs.withColumnRenamed("language", "_language") if "language" in docs.columns else docs, model)
-    kept = told.filter((F.col("language.lang_pred") != language.UNDETERMINED) & ~F.col("language.ambiguous")).drop("language")
-    return kept.withColumnRenamed("_language", "language")
+    rows = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"))
+    told = language.identify(rows, model, name="told")
+    return told.filter((F.col("told.lang_pred") != language.UNDETERMINED) & ~F.col("told.ambiguous")).select("row.*")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
