@@ -12,14 +12,18 @@ except with a probability that falls as exp(-EPSILON^2 / 2). The k vectors of
 best estimate are scored on the original numbers, in double precision, and after
 them every vector whose upper bound reaches the least of those scores.
 
-The index covers every row; only centroids are fitted, on the SAMPLE_ROWS rows
-with the least id hashes. Search deals queries and rows in blocks of bounded
-size, so a task holds one block of each, and keeps k rows per query and block.
-
-Defined cases: a vector that is null, empty, zero, of another length than the
-longest, or holds a null or non-finite component takes no part; equal scores go
-to the smaller id; rows with a query's own id are not its neighbours; an empty
-table yields no rows; other columns are ignored.
+The index covers every row and is written once; only centroids are fitted, on the
+SAMPLE_ROWS rows with the least id hashes. Queries are dealt in blocks of bounded
+size, and a task holds one block with its k best so far while rows stream past it,
+so rows are copied once for every QUERY_VALUES numbers of queries, and a query has
+k rows in each of ``parts`` tasks to be merged. The signs are unpacked for the
+estimates of a batch: as a product of matrices they cost less than counting bits.
+
+Defined cases: a vector that is null, empty, zero, of another length than most
+(ties: the longer), or holds a null or non-finite component takes no part; equal
+scores go to the smaller id; rows with a query's own id are not its neighbours;
+repeated rows each count, and a repeated query id has one ranking over all its
+rows; an empty table yields no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,15 +38,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from lumenveil.session import materialize
+
 SAMPLE_ROWS = 4096
 CENTROIDS = 16
 #: Width of the error bound.
 EPSILON = 3.0
-#: Numbers in a block of vectors, and the fewest vectors of one.
-BLOCK_VALUES = 1 << 19
-BLOCK_ROWS = 256
-#: Queries compared at a time.
+#: Numbers in a block of queries, and the fewest queries of one.
+QUERY_VALUES = 1 << 20
+QUERY_ROWS = 256
+#: Numbers of the rows that are compared at a time, and queries.
+BATCH_VALUES = 1 << 19
 QUERY_BATCH = 128
+#: Most rows that pass one task.
+PART_ROWS = 1 << 20
 SEED = 7
 
 
@@ -106,7 +115,7 @@ def fit(vectors: DataFrame, dimensions: int) -> OneBitCodes:
 
 
 def encode(vectors: DataFrame, codes: OneBitCodes) -> DataFrame:
-    """The index: (id, centre, code, norm, align, vector binary) of every row.
+    """The index: (id, asks, centre, code, norm, align, vector binary) of every row.
 
     Vectors are kept as the numbers they were: floats stay floats.
     """
@@ -119,64 +128,99 @@ def encode(vectors: DataFrame, codes: OneBitCodes) -> DataFrame:
             vectors = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
             own, packed, norm, align = codes.encode(vectors)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(own, pa.int32()), pa.array([x.tobytes() for x in packed], pa.binary()), pa.array(norm), pa.array(align), pa.array([x.tobytes() for x in vectors.astype(kind)], pa.binary())],
-                names=["id", "centre", "code", "norm", "align", "vector"],
+                [batch.column(0), batch.column(2), pa.array(own, pa.int32()), pa.array([x.tobytes() for x in packed], pa.binary()), pa.array(norm), pa.array(align), pa.array([x.tobytes() for x in vectors.astype(kind)], pa.binary())],
+                names=["id", "asks", "centre", "code", "norm", "align", "vector"],
             )
 
-    return vectors.select("id", "vector").mapInArrow(run, "id long, centre int, code binary, norm double, align double, vector binary")
+    return vectors.select("id", "vector", "asks").mapInArrow(run, "id long, asks boolean, centre int, code binary, norm double, align double, vector binary")
 
 
 def _kind(vectors: DataFrame) -> str:
     return "<f4" if vectors.schema["vector"].dataType.elementType == T.FloatType() else "<f8"
 
 
-def _matrix(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+def _matrix(column: pa.Array, kind: str) -> np.ndarray:
     values = column.to_pylist()
     return np.frombuffer(b"".join(values), kind).reshape(len(values), -1)
 
 
-def _best(names: np.ndarray, asked: np.ndarray, ids: np.ndarray, vectors: np.ndarray, bounds, k: int):
-    """(query, ids, scores) of the k best rows of a block for a batch of queries.
-
-    The k rows of best estimate are scored first; the least of their scores is a
-    bound that every other row's upper bound has to reach to be scored at all.
-    """
-    estimate, width = bounds(asked)
-    estimate[names[:, None] == ids[None, :]] = -np.inf
-    if len(ids) > k + 1:  # the query itself may be a row
-        first = np.argpartition(estimate, len(ids) - k, axis=1)[:, len(ids) - k :]
-        least = np.einsum("bkd,bd->bk", vectors[first], asked).min(axis=1)
-        slack = 1e-9 * (1 + np.abs(least))
-        estimate += width
-        chosen = estimate >= (least - slack)[:, None]
-    else:
-        chosen = estimate > -np.inf
-    for row, name in enumerate(names):
-        near = np.flatnonzero(chosen[row])
-        near = near[ids[near] != name]
-        if len(near) > 4 * k:  # those that rounding cannot lift into the k best go
-            rough = vectors[near] @ asked[row]
-            near = near[rough >= np.partition(rough, len(near) - k)[len(near) - k] - 1e-9 * (1 + np.abs(rough).max())]
-        score = np.cumsum(vectors[near] * asked[row], axis=1)[:, -1] if len(near) else np.zeros(0)  # adds in order, as SQL does
-        best = np.lexsort((ids[near], -score))[:k]
-        yield name, ids[near][best], score[best]
+class Best:
+    """A block of queries, each with the k best rows that it has met."""
+
+    def __init__(self, names: np.ndarray, asked: np.ndarray, k: int) -> None:
+        self.names, self.asked, self.k = names, asked, k
+        self.ids = np.full((len(names), k), np.iinfo(np.int64).max)
+        self.scores = np.full((len(names), k), -np.inf)
+
+    def meet(self, ids: np.ndarray, vectors: np.ndarray, bounds) -> None:
+        """Take in a batch of rows.
+
+        The k rows of best estimate are scored first; the least of their scores, or
+        of those met before, is what every other row's upper bound has to reach.
+        """
+        for at in range(0, len(self.names), QUERY_BATCH):
+            upto = min(at + QUERY_BATCH, len(self.names))
+            self._meet(slice(at, upto), ids, vectors, bounds)
+
+    def _meet(self, part: slice, ids: np.ndarray, vectors: np.ndarray, bounds) -> None:
+        names, asked, k = self.names[part], self.asked[part], self.k
+        estimate, width = bounds(asked)
+        estimate[names[:, None] == ids[None, :]] = -np.inf
+        least = self.scores[part, -1]
+        if len(ids) > k + 1:  # the query itself may be a row
+            first = np.argpartition(estimate, len(ids) - k, axis=1)[:, len(ids) - k :]
+            found = np.where(np.take_along_axis(estimate, first, 1) > -np.inf, np.einsum("bkd,bd->bk", vectors[first], asked), -np.inf)
+            least = np.maximum(least, found.min(axis=1))
+        slack = 1e-9 * (1 + np.where(np.isfinite(least), np.abs(least), 0))
+        chosen = (estimate + width >= (least - slack)[:, None]) & (estimate > -np.inf)
+        for row in np.flatnonzero(chosen.any(axis=1)):
+            near, query = np.flatnonzero(chosen[row]), asked[row]
+            if len(near) > 4 * k:  # those that rounding cannot lift into the k best go
+                rough = vectors[near] @ query
+                near = near[rough >= np.partition(rough, len(near) - k)[len(near) - k] - 1e-9 * (1 + np.abs(rough).max())]
+            score = np.cumsum(vectors[near] * query, axis=1)[:, -1]  # adds in order, as SQL does
+            at = part.start + row
+            score, names_ = np.concatenate([self.scores[at], score]), np.concatenate([self.ids[at], ids[near]])
+            best = np.lexsort((names_, -score))[:k]
+            self.ids[at], self.scores[at] = names_[best], score[best]
+
+    def rows(self) -> pa.RecordBatch:
+        kept = self.scores > -np.inf
+        names = np.repeat(self.names, kept.sum(axis=1))
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(self.ids[kept], pa.int64()), pa.array(self.scores[kept], pa.float64())], names=["query_id", "vec_id", "score"])
 
 
 def _search(codes: OneBitCodes, k: int, kind: str):
-    """A function of one block of index rows and one of queries (Arrow tables)."""
-
-    def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
-        found: list[tuple[np.ndarray, ...]] = []
-        if rows.num_rows and queries.num_rows:
-            ids, vectors = rows.column("id").to_numpy(), _matrix(rows.column("vector"), kind).astype(np.float64)
-            own, norm, align = (rows.column(c).to_numpy() for c in ("centre", "norm", "align"))
-            bounds = codes.prepared(own, _matrix(rows.column("code"), np.uint8), norm, align)
-            query_ids, asked = queries.column("id").to_numpy(), _matrix(queries.column("vector"), kind).astype(np.float64)
-            for at in range(0, len(query_ids), QUERY_BATCH):
-                for name, near, score in _best(query_ids[at : at + QUERY_BATCH], asked[at : at + QUERY_BATCH], ids, vectors, bounds, k):
-                    found.append((np.full(len(near), name), near, score))
-        columns = [np.concatenate([x[c] for x in found]) if found else np.zeros(0, t) for c, t in ((0, np.int64), (1, np.int64), (2, np.float64))]
-        return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
+    """mapInArrow over sorted (pair, side, ...): the queries of a pair, then its rows."""
+    at_once = max(QUERY_ROWS, BATCH_VALUES // codes.rotation.shape[0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, queries, best = None, [], None
+        for whole in batches:
+            marks = whole.column("pair").to_numpy(zero_copy_only=False) * 2 + whole.column("side").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(np.diff(marks)) + 1).tolist(), len(marks)]
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                if lo == hi:
+                    continue
+                now, side = divmod(int(marks[lo]), 2)
+                if now != pair:
+                    if best is not None:
+                        yield best.rows()
+                    pair, queries, best = now, [], None
+                part = whole.slice(lo, hi - lo)
+                if side == 0:
+                    queries.append((part.column("id").to_numpy(), _matrix(part.column("vector"), kind).astype(np.float64)))
+                    continue
+                if best is None:
+                    if not queries:
+                        continue
+                    best = Best(np.concatenate([x for x, _ in queries]), np.concatenate([x for _, x in queries]), k)
+                for at in range(0, part.num_rows, at_once):
+                    rows = part.slice(at, at_once)
+                    own, norm, align = (rows.column(c).to_numpy() for c in ("centre", "norm", "align"))
+                    best.meet(rows.column("id").to_numpy(), _matrix(rows.column("vector"), kind).astype(np.float64), codes.prepared(own, _matrix(rows.column("code"), np.uint8), norm, align))
+        if best is not None:
+            yield best.rows()
 
     return run
 
@@ -186,22 +230,27 @@ def nearest(rows: DataFrame, is_query: Column, *, k: int = 20, id_col: str = "ve
 
     is_query: a condition over id_col. Nearness is the inner product.
     """
-    vectors = rows.filter(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), is_query.alias("asks"))
-    sizes = vectors.agg(F.max(F.size("vector")).alias("d"), F.count("*").alias("n"), F.count_if("asks").alias("q")).first()
-    dimensions = sizes.d or 1
-    block_rows = max(BLOCK_ROWS, BLOCK_VALUES // dimensions)
-    row_blocks, query_blocks = max(1, -(-sizes.n // block_rows)), max(1, -(-sizes.q // block_rows))
+    spark = rows.sparkSession
+    vectors = rows.filter(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    lengths = vectors.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n"), F.count_if("asks").alias("q"))
+    most = lengths.orderBy(F.desc("n"), F.desc("d")).first()
+    dimensions, n, q = (most.d, most.n, most.q) if most else (1, 0, 0)
     vectors = vectors.filter(F.size("vector") == dimensions)
     codes = fit(vectors, dimensions)
-    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    index = materialize(encode(vectors, codes), "one-bit-index")
+    query_blocks = max(1, -(-q // max(QUERY_ROWS, QUERY_VALUES // dimensions)))
+    cores = spark.sparkContext.defaultParallelism
+    parts = max(-(-2 * cores // query_blocks), -(-n // PART_ROWS))
+    salt = F.xxhash64("id", F.monotonically_increasing_id())  # of a written table: rows of one id are spread, and alike in every run
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    index = encode(vectors, codes).withColumn("row_block", block(row_blocks)).withColumn("query_block", every(query_blocks))
-    asked = encode(vectors.filter("asks"), codes).select("id", "vector", block(query_blocks).alias("query_block"), every(row_blocks).alias("row_block"))
-    near = (
-        index.groupBy("row_block", "query_block")
-        .cogroup(asked.groupBy("row_block", "query_block"))
-        .applyInArrow(_search(codes, k, _kind(vectors)), "query_id long, vec_id long, score double")
-    )
+    dealt = lambda n: F.pmod(salt, F.lit(n)).cast("int")
+    fields = ["id", "centre", "code", "norm", "align", "vector"]
+    passing = index.withColumn("part", dealt(parts)).withColumn("block", every(query_blocks)).withColumn("side", F.lit(1))
+    asking = index.filter("asks").withColumn("block", dealt(query_blocks)).withColumn("part", every(parts)).withColumn("side", F.lit(0))
+    asking = asking.withColumns({"code": F.lit(None).cast("binary"), "norm": F.lit(0.0), "align": F.lit(0.0)})
+    pair = (F.col("block").cast("long") * parts + F.col("part")).alias("pair")
+    both = passing.select(pair, "side", *fields).unionByName(asking.select(pair, "side", *fields))
+    near = both.repartition(query_blocks * parts, "pair").sortWithinPartitions("pair", "side").mapInArrow(_search(codes, k, _kind(vectors)), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -36,8 +36,9 @@ def test_recall_of_the_query(spark, sf_dir):
 
 
 def test_many_blocks(spark, monkeypatch):
-    monkeypatch.setattr(ann, "BLOCK_VALUES", 0)
-    monkeypatch.setattr(ann, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(ann, "QUERY_VALUES", 0)
+    monkeypatch.setattr(ann, "QUERY_ROWS", 12)
+    monkeypatch.setattr(ann, "BATCH_VALUES", 0)
     dice = np.random.default_rng(6)
     rows = [(i, dice.normal(size=24).astype(np.float32).tolist()) for i in range(700)]
     want, got = slow(rows), search(spark.createDataFrame(rows, KIND))
@@ -75,3 +76,15 @@ def test_repeated_ids(spark):
     rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [2.0, 0.0]), (1, [2.0, 0.0]), (None, [9.0, 9.0])]
     found = ann.nearest(spark.createDataFrame(rows, KIND), F.col("vec_id") % 20 == 0).collect()
     assert {r.vec_id for r in found} == {1} and {r.query_id for r in found} == {0}
+
+
+def test_vectors_of_another_length_take_no_part(spark):
+    rows = [(i, [float(i % 7), 1.0]) for i in range(40)]
+    assert search(spark.createDataFrame(rows + [(40, [1.0, 2.0, 3.0]), (41, [9.0])], KIND)) == slow(rows)
+
+
+def test_a_row_repeated_by_a_third_of_the_table(spark):
+    rows = [(20, [1.0, 2.0])] * 40 + [(i, [float(i), 1.0]) for i in range(21, 100)]
+    found = ann.nearest(spark.createDataFrame(rows, KIND), F.col("vec_id") % 20 == 0).collect()
+    assert [r.vec_id for r in sorted(found, key=lambda r: r.rank) if r.query_id == 20] == [99] * 20
+    assert [r.vec_id for r in sorted(found, key=lambda r: r.rank) if r.query_id == 40] == slow(rows)[40]
