@@ -1,183 +1,282 @@
 """Benchmark decontamination by greedy string tiling.
 
-Words are compared in lower case without ASCII punctuation. A benchmark block of
-bounded size gives a vocabulary and the Karp-Rabin hashes of all runs of
-``min_match`` words. A document's words become vocabulary numbers, its running
-hashes join the benchmark's (equal hashes are verified word by word), and seeds
-on one diagonal grow into maximal matches. The longest match is marked as a
-tile, matches that it overlaps on either side are cut to what is left of them,
-and so on until nothing of ``min_match`` words remains - so a passage whose
+Words are compared in lower case without ASCII punctuation. Every run of
+``min_match`` words of a text is a seed, held as a rolling hash; documents and
+benchmark items with a common seed meet in a join, and each pair is tiled by
+running Karp-Rabin: the longest common run of unmarked words is found by a search
+over lengths, each tried by comparing the rolling hashes of that length; all its
+places are verified word by word and marked in order, and so on with what is left
+unmarked, until nothing of ``min_match`` words remains. So a passage whose
 sentences were put in another order is still covered. Coverage is the share of
 an item's words inside tiles.
 
-A benchmark larger than BLOCK_WORDS words is worked through in several blocks,
-each small enough to send to every executor; items are never cut or dropped.
+A pair of coverage c shares seeds at c*n/min_match places of an item of n words at
+least, so as many of an item's places but one may stay out of the join and no pair
+is lost: those with the seeds that most items have.
 
-Defined cases: null or empty texts and items with fewer than min_match words
-match nothing; equal matches go to the first place in the document, then in the
-item; repeated items and rows repeat; an empty table on either side gives no
-overlap; other columns are kept.
+The benchmark meets the documents' seeds by a broadcast only if its seeds are few
+enough to prove a bound, else by a shuffled join. Texts go to the pairs that a
+seed has found, items in chunks of bounded size.
+
+Defined cases: null or empty texts match nothing; an item with fewer than
+min_match words is covered by documents of the same words and no other; equal
+matches go to the first place in the document, then in the item; very long texts
+are tiled whole, in memory that grows with their length alone; repeated items and
+rows repeat in :func:`contaminations`; a null id is an id like others; an empty
+table on either side gives no overlap; other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
 
-import heapq
-from dataclasses import dataclass
-from itertools import repeat
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumenveil.session import discard, materialize
+
 MIN_MATCH = 5
 COVERAGE = 0.5
-#: Most words of a benchmark block that is sent to the executors.
-BLOCK_WORDS = 2_000_000
+#: Most seeds of a benchmark that is broadcast: about 100 MB in memory.
+BROADCAST_SEEDS = 1_000_000
+#: Most items in a row that is tiled.
+CHUNK_ITEMS = 64
+#: Hashed words that a worker remembers.
+_KNOWN_WORDS = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _PUNCTUATION = bytes(32 if chr(c) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else c for c in range(256))
+_KEYS = ["row_key", "text_key"]
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "replace").translate(_PUNCTUATION).split()
 
 
-def _rolling(numbers: np.ndarray, m: int) -> np.ndarray:
-    """Karp-Rabin hashes (modulo 2^64) of all runs of ``m`` numbers."""
-    n = len(numbers) - m + 1
-    out = np.zeros(max(0, n), np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(m if n > 0 else 0):
-            out = out * np.uint64(_BASE) + numbers[k : k + n].astype(np.uint64) + np.uint64(1)
-        return out ^ (out >> np.uint64(31))
-
-
-@dataclass
-class Block:
-    """A benchmark block: its items' words as numbers, and their hashes sorted."""
-
-    ids: list
-    m: int
-
-    def __init__(self, ids: list, texts: list[str | None], m: int) -> None:
-        self.ids, self.m = ids, m
-        self.vocabulary: dict[bytes, int] = {}
-        self.items = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(t)], np.int64) for t in texts]
-        hashes = [_rolling(x, m) for x in self.items]
-        item = np.repeat(np.arange(len(hashes)), list(map(len, hashes))) if hashes else np.zeros(0, np.int64)
-        place = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.zeros(0, np.int64)
-        flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        order = np.argsort(flat, kind="stable")
-        self.hashes, self.item, self.place = flat[order], item[order], place[order]
-
-    def overlaps(self, text: str | None) -> list[tuple]:
-        """(item id, tiles, words covered, coverage) of every item with a tile."""
-        words = words_of(text)
-        if len(words) < self.m or not len(self.hashes):
-            return []
-        numbers = np.fromiter(map(self.vocabulary.get, words, repeat(-1)), np.int64, len(words))
-        known = np.concatenate([[0], np.cumsum(numbers >= 0)])
-        at = np.flatnonzero(known[self.m :] - known[: -self.m] == self.m)  # runs of known words
-        if not len(at):
-            return []
-        hashes = _rolling(numbers, self.m)[at]
-        left, right = np.searchsorted(self.hashes, hashes), np.searchsorted(self.hashes, hashes, "right")
-        number = right - left
-        total = int(number.sum())
-        if not total:
-            return []
-        entry = np.repeat(left - np.concatenate([[0], np.cumsum(number)[:-1]]), number) + np.arange(total)
-        doc, item, place = np.repeat(at, number), self.item[entry], self.place[entry]
-        order = np.lexsort((doc, doc - place, item))
-        doc, item, place = doc[order], item[order], place[order]
-        found = []
-        for lo, hi in _runs(np.diff(item) != 0, len(item)):
-            target = self.items[item[lo]]
-            d, p = doc[lo:hi], place[lo:hi]
-            real = np.ones(len(d), bool)
-            for k in range(self.m):
-                real &= numbers[d + k] == target[p + k]
-            d, p = d[real], p[real]
-            if len(d):
-                tiles = tile([(int(d[a]), int(p[a]), int(b - a) + self.m - 1) for a, b in _runs((np.diff(d) != 1) | (np.diff(p) != 1), len(d))], self.m)
-                covered = sum(n for _, _, n in tiles)
-                found.append((self.ids[item[lo]], len(tiles), covered, covered / len(target)))
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) >= _KNOWN_WORDS:
+            self.clear()
+        self[word] = found = xxhash.xxh64_intdigest(word)
         return found
 
 
-def _runs(breaks: np.ndarray, n: int) -> list[tuple[int, int]]:
-    cuts = [0, *(np.flatnonzero(breaks) + 1).tolist(), n]
-    return list(zip(cuts[:-1], cuts[1:]))
-
-
-def tile(matches: list[tuple[int, int, int]], m: int) -> list[tuple[int, int, int]]:
-    """Greedy string tiling over maximal matches (doc start, item start, length)."""
-    heap = [(-n, d, p) for d, p, n in matches]
-    heapq.heapify(heap)
-    in_doc, in_item, tiles = set(), set(), []
-    while heap:
-        n, d, p = heapq.heappop(heap)
-        free = [k for k in range(-n) if d + k not in in_doc and p + k not in in_item]
-        if len(free) == -n:
-            tiles.append((d, p, -n))
-            in_doc.update(range(d, d - n))
-            in_item.update(range(p, p - n))
-            continue
-        start = 0
-        for k in range(1, len(free) + 1):
-            if k == len(free) or free[k] != free[k - 1] + 1:
-                if k - start >= m:
-                    heapq.heappush(heap, (start - k, d + free[start], p + free[start]))
-                start = k
-    return tiles
+_HASHES = _Hashes()
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, m: int):
-    """Blocks of the benchmark, one at a time, each of a checked size."""
-    items = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    size = F.size(F.split(F.coalesce("text", F.lit("")), r"\W+"))
-    total = items.agg(F.sum(size)).first()[0] or 0
-    number = max(1, -(-int(total) // BLOCK_WORDS))
-    for k in range(number):
-        rows = items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(number)) == k).orderBy("id", "text").collect()
-        yield Block([r.id for r in rows], [r.text for r in rows], m)
+def seeds_of(words: list[bytes], m: int) -> np.ndarray:
+    """Hashes (long) of all runs of ``m`` words; of all words, if they are fewer."""
+    if not words:
+        return np.zeros(0, np.int64)
+    numbers = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    width = min(m, len(words))
+    n = len(numbers) - width + 1
+    out = np.full(n, width, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(width):
+            out = (out ^ (out >> np.uint64(29))) * np.uint64(_BASE) + numbers[k : k + n]
+    return out.view(np.int64)
 
 
-def _overlaps_udf(sent, kind: T.DataType):
-    names = [f.name for f in kind.elementType.fields]
+# -- tiling ---------------------------------------------------------------
 
-    @F.pandas_udf(kind)
-    def overlaps(texts: pd.Series) -> pd.Series:
-        return pd.Series([[dict(zip(names, x)) for x in sent.value.overlaps(t)] for t in texts], dtype=object)
 
-    return overlaps
+class _Runs:
+    """Rolling hashes of any length over numbers, of which some are marked."""
 
+    def __init__(self, numbers: np.ndarray) -> None:
+        self.numbers, self.free = numbers, numbers >= 0
+        n = len(numbers)
+        with np.errstate(over="ignore"):
+            powers, self.back, self.sums = np.ones(n + 1, np.uint64), np.ones(n + 1, np.uint64), np.zeros(n + 1, np.uint64)
+            powers[1:], self.back[1:] = _BASE, pow(_BASE, -1, 1 << 64)
+            powers, self.back = np.cumprod(powers), np.cumprod(self.back)
+            self.sums[1:] = np.cumsum((numbers.astype(np.uint64) + np.uint64(1)) * powers[:-1])
 
-def with_overlaps(
-    docs: DataFrame, benchmark: DataFrame, *, min_match: int = MIN_MATCH, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", name: str = "overlaps"
-) -> DataFrame:
-    """The given rows with ``name``: an array of the benchmark items they touch.
+    def settle(self) -> None:
+        """Take note of what has been marked."""
+        self.marked = np.concatenate([[0], np.cumsum(~self.free)])
 
-    Elements: struct<item_id, tiles int, covered int, coverage double>.
-    """
-    kind = T.ArrayType(
-        T.StructType([T.StructField("item_id", benchmark.schema[item_id_col].dataType), T.StructField("tiles", T.IntegerType()), T.StructField("covered", T.IntegerType()), T.StructField("coverage", T.DoubleType())])
-    )
-    context = docs.sparkSession.sparkContext
-    parts = []
-    for block in _blocks(benchmark, item_id_col, item_text_col, min_match):
-        parts.append(_overlaps_udf(context.broadcast(block), kind)(F.col(text_col)))
-    return docs.withColumn(name, F.concat(*parts) if len(parts) > 1 else parts[0])
+    def places(self, length: int) -> np.ndarray:
+        return np.flatnonzero(self.marked[length:] == self.marked[: len(self.marked) - length])
 
+    def hashes(self, places: np.ndarray, length: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (self.sums[places + length] - self.sums[places]) * self.back[places]
 
-def contaminations(docs: DataFrame, benchmark: DataFrame, *, coverage: float = COVERAGE, id_col: str = "doc_id", **how) -> DataFrame:
-    """(id_col, item_id, tiles, covered, coverage) of pairs from ``coverage`` on."""
-    marked = with_overlaps(docs, benchmark, name="_overlaps", **how)
-    return marked.select(id_col, F.inline("_overlaps")).filter(F.col("coverage") >= coverage)
+    def longest(self) -> int:
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], self.free.view(np.int8), [0]])))
+        return int((edges[1::2] - edges[::2]).max()) if len(edges) else 0
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, *, coverage: float = COVERAGE, **how) -> DataFrame:
+def tiles_of(doc: np.ndarray, item: np.ndarray, m: int) -> list[tuple[int, int, int]]:
+    """Greedy string tiling of two arrays of numbers: (doc place, item place, length).
+
+    Negative numbers match nothing. The longest match first; of equal ones the
+    first in the document, then in the item.
+    """
+    a, b, tiles = _Runs(doc), _Runs(item), []
+    most = min(a.longest(), b.longest())
+
+    def common(length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        d, p = a.places(length), b.places(length)
+        x, y = a.hashes(d, length), b.hashes(p, length)
+        hit = np.isin(x, y)
+        return d[hit], x[hit], p, y
+
+    while most >= m:
+        a.settle()
+        b.settle()
+        low, high = m - 1, most  # the longest length with a common run lies in (low, high], or there is none
+        while low < high:
+            middle = (low + high + 1) // 2
+            if len(common(middle)[0]):
+                low = middle
+            else:
+                high = middle - 1
+        if low < m:
+            break
+        d, x, p, y = common(low)
+        places: dict[int, list[int]] = {}
+        for h, at in zip(y[::-1].tolist(), p[::-1].tolist()):
+            places.setdefault(h, []).append(at)
+        for at, h in zip(d.tolist(), x.tolist()):
+            if not a.free[at : at + low].all():
+                continue
+            for k in range(len(places[h]) - 1, -1, -1):  # from the first place on
+                other = places[h][k]
+                if not b.free[other : other + low].all():
+                    del places[h][k]
+                elif (doc[at : at + low] == item[other : other + low]).all():
+                    tiles.append((at, other, low))
+                    a.free[at : at + low] = b.free[other : other + low] = False
+                    break
+        most = low - 1
+    return tiles
+
+
+def overlap(words: list[bytes], item: list[bytes], m: int = MIN_MATCH) -> tuple[int, int]:
+    """(tiles, covered words) of an item in a document."""
+    if len(item) < m:
+        return (1, len(item)) if item and words == item else (0, 0)
+    vocabulary: dict[bytes, int] = {}
+    target = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in item], np.int64)
+    numbers = np.fromiter((vocabulary.get(w, -1) for w in words), np.int64, len(words))
+    inside = np.concatenate([[0], np.cumsum(numbers >= 0)])
+    full = inside[m:] - inside[:-m] == m if len(words) >= m else np.zeros(0, bool)  # runs of words of the item
+    if not full.any():
+        return 0, 0
+    reach = np.zeros(len(words) + 1, np.int64)
+    at = np.flatnonzero(full)
+    np.add.at(reach, at, 1)
+    np.add.at(reach, at + m, -1)
+    kept = np.cumsum(reach[:-1]) > 0
+    parts = numbers[kept | np.concatenate([[False], kept[:-1]])].copy()  # every run and the word after it
+    ends = ~kept[kept | np.concatenate([[False], kept[:-1]])]
+    parts[ends] = -1
+    found = tiles_of(parts, target, m)
+    return len(found), sum(n for _, _, n in found)
+
+
+# -- the join -------------------------------------------------------------
+
+
+def _keys(id_col: str, text_col: str) -> list:
+    """Two hashes that tell rows of different id or text apart; null ids count."""
+    return [F.xxhash64(F.lit(1), F.col(id_col), F.col(text_col)).alias("row_key"), F.xxhash64(F.lit(2), F.col(text_col)).alias("text_key")]
+
+
+def _with_seeds(rows: DataFrame, m: int, *, distinct: bool) -> DataFrame:
+    """The rows, whose last column is a text, with array<long> seeds in its place."""
+    fields = rows.schema.fields[:-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [seeds_of(words_of(x.as_py()), m) for x in batch.columns[-1]]
+            if distinct:
+                found = [np.unique(x) for x in found]
+            ends = np.cumsum([0, *map(len, found)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], names=[*(f.name for f in fields), "seeds"])
+
+    return rows.mapInArrow(run, T.StructType([*fields, T.StructField("seeds", T.ArrayType(T.LongType()))]))
+
+
+def _indexed(items: DataFrame, m: int, coverage: float) -> DataFrame:
+    """(seed, item): the seeds of each item that the join needs."""
+    every = _with_seeds(items.select("item", "item_text"), m, distinct=False).select("item", F.size("seeds").alias("places"), F.explode("seeds").alias("seed"))
+    weighed = every.groupBy("item", "places", "seed").agg(F.count("*").alias("n"))
+    common = weighed.groupBy("seed").agg(F.count("*").alias("items"))
+    ranked = weighed.join(common, "seed").groupBy("item", "places").agg(F.array_sort(F.collect_list(F.struct((-F.col("items")).alias("commonest"), "seed", "n"))).alias("all"))
+    # an item of n words has n - m + 1 places; as many as this may be passed over
+    spare = F.greatest(F.ceil(F.lit(coverage) * (F.col("places") + m - 1) / m) - 1, F.lit(0))
+    before = F.transform("all", lambda x, k: F.struct(x["seed"].alias("seed"), F.aggregate(F.slice("all", 1, k + 1), F.lit(0).cast("long"), lambda s, y: s + y["n"]).alias("upto")))
+    return ranked.select("item", spare.alias("spare"), F.explode(before).alias("x")).filter(F.col("x.upto") > F.col("spare")).select("x.seed", "item")
+
+
+def _pairs(docs: DataFrame, items: DataFrame, m: int, coverage: float) -> DataFrame:
+    """(row_key, text_key, item) of documents and items with a common seed."""
+    seeds = materialize(_indexed(items, m, coverage), "tiling-seeds")
+    met = F.broadcast(seeds) if seeds.count() <= BROADCAST_SEEDS else seeds
+    told = _with_seeds(docs, m, distinct=True).select(*_KEYS, F.explode("seeds").alias("seed"))
+    return told.join(met, "seed").select(*_KEYS, "item").distinct()
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, *, coverage: float = COVERAGE, min_match: int = MIN_MATCH, id_col: str = "doc_id", text_col: str = "text", item_text_col: str = "text") -> DataFrame:
+    """(row_key, text_key, item, tiles, covered, coverage) from ``coverage`` on, as a table.
+
+    row_key and text_key name rows of one id and text, item the items of one text.
+    """
+    items = benchmark.filter(F.col(item_text_col).isNotNull()).select(F.unhex(F.md5(F.col(item_text_col).cast("binary"))).alias("item"), F.col(item_text_col).alias("item_text"))
+    items = materialize(items.dropDuplicates(["item"]), "tiling-items")
+    texts = docs.filter(F.col(text_col).isNotNull()).select(*_keys(id_col, text_col), F.col(text_col).alias("doc_text"))
+    pairs = materialize(_pairs(texts, items, min_match, coverage), "tiling-pairs")
+    sizes = pairs.groupBy(*_KEYS).agg(F.ceil(F.count("*") / CHUNK_ITEMS).alias("chunks"))
+    chunks = (
+        pairs.join(sizes, _KEYS).join(items, "item")
+        .groupBy(*_KEYS, F.pmod(F.xxhash64("item"), "chunks").alias("chunk"))
+        .agg(F.collect_list("item").alias("items"), F.collect_list("item_text").alias("item_texts"))
+    )
+    chunks = materialize(chunks.drop("chunk"), "tiling-chunks")
+    met = texts.join(chunks, _KEYS).select(*_KEYS, "items", "item_texts", "doc_text")
+    schema = T.StructType([*(T.StructField(k, T.LongType()) for k in _KEYS), T.StructField("item", T.BinaryType()), T.StructField("tiles", T.IntegerType()), T.StructField("covered", T.IntegerType()), T.StructField("coverage", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [batch.column(k).to_pylist() for k in range(2)]
+            out: list[list] = [[], [], [], [], [], []]
+            for row in range(batch.num_rows):
+                words = words_of(batch.column(4)[row].as_py())
+                for item, text in zip(batch.column(2)[row].as_py(), batch.column(3)[row].as_py()):
+                    target = words_of(text)
+                    number, covered = overlap(words, target, min_match)
+                    if number and covered >= coverage * len(target):
+                        for column, value in zip(out, (keys[0][row], keys[1][row], item, number, covered, covered / len(target))):
+                            column.append(value)
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=schema.names)
+
+    found = materialize(met.mapInArrow(run, schema).distinct(), "tiling-overlaps")
+    for table in (items, pairs, chunks):
+        discard(table)
+    return found
+
+
+def contaminations(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", **how) -> DataFrame:
+    """(id_col, item_id_col, tiles, covered, coverage) of pairs from ``coverage`` on."""
+    found = overlaps(docs, benchmark, id_col=id_col, text_col=text_col, item_text_col=item_text_col, **how)
+    names = benchmark.select(F.unhex(F.md5(F.col(item_text_col).cast("binary"))).alias("item"), F.col(item_id_col).alias("item_id"))
+    rows = docs.select(F.col(id_col).alias("id"), *_keys(id_col, text_col))
+    joined = rows.join(found, _KEYS).join(names, "item")
+    return joined.select(F.col("id").alias(id_col), F.col("item_id").alias(item_id_col), "tiles", "covered", "coverage")
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows that cover no benchmark item from ``coverage`` on."""
-    marked = with_overlaps(docs, benchmark, name="_overlaps", **how)
-    return marked.filter(~F.exists("_overlaps", lambda x: x["coverage"] >= coverage)).drop("_overlaps")
+    found = overlaps(docs, benchmark, id_col=id_col, text_col=text_col, **how).select(*_KEYS).distinct()
+    rows = docs.select(F.struct("*").alias("row"), *_keys(id_col, text_col))
+    return rows.join(found, _KEYS, "left_anti").select("row.*")
