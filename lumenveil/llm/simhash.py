@@ -23,8 +23,8 @@ pairs: rows of one key are dealt in blocks of bounded size, and a task returns
 a spanning forest of the verified links it has seen.
 
 Defined cases: null or empty text has fingerprint zero and links like any
-other; fewer words than a shingle count as one shingle; repeated rows share
-their component; an empty table yields no rows; other columns are ignored.
+other; fewer words than a shingle count as one shingle; very long texts are read
+whole, their shingles in pieces; repeated rows share their component; an empty table yields no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,7 +40,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenveil.llm.components import components
-from lumenveil.session import materialize, shuffle_partitions
+from lumenveil.llm.textframe import spread_join
+from lumenveil.session import discard, materialize, shuffle_partitions
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
@@ -48,6 +49,9 @@ MAX_BITS = 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Most stored, and about as many asking, fingerprints of one key in a block.
 BLOCK = 4096
+#: Fingerprints whose keys one task makes, and linked ones that a task keeps.
+EXPANDED = 50_000
+FOREST_NODES = 200_000
 #: Fixed value: a generator polynomial of the binary Golay code.
 GENERATOR = 0b101011100011
 
@@ -217,12 +221,19 @@ def _link_blocks(max_bits: int):
     """mapInArrow over (key, part, slice, asks, fp), sorted: verified links.
 
     Holds the stored fingerprints of one block (at most about BLOCK) and a forest
-    of the fingerprints that have a link in this task; returns the forest's edges.
+    of fingerprints that have a link in this task; the forest's edges are handed on
+    whenever it has FOREST_NODES of them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
-        block, stored = None, np.zeros(0, np.int64)
+        block, stored, group = None, np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def edges() -> pa.RecordBatch:
+            pairs = [(x, forest.find(x)) for x in list(forest.parent)]
+            a, b = [x for x, r in pairs if x != r], [r for x, r in pairs if x != r]
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -236,15 +247,21 @@ def _link_blocks(max_bits: int):
                 split = lo + int(np.searchsorted(asks[lo:hi], 1))
                 if split > lo:
                     stored = np.concatenate([stored, fp[lo:split]])
+                    group = np.arange(len(stored))
                 for at in range(split, hi, 512):
                     asking = fp[at : min(at + 512, hi)]
                     near = np.bitwise_count((asking[:, None] ^ stored[None, :]).view(np.uint64)) <= max_bits
                     near &= asking[:, None] != stored[None, :]
-                    for a, b in zip(*np.nonzero(near)):
-                        forest.link(int(asking[a]), int(stored[b]))
-        edges = [(x, forest.find(x)) for x in list(forest.parent)]
-        a, b = [x for x, r in edges if x != r], [r for x, r in edges if x != r]
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                    for a in np.flatnonzero(near.any(axis=1)):  # once to each group that earlier rows have connected
+                        groups, first = np.unique(group[near[a]], return_index=True)
+                        for b in stored[near[a]][first].tolist():
+                            forest.link(int(asking[a]), b)
+                        if len(groups) > 1:
+                            group[np.isin(group, groups)] = groups[0]
+            if len(forest.parent) > FOREST_NODES:
+                yield edges()
+                forest = Forest()
+        yield edges()
 
     return run
 
@@ -252,13 +269,15 @@ def _link_blocks(max_bits: int):
 def links(fps: DataFrame, *, max_bits: int = MAX_BITS) -> DataFrame:
     """(a, b): links that connect all fingerprints at most ``max_bits`` apart.
 
-    fps: distinct fingerprints (column fp). Two fingerprints are connected by the
-    result if and only if a chain of differences of at most ``max_bits`` (4 or
+    fps: a table of distinct fingerprints (column fp). Two fingerprints are connected
+    by the result if and only if a chain of differences of at most ``max_bits`` (4 or
     less) connects them.
     """
     if max_bits > MAX_BITS:
         raise ValueError(f"the three segments hold {MAX_BITS} differing bits at most")
-    fps = fps.select("fp").repartition(shuffle_partitions(fps.sparkSession), "fp")  # a row becomes 200: not to be coalesced
+    # A row becomes 200: dealt by a hash of its own into tasks whose number grows with what they give.
+    number = max(shuffle_partitions(fps.sparkSession), -(-fps.count() // EXPANDED))
+    fps = fps.select("fp").repartition(number, F.xxhash64(F.lit(3), "fp"))
     stored = _keyed(fps, stored_keys)
     sizes = stored.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("one"))
     asks = _keyed(fps, asked_keys).join(sizes, "key").filter("n > 1 or one <> fp")
@@ -286,10 +305,11 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = SHINGLE_WORDS, max_
     distinct fingerprints however large a group of copies is.
     """
     marked = materialize(fingerprints(docs, shingle_words=shingle_words, id_col=id_col, text_col=text_col), "simhash")
-    distinct = marked.groupBy("fp").agg(F.min(id_col).alias("least_id"))
+    distinct = materialize(marked.groupBy("fp").agg(F.min(id_col).alias("least_id"), F.count("*").alias("n")), "simhash-distinct")
     roots = components(links(distinct, max_bits=max_bits)).withColumnRenamed("node", "fp")
-    least = distinct.join(roots, "fp").groupBy("root").agg(F.min("least_id").alias("component"))
+    least = materialize(distinct.join(roots, "fp").groupBy("root").agg(F.min("least_id").alias("component")), "simhash-least")
     grouped = roots.join(least, "root").select("fp", "component")
-    named = distinct.join(grouped, "fp", "left").select("fp", F.coalesce("component", "least_id").alias("component"))
-    named = materialize(named, "simhash-components")  # a plain table: rows of a hot fingerprint can be split among tasks
-    return marked.join(named, "fp").select(id_col, "text_key", "fp", "component")
+    named = distinct.join(grouped, "fp", "left").select("fp", "n", F.coalesce("component", "least_id").alias("component"))
+    named = materialize(named, "simhash-components")
+    discard(distinct)
+    return spread_join(marked, named, ["fp"], id_col).select(id_col, "text_key", "fp", "component")

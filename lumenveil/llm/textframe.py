@@ -56,3 +56,28 @@ def emit(columns: list[list], keys: pa.Array | None, schema: T.StructType) -> pa
     if keys is not None:
         arrays.insert(0, keys.take(pa.array(columns[0], pa.int64())))
     return pa.RecordBatch.from_arrays(arrays, schema=fields)
+
+
+#: A key of more than one of so many rows is hot; so there are fewer hot keys than this.
+HOT_KEYS = 1000
+#: Fewest rows of a hot key.
+HOT_ROWS = 500
+
+
+def spread_join(rows: DataFrame, named: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """``rows`` inner joined with ``named``, the rows of hot keys spread by column ``by``.
+
+    named: a table with one row a key and ``n``, the key's number of rows; n is
+    dropped. A hot key holds more than a thousandth of all rows, so fewer than
+    HOT_KEYS keys are known to the driver; their rows of ``named`` are copied.
+    """
+    total = named.agg(F.sum("n")).first()[0] or 0
+    hot = [r.hot for r in named.filter(F.col("n") > max(HOT_ROWS, total // HOT_KEYS)).select(F.xxhash64(*keys).alias("hot")).collect()]
+    named = named.drop("n")
+    if not hot:
+        return rows.join(named, keys)
+    salts = rows.sparkSession.sparkContext.defaultParallelism * 4
+    is_hot = F.xxhash64(*keys).isin(hot)
+    left = rows.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(by), F.lit(salts))).otherwise(0).cast("int"))
+    right = named.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    return left.join(right, [*keys, "_salt"]).drop("_salt")

@@ -11,7 +11,7 @@ import corpus_pipeline
 from lumenveil.llm import language, tiling
 from test_lines import slow as slow_lines
 from test_packing import check_bins, reference_ids
-from test_simhash import slow_components, slow_fingerprint
+from test_nearcopies import slow_classes
 from test_tiling import slow_tiles
 
 
@@ -45,7 +45,7 @@ def test_run_equals_brute_force(spark, sf_dir):
         if margins is not None and model.decode(margins)[2] >= language.AMBIGUOUS:
             kept.append(r)
     texts = slow_lines([(r.doc_id, r.text, r.source) for r in kept])
-    roots = slow_components([(i, slow_fingerprint(t)) for i, t in sorted(texts.items())])
+    roots = slow_classes(sorted(texts.items()))
     items = [tiling.words_of(r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     left = [i for i, root in roots.items() if i == root and not contaminated(texts[i], items)]
     want = set()
