@@ -2,15 +2,21 @@
 
 Five stages, each a call of one operator of ``lumenveil.llm``; every stage's rows
 are written as Parquet and read again as the next stage's documents.
+
+Defined cases: null and empty texts go in the language stage, which finds no letter
+in them; rows with a null id go through every stage but are no copy of another; of
+a row that is repeated one stays; of equal ids with different texts both stay
+unless they are near copies; very long texts are never cut but for packing; an
+empty table gives no rows; extra columns, whatever their names, stay to the last
+stage.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from lumenveil.llm import language, lines, packing, simhash, tiling
+from lumenveil.llm import language, lines, nearcopies, packing, tiling
 from lumenveil.session import materialize, table
 
 
@@ -32,15 +38,12 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the least id.
+    """One document of each group of copies and near copies: that of the least id.
 
-    Of rows with the same id and text one stays as well; a null id is no copy.
+    Near copies share 0.8 or more of their five-word shingles. Of rows with the same
+    id and text one stays; a null id is no copy.
     """
-    found = simhash.near_duplicates(docs)
-    copies = found.filter("doc_id <> component").select("doc_id", F.col("text_key").alias("_text_key")).distinct()
-    same = Window.partitionBy("doc_id", "_text_key").orderBy("_text_key")
-    rows = docs.withColumn("_text_key", F.xxhash64("text")).withColumn("_nth", F.row_number().over(same)).filter("_nth = 1")
-    return rows.join(copies, ["doc_id", "_text_key"], "left_anti").select(docs.columns)
+    return nearcopies.without_copies(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +68,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Language codes, SimHash components and packing are beyond SQL; the tests hold
+#: Language codes, classes of near copies and packing are beyond SQL; the tests hold
 #: run() against a brute-force version instead.
 ORACLE_SQL = None
 
