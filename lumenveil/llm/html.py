@@ -1,6 +1,7 @@
 """Main text of web pages, with site templates removed by recurring subtrees.
 
-Every block element is hashed over its whole source. Spark counts, per host, on
+Every block element is hashed over its tags and texts, from prefix sums of their
+hashes, so that markup of any depth costs one pass. Spark counts, per host, on
 how many different contents a subtree occurs (copies of one page count once);
 subtrees on MIN_CONTENTS of them are template and are deleted from that host's
 pages before the article is chosen. Inside an article or main part a subtree must
@@ -14,10 +15,13 @@ becomes one space, and blocks are joined by line feeds in page order.
 Names count only as a whole: each part of a class or id must be a name of what is
 no article or a neutral word. Elements that hold an article or main part are never
 dropped by name, nor are those with nearly all text of a page that marks neither.
-An article is dropped by name only inside another article (a comment).
+An article is dropped by name only inside another article (a comment). Inside an
+article or main part, names that may also stand for parts of it (WEAK) count only
+for blocks of links. A form is dropped likewise, unless it holds most of the text.
 
-Pages travel once, compressed, to meet the list of their own template subtrees;
-no task needs the templates of a whole host.
+Pages are parsed twice: for the hashes, which are written as a table, and for the
+text. They travel once, compressed, to meet the list of their own template
+subtrees; no task needs the templates of a whole host.
 
 Defined cases: null or empty html gives the empty text; markup that never ends
 ends with the page; very long pages are read whole; repeated rows repeat; a null
@@ -29,6 +33,7 @@ from __future__ import annotations
 
 import html as references
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -56,15 +61,16 @@ BLOCK = set(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split()
 )
 DROPPED = set(
-    "head script style noscript template svg math iframe object embed canvas audio video nav footer aside form button select "
+    "head script style noscript template svg math iframe object embed canvas audio video nav footer aside button select "
     "option textarea input dialog menu xmp noembed noframes map".split()
 )
-ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
+ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar".split())
 NAMES = set(
     "ad ads adv adbox adslot banner nav navbar navigation menu crumbs sidebar footer cookie cookies consent gdpr notice notices "
     "alert popup modal overlay newsletter subscribe subscription signup login comment comments disqus respond reply replies "
     "discussion share sharing social related recommended pagination pager widget toolbar promo promotion sponsor sponsored".split()
 )
+WEAK = set("discussion notice notices alert overlay modal popup widget banner toolbar promotion".split())
 PREFIXES = ("advert", "adsby", "cookie", "comment", "sidebar", "sponsor", "newsletter", "breadcrumb", "promo", "disqus", "navbar")
 NEUTRAL = set(
     "site page main global top bottom left right inner outer primary secondary box wrap wrapper container block section area zone bar list "
@@ -84,27 +90,51 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[a-z0-9]+")
+_NOTHING, _P = frozenset(), frozenset({"p"})
+_GATES = SCOPES.union(_P, *CLOSED_BY.values())
+#: Of the polynomial that hashes a range of tokens.
+_PRIME, _BASE = (1 << 61) - 1, 0x1B873593CC9E2D51 % ((1 << 61) - 1)
 
 
 class Page:
     """The elements and texts of a page in source order.
 
-    elements: [tag, parent, start, end, kind]; kind is "drop" for what is never an
-    article, "outside" for what is dropped unless inside one, "article" or "main".
+    elements: [tag, parent, first token, end token, kind]; kind is "drop" for what is
+    never an article, "outside" for what is dropped unless inside one, "article" or
+    "main".
+    tokens: the tags and texts of the source, white space made one space.
     holds: whether an element contains an article or main part, or is one.
     texts: (element, text, is a link's); None as text is a block boundary.
     """
 
     def __init__(self, source: str) -> None:
-        self.source = source
-        self.elements: list[list] = [["", -1, 0, len(source), ""]]
+        self.elements: list[list] = [["", -1, 0, 0, ""]]
         self.texts: list[tuple[int, str | None, bool]] = []
-        stack, links, at = [0], 0, 0
+        self.tokens: list[str] = []
+        elements, texts, tokens = self.elements, self.texts, self.tokens
+        stack, gates, opened, links, at = [0], [], Counter(), 0, 0  # gates: places in the stack of what closes or bounds closing
+
+        def close(depth: int, end: int) -> None:
+            nonlocal links
+            for k in reversed(stack[depth:]):
+                tag = elements[k][0]
+                elements[k][3] = end
+                opened[tag] -= 1
+                links -= tag == "a"
+            if any(elements[k][0] in BLOCK for k in stack[depth:]):
+                texts.append((stack[depth - 1], None, False))
+            del stack[depth:]
+            while gates and gates[-1] >= depth:
+                gates.pop()
+
         while at < len(source):
             token = _TOKEN.search(source, at)
             upto = token.start() if token else len(source)
             if upto > at:
-                self.texts.append((stack[-1], references.unescape(source[at:upto]), links > 0))
+                text = source[at:upto]
+                texts.append((stack[-1], references.unescape(text), links > 0))
+                if not text.isspace():
+                    tokens.append(" ".join(text.split()))
             if not token:
                 break
             at = token.end()
@@ -112,60 +142,61 @@ class Page:
             if not tag:
                 continue
             if token["end"] or token["end2"]:
-                if any(self.elements[k][0] == tag for k in reversed(stack)):
-                    while True:
-                        k = stack.pop()
-                        links -= self.elements[k][0] == "a"
-                        self.elements[k][3] = at if self.elements[k][0] == tag else token.start()
-                        if self.elements[k][0] in BLOCK:
-                            self.texts.append((stack[-1], None, False))
-                        if self.elements[k][0] == tag:
-                            break
+                if opened[tag]:
+                    depth = len(stack) - 1
+                    while elements[stack[depth]][0] != tag:
+                        depth -= 1
+                    if depth + 1 < len(stack):
+                        close(depth + 1, len(tokens))
+                    tokens.append("/" + tag)
+                    close(depth, len(tokens))
                 continue
-            closes = {"p"} if tag in BLOCK else set()
-            closes |= CLOSED_BY.get(tag, set())
+            closes = CLOSED_BY.get(tag, _NOTHING) | _P if tag in BLOCK else CLOSED_BY.get(tag, _NOTHING)
             while closes:  # elements that this one ends, up to what bounds them
-                for depth in range(len(stack) - 1, 0, -1):
-                    name = self.elements[stack[depth]][0]
+                for depth in reversed(gates):
+                    name = elements[stack[depth]][0]
                     if name in closes or name in SCOPES:
                         break
                 else:
                     break
                 if name not in closes:
                     break
-                for k in stack[depth:]:
-                    links -= self.elements[k][0] == "a"
-                    self.elements[k][3] = token.start()
-                    if self.elements[k][0] in BLOCK:
-                        self.texts.append((stack[depth - 1], None, False))
-                del stack[depth:]
+                close(depth, len(tokens))
             attrs = token["attrs"] or token["attrs2"] or ""
             if tag in BLOCK:
-                self.texts.append((stack[-1], None, False))
+                texts.append((stack[-1], None, False))
             elif tag in ("br", "td", "th"):
-                self.texts.append((stack[-1], " ", False))
-            self.elements.append([tag, stack[-1], token.start(), at, _kind(tag, attrs)])
+                texts.append((stack[-1], " ", False))
+            elements.append([tag, stack[-1], len(tokens), len(tokens) + 1, _kind(tag, attrs)])
+            tokens.append(f"<{tag} {' '.join(attrs.split())}")
             if tag in VOID or attrs.endswith("/") and tag not in BLOCK:
                 continue
             if tag in RAW:
-                close = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(source, at)
-                end = close.start() if close else len(source)
+                found = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(source, at)
+                end = found.start() if found else len(source)
+                tokens.append(" ".join(source[at:end].split()))
                 at = source.find(">", end) + 1 or len(source)
-                self.elements[-1][3] = at
+                elements[-1][3] = len(tokens)
                 continue
-            stack.append(len(self.elements) - 1)
+            if tag in _GATES:
+                gates.append(len(stack))
+            stack.append(len(elements) - 1)
+            opened[tag] += 1
             links += tag == "a"
-        for k in stack[1:]:
-            self.elements[k][3] = len(source)
+        for k in stack:
+            elements[k][3] = len(tokens)
 
         self._settle()
 
     def _settle(self) -> None:
         """Decides on elements with names of what is no article by what they hold."""
         n = len(self.elements)
-        dropped, size, self.holds, main = [False] * n, [0] * n, [False] * n, [False] * n
-        for element, text, _ in self.texts:
-            size[element] += len(text.strip()) if text else 0
+        dropped, size, linked, self.holds, main = [False] * n, [0] * n, [0] * n, [False] * n, [False] * n
+        self.inner = [False] * n  # whether anything below holds an article or main part
+        for element, text, link in self.texts:
+            length = len(text.strip()) if text else 0
+            size[element] += length
+            linked[element] += length * link
         for k, (_, parent, _, _, kind) in enumerate(self.elements):
             dropped[k] = kind == "drop" or (parent >= 0 and dropped[parent])
         for k in range(n - 1, -1, -1):
@@ -174,46 +205,53 @@ class Page:
                 continue
             if kind == "article" and main[k]:
                 self.elements[k][4] = kind = "main"  # an article around the main part is read whole
+            self.inner[k] = self.holds[k]
             self.holds[k] = self.holds[k] or kind in ("article", "main")
             main[k] = main[k] or kind == "main"
             if parent >= 0:
                 self.holds[parent], main[parent] = self.holds[parent] or self.holds[k], main[parent] or main[k]
                 size[parent] += size[k]
-        within = [False] * n
+                linked[parent] += linked[k]
+        around = [-1] * n  # the nearest article or main part around an element
         for k, (_, parent, _, _, kind) in enumerate(self.elements):
-            within[k] = parent >= 0 and within[parent]
-            if kind == "named" and (self.holds[k] or (not self.holds[0] and size[k] > MOST * size[0])):
+            if parent >= 0:
+                around[k] = parent if self.elements[parent][4] in ("article", "main", "named article") else around[parent]
+            inside = around[k] >= 0
+            most = not self.holds[0] and size[k] > MOST * size[0]
+            if kind == "form":
+                self.elements[k][4] = "" if self.holds[k] or most or (inside and 2 * size[k] > size[around[k]]) else "drop"
+            elif kind == "named" or (kind == "weak" and (not inside or linked[k] >= LINK_SHARE * max(1, size[k]))):
+                self.elements[k][4] = "" if self.holds[k] or most else "drop"
+            elif kind == "weak":
                 self.elements[k][4] = ""
-            elif kind == "named":
-                self.elements[k][4] = "drop"
             elif kind == "named article":
                 alone = not self.holds[0] and 2 * size[k] >= size[0]
-                self.elements[k][4] = "" if self.holds[k] else "drop" if within[k] else "article" if alone else ""
+                self.elements[k][4] = "" if self.holds[k] else "drop" if inside else "article" if alone else ""
             elif kind == "outside" and self.holds[k]:
                 self.elements[k][4] = ""
-            within[k] = within[k] or kind in ("article", "named article")
 
     def subtrees(self) -> list[tuple[int, int]]:
         """(element, hash) of block elements that hold no article or main part.
 
         Hashes are odd inside an article or main part and for an article, else even.
         """
+        import xxhash
+
+        digest = xxhash.xxh64_intdigest
+        sums, powers = [0], [1]
+        for token in self.tokens:
+            sums.append((sums[-1] * _BASE + digest(token)) % _PRIME)
+            powers.append(powers[-1] * _BASE % _PRIME)
         inside = [False] * len(self.elements)
         out = []
-        for k, (tag, parent, start, end, kind) in enumerate(self.elements):
+        for k, (tag, parent, first, end, kind) in enumerate(self.elements):
             inside[k] = kind in ("article", "main") or (parent >= 0 and inside[parent])
-            whole = not self.holds[k] or (kind == "article" and not any(self.holds[c] for c in self._below(k)))
+            whole = not self.holds[k] or (kind == "article" and not self.inner[k])
             if tag in BLOCK and tag not in ("html", "body") and whole:
-                out.append((k, _digest(self.source[start:end]) & ~1 | inside[k]))
+                found = (sums[end] - sums[first] * powers[end - first]) % _PRIME
+                out.append((k, _signed(found, len(tag) + end - first) & ~1 | inside[k]))
         return out
 
-    def _below(self, top: int) -> Iterator[int]:
-        _, _, _, end, _ = self.elements[top]
-        for k in range(top + 1, len(self.elements)):
-            if self.elements[k][2] >= end:
-                return
-            yield k
-
     def text(self, templates: set[int] = frozenset()) -> str:
         """The main text; templates: elements to leave out."""
         n = len(self.elements)
@@ -254,12 +292,16 @@ def _kind(tag: str, attrs: str) -> str:
     if tag in ("html", "body"):
         return ""
     names: list[str] = []
+    if tag == "form":
+        return "form"
     if attrs and not attrs.isspace():
         for name, *values in _ATTR.findall(attrs):
             name, value = name.lower(), next((v for v in values if v), "").lower()
             if name == "role":
                 if value.strip() in ROLES:
                     return "drop"
+                if value.strip() == "form":
+                    return "form"
                 if value.strip() in ("main", "article"):
                     tag = value.strip()
             elif name == "hidden" or (name == "aria-hidden" and value == "true"):
@@ -268,8 +310,10 @@ def _kind(tag: str, attrs: str) -> str:
                 names.extend(value.split())
     if tag == "main":
         return tag
-    if any(map(_is_name, names)):
-        return "named article" if tag == "article" else "named"
+    told = [name for name in names if _is_name(name)]
+    if told:
+        strong = any(w in NAMES - WEAK or w.startswith(PREFIXES) for name in told for w in _WORD.findall(name))
+        return "named article" if tag == "article" else "named" if strong else "weak"
     if tag == "article":
         return tag
     return "outside" if tag == "header" or not OUTSIDE_ONLY.isdisjoint(names) else ""
@@ -286,10 +330,16 @@ def _is_name(name: str) -> bool:
     return told
 
 
-def _digest(source: str) -> int:
+def _digest(text: str) -> int:
     import xxhash
 
-    return xxhash.xxh64_intdigest(" ".join(source.split())) - (1 << 63)
+    return xxhash.xxh64_intdigest(text) - (1 << 63)
+
+
+def _signed(found: int, salt: int) -> int:
+    """A number below _PRIME as a long that a length is mixed into."""
+    mixed = (found ^ salt << 48) * 0x9E3779B97F4A7C15 & (1 << 64) - 1
+    return (mixed ^ mixed >> 32) - (1 << 63)
 
 
 def _keyed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
@@ -323,7 +373,7 @@ def subtrees(pages: DataFrame) -> DataFrame:
 def extract_text(pages: DataFrame, *, min_contents: int = MIN_CONTENTS, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id_col, url_col, text, removed): removed is the number of template subtrees."""
     keyed = _keyed(pages, id_col, url_col, html_col)
-    found = subtrees(keyed)
+    found = materialize(subtrees(keyed), "subtrees")
     recurring = found.select("host", "subtree", "content").distinct().groupBy("host", "subtree").agg(F.count("*").alias("n")).filter(F.col("n") >= min_contents)
     recurring = materialize(recurring, "recurring")  # its size is known then: if small, the subtrees are not shuffled to meet it
     total = recurring.filter("subtree = 0").select("host", F.col("n").alias("total"))

@@ -112,8 +112,65 @@ def test_recurring_subtrees_go_inside_main_and_article(spark, place):
         ("<article><h1>T</h1><main><p>body</p></main></article>", "T\nbody"),
         ("<article><p>kept</p><article class=comment><p>first of all comments</p></article></article>", "kept"),
         ("<article><p>kept</p></article><div class='comments-area'><article class=comment-body><p>first</p></article></div>", "kept"),
+        ("<form id=all><div class=content><article><p>kept</p></article></div></form>", "kept"),
+        ("<form><p>all the words of a page</p></form>", "all the words of a page"),
+        ("<article><form><p>all the words of an article</p></form></article>", "all the words of an article"),
+        ("<article><p>kept words</p><form><p>name</p></form></article>", "kept words"),
+        ("<div class='page no-sidebar'><p>kept</p></div>", "kept"),
+        ("<div class='share-enabled'><article><p>kept</p></article></div>", "kept"),
+        ("<article><p>a</p><section id=discussion><p>b</p></section><p class=notice>c</p><p>d</p></article>", "a\nb\nc\nd"),
+        ("<article><p>a</p><div class=widget><a href=1>more stories</a></div><div class=comments><p>first</p></div></article>", "a"),
+        ("<article><p>a</p></article><p class=notice>c</p><section id=discussion><p>b</p></section>", "a"),
         ("<p>kept</p><div class='site-footer'>no</div><div class='social-links'>no</div><div id=comment-12>no</div>", "kept"),
     ],
 )
 def test_names_never_drop_what_holds_the_text(source, want):
     assert text(source) == want
+
+
+@pytest.mark.parametrize(
+    "source",
+    [
+        "<div>" * 100_000 + "x",
+        "<article>" * 100_000 + "x",
+        "<b>" * 100_000 + "x" + "<p>y" * 50_000,
+        "<div>" * 50_000 + "x</b>" * 100_000,
+        "<ul><li>" * 50_000 + "x",
+        "<table><tr><td>" * 30_000 + "x",
+        "<a href='" * 100_000 + "x",
+        "<p class=notice>x" * 60_000,
+    ],
+)
+def test_any_markup_takes_one_pass(source):
+    import resource
+    import time
+
+    begun, before = time.perf_counter(), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    page = html.Page(source)
+    page.subtrees()
+    page.text()
+    assert time.perf_counter() - begun < 15
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 200_000
+
+
+def test_query_equals_counting_by_hand(spark, sf_dir):
+    """Counting and deletion over the whole table, with dictionaries."""
+    import collections
+    import re
+
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").collect()
+    host = lambda url: (re.match(r"(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", url or "") or ["", ""])[1].lower()
+    contents: dict = collections.defaultdict(set)
+    seen: dict = collections.defaultdict(set)
+    for r in rows:
+        page = html.Page(r.html or "")
+        contents[host(r.url)].add(page.text())
+        for _, h in page.subtrees():
+            seen[host(r.url), h].add(page.text())
+    want = []
+    for r in rows:
+        page, name = html.Page(r.html or ""), host(r.url)
+        gone = {k for k, h in page.subtrees() if len(seen[name, h]) >= 2 and (h % 2 == 0 or len(seen[name, h]) >= html.INSIDE_SHARE * len(contents[name]))}
+        want.append((r.page_id, r.url, page.text(gone), len(gone)))
+    got = [(r.page_id, r.url, r.text, r.removed) for r in html.extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"), min_contents=2).collect()]
+    assert sorted(got) == sorted(want) and any(n for _, _, _, n in want)
