@@ -18,8 +18,8 @@ added up in Spark and only BUCKETS counts per language reach the driver.
 Defined cases: null text, or text without a letter, is ``und`` with score 0 and
 not ambiguous; without labelled rows everything is ``und``; with one language all
 texts with letters get it; very long texts are read whole; repeated rows repeat;
-an empty table yields no rows; other columns are kept, and one with the name of
-the result is refused (``name`` gives another).
+an empty table yields no rows; other columns are kept, and if one has the name of
+the result, the result has underscores in front.
 """
 
 from __future__ import annotations
@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenveil.llm.textframe import free_name
 from lumenveil.session import discard, materialize
 
 UNDETERMINED = "und"
@@ -214,10 +215,8 @@ def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang"
 def identify(docs: DataFrame, model: LanguageModel | None, *, text_col: str = "text", name: str = "language") -> DataFrame:
     """The given rows with ``name`` = struct<lang_pred, score, margin, ambiguous>.
 
-    A given column that is called ``name`` already is an error.
+    If the rows have a column of that name, the result's has underscores in front.
     """
-    if name in docs.columns:
-        raise ValueError(f"the rows have a column {name!r}; choose another name")
 
     @F.pandas_udf("lang_pred string, score double, margin double, ambiguous boolean")
     def predict(texts: pd.Series) -> pd.DataFrame:
@@ -228,7 +227,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, *, text_col: str = "t
             rows.append((language, score, margin, margins is not None and margin < AMBIGUOUS))
         return pd.DataFrame(rows, columns=["lang_pred", "score", "margin", "ambiguous"])
 
-    return docs.withColumn(name, predict(F.col(text_col)))
+    return docs.withColumn(free_name(name, docs.columns), predict(F.col(text_col)))
 
 
 def held_out(id_col: str = "doc_id") -> Column:

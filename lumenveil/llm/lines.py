@@ -1,6 +1,6 @@
 """Removal of lines that many sites share, by distinct-site spread.
 
-Every line (trimmed, at least MIN_CHARS characters) is hashed; per hash one
+Every line that is not empty when trimmed is hashed to 128 bits; per hash one
 HyperLogLog sketch of the sites is built where the rows are and merged by the
 aggregation. Lines whose estimate is clearly at or above the threshold are
 boilerplate, clearly lower ones are not, and only lines near the threshold get
@@ -12,8 +12,10 @@ removed everywhere else.
 
 Uses Spark expressions only. Defined cases: null text stays null; a null site
 counts for nothing; a row with a null id is left as it is; rows with the same id
-and text share their outcome; an empty table yields no rows; all other columns
-are kept, whatever their names.
+and text share their outcome; very long texts are split whole; of equal first
+places none is another's; an empty table yields no rows; all other columns are
+kept, whatever their names, and counts get underscores in front where their names
+are taken.
 """
 
 from __future__ import annotations
@@ -21,36 +23,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenveil.session import materialize
+from lumenveil.llm.textframe import free_name
+from lumenveil.session import discard, materialize
 
 MIN_SITES = 8
-MIN_CHARS = 20
+MIN_CHARS = 1
 #: log2 of the sketch's registers: a relative standard error of 1.6 %.
 SKETCH_BITS = 12
 #: Standard errors (and one site) around the threshold that are counted exactly.
 NEAR = 5
+_LINE = ["line", "line2"]
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str, min_chars: int) -> DataFrame:
-    """(id, text_key, site, at, line): hashes of the lines that can be removed."""
+    """(id, text_key, site, at, line, line2): hashes of the lines that can be removed."""
     split = docs.select(
         F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(site_col).cast("string").alias("site"), F.posexplode(F.split(text_col, "\n", -1)).alias("at", "line")
     )
-    return split.filter(F.length(F.trim("line")) >= min_chars).withColumn("line", F.xxhash64(F.trim("line")))
+    kept = split.filter(F.length(F.trim("line")) >= min_chars).withColumn("line", F.trim("line"))
+    return kept.withColumns({"line": F.xxhash64("line"), "line2": F.xxhash64(F.lit(2), "line")})
 
 
 def widespread(lines: DataFrame, *, min_sites: int = MIN_SITES) -> DataFrame:
-    """(line, keeps): lines on at least ``min_sites`` sites and the place kept."""
+    """(line, line2, keeps), a table: lines on at least ``min_sites`` sites and the place kept."""
     error = NEAR * 1.04 / (1 << SKETCH_BITS) ** 0.5
     low, high = min_sites * (1 - error) - 1, min_sites * (1 + error) + 1
-    spread = lines.groupBy("line").agg(
+    spread = lines.groupBy(*_LINE).agg(
         F.hll_sketch_estimate(F.hll_sketch_agg("site", SKETCH_BITS)).alias("sites"), F.min(F.when(F.col("id").isNotNull(), F.struct("id", "at"))).alias("keeps")
     )
     spread = materialize(spread.filter(F.col("sites") >= low), "line-spread")
-    near = spread.filter(F.col("sites") < high).select("line", "keeps")
-    counted = lines.join(near.select("line"), "line", "left_semi").select("line", "site").distinct().groupBy("line").agg(F.count("site").alias("exact"))
-    exact = near.join(counted.filter(F.col("exact") >= min_sites), "line").select("line", "keeps")
-    return spread.filter(F.col("sites") >= high).select("line", "keeps").unionByName(exact)
+    near = spread.filter(F.col("sites") < high).select(*_LINE, "keeps")
+    counted = lines.join(near.select(*_LINE), _LINE, "left_semi").select(*_LINE, "site").distinct().groupBy(*_LINE).agg(F.count("site").alias("exact"))
+    exact = near.join(counted.filter(F.col("exact") >= min_sites), _LINE).select(*_LINE, "keeps")
+    found = materialize(spread.filter(F.col("sites") >= high).select(*_LINE, "keeps").unionByName(exact), "widespread")
+    discard(spread)
+    return found
 
 
 def without_widespread(
@@ -61,10 +68,11 @@ def without_widespread(
     counts: add n_lines and n_removed.
     """
     lines = _lines(docs, id_col, text_col, site_col, min_chars)
-    spread = widespread(lines, min_sites=min_sites)
-    spread = materialize(spread, "widespread")  # a plain table: a hot line's rows can then be split among tasks
-    placed = lines.filter("id is not null").select("id", "text_key", "at", "line").join(spread, "line")
+    spread = widespread(lines, min_sites=min_sites)  # a table: a hot line's rows can then be split among tasks
+    placed = lines.filter("id is not null").select("id", "text_key", "at", *_LINE).join(spread, _LINE)
     gone = placed.filter("keeps.id <> id or keeps.at <> at").groupBy("id", "text_key").agg(F.collect_set("at").alias("gone"))
+    gone = materialize(gone, "gone-lines")  # likewise for a row that is repeated often
+    discard(spread)
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"))
     joined = rows.join(gone, ["id", "text_key"], "left")
     text = F.col("row")[text_col]
@@ -73,7 +81,8 @@ def without_widespread(
         "kept", F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.transform(stays, lambda i: F.get("parts", i)), "\n"))
     )
     out = cut.select(F.col("row").withField(f"`{text_col}`", F.col("kept")).alias("row"), F.coalesce(F.size("parts"), F.lit(0)).alias("n"), F.coalesce(F.size("gone"), F.lit(0)).alias("m"), "text_key", "parts")
-    extra = [F.when(F.col("parts").isNull(), 0).otherwise(F.col("n")).cast("long").alias("n_lines"), F.greatest("m", F.lit(0)).cast("long").alias("n_removed")] if counts else []
+    numbers = {"n_lines": F.when(F.col("parts").isNull(), 0).otherwise(F.col("n")), "n_removed": F.greatest("m", F.lit(0))} if counts else {}
+    extra = [c.cast("long").alias(free_name(n, docs.columns)) for n, c in numbers.items()]
     return out.select("row.*", *extra)
 
 

@@ -23,7 +23,9 @@ spread over many tasks. Uses Spark expressions only.
 Defined cases: null or empty text has neither own words nor quotes; a null
 conversation or turn is kept, linked to nothing; repeated (conversation, turn)
 rows are kept and linked alike; lines "On ... wrote:" before a quote are dropped
-with it; an empty table yields no rows; other columns are kept.
+with it, however long; very long texts are parsed whole; an empty table yields no
+rows; other columns are kept, and results whose names they have get underscores in
+front.
 """
 
 from __future__ import annotations
@@ -32,13 +34,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lumenveil.llm.textframe import free_name
 from lumenveil.session import discard, materialize
 
 #: Turns in one range.
 RANGE = 1024
 #: Marks of a quoted line, and a line that introduces a quote.
 MARKS = r"^(?:[ \t]{0,3}>)+"
-INTRODUCES = r"(?i)^\s*on\b.{1,200}\bwrote:\s*$"
+INTRODUCES = r"(?i)^\s*on\b.+\bwrote:\s*$"
 
 
 def _latest_before(rows: DataFrame, keys: list[str], value: Column, found: str) -> DataFrame:
@@ -183,7 +186,8 @@ def conversations(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: s
     placed = branches(linked(messages, conv_col=conv_col, turn_col=turn_col, text_col=text_col))
     rows = messages.select(F.struct("*").alias("row"), F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(text_col).alias("text"))
     own = parsed(rows).select("row", "conv", "turn", "own")
-    joined = own.join(placed, ["conv", "turn"], "left")
-    return joined.select(F.col("row").withField(f"`{text_col}`", F.col("own")).alias("row"), F.struct("reply_to", "branch", "linked", "quoted").alias("place")).select(
-        "row.*", "place.*"
-    )
+    named = own.filter("conv is not null and turn is not null").join(materialize(placed, "places"), ["conv", "turn"], "left")
+    unnamed = own.filter("conv is null or turn is null")  # these meet nothing, so they need not be shuffled to meet it
+    joined = named.unionByName(unnamed, allowMissingColumns=True)
+    place = [F.col(c).alias(free_name(c, messages.columns)) for c in ("reply_to", "branch", "linked", "quoted")]
+    return joined.select(F.col("row").withField(f"`{text_col}`", F.col("own")).alias("row"), *place).select("row.*", *(F.col(free_name(c, messages.columns)) for c in ("reply_to", "branch", "linked", "quoted")))

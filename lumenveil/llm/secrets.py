@@ -14,7 +14,7 @@ pattern and the matches themselves, added up in code points.
 Defined cases: null text is the empty text, without spans; very long texts are
 scanned whole; repeated rows are repeated in the result; an empty table yields
 no rows; other columns are kept by :func:`find_secrets`, whatever their names
-(a column called ``spans`` is replaced).
+(if one is called ``spans``, the result has underscores in front).
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenveil.llm.textframe import free_name
+
 #: The base rules. (kind, pattern, shortest length of what counts)
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -154,7 +156,7 @@ def find_secrets(docs: DataFrame, *, text_col: str = "text", allowed: tuple[str,
 
     entropy = F.filter(_located(text, CANDIDATE), high)
     spans = F.concat(_typed(assign, "assign"), _typed(_located(text, ACCESS), "access"), _typed(_located(text, HEX), "hex"), _typed(entropy, "entropy"))
-    return docs.withColumn("spans", F.array_sort(spans))
+    return docs.withColumn(free_name("spans", docs.columns), F.array_sort(spans))
 
 
 def written(spans: Column) -> Column:

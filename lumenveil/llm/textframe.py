@@ -13,6 +13,14 @@ from pyspark.sql import types as T
 FLUSH_ROWS = 20_000
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """``name``, with as many underscores in front as no column of rows has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text_key, text binary): text_key tells rows with the same id apart.
 

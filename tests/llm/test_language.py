@@ -148,10 +148,10 @@ def test_the_sample_keeps_its_bound(spark, monkeypatch):
     assert 30 < {r.text: r["count"] for r in found}["the same text"] < 75
 
 
-def test_a_column_of_the_result_name_is_refused(spark):
+def test_a_column_of_the_result_name_stays(spark):
     docs = spark.createDataFrame([(1, "x", "y")], "doc_id long, text string, language string")
-    with pytest.raises(ValueError):
-        language.identify(docs, None)
+    (row,) = language.identify(docs, None).collect()
+    assert row.language == "y" and row._language.lang_pred == "und"
     assert language.identify(docs, None, name="told").columns == ["doc_id", "text", "language", "told"]
 
 

@@ -59,3 +59,10 @@ def test_defined_cases(spark):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_queries_match_their_oracles(name, same_as_oracle):
     same_as_oracle(queries.queries()[name], queries.oracle_sql()[name])
+
+
+def test_columns_of_the_counts_names_stay(spark):
+    docs = spark.createDataFrame([(1, "a\nb", "s", 5)], "doc_id long, text string, source string, n_lines int")
+    got = lines.without_widespread(docs, counts=True)
+    assert got.columns == ["doc_id", "text", "source", "n_lines", "_n_lines", "n_removed"]
+    assert tuple(got.first())[3:] == (5, 2, 0)

@@ -150,3 +150,10 @@ def test_a_paragraph_that_was_wrapped_anew_is_linked(spark):
     assert [got[2, t][1] for t in range(4)] == [None, 0, 1, 1]
     assert got[1, 2][3] == 1 and got[1, 3][3] == 1
     assert got[2, 3][0] == "Thanks."
+
+
+def test_columns_of_the_results_names_stay(spark):
+    rows = [("c", 1, "first words here", "a", "b"), ("c", 2, "> first words here\nyes", "a", "b"), (None, 3, "x", "a", "b")]
+    got = quotes.conversations(spark.createDataFrame(rows, "conv_id string, turn long, text string, reply_to string, branch string"))
+    assert got.columns == ["conv_id", "turn", "text", "reply_to", "branch", "_reply_to", "_branch", "linked", "quoted"]
+    assert sorted((r.turn, r.reply_to, r._reply_to) for r in got.collect()) == [(1, "a", None), (2, "a", 1), (3, "a", None)]

@@ -80,7 +80,7 @@ def test_defined_cases(spark):
     many = "0123456789abcdef0123456789abcdef " * 3_000
     rows = [(1, None, "x"), (2, "", "x"), (3, "token=abcdef", "x"), (3, "token=abcdef", "x"), (4, slug, "x"), (5, many, "x"), (None, "AKIA" + "A" * 16, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")
-    got = secrets.find_secrets(docs).select("doc_id", secrets.written(F.col("spans")).alias("s")).collect()
+    got = secrets.find_secrets(docs).select("doc_id", secrets.written(F.col("_spans")).alias("s")).collect()
     assert len(got) == len(rows)
     by_id = {r.doc_id: r.s for r in got}
     assert by_id[1] == by_id[2] == by_id[4] == "" and by_id[3] == "assign:0:12" and by_id[None] == "access:0:20"
