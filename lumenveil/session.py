@@ -1,14 +1,16 @@
 """Session helpers: shared folders, table loading and lineage cuts.
 
-Nothing here touches a machine-local folder: intermediate tables go to the
-folder named by ``spark.checkpoint.dir`` (or the checkpoint directory already
-set on the context), and only if neither exists to a folder inside the
-warehouse, which a cluster shares as well.
+Intermediate tables go to the folder named by ``spark.checkpoint.dir``, or to the
+checkpoint directory already set on the context. With neither, a local session
+uses a folder inside its warehouse, and a cluster is refused: what its folders
+share is not known here.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
         context.setCheckpointDir(f"{warehouse}/_checkpoints")
     return context.getCheckpointDir().rstrip("/")
@@ -39,17 +43,36 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for made in _made:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Lists of the tables written inside each open :func:`temporary_tables`.
+_made: list[list[str]] = []
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables written inside are deleted at the end, all but the last one."""
+    _made.append(made := [])
+    try:
+        yield made
+    finally:
+        _made.remove(made)
+        for path in made[:-1]:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files behind a frame made by :func:`materialize`."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+        _delete(df.sparkSession, folder)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
