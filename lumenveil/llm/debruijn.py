@@ -15,11 +15,13 @@ its minimizer, a digest of all words it spans, and its source coordinates.
   occurrences of the path.
 
 Neighbouring repeated windows are then merged along their coordinates into
-maximal spans. Equality is held by 128 bits of two independent hashes.
+maximal spans. Paths and windows are equal if 128 bits of a hash of their words
+at their source coordinates are; minimizers only bring them together.
 
 Defined cases: a null or empty text, or one with fewer than k words, has no
-window; a document id that occurs in several rows is no source for itself; a
-null id is neither a source nor changed; an empty table yields no rows; other
+window; very long texts are read whole; equal sources tie on the document id alone;
+a document id that occurs in several rows is no source for itself; a null id is
+neither a source nor changed; an empty table yields no rows; other
 columns are ignored.
 """
 
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenveil.llm.textframe import FLUSH_ROWS, compressed, decompressor, emit, keyed_texts
-from lumenveil.session import materialize
+from lumenveil.session import discard, materialize
 
 WINDOW_WORDS = 50
 MINIMIZER_WORDS = 12
@@ -77,29 +79,32 @@ def _spans(words: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
     return b" ".join(words), ends - lengths, ends
 
 
-def paths_of(words: list[bytes], k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
-    """Minimizers, first windows, numbers of windows and digests of the paths."""
+def _digests(joined: bytes, spans: Iterator[tuple[int, int]]) -> np.ndarray:
+    """[n, 2]: 128 bits of a hash of each span, as two longs."""
     import xxhash
 
+    digest = xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join([digest(joined[s:e]) for s, e in spans]), "<i8").reshape(-1, 2)
+
+
+def paths_of(words: list[bytes], k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Minimizers, first windows, numbers of windows and digests of the paths."""
     grams = _gram_hashes(words, m)
     views = np.lib.stride_tricks.sliding_window_view(grams, k - m + 1)
     places = np.concatenate([views[at : at + 4096].argmin(axis=1) + np.arange(at, min(at + 4096, len(views))) for at in range(0, len(views), 4096)])
     first = np.concatenate([[0], np.flatnonzero(np.diff(places)) + 1])
     number = np.diff(np.concatenate([first, [len(places)]]))
     joined, starts, ends = _spans(words)
-    digest = xxhash.xxh3_64_intdigest
-    bodies = [digest(joined[s:e]) for s, e in zip(starts[first].tolist(), ends[first + number + k - 2].tolist())]
-    return grams[places[first]], first, number, bodies
+    return grams[places[first]], first, number, _digests(joined, zip(starts[first].tolist(), ends[first + number + k - 2].tolist()))
 
 
-def _signed(values) -> np.ndarray:
-    return np.asarray(values, np.uint64).view(np.int64)
+_BODY, _WINDOW = ["body", "body2"], ["window", "window2"]
 
 
 def paths(texts: DataFrame, k: int, m: int) -> DataFrame:
-    """(id, text_key, minimizer, body, first, number): all paths of all texts."""
+    """(id, text_key, minimizer, body, body2, first, number): all paths of all texts."""
     schema = T.StructType(
-        [texts.schema["id"], T.StructField("text_key", T.LongType()), T.StructField("minimizer", T.LongType()), T.StructField("body", T.LongType()), T.StructField("first", T.IntegerType()), T.StructField("number", T.IntegerType())]
+        [texts.schema["id"], *(T.StructField(n, T.LongType()) for n in ("text_key", "minimizer", *_BODY)), T.StructField("first", T.IntegerType()), T.StructField("number", T.IntegerType())]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +113,8 @@ def paths(texts: DataFrame, k: int, m: int) -> DataFrame:
 
             def flush() -> pa.RecordBatch:
                 rows = pa.array(np.concatenate([np.full(len(x[1]), x[0]) for x in parts]), pa.int64())
-                columns = [pa.array(_signed(np.concatenate([np.asarray(x[c], np.uint64) for x in parts]))) for c in (1, 4)]
+                columns = [pa.array(np.concatenate([x[1] for x in parts]).view(np.int64))]
+                columns += [pa.array(np.concatenate([x[4][:, c] for x in parts])) for c in (0, 1)]
                 columns += [pa.array(np.concatenate([x[c] for x in parts]), pa.int32()) for c in (2, 3)]
                 return pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *columns], names=schema.names)
 
@@ -130,35 +136,29 @@ def paths(texts: DataFrame, k: int, m: int) -> DataFrame:
 
 
 def _expand(reps: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """(minimizer, body, at, window): digests of the windows of path classes.
+    """(minimizer, body, body2, at, window, window2): digests of the windows of path classes.
 
-    reps: (minimizer, body, id, text_key, first, number), one per class.
+    reps: (minimizer, body, body2, id, text_key, first, number), one per class.
     """
-    wanted = reps.groupBy("id", "text_key").agg(F.collect_list(F.struct("minimizer", "body", "first", "number")).alias("wanted"))
+    wanted = reps.groupBy("id", "text_key").agg(F.collect_list(F.struct("minimizer", *_BODY, "first", "number")).alias("wanted"))
     joined = wanted.join(compressed(texts), ["id", "text_key"]).select("wanted", "text")
-    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("minimizer", "body")] + [T.StructField("at", T.IntegerType()), T.StructField("window", T.LongType())])
+    schema = T.StructType([*(T.StructField(n, T.LongType()) for n in ("minimizer", *_BODY)), T.StructField("at", T.IntegerType()), *(T.StructField(n, T.LongType()) for n in _WINDOW)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        digest, grow = xxhash.xxh64_intdigest, decompressor()
+        grow = decompressor()
         for batch in batches:
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             for wanted, text in zip(batch.column(0), batch.column(1)):
                 joined, starts, ends = _spans(grow(text.as_py()).split())
-                starts, ends = starts.tolist(), ends.tolist()
                 for path in wanted.as_py():
-                    n = path["number"]
-                    out[0] += [path["minimizer"]] * n
-                    out[1] += [path["body"]] * n
-                    out[2] += range(n)
-                    out[3] += [digest(joined[starts[i] : ends[i + k - 1]]) for i in range(path["first"], path["first"] + n)]
+                    first, n = path["first"], path["number"]
+                    found = _digests(joined, zip(starts[first : first + n].tolist(), ends[first + k - 1 : first + k - 1 + n].tolist()))
+                    for column, values in zip(out, ([path["minimizer"]] * n, [path["body"]] * n, [path["body2"]] * n, range(n), found[:, 0].tolist(), found[:, 1].tolist())):
+                        column.extend(values)
                 if len(out[0]) > FLUSH_ROWS:
-                    out[3] = _signed(out[3])
                     yield emit(out, None, schema)
-                    out = [[], [], [], []]
+                    out = [[], [], [], [], [], []]
             if out[0]:
-                out[3] = _signed(out[3])
                 yield emit(out, None, schema)
 
     return joined.mapInArrow(run, schema)
@@ -171,31 +171,35 @@ def repeated_runs(docs: DataFrame, *, k: int = WINDOW_WORDS, m: int = MINIMIZER_
     is in exactly one run.
     """
     texts = keyed_texts(docs, id_col, text_col)
-    found = paths(texts, k, m)
-    by_minimizer = found.groupBy("minimizer").agg(
-        F.min("id").alias("least"), F.max("id").alias("most"), F.min("body").alias("body0"), F.max("body").alias("body1")
-    )
+    found = materialize(paths(texts, k, m), "debruijn-paths")  # read twice, and costly
+    body = F.struct(*_BODY)
+    by_minimizer = found.groupBy("minimizer").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.min(body).alias("body0"), F.max(body).alias("body1"))
     # Sides of joins on keys that may be hot are written first: a join of plain
     # tables can split the rows of one key among tasks.
     repeated = by_minimizer.filter("least < most").select("minimizer", "least", (F.col("body0") != F.col("body1")).alias("branches"))
-    shared = materialize(found.join(materialize(repeated, "debruijn-minimizers"), "minimizer"), "debruijn-shared")
+    repeated = materialize(repeated, "debruijn-minimizers")
+    shared = materialize(found.join(repeated, "minimizer"), "debruijn-shared")
+    for table in (found, repeated):
+        discard(table)
 
     whole = shared.filter("not branches and id > least").select("id", "text_key", "first", "number")
 
     forks = shared.filter("branches").drop("least", "branches")
-    classes = forks.groupBy("minimizer", "body").agg(F.min(F.struct("id", "text_key", "first", "number")).alias("source"))
-    classes = materialize(classes.select("minimizer", "body", "source.*"), "debruijn-classes")
+    classes = forks.groupBy("minimizer", *_BODY).agg(F.min(F.struct("id", "text_key", "first", "number")).alias("source"))
+    classes = materialize(classes.select("minimizer", *_BODY, "source.*"), "debruijn-classes")
     windows = materialize(_expand(classes, texts, k).distinct(), "debruijn-windows")  # a row may be there twice
-    owned = windows.join(classes.select("minimizer", "body", "id"), ["minimizer", "body"])
-    earliest = materialize(owned.groupBy("minimizer", "window").agg(F.min("id").alias("earliest")), "debruijn-earliest")
+    owned = windows.join(classes.select("minimizer", *_BODY, "id"), ["minimizer", *_BODY])
+    earliest = materialize(owned.groupBy("minimizer", *_WINDOW).agg(F.min("id").alias("earliest")), "debruijn-earliest")
     fates = (
-        windows.join(earliest, ["minimizer", "window"])
-        .groupBy("minimizer", "body")
+        windows.join(earliest, ["minimizer", *_WINDOW])
+        .groupBy("minimizer", *_BODY)
         .agg(F.array_sort(F.collect_list(F.struct("at", "earliest"))).alias("fates"))
-        .select("minimizer", "body", "fates.earliest")
+        .select("minimizer", *_BODY, "fates.earliest")
     )
     fates = materialize(fates, "debruijn-fates")
-    marked = forks.join(fates, ["minimizer", "body"]).filter("exists(earliest, e -> e < id)")
+    for table in (classes, windows, earliest):
+        discard(table)
+    marked = forks.join(fates, ["minimizer", *_BODY]).filter("exists(earliest, e -> e < id)")
     runs = F.expr("if(forall(earliest, e -> e < id), array(struct(first as first, number as number)),"
                   " transform(filter(sequence(0, number - 1), i -> earliest[i] < id), i -> struct(first + i as first, 1 as number)))")
     forked = marked.select("id", "text_key", F.explode(runs).alias("run")).select("id", "text_key", "run.first", "run.number")
@@ -210,6 +214,7 @@ def without_repeats(docs: DataFrame, *, k: int = WINDOW_WORDS, m: int = MINIMIZE
     """
     runs = repeated_runs(docs, k=k, m=m, id_col=id_col, text_col=text_col)
     per_text = runs.groupBy("id", "text_key").agg(F.collect_list(F.struct("first", "number")).alias("runs"))
+    per_text = materialize(per_text, "debruijn-runs")  # rows of one text, if it is repeated often, can be split then
     texts = compressed(keyed_texts(docs, id_col, text_col))
     joined = texts.join(per_text, ["id", "text_key"], "left").select("id", "text", "runs.first", "runs.number")
     span = T.StructType([T.StructField("first", T.IntegerType()), T.StructField("words", T.IntegerType())])

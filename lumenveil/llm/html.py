@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenveil.llm.textframe import compressed, decompressor, emit
-from lumenveil.session import materialize
+from lumenveil.session import discard, materialize
 
 #: Different contents of a host on which a subtree makes it a template.
 MIN_CONTENTS = 5
@@ -381,6 +381,9 @@ def extract_text(pages: DataFrame, *, min_contents: int = MIN_CONTENTS, id_col:
     known = recurring.filter("subtree <> 0").join(total, "host").filter(outside | (F.col("n") >= INSIDE_SHARE * F.col("total"))).select("host", "subtree")
     known = materialize(known, "templates")
     own = found.join(known, ["host", "subtree"]).groupBy("id", "text_key").agg(F.collect_set("subtree").alias("templates"))
+    own = materialize(own, "own-templates")
+    for table in (found, recurring, known):
+        discard(table)
     joined = compressed(keyed.select("id", "text_key", "url", "text")).join(own, ["id", "text_key"], "left").select("id", "url", "text", "templates")
     schema = T.StructType([T.StructField(id_col, pages.schema[id_col].dataType), T.StructField(url_col, T.StringType()), T.StructField("text", T.StringType()), T.StructField("removed", T.IntegerType())])
 
