@@ -19,9 +19,11 @@ loss per partition does not add up. Only piece headers move between tasks; the
 memory of a task is bounded by the buffer and the open bins.
 
 Defined cases: a null or empty text is the single end id; an added token of the
-vocabulary (<|endoftext|>) in a text is its one id, as the tokenizer has it; a repeated document
-id or repeated row yields its own pieces; an empty table yields no rows; extra
-columns are ignored unless passed as payload of ``pack``.
+vocabulary (<|endoftext|>) in a text is its one id, as the tokenizer has it; a very
+long text is tokenised whole and then cut; of bins with equal free space the last
+one opened is taken; a repeated document id or repeated row yields its own pieces;
+an empty table yields no rows; extra columns are ignored unless passed as payload
+of ``pack``, which must have no column sequence_id, offset or free.
 """
 
 from __future__ import annotations
@@ -248,9 +250,10 @@ def pack(
 ) -> DataFrame:
     """Place pieces (any columns, among them ``length`` of 1..capacity).
 
-    Returns the given columns plus sequence_id and offset. Rows are dealt by
-    ``key_cols`` and ordered by their hash, so a task that runs again after a lost
-    executor makes the same placement. Sequences of the first level with more
+    Returns the given columns plus sequence_id and offset. Rows are dealt in turn,
+    which Spark does on sorted rows, and ordered by the hash of ``key_cols``, so a task
+    that runs again after a lost executor makes the same placement, and no key or null
+    brings many rows to one task. Sequences of the first level with more
     than ``slack`` free tokens (capacity/128 by default) are packed again.
     """
     slack = capacity // 128 if slack is None else slack
@@ -263,10 +266,10 @@ def pack(
     def ordered(df: DataFrame) -> DataFrame:
         return df.sortWithinPartitions(F.xxhash64(*key_cols), *key_cols, "length")
 
-    level1 = ordered(pieces.repartition(*key_cols)).mapInArrow(_packer(capacity, open_bins, look_ahead, 0), schema)
+    level1 = ordered(pieces.repartition(shuffle_partitions(spark))).mapInArrow(_packer(capacity, open_bins, look_ahead, 0), schema)
     level1 = materialize(level1, "packing")
     again = level1.filter(F.col("free") > slack).drop("sequence_id", "offset", "free")
-    level2 = ordered(again.repartition(spread, *key_cols)).mapInArrow(_packer(capacity, open_bins, look_ahead, 1 << 62), schema)
+    level2 = ordered(again.repartition(spread)).mapInArrow(_packer(capacity, open_bins, look_ahead, 1 << 62), schema)
     return level1.filter(F.col("free") <= slack).unionByName(level2).drop("free")
 
 
