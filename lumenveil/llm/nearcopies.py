@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from lumenveil.llm.components import components
 from lumenveil.llm.simhash import SEGMENTS, Forest, codewords
-from lumenveil.llm.textframe import spread_join
+from lumenveil.llm.textframe import compressed, decompressor, spread_join
 from lumenveil.session import discard, materialize, shuffle_partitions
 
 SHINGLE_WORDS = 5
@@ -46,7 +46,7 @@ PRINTS = 2
 CANDIDATE_BITS = 26
 #: Fingerprints of one key in a block; texts and words of a cluster in a block.
 BLOCK = 2048
-BLOCK_TEXTS = 1024
+BLOCK_TEXTS = 256
 BLOCK_WORDS = 1 << 20
 #: Linked nodes that a task keeps before it hands on what it has.
 FOREST_NODES = 200_000
@@ -91,15 +91,16 @@ def shingles(text: bytes | None, n: int) -> np.ndarray:
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, t1, t2, fp0, fp1) of every row; t1 and t2 tell texts apart."""
+    """(id, t1, t2, fp0, fp1, words) of every row; t1 and t2 tell texts apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [prints(x.as_py()) for x in batch.column(3)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["id", *_TEXT, *_PRINTS])
+            words = [len((x.as_py() or b"").split()) for x in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array([x[c] for x in found], pa.int64()) for c in range(2)), pa.array(words, pa.int64())], names=["id", *_TEXT, *_PRINTS, "words"])
 
     rows = _texts(docs, text_col, F.col(id_col).alias("id"))
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:3], *(T.StructField(n, T.LongType()) for n in _PRINTS)]))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:3], *(T.StructField(n, T.LongType()) for n in (*_PRINTS, "words"))]))
 
 
 def _texts(docs: DataFrame, text_col: str, *others) -> DataFrame:
@@ -306,6 +307,7 @@ def _verified(n: int, similarity: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, left, right = None, [], []
+        grow = decompressor()
 
         def links() -> list[tuple[int, int]]:
             forest, out = Forest(), []
@@ -331,7 +333,7 @@ def _verified(n: int, similarity: float):
                     if left:
                         yield emit(links())
                     now, left, right = name, [], []
-                (right if sides[row] else left).append((ids[row], shingles(batch.column(5)[row].as_py(), n)))
+                (right if sides[row] else left).append((ids[row], shingles(grow(batch.column(5)[row].as_py()), n)))
         if left:
             yield emit(links())
 
@@ -339,11 +341,10 @@ def _verified(n: int, similarity: float):
 
 
 def _verified_links(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle_words: int, similarity: float) -> DataFrame:
-    """(a, b): links by t1 between texts of one cluster; members: (cluster, least, t1, t2)."""
-    texts = _texts(docs, text_col, F.col(id_col).alias("least")).join(members, ["least", *_TEXT]).dropDuplicates(_TEXT)
-    texts = materialize(texts.select("cluster", *_TEXT, "text"), "near-texts")
-    words = F.length("text") / 6
-    sizes = texts.groupBy("cluster").agg(F.ceil(F.greatest(F.sum(words) / BLOCK_WORDS, F.count("*") / BLOCK_TEXTS)).cast("int").alias("parts"))
+    """(a, b): links by t1 between texts of one cluster; members: (cluster, least, t1, t2, words)."""
+    texts = compressed(_texts(docs, text_col, F.col(id_col).alias("least"))).hint("merge").join(members, ["least", *_TEXT]).dropDuplicates(_TEXT)
+    texts = materialize(texts.select("cluster", *_TEXT, "words", "text"), "near-texts")
+    sizes = texts.groupBy("cluster").agg(F.ceil(F.greatest(F.sum("words") / BLOCK_WORDS, F.count("*") / BLOCK_TEXTS)).cast("int").alias("parts"))
     dealt = texts.join(sizes, "cluster").withColumn("part", F.pmod(F.xxhash64(F.lit(5), *_TEXT), "parts").cast("int"))
     left = dealt.select("cluster", F.col("part").alias("i"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("j"), F.lit(0).alias("side"), "t1", "text")
     right = dealt.filter("part > 0").select("cluster", F.explode(F.sequence(F.lit(0), F.col("part") - 1)).alias("i"), F.col("part").alias("j"), F.lit(1).alias("side"), "t1", "text")
@@ -360,7 +361,7 @@ def without_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     found = classes(docs, id_col=id_col, text_col=text_col, **how)
     keys = ["id", *_TEXT]
     gone = found.filter(F.struct(F.col("id").alias("least"), *_TEXT) != F.col("keeper")).select(*keys).distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), *text_keys(text_col)).join(materialize(gone, "near-gone"), keys, "left_anti")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), *text_keys(text_col)).hint("merge").join(materialize(gone, "near-gone"), keys, "left_anti")
     repeated = materialize(found.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").select(*keys), "near-repeated")
     if repeated.isEmpty():
         return rows.select("row.*")
@@ -375,14 +376,14 @@ def classes(docs: DataFrame, *, shingle_words: int = SHINGLE_WORDS, similarity:
     of the row's class: of all rows that copies and near copies connect.
     """
     marked = materialize(_marked(docs, id_col, text_col).filter("id is not null"), "near-prints")
-    texts = materialize(marked.groupBy(*_TEXT, *_PRINTS).agg(F.min("id").alias("least"), F.count("*").alias("n")), "near-distinct")
+    texts = materialize(marked.groupBy(*_TEXT, *_PRINTS).agg(F.min("id").alias("least"), F.first("words").alias("words"), F.count("*").alias("n")), "near-distinct")
     nodes = texts.groupBy(*_PRINTS).agg(F.count("*").alias("texts"))
     nodes = materialize(nodes, "near-nodes")
     name = lambda a, b: F.xxhash64(F.lit(9), a, b)
     roots = components(candidate_links(nodes).select(name("a0", "a1").alias("a"), name("b0", "b1").alias("b")))
     named = nodes.withColumn("node", name(*_PRINTS)).join(roots, "node", "left").filter("root is not null or texts > 1")
     clusters = materialize(named.select(*_PRINTS, F.coalesce("root", "node").alias("cluster")), "near-clusters")
-    members = materialize(texts.join(clusters, _PRINTS).select("cluster", "least", *_TEXT), "near-members")
+    members = materialize(texts.join(clusters, _PRINTS).select("cluster", "least", "words", *_TEXT), "near-members")
     linked = components(_verified_links(members, docs, id_col, text_col, shingle_words, similarity)).withColumnRenamed("node", "t1")
     joined = texts.join(linked, "t1", "left").withColumn("root", F.coalesce("root", "t1"))
     keepers = materialize(joined.groupBy("root").agg(F.min(F.struct("least", *_TEXT)).alias("keeper")), "near-keepers")
