@@ -184,3 +184,18 @@ def correlation(a: Column, b: Column) -> Column:
     pair = F.array(F.struct(centred(doubles(a)).alias("a"), centred(doubles(b)).alias("b")))
     score = lambda s: F.coalesce(F.try_divide(dot(s["a"], s["b"]), F.sqrt(dot(s["a"], s["a"]) * dot(s["b"], s["b"]))), F.lit(0.0))
     return F.transform(pair, score)[0]
+
+
+def peak_to_sidelobe(response: Column) -> Column:
+    """(peak - mean) / (standard deviation + 1e-6) of an array of match responses."""
+    n = F.size(response)
+    total = lambda of: F.aggregate(response, F.lit(0.0), lambda t, x: t + of(x.cast("double")))
+    return _let({"mean": total(lambda x: x) / n}, lambda m: (F.array_max(response) - m["mean"]) / (F.sqrt(total(lambda x: (x - m["mean"]) * (x - m["mean"])) / n) + 1e-6))
+
+
+def grid_points(b, width: Column, height: Column, n: int = 3, margin: float = 0.12) -> Column:
+    """array<struct<x, y>>: n x n points inside a box clipped to the frame; null below 12 pixels."""
+    x1, y1, x2, y2 = F.greatest(b[0], F.lit(0)), F.greatest(b[1], F.lit(0)), F.least(b[2], width), F.least(b[3], height)
+    at = lambda low, high, k: low + (high - low) * (margin + (1 - 2 * margin) * k / (n - 1))
+    points = F.array(*(F.struct(at(x1, x2, i).alias("x"), at(y1, y2, j).alias("y")) for j in range(n) for i in range(n)))
+    return F.when((x2 - x1 >= 12) & (y2 - y1 >= 12), points)

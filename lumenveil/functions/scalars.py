@@ -141,6 +141,67 @@ def fingerprint(*parts: Column) -> Column:
     return F.concat_ws("|", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts))
 
 
+def two_eyes(width: Column, height: Column) -> Column:
+    """Whether a frame holds two fisheye images side by side."""
+    return width >= 2 * height
+
+
+def statistics_window(start: Column, end: Column, now: float) -> Column:
+    """struct<start, end, error> of ISO 8601 texts, in seconds; by default the last three days.
+
+    A time without a zone is of the session's. error tells why a window is refused.
+    """
+    blank = lambda t: t.isNull() | (t == "")
+    seconds = lambda t: F.unix_micros(F.try_to_timestamp(F.regexp_replace(t, "Z$", "+00:00"))) / 1e6
+    until = F.when(blank(end), F.lit(float(now))).otherwise(seconds(end))
+    since = F.when(blank(start), until - 3 * 86400).otherwise(seconds(start))
+    error = F.when(until.isNull() | since.isNull(), "format").when(until <= since, "order").when(until - since > 90 * 86400, "length")
+    return F.struct(since.alias("start"), until.alias("end"), error.alias("error"))
+
+
+def arguments(text: Column, most: int = 128, longest: int = 4096) -> Column:
+    """A JSON array of strings, or words with single or double quotes, as an array; null if refused."""
+    line = F.trim(text)
+    words = F.transform(
+        F.regexp_extract_all(line, F.lit(r"""(\"[^\"]*\"|'[^']*'|[^\s\"']+)"""), F.lit(1)),
+        lambda w: F.when(w.rlike("^[\"']"), F.substring(w, 2, F.length(w) - 2)).otherwise(w),
+    )
+    found = F.when(line.startswith("["), F.from_json(line, "array<string>")).otherwise(words)
+    return F.when((F.size(found) <= most) & F.forall(found, lambda x: x.isNotNull() & (F.length(x) <= longest)), found)
+
+
+def host_slot(text: Column, most: int = 16) -> Column:
+    """struct<ip, slots> of ``ip=slots``; null unless both are valid."""
+    ip, number = F.regexp_extract(text, "^([^=]*)=", 1), F.regexp_extract(text, "=([0-9]+)$", 1).try_cast("int")
+    return F.when(is_ipv4(ip) & number.between(1, most), F.struct(ip.alias("ip"), number.alias("slots")))
+
+
+def display_hours(seconds: Column) -> Column:
+    return F.format_string("%.1f h", F.coalesce(seconds, F.lit(0.0)) / 3600)
+
+
+def display_worker_hours(value: Column) -> Column:
+    """Worker time of an hour of video: minutes below an hour, else hours; a dash for none."""
+    minutes = F.format_string("%.0f min", value * 60)
+    return F.when(value.isNull() | F.isnan(value), "\u2013").when(value < 1, minutes).otherwise(F.format_string("%.2f h", value))
+
+
+def frame_number(path: Column) -> Column:
+    """The number at the end of a frame file's stem."""
+    return F.regexp_extract(basename(path), r"(\d+)\.[^.]*$", 1).try_cast("long")
+
+
+def column_letters(number: Column) -> Column:
+    """Spreadsheet column name of a 1-based number of at most seven letters."""
+    start = F.struct(number.cast("long").alias("rest"), F.lit("").alias("name"))
+
+    def step(state: Column, _: Column) -> Column:
+        last = F.when(state["rest"] > 0, F.char(65 + (state["rest"] - 1) % 26)).otherwise("")
+        return F.struct(F.when(state["rest"] > 0, F.floor((state["rest"] - 1) / 26)).otherwise(0).cast("long").alias("rest"), F.concat(last, state["name"]).alias("name"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(7)), start, step, lambda state: state["name"])
+
+
 def column_name(number: int) -> str:
     """Spreadsheet column name of a 1-based number."""
     name = ""

@@ -15,6 +15,8 @@ from lumenveil.operators.runs import Row, over_groups
 
 FRAME = ["video_id", "frame_idx"]
 SIDES = list(boxes.SIDES)
+#: A total order of a frame's boxes, also where det_id repeats.
+ORDER = ["det_id", *SIDES, "score"]
 # Thresholds of the fusion rules.
 CONSENSUS_IOU = 0.3
 CLUSTER_IOU = 0.30
@@ -51,7 +53,7 @@ def nms(detections: DataFrame, threshold: float = 0.4, *, inclusive: bool = True
                 kept.append(row)
         return kept
 
-    return over_groups(detections, list(keys), [F.desc_nulls_last("score"), "det_id"], step, detections.schema)
+    return over_groups(detections, list(keys), [F.desc_nulls_last("score"), "det_id", *SIDES], step, detections.schema)
 
 
 def greedy_pairs(left: list[Row], right: list[Row], value, least: float) -> list[tuple[int, int, float]]:
@@ -87,7 +89,7 @@ def dual_consensus(detections: DataFrame, threshold: float = CONSENSUS_IOU, *, m
         return out + [single(r, "b", "a") for j, r in enumerate(b) if j not in {p[1] for p in pairs}]
 
     schema = _fields(detections, [*FRAME, *SIDES]) + ", det_a int, det_b int, score_a double, score_b double, iou double, mean_score double, source string"
-    return over_groups(detections, FRAME, ["det_id"], step, schema)
+    return over_groups(detections, FRAME, ORDER, step, schema)
 
 
 def leader_clusters(detections: DataFrame, threshold: float = CLUSTER_IOU, *, least_score: float = 0.30) -> DataFrame:
@@ -111,7 +113,7 @@ def leader_clusters(detections: DataFrame, threshold: float = CLUSTER_IOU, *, le
         return [{k: c["lead"][k] for k in (*FRAME, *SIDES, "det_id", "score")} | {"members": c["n"], "scores": c["scores"], "source": "C"} for c in clusters]
 
     schema = _fields(detections, [*FRAME, *SIDES, "det_id", "score"]) + ", members int, scores map<string, double>, source string"
-    return over_groups(detections, FRAME, ["det_id"], step, schema)
+    return over_groups(detections, FRAME, ORDER, step, schema)
 
 
 def pairs_in_frame(left: DataFrame, right: DataFrame, condition: Column, kind: str = "inner") -> DataFrame:
@@ -169,6 +171,54 @@ def needs_verification(least_score: Column, risk: Column, threshold: float) -> C
     return (least_score < threshold + VERIFY_MARGIN) | (risk >= VERIFY_RISK)
 
 
+def dual_scores_consistent(first: Column, second: Column, *, first_model: str, second_model: str) -> Column:
+    """The rule for a pair of the fast primary detector and the large second one; others pass."""
+    if not (first_model.startswith("yolov8") and "scrfd-10g" in second_model):
+        return F.lit(True)
+    return scores_consistent(first, second)
+
+
+def verifier_consistent(first: Column, second: Column, verifier: Column, *, first_model: str, second_model: str) -> Column:
+    """Whether the verifier's score is near that of the detector it answers for."""
+    reference = second if "scrfd-2.5g" in second_model else F.lit(None).cast("double")
+    if first_model.startswith("yolov8"):
+        reference = F.coalesce(reference, F.when(second.isNull(), first))
+    return scores_consistent(reference, verifier)
+
+
+def has_required_scores(first: Column, second: Column, *, second_model: str) -> Column:
+    """A new track needs positive scores of both detectors where the small second one is used."""
+    if "scrfd-2.5g" not in second_model:
+        return F.lit(True)
+    return F.coalesce((first > 0) & (second > 0), F.lit(False))
+
+
+def of_classes(detections: DataFrame, classes: tuple[int, ...], column: str = "class_id") -> DataFrame:
+    """Detections of some classes of a detector."""
+    return detections.filter(F.col(column).isin(*classes))
+
+
+def adjacent_matches(detections: DataFrame, threshold: float = CONSENSUS_IOU) -> DataFrame:
+    """(video_id, frame_idx, old_id, new_id, iou): boxes matched to those of the frame before.
+
+    Each old box in order takes the best unused new one above the threshold.
+    """
+    rows = detections.select(*FRAME, "det_id", *SIDES)
+    both = rows.withColumn("old", F.lit(False)).unionByName(rows.withColumn("frame_idx", F.col("frame_idx") + 1).withColumn("old", F.lit(True)))
+
+    def step(found: list[Row]) -> list[Row]:
+        old, new = ([r for r in found if r["old"] == mark] for mark in (True, False))
+        above = lambda a, b: v if (v := _iou(a, b)) > threshold else -1.0
+        return [{**{k: old[i][k] for k in FRAME}, "old_id": old[i]["det_id"], "new_id": new[j]["det_id"], "iou": v} for i, j, v in greedy_pairs(old, new, above, threshold)]
+
+    return over_groups(both, FRAME, ["det_id", *SIDES], step, _fields(detections, FRAME) + ", old_id int, new_id int, iou double")
+
+
+def stereo_disparity(pairs: DataFrame) -> DataFrame:
+    """(video_id, frame_idx, disparity, pairs) of matched boxes: the median of left_x - right_x."""
+    return pairs.groupBy(*FRAME).agg(F.median(F.col("left_x") - F.col("right_x")).alias("disparity"), F.count("*").alias("pairs"))
+
+
 def stereo_cost(left, right, eye_width: Column, height: Column, *, disparity: float = 0.0, calibrated: bool = False) -> Column:
     """Cost of pairing boxes of two eyes; null outside the gates."""
     (lx, ly, ls), (rx, ry, rs) = boxes.normalised(left, eye_width, height), boxes.normalised(right, eye_width, height)

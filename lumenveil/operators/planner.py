@@ -88,3 +88,13 @@ def map_differences(old: DataFrame, new: DataFrame) -> DataFrame:
     """(key, old, new) of keys that came, went or changed."""
     joined = old.select("key", F.col("value").alias("old")).join(new.select("key", F.col("value").alias("new")), "key", "full")
     return joined.filter(~F.col("old").eqNullSafe(F.col("new")))
+
+
+def unlisted(managed: DataFrame, listed: DataFrame) -> DataFrame:
+    """Managed addresses that no listing shows."""
+    return managed.select("private_ip").distinct().join(listed.select("private_ip"), "private_ip", "left_anti")
+
+
+def allowed(hosts: DataFrame, addresses: DataFrame) -> DataFrame:
+    """Hosts whose address is on the list of managed ones."""
+    return hosts.join(addresses.select("private_ip").distinct(), "private_ip", "left_semi").select(hosts.columns)

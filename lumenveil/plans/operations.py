@@ -415,15 +415,25 @@ def iou_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("l_video_id").alias("video_id"), F.col("l_frame_idx").alias("frame_idx"), F.col("l_det_id").alias("det_a"), F.col("r_det_id").alias("det_b"), r6(boxes.iou_floored(left, right)).alias("floored"), r6(boxes.iou_inclusive(left, right)).alias("inclusive"))
 
 
-@query("""
-, p AS (SELECT *, (det_id % 5) * 0.1 AS k FROM detections)
-SELECT video_id, frame_idx, det_id, 0.15 + k <= 0.75 AND 0.15 + k >= 0.01 AS plausible FROM p
+#: Shares of a box at which five landmarks lie: (x, y) of eyes, nose and mouth corners;
+#: every det_id breaks another condition of the hard test, or none (0 and 1).
+_POINTS = (
+    ("0.3", "0.35"), ("CASE k WHEN 2 THEN 0.2 WHEN 3 THEN 1.1 ELSE 0.7 END", "CASE k WHEN 6 THEN 0.75 ELSE 0.35 END"),
+    ("CASE k WHEN 5 THEN 0.9 ELSE 0.5 END", "CASE k WHEN 4 THEN 0.3 WHEN 1 THEN 0.6 ELSE 0.5 END"), ("0.36", "CASE k WHEN 7 THEN 1.2 ELSE 0.75 END"), ("0.6", "CASE k WHEN 7 THEN 1.2 ELSE 0.75 END"),
+)
+
+
+@query(f"""
+, d AS (SELECT *, det_id % 8 AS k, x2 - x1 AS w, y2 - y1 AS h FROM detections), p AS (SELECT *, {', '.join(f"x1 + ({x}) * w AS px{i}, y1 + ({y}) * h AS py{i}" for i, (x, y) in enumerate(_POINTS))} FROM d),
+f AS (SELECT *, (py3 + py4) / 2 - (py0 + py1) / 2 AS reach FROM p)
+SELECT video_id, frame_idx, det_id, w > 0 AND h > 0 AND px0 < px1 AND px3 < px4 AND (px1 - px0) / w BETWEEN 0.01 AND 0.75 AND (px4 - px3) / w BETWEEN 0.03 AND 0.75 AND reach BETWEEN 0.25 * h AND 0.7 * h AND abs(py1 - py0) <= 0.35 * h AND abs(py4 - py3) <= 0.35 * h
+ AND (py2 - (py0 + py1) / 2) / reach BETWEEN 0.02 AND 1.05 AND px2 BETWEEN least(px0, px1, px3, px4) - 0.08 * w AND greatest(px0, px1, px3, px4) + 0.08 * w
+ AND {' AND '.join(f"px{i} BETWEEN x1 - 0.15 * w AND x2 + 0.15 * w AND py{i} BETWEEN y1 - 0.15 * h AND y2 + 0.15 * h" for i in range(5))} AS plausible FROM f
 """)
 def plausible_landmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w, h, k = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), F.col("det_id") % 5 * 0.1
-    at = lambda x, y: F.struct((F.col("x1") + x * w).alias("x"), (F.col("y1") + y * h).alias("y"))
-    points = F.array(at(F.lit(0.3), F.lit(0.35)), at(0.45 + k, F.lit(0.35)), at(F.lit(0.45), F.lit(0.5)), at(F.lit(0.35), F.lit(0.75)), at(F.lit(0.6), F.lit(0.75)))
-    return view(spark, sf_dir, "detections").select("video_id", "frame_idx", "det_id", boxes.plausible_landmarks(points, boxes.box()).alias("plausible"))
+    rows = view(spark, sf_dir, "detections").withColumn("k", F.col("det_id") % 8)
+    points = F.array(*(F.expr(f"struct(double(x1 + ({x}) * (x2 - x1)) as x, double(y1 + ({y}) * (y2 - y1)) as y)") for x, y in _POINTS))
+    return rows.select("video_id", "frame_idx", "det_id", boxes.plausible_landmarks(points, boxes.box()).alias("plausible"))
 
 
 @query("SELECT video_id, min(x1) AS x1, min(y1) AS y1, max(x1) AS x2, max(y1) AS y2 FROM detections GROUP BY video_id")
@@ -433,6 +443,11 @@ def polygon_hulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hulls.groupBy("video_id").agg(*((F.min if n in ("x1", "y1") else F.max)(n).alias(n) for n in boxes.SIDES))
 
 
-@query()
+@query(f"""
+, r AS (SELECT *, row_number() OVER (PARTITION BY video_id, det_id ORDER BY frame_idx, x1, y1, x2, y2) AS k FROM jittered),
+step AS (SELECT video_id, det_id, k, frame_idx, x1, y1, x2, y2 FROM r WHERE k = 1 UNION ALL
+ SELECT r.video_id, r.det_id, r.k, r.frame_idx, {', '.join(f"round_even(r.{c} * 0.65 + s.{c} * 0.35, 0)" for c in ("x1", "y1", "x2", "y2"))} FROM step s JOIN r ON s.video_id = r.video_id AND s.det_id = r.det_id AND r.k = s.k + 1)
+SELECT video_id, det_id, frame_idx, x1, y1, x2, y2 FROM step
+""", recursive=True)
 def smoothed_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.smoothed_tracks(view(spark, sf_dir, "jittered"), ["video_id", "det_id"])

@@ -602,23 +602,73 @@ def slot_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- order-dependent operators (tested against plain Python) ------------------
 
 
-@query()
+_INCLUSIVE = "greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1) + 1, 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1) + 1, 0)"
+_FRAME, _BOXES = "video_id, frame_idx", "det_id, x1, y1, x2, y2, score"
+
+
+@query(f"""
+, r AS (SELECT *, (x2 - x1 + 1) * (y2 - y1 + 1) AS size, row_number() OVER (PARTITION BY {_FRAME}, model ORDER BY score DESC NULLS LAST, det_id, x1, y1, x2, y2) AS k FROM detections),
+o AS (SELECT {_FRAME}, a.model, a.k, a.det_id, list(b.k) FILTER (b.k < a.k AND {_INCLUSIVE} / (a.size + b.size - {_INCLUSIVE}) > 0.4) AS better FROM r a JOIN r b USING ({_FRAME}, model) GROUP BY ALL),
+step AS (SELECT {_FRAME}, model, k, det_id, [k] AS kept FROM o WHERE k = 1 UNION ALL
+ SELECT o.video_id, o.frame_idx, o.model, o.k, o.det_id, CASE WHEN len(list_intersect(s.kept, coalesce(o.better, []))) = 0 THEN list_append(s.kept, o.k) ELSE s.kept END
+ FROM step s JOIN o ON s.video_id = o.video_id AND s.frame_idx = o.frame_idx AND s.model = o.model AND o.k = s.k + 1)
+SELECT {_FRAME}, model, det_id FROM step WHERE list_contains(kept, k)
+""", recursive=True)
 def nms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.nms(view(spark, sf_dir, "detections")).select("video_id", "frame_idx", "model", "det_id")
 
 
-@query()
+#: Each box of the first model in order takes the best free one of the other: pairs (k, pick).
+_GREEDY = f"""
+, a AS (SELECT *, row_number() OVER (PARTITION BY {_FRAME} ORDER BY {_BOXES}) AS k FROM jittered WHERE model = 'A'), b AS (SELECT *, row_number() OVER (PARTITION BY {_FRAME} ORDER BY {_BOXES}) AS j FROM jittered WHERE model = 'B'),
+v AS (SELECT a.video_id, a.frame_idx, a.k, b.j, {_IOU} AS iou FROM a JOIN b ON {_SAME}),
+c AS (SELECT a.video_id, a.frame_idx, a.k, list(v.j ORDER BY iou DESC, v.j) FILTER (iou >= 0.3) AS wants FROM a LEFT JOIN v ON a.video_id = v.video_id AND a.frame_idx = v.frame_idx AND a.k = v.k GROUP BY ALL),
+step AS (SELECT {_FRAME}, k, wants[1] AS pick, coalesce(wants[1:1], []) AS used FROM c WHERE k = 1 UNION ALL
+ SELECT c.video_id, c.frame_idx, c.k, list_filter(c.wants, lambda x: NOT list_contains(s.used, x))[1], list_concat(s.used, coalesce(list_filter(c.wants, lambda x: NOT list_contains(s.used, x))[1:1], []))
+ FROM step s JOIN c ON s.video_id = c.video_id AND s.frame_idx = c.frame_idx AND c.k = s.k + 1)
+"""
+
+
+@query(f"""
+{_GREEDY}, d AS (SELECT a.*, b.det_id AS other, b.score AS other_score, v.iou FROM step JOIN a USING ({_FRAME}, k) JOIN b ON {_SAME} AND b.j = pick JOIN v ON {_SAME.replace('b.', 'v.')} AND v.k = a.k AND v.j = pick)
+SELECT {_FRAME}, x1, y1, x2, y2, det_id AS det_a, other AS det_b, score AS score_a, other_score AS score_b, iou, (score + other_score) / 2 AS mean_score, 'D' AS source FROM d
+UNION ALL SELECT {_FRAME}, x1, y1, x2, y2, det_id, NULL, score, NULL, NULL, score, 'S' FROM a WHERE (video_id, frame_idx, k) NOT IN (SELECT (video_id, frame_idx, k) FROM step WHERE pick IS NOT NULL)
+UNION ALL SELECT {_FRAME}, x1, y1, x2, y2, NULL, det_id, NULL, score, NULL, score, 'S' FROM b WHERE (video_id, frame_idx, j) NOT IN (SELECT (video_id, frame_idx, pick) FROM step WHERE pick IS NOT NULL)
+""", recursive=True)
 def dual_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.dual_consensus(view(spark, sf_dir, "jittered"))
 
 
-@query()
+@query(f"""
+, r AS (SELECT *, row_number() OVER (PARTITION BY {_FRAME} ORDER BY {_BOXES}) AS k FROM jittered WHERE score >= 0.3),
+o AS (SELECT a.video_id, a.frame_idx, a.k, a.score, a.model, list(b.k) FILTER ({_IOU} >= 0.3) AS near FROM r a JOIN r b ON {_SAME} GROUP BY ALL),
+step AS (SELECT {_FRAME}, k, [k] AS leads, [score] AS best, [1] AS n, [CASE WHEN model = 'A' THEN score END] AS sa, [CASE WHEN model = 'B' THEN score END] AS sb FROM o WHERE k = 1 UNION ALL
+ SELECT video_id, frame_idx, k, CASE WHEN own IS NULL THEN list_append(leads, k) ELSE list_transform(leads, lambda x, i: CASE WHEN i = own AND score > best[i] THEN k ELSE x END) END,
+  CASE WHEN own IS NULL THEN list_append(best, score) ELSE list_transform(best, lambda x, i: CASE WHEN i = own THEN greatest(x, score) ELSE x END) END,
+  CASE WHEN own IS NULL THEN list_append(n, 1) ELSE list_transform(n, lambda x, i: CASE WHEN i = own THEN x + 1 ELSE x END) END,
+  CASE WHEN own IS NULL THEN list_append(sa, CASE WHEN model = 'A' THEN score END) ELSE list_transform(sa, lambda x, i: CASE WHEN i = own AND model = 'A' THEN greatest(x, score) ELSE x END) END,
+  CASE WHEN own IS NULL THEN list_append(sb, CASE WHEN model = 'B' THEN score END) ELSE list_transform(sb, lambda x, i: CASE WHEN i = own AND model = 'B' THEN greatest(x, score) ELSE x END) END
+ FROM (SELECT o.*, s.leads, s.best, s.n, s.sa, s.sb, list_position(list_transform(s.leads, lambda x: list_contains(o.near, x)), true) AS own
+  FROM step s JOIN o ON s.video_id = o.video_id AND s.frame_idx = o.frame_idx AND o.k = s.k + 1)),
+ends AS (SELECT {_FRAME}, leads, n, sa, sb FROM step s WHERE s.k = (SELECT max(t.k) FROM o t WHERE t.video_id = s.video_id AND t.frame_idx = s.frame_idx)),
+flat AS (SELECT {_FRAME}, unnest(leads) AS k, unnest(n) AS members, unnest(sa) AS sa, unnest(sb) AS sb FROM ends)
+SELECT {_FRAME}, x1, y1, x2, y2, det_id, score, CAST(members AS INTEGER) AS members, concat_ws(',', 'A=' || CAST(round(sa, 4) AS VARCHAR), 'B=' || CAST(round(sb, 4) AS VARCHAR)) AS scores, 'C' AS source FROM flat JOIN r USING ({_FRAME}, k)
+""", recursive=True)
 def leader_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fusion.leader_clusters(view(spark, sf_dir, "jittered"))
     return found.withColumn("scores", F.array_join(F.transform(F.array_sort(F.map_entries("scores")), lambda e: F.concat_ws("=", e["key"], F.round(e["value"], 4))), ","))
 
 
-@query()
+@query(f"""
+, n AS (SELECT *, (x1 + x2) / 2 / 1500 AS cx, (y1 + y2) / 2 / 900 AS cy, greatest(x2 - x1, y2 - y1) AS side FROM jittered),
+p AS (SELECT a.video_id, a.frame_idx, a.det_id AS l, b.det_id AS r, abs(a.cx - b.cx) / 0.16 + abs(a.cy - b.cy) / 0.08 + abs(1 - a.side / greatest(b.side, 1)) AS cost
+ FROM n a JOIN n b ON {_SAME} AND a.model = 'A' AND b.model = 'B' WHERE abs(a.cx - b.cx) <= 0.16 AND abs(a.cy - b.cy) <= 0.08 AND a.side / greatest(b.side, 1) BETWEEN 0.45 AND 2.2),
+o AS (SELECT *, row_number() OVER (PARTITION BY {_FRAME} ORDER BY cost, l, r) AS k FROM p),
+step AS (SELECT {_FRAME}, k, true AS taken, [l] AS ls, [r] AS rs FROM o WHERE k = 1 UNION ALL
+ SELECT video_id, frame_idx, k, free, CASE WHEN free THEN list_append(ls, l) ELSE ls END, CASE WHEN free THEN list_append(rs, r) ELSE rs END
+ FROM (SELECT o.*, s.ls, s.rs, NOT list_contains(s.ls, o.l) AND NOT list_contains(s.rs, o.r) AS free FROM step s JOIN o ON s.video_id = o.video_id AND s.frame_idx = o.frame_idx AND o.k = s.k + 1))
+SELECT {_FRAME}, l AS left_id, r AS right_id, cost FROM step JOIN o USING ({_FRAME}, k) WHERE taken
+""", recursive=True)
 def stereo_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.stereo_pairs(_stereo_costs(spark, sf_dir))
 
@@ -633,7 +683,16 @@ def held_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracking.hold(view(spark, sf_dir, "detections"))
 
 
-@query()
+_AT = "coalesce(strftime(to_timestamp(floor({0})) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S'), '')"
+
+
+@query(f"""
+, t AS (SELECT *, source_object_key AS key, CASE WHEN output_duration_seconds IS NOT NULL THEN greatest(CAST(floor(output_duration_seconds) AS BIGINT), 0) END AS s, source_size_bytes AS b FROM tasks), u AS (SELECT *, {_REST} FROM t)
+SELECT task_id, status, coalesce(assigned_worker_id, '') AS worker, {_SERVER} AS server, coalesce(source_object_key, '') AS source, {_OUTPUT_KEY} AS output,
+ CASE WHEN b >= 1073741824 THEN concat(printf('%.1f', round_even(b / 1073741824, 1)), ' GiB') WHEN b >= 1048576 THEN concat(printf('%.1f', round_even(b / 1048576, 1)), ' MiB') WHEN b >= 1024 THEN concat(printf('%.1f', round_even(b / 1024, 1)), ' KiB') ELSE concat(b, ' B') END AS size,
+ {_AT.format('created_at')} AS created, {_AT.format('started_at')} AS started, {_AT.format('finished_at')} AS finished,
+ coalesce(CASE WHEN s >= 3600 THEN concat(s // 3600, ':', lpad(CAST(s % 3600 // 60 AS VARCHAR), 2, '0'), ':', lpad(CAST(s % 60 AS VARCHAR), 2, '0')) WHEN s >= 0 THEN concat(s // 60, ':', lpad(CAST(s % 60 AS VARCHAR), 2, '0')) END, '') AS duration FROM u
+""")
 def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.export_rows(view(spark, sf_dir, "tasks"))
 

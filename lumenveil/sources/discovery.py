@@ -48,3 +48,13 @@ def complete_upload(parts: DataFrame) -> DataFrame:
         F.count("*").alias("parts"),
         ((F.min("part_number") == 1) & (F.max("part_number") == F.count("*")) & (F.countDistinct("part_number") == F.count("*")) & (F.count("etag") == F.count("*"))).alias("complete"),
     )
+
+
+def upload_plan(objects: DataFrame, *, single: int = 5 << 30, part: int = 64 << 20) -> DataFrame:
+    """(key, part_number, offset, length): one part for small objects, parts of ``part`` bytes for larger ones."""
+    size = F.col("size")
+    number = F.when(size > single, F.ceil(size / part)).otherwise(1)
+    length = F.when(size > single, F.lit(part)).otherwise(size)
+    placed = objects.select("key", "size", length.cast("long").alias("_most"), F.explode(F.sequence(F.lit(1), number.cast("int"))).alias("part_number"))
+    offset = (F.col("part_number") - 1) * F.col("_most")
+    return placed.select("key", "part_number", offset.alias("offset"), F.least(F.col("_most"), size - offset).alias("length"))
