@@ -172,11 +172,12 @@ def repeated_runs(docs: DataFrame, *, k: int = WINDOW_WORDS, m: int = MINIMIZER_
     """
     texts = keyed_texts(docs, id_col, text_col)
     found = materialize(paths(texts, k, m), "debruijn-paths")  # read twice, and costly
-    body = F.struct(*_BODY)
-    by_minimizer = found.groupBy("minimizer").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.min(body).alias("body0"), F.max(body).alias("body1"))
+    bounds = [f(c).alias(f"{c}_{f.__name__}") for c in _BODY for f in (F.min, F.max)]  # of plain numbers, which are aggregated by hashing
+    by_minimizer = found.groupBy("minimizer").agg(F.min("id").alias("least"), F.max("id").alias("most"), *bounds)
+    branches = (F.col("body_min") != F.col("body_max")) | (F.col("body2_min") != F.col("body2_max"))
     # Sides of joins on keys that may be hot are written first: a join of plain
     # tables can split the rows of one key among tasks.
-    repeated = by_minimizer.filter("least < most").select("minimizer", "least", (F.col("body0") != F.col("body1")).alias("branches"))
+    repeated = by_minimizer.filter("least < most").select("minimizer", "least", branches.alias("branches"))
     repeated = materialize(repeated, "debruijn-minimizers")
     shared = materialize(found.join(repeated, "minimizer"), "debruijn-shared")
     for table in (found, repeated):

@@ -168,7 +168,7 @@ class Page:
             elif tag in ("br", "td", "th"):
                 texts.append((stack[-1], " ", False))
             elements.append([tag, stack[-1], len(tokens), len(tokens) + 1, _kind(tag, attrs)])
-            tokens.append(f"<{tag} {' '.join(attrs.split())}")
+            tokens.append(f"<{tag} {' '.join(attrs.split())}" if attrs else f"<{tag} ")
             if tag in VOID or attrs.endswith("/") and tag not in BLOCK:
                 continue
             if tag in RAW:
