@@ -171,7 +171,7 @@ def repeated_runs(docs: DataFrame, *, k: int = WINDOW_WORDS, m: int = MINIMIZER_
     is in exactly one run.
     """
     texts = keyed_texts(docs, id_col, text_col)
-    found = materialize(paths(texts, k, m), "debruijn-paths")  # read twice, and costly
+    found = paths(texts, k, m)  # made twice: to write and read them took more time and three times the disk
     bounds = [f(c).alias(f"{c}_{f.__name__}") for c in _BODY for f in (F.min, F.max)]  # of plain numbers, which are aggregated by hashing
     by_minimizer = found.groupBy("minimizer").agg(F.min("id").alias("least"), F.max("id").alias("most"), *bounds)
     branches = (F.col("body_min") != F.col("body_max")) | (F.col("body2_min") != F.col("body2_max"))
@@ -180,8 +180,7 @@ def repeated_runs(docs: DataFrame, *, k: int = WINDOW_WORDS, m: int = MINIMIZER_
     repeated = by_minimizer.filter("least < most").select("minimizer", "least", branches.alias("branches"))
     repeated = materialize(repeated, "debruijn-minimizers")
     shared = materialize(found.join(repeated, "minimizer"), "debruijn-shared")
-    for table in (found, repeated):
-        discard(table)
+    discard(repeated)
 
     whole = shared.filter("not branches and id > least").select("id", "text_key", "first", "number")
 
