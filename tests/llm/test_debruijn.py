@@ -66,3 +66,31 @@ def test_defined_cases(spark):
     found = sorted(((r.doc_id, r.n_words, r.n_removed) for r in debruijn.without_repeats(docs).collect()), key=str)
     assert found == sorted([(1, 60, 0), (1, 60, 0), (2, 60, 60), (2, 60, 60), (None, 60, 0), (3, 0, 0), (4, 0, 0), (5, 49, 0)], key=str)
     assert debruijn.without_repeats(docs.limit(0)).count() == 0
+
+
+def test_links_of_degree_one_are_compacted(spark):
+    """a-b-c is one path; d follows c once only, and e both stands alone and after d."""
+    rows = []
+    for i, chain in ((1, "abc"), (2, "abcd"), (3, "e"), (4, "de")):
+        rows += [(ord(u), i, 0, at * 5, 5, ord(chain[at + 1]) if at + 1 < len(chain) else None) for at, u in enumerate(chain)]
+    places = spark.createDataFrame(rows, "minimizer long, id long, text_key long, first int, number int, successor long")
+    found = {chr(r.minimizer): (r.number, tuple(r.source)) for r in debruijn._unitigs(places).collect()}
+    assert found == {"a": (15, (1, 0, 0)), "d": (5, (2, 0, 15)), "e": (5, (3, 0, 0))}
+
+
+def test_a_long_path_compacts_to_one_row(spark):
+    """Forty paths in one chain: six doublings."""
+    rows = [(u, i, 0, u * 3, 3, u + 1 if u < 39 else None) for i in (7, 5) for u in range(40)]
+    places = spark.createDataFrame(rows, "minimizer long, id long, text_key long, first int, number int, successor long")
+    assert [(r.minimizer, r.number, tuple(r.source)) for r in debruijn._unitigs(places).collect()] == [(0, 120, (5, 0, 0))]
+
+
+def test_a_span_that_differs_at_its_source_stays(spark, monkeypatch):
+    """Hashes only propose: without equal words at the source nothing is removed."""
+    body = " ".join(f"b{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, body), (2, body)], "doc_id long, text string")
+    runs = debruijn.repeated_runs(docs)
+    assert {r.doc_id: r.n_removed for r in debruijn.without_repeats(docs).collect()} == {1: 0, 2: 60}
+    wrong = runs.withColumn("seal", runs.seal.substr(2, 15))
+    monkeypatch.setattr(debruijn, "repeated_runs", lambda *a, **k: wrong)
+    assert {r.doc_id: r.n_removed for r in debruijn.without_repeats(docs).collect()} == {1: 0, 2: 0}
