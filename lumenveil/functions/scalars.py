@@ -209,3 +209,17 @@ def column_name(number: int) -> str:
         number, rest = divmod(number - 1, 26)
         name = chr(65 + rest) + name
     return name
+
+
+def event_line(at: Column, event: Column, host: Column, **details: Column) -> Column:
+    """A line of an event log: UTC time, event, host, then details as name=JSON by name.
+
+    at: seconds since 1970. A null detail is ``null``.
+    """
+    # Without a zone, so that the session's zone plays no part.
+    moment = F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")) + F.make_dt_interval(secs=at.cast("decimal(18,6)"))
+    micros = F.date_format(moment, ".SSSSSS")
+    time = F.concat(F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss"), F.when(micros != ".000000", micros).otherwise(""), F.lit("+00:00"))
+    bare = lambda c: F.regexp_extract(F.to_json(F.array(c), {"ignoreNullFields": "false"}), r"(?s)^\[(.*)\]$", 1)
+    fields = [F.concat(F.lit(f"{name}="), bare(c)) for name, c in sorted(details.items())]
+    return F.concat_ws(" ", time, F.concat(F.lit("event="), event), F.concat(F.lit("ip="), host), *fields)

@@ -15,6 +15,7 @@ from lumenveil.operators.runs import over_sequences
 
 # Horizons of the tracker, in frames, and of the preview sampler.
 GAP, BURST, STREAK = 5, 5, 300
+HOLD, SCAN, EMPTY_SCAN, COLD = 10, 1, 5, 2
 PREVIEW_BUCKETS, PREVIEW_PADDING, PREVIEW_PADDING_SECONDS = 12, 0.125, 2.0
 
 
@@ -93,6 +94,29 @@ def miss_streaks(frames: DataFrame) -> DataFrame:
     return grouped.withColumn("streak", F.sum(1 - hit).over(inside)).drop("_run")
 
 
+def scene_scans(frames: DataFrame, *, hold: int = HOLD, scan: int = SCAN, empty: int = EMPTY_SCAN, cold: int = COLD) -> DataFrame:
+    """(video_id, frame_idx, active, scanned, hold): on which frames detectors run.
+
+    frames: one row (video_id, frame_idx, tracked, found) a frame; found is what a
+    detector would report. A scene stays active for ``hold`` frames after its last
+    track or finding and is scanned every ``scan`` frames, an empty one every
+    ``empty`` frames, and the first ``cold`` frames always. Findings of frames
+    that are not scanned are not known, so frames are stepped in order.
+    """
+
+    def step(state: dict, frame: int, rows: list[dict]) -> list[dict]:
+        row = rows[0]
+        held = hold if row["tracked"] else state.get("hold", 0)
+        scanned = (frame - 1) % (scan if held else empty) == 0 or frame <= cold
+        state["hold"] = hold if scanned and row["found"] else held if row["tracked"] else max(held - 1, 0)
+        return [{"video_id": row["video_id"], "frame_idx": frame, "active": held > 0, "scanned": scanned, "hold": state["hold"]}]
+
+    kept = frames.select("video_id", "frame_idx", "tracked", "found")
+    names = {f.name: f.dataType.simpleString() for f in kept.schema}
+    schema = f"video_id {names['video_id']}, frame_idx {names['frame_idx']}, active boolean, scanned boolean, hold int"
+    return over_sequences(kept, ["video_id"], "frame_idx", ["tracked", "found"], lambda _: {}, step, schema)
+
+
 def median_shift(points: DataFrame, keys: list[str]) -> DataFrame:
     """Exact median displacement (dx, dy) of every group."""
     return points.groupBy(*keys).agg(F.median("dx").alias("dx"), F.median("dy").alias("dy"), F.count("*").alias("points"))

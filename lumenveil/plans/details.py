@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenveil.functions import boxes, decoding, scalars
-from lumenveil.operators import audit, fusion, masking, planner, reports
+from lumenveil.operators import audit, fusion, masking, planner, reports, timeline
 from lumenveil.plans.fixtures import view
 from lumenveil.plans.operations import _IOU
 from lumenveil.plans.queries import _OUTPUT_KEY, _REST, NOW, _by_model, r6, rounded
@@ -278,3 +278,28 @@ SELECT key, CAST(k AS INTEGER) AS part_number, (k - 1) * CASE WHEN size > 536870
 """)
 def upload_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discovery.upload_plan(table(spark, sf_dir, "part").selectExpr("p_partkey as key", "bigint(p_partkey % 200) * p_size * 3000000 as size"))
+
+
+_SCENE = "SELECT c_custkey % 25 AS video_id, CAST({} AS BIGINT) AS frame_idx, {} % 60 BETWEEN 10 AND 18 AS tracked, c_custkey % 7 = 0 AND {} % 60 > 40 AS found FROM customer"
+
+
+@query(f"""
+, f AS ({_SCENE.replace("{}", "(c_custkey // 25 + 1)")}), o AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY frame_idx) AS k FROM f),
+a AS (SELECT video_id, frame_idx, k, tracked, found, CASE WHEN tracked THEN 10 ELSE 0 END AS held FROM o WHERE k = 1 UNION ALL
+ SELECT o.video_id, o.frame_idx, o.k, o.tracked, o.found, CASE WHEN o.tracked THEN 10 WHEN a.found AND ((a.frame_idx - 1) % CASE WHEN a.held > 0 THEN 2 ELSE 5 END = 0 OR a.frame_idx <= 2) THEN 10 WHEN a.tracked THEN a.held ELSE greatest(a.held - 1, 0) END FROM a JOIN o ON o.video_id = a.video_id AND o.k = a.k + 1),
+s AS (SELECT *, (frame_idx - 1) % CASE WHEN held > 0 THEN 2 ELSE 5 END = 0 OR frame_idx <= 2 AS scanned FROM a)
+SELECT video_id, frame_idx, held > 0 AS active, scanned, CAST(CASE WHEN scanned AND found THEN 10 WHEN tracked THEN held ELSE greatest(held - 1, 0) END AS INTEGER) AS hold FROM s
+""", recursive=True)
+def scene_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sql = _SCENE.replace("{}", "(c_custkey div 25 + 1)").replace("FROM customer", "FROM {customer}")
+    frames = spark.sql(sql, customer=table(spark, sf_dir, "customer"))
+    return timeline.scene_scans(frames, scan=2)
+
+
+@query("""
+SELECT s_suppkey, strftime(make_timestamp(CAST(s_suppkey * 86413 AS BIGINT) * 1000000), '%Y-%m-%dT%H:%M:%S') || '+00:00 event=start ip=10.0.0.' || s_nationkey || ' balance=' || CAST(s_suppkey * 3 AS VARCHAR) || ' name="' || s_name || '"' AS line FROM supplier
+""")
+def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    host = F.concat(F.lit("10.0.0."), F.col("s_nationkey"))
+    line = scalars.event_line(F.col("s_suppkey") * 86413, F.lit("start"), host, name=F.col("s_name"), balance=F.col("s_suppkey") * 3)
+    return table(spark, sf_dir, "supplier").select("s_suppkey", line.alias("line"))

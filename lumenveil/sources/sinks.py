@@ -16,10 +16,31 @@ def write_version(df: DataFrame, path: str, version: int, *, partition_by: list[
 
 
 def read_latest(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version below ``path``, by partition pruning."""
-    rows = spark.read.option("mergeSchema", True).parquet(path)
-    latest = rows.agg(F.max("v")).first()[0]
-    return rows.filter(F.col("v") == latest).drop("v")
+    """The newest version below ``path``; only its folder's files are read."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    listed = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)
+    names = [f.getPath().getName() for f in listed if f.isDirectory()]
+    latest = max(int(n[2:]) for n in names if n.startswith("v="))
+    return spark.read.parquet(f"{path}/v={latest}")
+
+
+def upsert_version(changes: DataFrame, path: str, version: int, key: str, order: str) -> DataFrame:
+    """Write the newest table with ``changes`` applied as ``version`` and return it.
+
+    Of several changes of a key the one of the greatest ``order`` holds; rows of a
+    null key in ``changes`` are left out. A version that failed leaves the ones
+    before it as they were.
+    """
+    spark = changes.sparkSession
+    now = read_latest(spark, path)
+    last = changes.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*now.columns), order).alias("row")).select("row.*")
+    kept = now.join(last.select(key), key, "left_anti").select(now.columns)
+    return spark.read.parquet(write_version(kept.unionByName(last), path, version))
+
+
+def append_events(lines: DataFrame, path: str) -> None:
+    """Append the one text column of ``lines`` to the event log, a folder of text files."""
+    lines.write.mode("append").text(path)
 
 
 def export_rows(tasks: DataFrame) -> DataFrame:

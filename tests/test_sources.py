@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 import pytest
+from pyspark.sql import functions as F
 
 from lumenveil.functions import scalars
 from lumenveil.sources import discovery, sinks
@@ -73,3 +74,16 @@ def test_export(spark, sf_dir, tmp_path):
     sinks.export_csv(tasks, str(tmp_path / "csv"))
     back = spark.read.option("header", True).csv(str(tmp_path / "csv"))
     assert back.count() == tasks.count() and back.columns == sinks.export_rows(tasks).columns
+
+
+def test_upserts_and_event_log(spark, tmp_path):
+    path, log = f"file://{tmp_path}/t", f"file://{tmp_path}/log"
+    sinks.write_version(spark.createDataFrame([(1, "a", 0), (2, "b", 0)], "k int, v string, at int"), path, 9)
+    changes = spark.createDataFrame([(2, "c", 1), (2, "d", 2), (3, "e", 1), (None, "f", 1)], "k int, v string, at int")
+    sinks.upsert_version(changes, path, 10, "k", "at")
+    assert sorted(map(tuple, sinks.read_latest(spark, path).collect())) == [(1, "a", 0), (2, "d", 2), (3, "e", 1)]
+    for event in ("start", "stop"):
+        row = spark.range(1).select(scalars.event_line(F.lit(1.5), F.lit(event), F.lit("h"), b=F.lit('x "y" é'), a=F.lit(None).cast("int")).alias("value"))
+        sinks.append_events(row, log)
+    want = '1970-01-01T00:00:01.500000+00:00 event={} ip=h a=null b="x \\"y\\" é"'
+    assert sorted(r.value for r in spark.read.text(log).collect()) == [want.format("start"), want.format("stop")]
