@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenveil.llm import ann, debruijn, html, language, lines, packing, quotes, secrets, simhash, tiling
+from lumenveil.llm import alignment, ann, debruijn, html, language, lines, packing, quotes, secrets, simhash, tiling
 from lumenveil.session import table
 
 
@@ -76,6 +76,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_postings_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``documents`` aligned between two tokenizers."""
+    return alignment.aligned(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extraction": op1_html_extraction,
@@ -88,6 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_debruijn_dedup": op7_debruijn_dedup,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op6_best_fit_packing": op6_best_fit_packing,
+        "op13_postings_alignment": op13_postings_alignment,
     }
 
 
