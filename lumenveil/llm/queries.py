@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenveil.llm import alignment, ann, debruijn, html, language, lines, packing, quotes, secrets, simhash, tiling
+from lumenveil.llm import alignment, ann, debruijn, html, language, lines, minmax, packing, quotes, repair, secrets, simhash, tiling
 from lumenveil.session import table
 
 
@@ -76,6 +76,19 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and component of the shingle set of every row of ``documents``."""
+    found = minmax.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.coalesce(F.col("id") == F.col("component"), F.lit(True))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), kept.alias("kept"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation of ``conversations``, damaged and repaired."""
+    rows, copies = repair.damaged(table(spark, sf_dir, "conversations"))
+    return repair.repaired(rows, copies=copies)
+
+
 def op13_postings_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of ``documents`` aligned between two tokenizers."""
     return alignment.aligned(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -93,6 +106,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_debruijn_dedup": op7_debruijn_dedup,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op6_best_fit_packing": op6_best_fit_packing,
+        "op11_minmax_near_dedup": op11_minmax_near_dedup,
+        "op12_conversation_repair": op12_conversation_repair,
         "op13_postings_alignment": op13_postings_alignment,
     }
 
@@ -102,4 +117,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_line_dedup": lines.ORACLE_SQL,
         "op5_one_bit_neighbours": ann.ORACLE_SQL,
         "op7_debruijn_dedup": debruijn.ORACLE_SQL,
+        "op11_minmax_near_dedup": minmax.ORACLE_SQL,
+        "op12_conversation_repair": repair.ORACLE_SQL,
     }
