@@ -6,10 +6,9 @@ in as many documents as hold it linked. Against these corpus-wide counts each
 document is rated: how many of its links have the commonest partner of their id
 on side A, and how high its links' counts are.
 
-* Texts are cut where both tokenizers must cut, at a single space between two
-  other characters; such units repeat, so each is encoded and aligned once and
-  remembered. Cutting there is exact: the first tokenizer's pattern begins a word
-  at such a space, and no piece of the second holds a space after another character.
+* Very long texts are cut where both tokenizers must cut, at a single space between
+  two other characters. That is exact: the first tokenizer's pattern begins a word at
+  such a space, and no piece of the second holds a space after another character.
 * Documents are dealt in blocks. A block's multiplicities of linked pairs become
   postings, one row for a pair and block, with the numbers of the documents inside
   the block and how often each holds the pair.
@@ -27,7 +26,7 @@ number of documents.
 Defined cases: a null or empty text, or one whose bytes a tokenizer does not give
 back (it holds the mark that stands for a space), has no tokens: zeros and an empty
 groups_sha256; strings of special tokens are plain text; very long texts are read
-whole, unit by unit; every row is a document, also one that repeats another; rows
+whole, part by part; every row is a document, also one that repeats another; rows
 with a null id are kept; an empty table yields no rows; other columns are ignored.
 """
 
@@ -36,7 +35,6 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,8 +55,8 @@ SHARDS = 16
 PART_BYTES = 32 << 20
 #: Documents whose totals a task holds before it hands them on.
 HELD_DOCUMENTS = 1 << 20
-#: Units remembered by a worker, and the longest that is.
-KNOWN_UNITS, UNIT_CHARS = 200_000, 48
+#: Characters after which a very long text is cut.
+PART_CHARS = 1 << 18
 #: A space between two characters that are no white space: both tokenizers cut here.
 CUT = re.compile(r"(?<=\S)(?= \S)")
 
@@ -78,85 +76,83 @@ def _pieces(vocabulary: str):
     return model, [bytes([int(p[3:-1], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
 
 
-def _ends(parts: list[bytes]) -> list[int]:
-    out, at = [], 0
-    for part in parts:
-        at += len(part)
-        out.append(at)
-    return out
-
-
-def align(a: list[int], b: list[int], ends_a: list[int], ends_b: list[int]) -> tuple[list[tuple[int, int]], list[str]]:
-    """Links and written groups of two tokenizations of the same bytes."""
-    links, groups = [], []
-    i = j = first_a = first_b = 0
-    while i < len(a):
-        links.append((a[i], b[j]))
-        if ends_a[i] == ends_b[j]:
-            i, j = i + 1, j + 1
-            groups.append(",".join(map(str, a[first_a:i])) + "|" + ",".join(map(str, b[first_b:j])))
-            first_a, first_b = i, j
-        elif ends_a[i] < ends_b[j]:
-            i += 1
-        else:
-            j += 1
-    return links, groups
-
-
-class Units:
-    """Aligns units and remembers the short ones.
-
-    A unit begins with a space. Its record: numbers of A and B tokens, groups and
-    links, the written groups, and its linked pairs with their multiplicities; None
-    if a tokenizer does not give its bytes back.
-    """
+class Aligner:
+    """Two tokenizers and the alignment of what they make of a text."""
 
     def __init__(self, side_a: str = SIDE_A, side_b: str = SIDE_B) -> None:
         self.a = _encoding(side_a)
         self.b, self.bytes_b = _pieces(side_b)
-        self.known: dict[str, tuple | None] = {}
+        self.length_a = np.array([self._length(i) for i in range(self.a.n_vocab)], np.int64)
+        self.length_b = np.array(list(map(len, self.bytes_b)), np.int64)
+        #: [id, ends its group]: the id as it is written there.
+        self.written_a, self.written_b = (np.array([[f"{i},", f"{i}{end}"] for i in range(n)], object) for n, end in ((len(self.length_a), "|"), (len(self.length_b), ";")))
 
-    def of(self, unit: str) -> tuple | None:
+    def _length(self, token: int) -> int:
         try:
-            return self.known[unit]
-        except KeyError:
-            found = self._aligned(unit)
-        if len(unit) <= UNIT_CHARS:
-            if len(self.known) >= KNOWN_UNITS:
-                self.known.clear()
-            self.known[unit] = found
-        return found
-
-    def _aligned(self, unit: str) -> tuple | None:
-        a, b = self.a.encode_ordinary(unit), self.b.encode(unit[1:])
-        parts_a, parts_b = self.a.decode_tokens_bytes(a), [self.bytes_b[i] for i in b]
-        raw = unit.encode()
-        if b"".join(parts_a) != raw or b"".join(parts_b) != raw:
+            return len(self.a.decode_single_token_bytes(token))
+        except KeyError:  # an id that the vocabulary leaves free
+            return 0
+
+    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of both sides of a text that begins with a space; None if one does not give it back."""
+        a, b = self.a.encode_ordinary(text), self.b.encode(text[1:])
+        raw = text.encode()
+        if self.a.decode_bytes(a) != raw or b"".join([self.bytes_b[i] for i in b]) != raw:
             return None
-        links, groups = align(a, b, _ends(parts_a), _ends(parts_b))
-        pairs = Counter((x << 32) | y for x, y in links)
-        return len(a), len(b), len(groups), len(links), ";".join(groups), tuple(pairs.items())
-
-    def document(self, text: str | None) -> tuple[int, int, int, int, str, dict[int, int]]:
-        """(n_a, n_b, n_groups, n_links, groups_sha256, multiplicity of each pair)."""
-        totals, digest, pairs = [0, 0, 0, 0], hashlib.sha256(), {}
-        nothing = (0, 0, 0, 0, "", {})
-        if not text:
-            return nothing
-        units = CUT.split(" " + text)
-        records: dict[str, tuple] = {}
-        for unit, times in Counter(units).items():
-            record = self.of(unit)
-            if record is None:
-                return nothing
-            records[unit] = record
-            for k in range(4):
-                totals[k] += times * record[k]
-            for pair, n in record[5]:
-                pairs[pair] = pairs.get(pair, 0) + times * n
-        for at in range(0, len(units), 4096):
-            digest.update(((";" if at else "") + ";".join([records[u][4] for u in units[at : at + 4096]])).encode())
-        return *totals, digest.hexdigest(), pairs
+        return np.array(a, np.int64), np.array(b, np.int64)
+
+    def links(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, int, str]:
+        """(linked pairs as a << 32 | b, number of groups, written groups) of two tokenizations.
+
+        Between two neighbouring ends of either side lies one token of each: these
+        are the linked ones. Groups end where both sides have an end.
+        """
+        ends_a, ends_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
+        cuts = np.union1d(ends_a, ends_b)
+        pairs = (a[np.searchsorted(ends_a, cuts)] << 32) | b[np.searchsorted(ends_b, cuts)]
+        closes_a, closes_b = (x[np.searchsorted(x, y)] == y for x, y in ((ends_b, ends_a), (ends_a, ends_b)))
+        upto_a, upto_b = (np.flatnonzero(x) + 1 for x in (closes_a, closes_b))  # tokens up to the end of each group
+        of_a, of_b = (np.cumsum(x) - x for x in (closes_a, closes_b))  # the group of each token
+        parts = np.empty(len(a) + len(b), object)
+        parts[np.arange(len(a)) + np.concatenate([[0], upto_b])[of_a]] = self.written_a[a, closes_a.astype(int)]
+        parts[np.arange(len(b)) + upto_a[of_b]] = self.written_b[b, closes_b.astype(int)]
+        return pairs, len(upto_a), "".join(parts.tolist())[:-1]
+
+    def document(self, text: str | None) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray]:
+        """(n_a, n_b, n_groups, n_links, groups_sha256, different pairs, how often each is linked)."""
+        sums, digest, linked = np.zeros(4, np.int64), hashlib.sha256(), []
+        none = np.zeros(0, np.int64)
+        for k, part in enumerate(_parts(f" {text}")) if text else ():
+            found = self.tokens(part)
+            if found is None:
+                linked = []
+                break
+            pairs, groups, written = self.links(*found)
+            sums += len(found[0]), len(found[1]), groups, len(pairs)
+            digest.update(f"{';' if k else ''}{written}".encode())
+            linked.append(np.stack(np.unique(pairs, return_counts=True)))
+        if not linked:
+            return 0, 0, 0, 0, "", none, none
+        pairs, times = linked[0] if len(linked) == 1 else _added(np.concatenate(linked, axis=1))
+        return *sums.tolist(), digest.hexdigest(), pairs, times
+
+
+def _parts(text: str) -> Iterator[str]:
+    """A text in parts of about PART_CHARS, cut where both tokenizers must cut."""
+    at = 0
+    while at < len(text):
+        cut = CUT.search(text, at + PART_CHARS)
+        upto = cut.start() if cut else len(text)
+        yield text[at:upto]
+        at = upto
+
+
+def _added(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs and their numbers, equal pairs added."""
+    pairs, at = np.unique(found[0], return_inverse=True)
+    times = np.zeros(len(pairs), np.int64)
+    np.add.at(times, at, found[1])
+    return pairs, times
 
 
 # -- blocks of documents --------------------------------------------------
@@ -192,7 +188,7 @@ def _blocks(docs: DataFrame, side_a: str, side_b: str, id_col: str, text_col: st
         from pyspark import TaskContext
 
         fields = to_arrow_schema(schema)
-        units, block, place, held = Units(side_a, side_b), TaskContext.get().partitionId() << 32, 0, 0
+        aligner, block, place, held = Aligner(side_a, side_b), TaskContext.get().partitionId() << 32, 0, 0
         pairs: list[np.ndarray] = []
         times: list[np.ndarray] = []
 
@@ -211,10 +207,10 @@ def _blocks(docs: DataFrame, side_a: str, side_b: str, id_col: str, text_col: st
         for batch in batches:
             rows, first = [], 0
             for at, text in enumerate(batch.column(1)):
-                *told, found = units.document(text.as_py())
+                *told, found, often = aligner.document(text.as_py())
                 rows.append((block, place, *told))
-                pairs.append(np.fromiter(found.keys(), np.int64, len(found)))
-                times.append(np.fromiter(found.values(), np.int64, len(found)))
+                pairs.append(found)
+                times.append(often)
                 place, held = place + 1, held + len(found)
                 if held >= BLOCK_POSTINGS or place == BLOCK_DOCUMENTS:
                     yield documents(rows, batch.column(0).slice(first, len(rows)))

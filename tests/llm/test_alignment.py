@@ -88,8 +88,8 @@ def test_query_against_all_pairs(spark, sf_dir, slow):
     assert len(found) == len(rows)
     told = slow([r.text for r in short])  # whole texts; counts need all rows, so these columns are held to the pairs below
     assert all(found[r.doc_id][:4] + found[r.doc_id][6:] == t[:4] + t[6:] for r, t in zip(short, told))
-    units = alignment.Units()
-    pairs = {r.doc_id: units.document(r.text)[5] for r in rows}
+    aligner = alignment.Aligner()
+    pairs = {r.doc_id: dict(zip(*map(list, aligner.document(r.text)[5:]))) for r in rows}
     counts = Counter(p for x in pairs.values() for p in x)
     best = defaultdict(int)
     for p, n in counts.items():
@@ -109,6 +109,16 @@ def test_small_blocks_and_parts_give_the_same(spark, monkeypatch, slow):
     assert sorted(map(tuple, alignment.aligned(docs).collect())) == whole
 
 
+def test_parts_of_a_long_text_give_the_same(monkeypatch):
+    text = " ".join(t for t in TEXTS if t and "▁" not in t) * 3
+    aligner = alignment.Aligner()
+    whole = aligner.document(text)
+    for size in (1, 5, 40):
+        monkeypatch.setattr(alignment, "PART_CHARS", size)
+        told = aligner.document(text)
+        assert told[:5] == whole[:5] and all(np.array_equal(x, y) for x, y in zip(told[5:], whole[5:]))
+
+
 def test_blocks_are_cut_at_their_limits(monkeypatch):
     pairs, times = alignment._postings([np.array([5, 7]), np.array([], np.int64), np.array([7])], [np.array([1, 2]), np.array([], np.int64), np.array([70000])])[2:4], None
     assert pairs[0].to_pylist() == [1, 2]
@@ -124,6 +134,5 @@ def test_empty_table(spark):
 def test_pair_counts(spark):
     docs = spark.createDataFrame([(1, "one two"), (2, "one one"), (3, None)], "doc_id long, text string")
     found = {(r.a, r.b): r.n for r in alignment.pair_counts(docs).collect()}
-    units = alignment.Units()
-    (one,) = units.document("one")[5]
+    (one,) = alignment.Aligner().document("one")[5].tolist()
     assert found[(one >> 32, one & 0xFFFFFFFF)] == 2 and len(found) == 2
