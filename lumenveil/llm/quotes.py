@@ -39,8 +39,9 @@ from lumenveil.session import discard, materialize
 
 #: Turns in one range.
 RANGE = 1024
-#: Marks of a quoted line, and a line that introduces a quote.
-MARKS = r"^(?:[ \t]{0,3}>)+"
+#: Fixed value: the most blanks before each mark of a quoted line.
+MARK_BLANKS = 3
+#: Fixed value: a line that introduces a quote.
 INTRODUCES = r"(?i)^\s*on\b.+\bwrote:\s*$"
 
 
@@ -63,15 +64,27 @@ def _normal(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
 
 
+def _marks(line: Column) -> Column:
+    """The quote marks at the start of a line, with at most MARK_BLANKS blanks before each.
+
+    A run of one character class and a cut, as a repeated group would recurse once a mark.
+    """
+    run = F.regexp_extract(line, r"^[ \t>]*+", 0)
+    return F.rtrim(F.split(run, rf"[ \t]{{{MARK_BLANKS + 1}}}", 2)[0], F.lit(" \t"))
+
+
 def parsed(messages: DataFrame, text_col: str = "text") -> DataFrame:
     """The given rows with lines = array<struct<depth, text>> and own words.
 
     own: the message without quotes and their introductions.
     """
+    marked = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), r"\r?\n"), lambda x: F.struct(x.alias("line"), _marks(x).alias("marks")))
+    rest = lambda x: F.substring(x["line"], F.length(x["marks"]) + 1, F.length(x["line"]))
     lines = F.transform(
-        F.split(F.coalesce(F.col(text_col), F.lit("")), r"\r?\n"),
+        marked,
         lambda x: F.struct(
-            F.length(F.regexp_replace(F.regexp_extract(x, MARKS, 0), "[^>]", "")).alias("depth"), F.regexp_replace(x, MARKS + "[ ]?", "").alias("text")
+            (F.length(x["marks"]) - F.length(F.translate(x["marks"], ">", ""))).alias("depth"),
+            F.when(x["marks"] == "", x["line"]).otherwise(F.regexp_replace(rest(x), "^ ", "")).alias("text"),
         ),
     )
     cut = messages.withColumn("lines", lines)
@@ -80,7 +93,7 @@ def parsed(messages: DataFrame, text_col: str = "text") -> DataFrame:
     )
     own = F.filter("lines", lambda x, i: (x["depth"] == 0) & ~(x["text"].rlike(INTRODUCES) & follows(i)))
     own_text = F.array_join(F.transform(own, lambda x: x["text"]), "\n")
-    return cut.withColumn("own", F.regexp_replace(F.regexp_replace(own_text, r"\n\s*\n\s*\n+", "\n\n"), r"^\s+|\s+$", ""))
+    return cut.withColumn("own", F.btrim(F.regexp_replace(own_text, r"\n\s*\n\s*\n+", "\n\n"), F.lit(" \t\n\x0b\f\r")))
 
 
 def passages(rows: DataFrame) -> DataFrame:

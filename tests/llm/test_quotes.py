@@ -5,8 +5,12 @@ from __future__ import annotations
 import random
 import re
 
+import pytest
+
 from lumenveil.llm import quotes
 
+SCHEMA = "conv_id long, turn long, text string"
+
 
 def parse(text: str | None) -> tuple[list[tuple[int, str]], str]:
     lines = []
@@ -157,3 +161,29 @@ def test_columns_of_the_results_names_stay(spark):
     got = quotes.conversations(spark.createDataFrame(rows, "conv_id string, turn long, text string, reply_to string, branch string"))
     assert got.columns == ["conv_id", "turn", "text", "reply_to", "branch", "_reply_to", "_branch", "linked", "quoted"]
     assert sorted((r.turn, r.reply_to, r._reply_to) for r in got.collect()) == [(1, "a", None), (2, "a", 1), (3, "a", None)]
+
+
+@pytest.mark.parametrize("marks", [10, 10_000, 1_000_000])
+def test_a_line_of_many_marks(spark, marks):
+    frame = spark.createDataFrame([(1, 1, "one short answer"), (1, 2, "> " * marks + "one short answer\nmine")], SCHEMA)
+    row = quotes.parsed(frame.filter("turn = 2")).selectExpr("lines[0].depth as depth", "lines[0].text as text", "own").first()
+    assert tuple(row) == (marks, "one short answer", "mine")
+    if marks < 100_000:
+        assert {r.turn: r.linked for r in quotes.linked(frame).collect()}[2] > 0
+
+
+def test_marks_stand_close_together(spark):
+    lines = {">  > x": (2, "x"), "    > x": (0, "    > x"), "   >y": (1, "y"), "> >    > z": (2, "   > z"), ">": (1, ""), "\t> >\tt ": (2, "\tt "), "a > b": (0, "a > b"), "": (0, "")}
+    frame = spark.createDataFrame([(1, k, t) for k, t in enumerate(lines)], SCHEMA)
+    got = {r.turn: (r.depth, r.text) for r in quotes.parsed(frame).selectExpr("turn", "lines[0].depth as depth", "lines[0].text as text").collect()}
+    assert [got[k] for k in range(len(lines))] == list(lines.values())
+
+
+def test_a_million_blanks_in_one_message(spark):
+    import time
+
+    begun = time.monotonic()
+    frame = spark.createDataFrame([(1, 1, "a" + " " * 1_000_000 + "b" + "\n" * 1000 + " " * 1_000_000)], SCHEMA)
+    assert quotes.parsed(frame).first().own == "a" + " " * 1_000_000 + "b"
+    assert quotes.conversations(frame).count() == 1
+    assert time.monotonic() - begun < 60
