@@ -63,6 +63,60 @@ def backfilled(events: DataFrame) -> DataFrame:
     return frames.withColumns(dict(zip(boxes.SIDES, boxes.interpolated(boxes.of(F.col("a")), boxes.of(F.col("b")), share))))
 
 
+def filled(seen: DataFrame, most: int = GAP) -> DataFrame:
+    """(video_id, frame_idx, x1..y2, source): seen boxes, and boxes between two that are 2 to ``most`` frames apart.
+
+    seen: (video_id, frame_idx, x1..y2), null sides where nothing is seen, one row a
+    frame. source: ``seen`` or ``backfill``.
+    """
+    there = seen.filter("x1 is not null").withColumn("box", F.struct(*boxes.SIDES))
+    order = Window.partitionBy("video_id").orderBy("frame_idx")
+    spans = there.select("video_id", "frame_idx", "box", F.lag("frame_idx").over(order).alias("start_frame"), F.lag("box").over(order).alias("a"))
+    gaps = spans.filter((F.col("frame_idx") - F.col("start_frame")).between(2, most)).select("video_id", "start_frame", F.col("frame_idx").alias("end_frame"), "a", F.col("box").alias("b"))
+    between = backfilled(gaps).filter("frame_idx > start_frame").withColumn("source", F.lit("backfill"))
+    own = there.select("video_id", "frame_idx", *(F.bround(s).cast("int").alias(s) for s in boxes.SIDES), F.lit("seen").alias("source"))
+    return own.unionByName(between.select(own.columns))
+
+
+class Delayed:
+    """Frames held until they are settled, for :func:`filled` of a stream; the state of one video.
+
+    A frame is settled when one ``late`` frames later has come. Held are the frames
+    that are not, and the last settled box.
+    """
+
+    def __init__(self, most: int = GAP, late: int = GAP) -> None:
+        self.most, self.late, self.waiting, self.last = most, late, {}, None
+
+    def dump(self) -> list:
+        return [sorted(self.waiting.items()), self.last]
+
+    def load(self, values: list) -> None:
+        waiting, self.last = values
+        self.waiting = {frame: box for frame, box in waiting}
+
+    def add(self, frame: int, box: list[float] | None) -> None:
+        """Evidence of a frame; a box replaces none."""
+        self.waiting[frame] = box if box is not None else self.waiting.get(frame)
+
+    def settle(self) -> list[tuple[int, list[int], str]]:
+        """(frame, box, source) of the frames that are settled now, in order."""
+        out = []
+        upto = max(self.waiting, default=0) - self.late
+        for frame in sorted(f for f in self.waiting if f <= upto):
+            box = self.waiting.pop(frame)
+            if box is None:
+                continue
+            if self.last is not None and 2 <= frame - self.last[0] <= self.most:
+                start, a = self.last
+                for between in range(start + 1, frame):
+                    share = (between - start) / (frame - start)
+                    out.append((between, [round(x + (y - x) * share) for x, y in zip(a, box)], "backfill"))
+            out.append((frame, [round(x) for x in box], "seen"))
+            self.last = (frame, list(box))
+        return out
+
+
 def confirmations(pending: DataFrame, confirmed: DataFrame, *, horizon: int = GAP, distance: float = 2.5) -> DataFrame:
     """For each confirmed box the pending one of the last frames that it confirms.
 

@@ -13,6 +13,7 @@ ACTIVE = ("assigned", "downloading", "processing", "uploading", "cancelling")
 WORKER_STATES = ("ready", "busy", "cancelling", "offline")
 REVIEW_TYPES = ("missed", "false_positive")
 
+# Names and order of the columns.
 TASKS = (
     "task_id string, source_url string, source_object_key string, source_size_bytes bigint, source_sha256 string, source_duration_seconds double, "
     "algorithm string, arguments array<string>, output_upload_url string, output_object_key string, status string, attempt_count int, max_attempts int, "

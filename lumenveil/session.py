@@ -11,6 +11,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,23 +44,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    for made in _made:
+    for made in _made.get():
         made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Lists of the tables written inside each open :func:`temporary_tables`.
-_made: list[list[str]] = []
+#: Lists of the tables written inside each open :func:`temporary_tables`; a thread has its own.
+_made: ContextVar[tuple[list[str], ...]] = ContextVar("made", default=())
 
 
 @contextmanager
 def temporary_tables(spark: SparkSession) -> Iterator[list[str]]:
     """Tables written inside are deleted at the end, all but the last one."""
-    _made.append(made := [])
+    made: list[str] = []
+    before = _made.set((*_made.get(), made))
     try:
         yield made
     finally:
-        _made.remove(made)
+        _made.reset(before)
         for path in made[:-1]:
             _delete(spark, path)
 
