@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenveil.functions import boxes
-from lumenveil.operators import fusion, keyframes, motion, segments, templates, tracking
+from lumenveil.operators import fusion, keyframes, leases, motion, regions, segments, templates, timeline, tracking
 from lumenveil.plans.fixtures import view
 from lumenveil.plans.operations import _IOU
 from lumenveil.plans.queries import rounded
@@ -206,3 +207,92 @@ def stitched_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def segment_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tracks of ``track_manager``, every video on many tasks."""
     return segments.track(fusion.dual_consensus(view(spark, sf_dir, "jittered")), length=_LENGTH, overlap=_OVERLAP, config=tracking.TrackConfig())
+
+
+# -- colour regions ----------------------------------------------------------------
+
+_CW, _CH = 28, 20
+#: Channel ch (blue, green, red) of the coloured frame of supplier c: patches of five hues.
+_SPOT = "((x // 4 * 7 + y // 3 * 5 + c * 3 + x * y // 16) % 6)"
+_COLOURED = f"(CASE WHEN {_SPOT} = 0 THEN 20 + ch * 5 WHEN {_SPOT} = 1 THEN 230 + ch WHEN {_SPOT} = 2 THEN CASE ch WHEN 0 THEN 200 + x ELSE 30 + y END WHEN {_SPOT} = 3 THEN CASE ch WHEN 1 THEN 170 + y ELSE 40 + x END WHEN {_SPOT} = 4 THEN CASE ch WHEN 2 THEN 220 ELSE 15 + x END ELSE CASE ch WHEN 0 THEN 25 + y WHEN 1 THEN 170 + x ELSE 210 END END)"
+_HUE = "CASE WHEN hi = lo THEN 0 ELSE ((60 * (CASE WHEN hi = r THEN g - b WHEN hi = g THEN b - r + 2 * (hi - lo) ELSE r - g + 4 * (hi - lo) END) + hi - lo) // (2 * (hi - lo)) % 180 + 180) % 180 END"
+
+
+def _coloured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small coloured frame of every supplier."""
+    value = _COLOURED
+    for name, code in (("x", f"(i div 3 % {_CW})"), ("y", f"(i div {3 * _CW})"), ("ch", "(i % 3)")):
+        value = re.sub(rf"\b{name}\b", code, value)
+    value = value.replace("//", "div")
+    pixels = f"unhex(array_join(transform(sequence(0, {_CW * _CH * 3 - 1}), i -> lpad(hex(bigint({value})), 2, '0')), ''))"
+    return table(spark, sf_dir, "supplier").selectExpr("s_suppkey as c").selectExpr("c as video_id", "bigint(0) as frame_idx", f"{_CW} as width", f"{_CH} as height", f"{pixels} as pixels")
+
+
+_COLOURS = ("red", "blue", "yellow", "white", "black")
+
+
+def _in_colour(colour: str) -> str:
+    if colour == "black":
+        return "hi < 60"
+    if colour == "white":
+        return "s < 45 AND hi > 195"
+    return " OR ".join(f"(h BETWEEN {a} AND {b} AND s >= {s} AND hi >= {v})" for a, b, s, v in regions.RANGES[colour])
+
+
+@query(f"""
+, px AS (SELECT c, x, y, {', '.join(f"{_COLOURED.replace('ch', str(k))} AS {n}" for k, n in enumerate('bgr'))} FROM (SELECT s_suppkey AS c FROM supplier) k, range({_CW}) a(x), range({_CH}) d(y)),
+m AS (SELECT *, greatest(b, g, r) AS hi, least(b, g, r) AS lo FROM px), v AS (SELECT c, x, y, hi, {_HUE} AS h, CASE WHEN hi > 0 THEN (510 * (hi - lo) + hi) // (2 * hi) ELSE 0 END AS s FROM m),
+k AS ({' UNION ALL '.join(f"SELECT c, '{name}' AS colour, x, y, y * {_CW} + x AS spot FROM v WHERE {_in_colour(name)}" for name in _COLOURS)}),
+l AS (SELECT a.c, a.colour, a.spot AS a, b.spot AS b FROM k a JOIN k b ON a.c = b.c AND a.colour = b.colour AND b.x BETWEEN a.x - 1 AND a.x + 1 AND b.y BETWEEN a.y - 1 AND a.y + 1),
+flood AS (SELECT c, colour, spot, spot AS root FROM k UNION SELECT f.c, f.colour, l.b, f.root FROM flood f JOIN l ON f.c = l.c AND f.colour = l.colour AND f.spot = l.a WHERE f.root < l.b),
+o AS (SELECT c, colour, spot, min(root) AS root FROM flood GROUP BY 1, 2, 3),
+g AS (SELECT c, colour, root, min(spot % {_CW})::INT AS x1, min(spot // {_CW})::INT AS y1, max(spot % {_CW} + 1)::INT AS x2, max(spot // {_CW} + 1)::INT AS y2, count(*)::INT AS area FROM o GROUP BY 1, 2, 3)
+SELECT c AS video_id, colour, (row_number() OVER (PARTITION BY c, colour ORDER BY root) - 1)::INT AS region, x1, y1, x2, y2, area FROM g
+""", recursive=True)
+def colour_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Connected regions of five colours in a frame of every supplier."""
+    frames = _coloured(spark, sf_dir)
+    found = [regions.regions(frames, c).withColumn("colour", F.lit(c)) for c in _COLOURS]
+    return reduce(DataFrame.unionByName, found).drop("frame_idx")
+
+
+# -- leases and silence ----------------------------------------------------------------
+
+@query(f"""
+, b AS (SELECT DISTINCT concat('worker-', user_id) AS worker_id, epoch_us(ts) / 1e6 AS "at" FROM events), n AS (SELECT *, coalesce(lead("at") OVER (PARTITION BY worker_id ORDER BY "at"), {1706572800}) AS after FROM b)
+SELECT worker_id, "at" AS last_seen, "at" + 30000 AS offline_at FROM n WHERE after - "at" > 30000
+""")
+def worker_silences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each time a worker of the event table was silent for more than 30,000 seconds."""
+    beats = table(spark, sf_dir, "events").selectExpr("concat('worker-', user_id) as worker_id", "unix_micros(cast(ts as timestamp)) / 1e6 as at")
+    return leases.silences(beats, 1706572800.0, 30000.0)
+
+
+@query("""
+, a AS (SELECT concat('task-', user_id) AS task_id, epoch_us(ts) / 1e6 AS "at", CASE WHEN event_id % 13 > 0 THEN concat('reviewer-', event_id % 3) END AS reviewer, CASE event_id % 7 WHEN 0 THEN 'release' WHEN 1 THEN 'renew' WHEN 2 THEN 'renew' ELSE 'claim' END AS action FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY "at", reviewer NULLS FIRST, action) AS k FROM a),
+step AS (SELECT task_id, 0::BIGINT AS k, 0::DOUBLE AS "at", ''::VARCHAR AS reviewer, '' AS action, false AS accepted, NULL::VARCHAR AS owner, NULL::DOUBLE AS until FROM (SELECT DISTINCT task_id FROM a)
+ UNION ALL
+ SELECT task_id, k, "at", reviewer, action, accepted, CASE WHEN NOT accepted THEN live WHEN action = 'release' THEN NULL ELSE reviewer END, CASE WHEN NOT accepted THEN left_until WHEN action = 'release' THEN NULL ELSE "at" + 20000 END
+ FROM (SELECT *, reviewer IS NOT NULL AND CASE action WHEN 'claim' THEN live IS NULL OR live = reviewer ELSE coalesce(live = reviewer, false) END AS accepted
+  FROM (SELECT n.task_id, n.k, n."at", n.reviewer, n.action, CASE WHEN s.until > n."at" THEN s.owner END AS live, CASE WHEN s.until > n."at" THEN s.until END AS left_until FROM step s JOIN n ON n.task_id = s.task_id AND n.k = s.k + 1)))
+SELECT task_id, "at", reviewer, action, accepted, owner, until FROM step WHERE k > 0
+""", recursive=True)
+def lease_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims, renewals and releases of tasks by reviewers, each judged when it comes."""
+    who, what = "case when event_id % 13 > 0 then concat('reviewer-', event_id % 3) end as reviewer", "case event_id % 7 when 0 then 'release' when 1 then 'renew' when 2 then 'renew' else 'claim' end as action"
+    actions = table(spark, sf_dir, "events").selectExpr("concat('task-', user_id) as task_id", "unix_micros(cast(ts as timestamp)) / 1e6 as at", who, what)
+    return leases.history(actions, 20000.0)
+
+
+@query("""
+, s AS (SELECT video_id, frame_idx, cx, cy, lag(frame_idx) OVER w AS f, lag(cx) OVER w AS px, lag(cy) OVER w AS py FROM visibility WHERE visible WINDOW w AS (PARTITION BY video_id ORDER BY frame_idx)),
+g AS (SELECT video_id, unnest(range(f + 1, frame_idx)) AS frame_idx, f, frame_idx AS e, cx, cy, px, py FROM s WHERE frame_idx - f BETWEEN 2 AND 200),
+i AS (SELECT video_id, frame_idx, px + (cx - px) * ((frame_idx - f) / (e - f)) AS x, py + (cy - py) * ((frame_idx - f) / (e - f)) AS y, px + 40 + (cx - px) * ((frame_idx - f) / (e - f)) AS u, py + 50 + (cy - py) * ((frame_idx - f) / (e - f)) AS v FROM g)
+SELECT video_id, frame_idx, cx::INT AS x1, cy::INT AS y1, cx::INT + 40 AS x2, cy::INT + 50 AS y2, 'seen' AS source FROM s
+UNION ALL SELECT video_id, frame_idx, round_even(x, 0)::INT, round_even(y, 0)::INT, round_even(u, 0)::INT, round_even(v, 0)::INT, 'backfill' FROM i
+""")
+def filled_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seen boxes, and those between two that are not far apart."""
+    seen = view(spark, sf_dir, "visibility").filter("visible").selectExpr("video_id", "frame_idx", "cx as x1", "cy as y1", "cx + 40 as x2", "cy + 50 as y2")
+    return timeline.filled(seen, 200)
