@@ -50,7 +50,7 @@ PERCENT = 80
 #: Bands, values of one band; permutations are half as many as values.
 BANDS, ROWS = 40, 6
 #: Texts and shingles of one block in the last comparison; comparisons of a pivot in one task.
-BLOCK_TEXTS, BLOCK_SHINGLES, STAR_TEXTS = 256, 500_000, 2000
+BLOCK_TEXTS, BLOCK_SHINGLES, STAR_TEXTS = 256, 500_000, 250
 #: Bytes of a text whose words are cut at a time, and shingles permuted at a time.
 SLICE, PERMUTED = 1 << 20, 2048
 BETWEEN = re.compile(rb"[\x20\x09-\x0D]")
