@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenveil.plans import details, operations, queries as _queries, registry, vision  # noqa: F401  they fill the register
+from lumenveil.plans import details, display, operations, queries as _queries, registry, vision  # noqa: F401  they fill the register
 
 
 def queries() -> dict[str, registry.Query]:
