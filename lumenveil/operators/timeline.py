@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import random
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -213,14 +209,9 @@ def preview_buckets(videos: DataFrame, most: int = PREVIEW_BUCKETS) -> DataFrame
 
 
 def preview_times(buckets: DataFrame, per_bucket: int = 2) -> DataFrame:
-    """(video_id, bucket, nth, at): seeded sample times, the same on every run."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = []
-            for r in part.itertuples(index=False):
-                dice = random.Random(f"{r.video_id}-{r.bucket}")
-                rows += [(r.video_id, r.bucket, k, dice.uniform(r.low, r.high)) for k in range(per_bucket)]
-            yield pd.DataFrame(rows, columns=["video_id", "bucket", "nth", "at"])
-
-    return buckets.select("video_id", "bucket", "low", "high").mapInPandas(run, "video_id bigint, bucket int, nth int, at double")
+    """(video_id, bucket, nth, at): sample times drawn by a hash, the same on every run."""
+    digits = 12
+    name = F.concat_ws("-", F.col("video_id").cast("string"), F.col("bucket").cast("string"), F.col("nth").cast("string"))
+    drawn = F.conv(F.substring(F.md5(name), 1, digits), 16, 10).cast("double") / float(16**digits)
+    spread = buckets.select("video_id", "bucket", "low", "high", F.explode(F.sequence(F.lit(0), F.lit(per_bucket - 1))).alias("nth"))
+    return spread.select("video_id", "bucket", "nth", (F.col("low") + (F.col("high") - F.col("low")) * drawn).alias("at"))

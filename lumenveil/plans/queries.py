@@ -678,7 +678,16 @@ def track_manager(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracking.track(fusion.dual_consensus(view(spark, sf_dir, "jittered")))
 
 
-@query()
+@query("""
+, f AS (SELECT video_id, frame_idx, list({'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2} ORDER BY score DESC NULLS LAST, x1, y1, x2, y2) AS found, row_number() OVER (PARTITION BY video_id ORDER BY frame_idx) AS k FROM detections GROUP BY video_id, frame_idx),
+step AS (SELECT video_id, k, frame_idx, found[list_position(list_transform(found, lambda d: greatest(1, (d.x2 - d.x1) * (d.y2 - d.y1))), list_max(list_transform(found, lambda d: greatest(1, (d.x2 - d.x1) * (d.y2 - d.y1)))))] AS box FROM f WHERE k = 1
+ UNION ALL
+ SELECT video_id, k, frame_idx, found[list_position(iou, list_max(iou))] FROM (
+  SELECT *, list_transform(list_zip(shared, sizes), lambda z: z[1] / (z[2] + greatest(1, (box.x2 - box.x1) * (box.y2 - box.y1)) - z[1])) AS iou FROM (
+   SELECT f.video_id, f.k, f.frame_idx, f.found, s.box, list_transform(f.found, lambda d: greatest(0, least(d.x2, s.box.x2) - greatest(d.x1, s.box.x1)) * greatest(0, least(d.y2, s.box.y2) - greatest(d.y1, s.box.y1))) AS shared,
+    list_transform(f.found, lambda d: greatest(1, (d.x2 - d.x1) * (d.y2 - d.y1))) AS sizes FROM step s JOIN f ON f.video_id = s.video_id AND f.k = s.k + 1)))
+SELECT video_id, frame_idx, box.x1 AS x1, box.y1 AS y1, box.x2 AS x2, box.y2 AS y2 FROM step
+""", recursive=True)
 def held_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracking.hold(view(spark, sf_dir, "detections"))
 
@@ -697,6 +706,10 @@ def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.export_rows(view(spark, sf_dir, "tasks"))
 
 
-@query()
+@query("""
+, n AS (SELECT video_id, duration, least(duration * 0.125, 2.0) AS pad, CAST(least(greatest(ceil(duration), 1), 12) AS INTEGER) AS n FROM video_info), b AS (SELECT *, unnest(range(0, n)) AS bucket FROM n),
+t AS (SELECT video_id, bucket, nth, pad + bucket * ((duration - 2 * pad) / n) AS low, pad + (bucket + 1) * ((duration - 2 * pad) / n) AS high, CAST(concat('0x', substr(md5(concat(video_id, '-', bucket, '-', nth)), 1, 12)) AS BIGINT) / 281474976710656 AS drawn FROM b, range(2) r(nth))
+SELECT video_id, CAST(bucket AS INTEGER) AS bucket, CAST(nth AS INTEGER) AS nth, round(low + (high - low) * drawn, 6) AS "at" FROM t
+""")
 def preview_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timeline.preview_times(timeline.preview_buckets(view(spark, sf_dir, "video_info")))
+    return rounded(timeline.preview_times(timeline.preview_buckets(view(spark, sf_dir, "video_info"))), "at")

@@ -87,3 +87,61 @@ def test_upserts_and_event_log(spark, tmp_path):
         sinks.append_events(row, log)
     want = '1970-01-01T00:00:01.500000+00:00 event={} ip=h a=null b="x \\"y\\" é"'
     assert sorted(r.value for r in spark.read.text(log).collect()) == [want.format("start"), want.format("stop")]
+
+
+def test_frame_folder_round_trip(spark, tmp_path):
+    import random
+
+    from lumenveil.sources import frames
+
+    frames.register(spark)
+    dice = random.Random(5)
+    rows = [(n, "", 3 + n % 2, 2, bytearray(dice.randbytes((3 + n % 2) * 6))) for n in (1, 2, 9, 10, 11, 99_999, 100_000, 123_456)]
+    folder = str(tmp_path / "frames")
+    given = spark.createDataFrame(rows, frames.SCHEMA)
+    for _ in range(2):  # written again, the files are replaced
+        given.repartition(3).write.format("frames").mode("append").save(folder)
+    (tmp_path / "frames" / "notes.txt").write_text("no frame")
+    read = spark.read.format("frames").option("files", 3).load(folder)
+    got = [(r.frame_idx, r.width, r.height, bytes(r.pixels)) for r in read.collect()]
+    assert got == [(n, w, h, bytes(p)) for n, _, w, h, p in rows]  # partitions are in the order of the numbers
+    assert frames.numbered(folder, 9, 11) == [(n, f"{folder}/frame_{n:05d}.ppm") for n in (9, 10, 11)]
+
+
+def test_frames_out_of_range_are_not_opened(spark, tmp_path):
+    from lumenveil.sources import frames
+
+    frames.register(spark)
+    for n in range(1, 9):
+        (tmp_path / f"clip_{n}.ppm").write_bytes(frames.encoded(1, 1, bytes([n, 2, 3])) if 3 <= n <= 5 else b"broken")
+    read = spark.read.format("frames").load(str(tmp_path))
+    assert [(r.frame_idx, bytes(r.pixels)) for r in frames.between(spark, str(tmp_path), 3, 5).collect()] == [(n, bytes([n, 2, 3])) for n in (3, 4, 5)]
+    assert [r.frame_idx for r in spark.read.format("frames").option("last", 4).option("first", 4).load(str(tmp_path)).collect()] == [4]
+    with pytest.raises(Exception, match="clip_1.ppm is no binary PPM"):
+        read.collect()
+    (tmp_path / "none").mkdir()
+    assert spark.read.format("frames").load(str(tmp_path / "none")).count() == 0
+
+
+def test_previews_are_made_once(spark, tmp_path):
+    from lumenveil.sources import previews
+
+    path, schema = str(tmp_path / "previews"), "task_id string, output_object_key string, output_sha256 string, finished_at double, source_object_key string, source_sha256 string, created_at double"
+    made = []
+
+    def make(videos):
+        made.extend(sorted(r.task_id for r in videos.collect()))
+        return videos.filter("task_id <> 'empty'").select("task_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("nth"), F.col("fingerprint").alias("of"))
+
+    def videos(sha: str):
+        rows = [("a", "out/a", sha, 1.0, "in/a", None, 0.0), ("b", "", None, None, "in/b", "s", 0.5), ("empty", None, None, None, None, None, None), (None, "x", "y", 1.0, "z", "s", 0.0)]
+        given = spark.createDataFrame(rows, schema)
+        return given.select("task_id", previews.fingerprint(given).alias("fingerprint"))
+
+    assert previews.refresh(videos("1"), path, make, 10.0) == 3
+    assert previews.refresh(videos("1"), path, make, 11.0) == 0
+    assert previews.refresh(videos("2"), path, make, 12.0) == 1
+    assert made == ["a", "b", "empty", "a"]
+    got = sorted((r.task_id, r.nth, r.of) for r in previews.current(spark, path).collect())
+    assert got == [("a", 1, "output|out/a|2|1.0"), ("a", 2, "output|out/a|2|1.0"), ("b", 1, "input|in/b|s|0.5"), ("b", 2, "input|in/b|s|0.5")]
+    assert {r.task_id: r.frames for r in previews.manifest(spark, path).collect()} == {"a": 2, "b": 2, "empty": 0}
