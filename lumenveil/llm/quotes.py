@@ -70,7 +70,8 @@ def _marks(line: Column) -> Column:
     A run of one character class and a cut, as a repeated group would recurse once a mark.
     """
     run = F.regexp_extract(line, r"^[ \t>]*+", 0)
-    return F.rtrim(F.split(run, rf"[ \t]{{{MARK_BLANKS + 1}}}", 2)[0], F.lit(" \t"))
+    marks = F.rtrim(F.split(run, rf"[ \t]{{{MARK_BLANKS + 1}}}", 2)[0], F.lit(" \t"))
+    return F.when(line.contains(">"), marks).otherwise("")
 
 
 def parsed(messages: DataFrame, text_col: str = "text") -> DataFrame:
@@ -83,7 +84,7 @@ def parsed(messages: DataFrame, text_col: str = "text") -> DataFrame:
     lines = F.transform(
         marked,
         lambda x: F.struct(
-            (F.length(x["marks"]) - F.length(F.translate(x["marks"], ">", ""))).alias("depth"),
+            F.when(x["marks"] == "", 0).otherwise(F.length(x["marks"]) - F.length(F.translate(x["marks"], ">", ""))).alias("depth"),
             F.when(x["marks"] == "", x["line"]).otherwise(F.regexp_replace(rest(x), "^ ", "")).alias("text"),
         ),
     )
