@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Bounds and weights of the card test on contours.
@@ -11,11 +11,12 @@ CARD_ASPECT, CARD_SPREAD = 1.586, 0.75
 CARD_WEIGHTS = {"aspect": 0.6, "fill": 0.3, "texture": 0.1}
 
 
-def anchor_grid(spark: SparkSession, size: int, stride: int, per_cell: int = 2) -> DataFrame:
-    """(anchor, x, y): centres of a square input's grid, row by row."""
-    side = size // stride
-    cell = F.floor(F.col("id") / per_cell)
-    return spark.range(side * side * per_cell).select(F.col("id").alias("anchor"), (cell % side * stride).cast("double").alias("x"), (F.floor(cell / side) * stride).cast("double").alias("y"))
+def anchor_grid(inputs: DataFrame, size: str, stride: int, per_cell: int = 2) -> DataFrame:
+    """inputs with (anchor, x, y) of the grid of each square input of ``size`` pixels, row by row."""
+    side = F.floor(F.col(size) / stride)
+    spread = inputs.withColumn("anchor", F.explode(F.sequence(F.lit(0).cast("bigint"), side * side * per_cell - 1)))
+    cell = F.floor(F.col("anchor") / per_cell)
+    return spread.withColumns({"x": (cell % side * stride).cast("double"), "y": (F.floor(cell / side) * stride).cast("double")})
 
 
 def box_from_distances(x: Column, y: Column, distances: Column) -> tuple[Column, ...]:

@@ -124,6 +124,18 @@ def is_ipv4(text: Column) -> Column:
     return F.coalesce(text.rlike(rf"^{octet}(\.{octet}){{3}}$"), F.lit(False))
 
 
+def is_ip(text: Column) -> Column:
+    """An IPv4 or IPv6 address; the latter may end in an IPv4 one and name a scope."""
+    bare = F.regexp_replace(text, r"%[^%/]+$", "")
+    tail = F.regexp_extract(bare, r":([0-9.]+\.[0-9.]+)$", 1)
+    plain = F.when(is_ipv4(tail), F.concat(F.substring(bare, F.lit(1), F.length(bare) - F.length(tail)), F.lit("0:0"))).otherwise(bare)
+    short = plain.contains("::")
+    ends = F.split(plain, "::")
+    groups = F.flatten(F.transform(F.filter(ends, lambda e: e != ""), lambda e: F.split(e, ":")))
+    right = F.forall(groups, lambda g: g.rlike("^[0-9A-Fa-f]{1,4}$")) & F.when(short, (F.size(ends) == 2) & (F.size(groups) <= 7)).otherwise(F.size(groups) == 8)
+    return is_ipv4(text) | F.coalesce(plain.contains(":") & right, F.lit(False))
+
+
 def xml_escaped(text: Column) -> Column:
     for plain, code in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         text = F.replace(text, F.lit(plain), F.lit(code))
@@ -173,7 +185,7 @@ def arguments(text: Column, most: int = 128, longest: int = 4096) -> Column:
 def host_slot(text: Column, most: int = 16) -> Column:
     """struct<ip, slots> of ``ip=slots``; null unless both are valid."""
     ip, number = F.regexp_extract(text, "^([^=]*)=", 1), F.regexp_extract(text, "=([0-9]+)$", 1).try_cast("int")
-    return F.when(is_ipv4(ip) & number.between(1, most), F.struct(ip.alias("ip"), number.alias("slots")))
+    return F.when(is_ip(ip) & number.between(1, most), F.struct(ip.alias("ip"), number.alias("slots")))
 
 
 def display_hours(seconds: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lumenveil.functions import scalars
 from lumenveil.operators.control import numbered
 
 MAX_HOSTS = 10_000
@@ -98,3 +99,19 @@ def unlisted(managed: DataFrame, listed: DataFrame) -> DataFrame:
 def allowed(hosts: DataFrame, addresses: DataFrame) -> DataFrame:
     """Hosts whose address is on the list of managed ones."""
     return hosts.join(addresses.select("private_ip").distinct(), "private_ip", "left_semi").select(hosts.columns)
+
+
+def configured(entries: DataFrame, most: int = 16) -> DataFrame:
+    """(pool, place, entry, ip, slots, problem) of entries (pool, place, entry) such as ``10.0.0.1=4``.
+
+    problem: ``invalid`` (no address or no number), ``slots`` (a number outside 1 to
+    ``most``), ``duplicate`` (the address stands in an earlier right entry of the
+    pool), else null. Entries of a pool are told apart by their places.
+    """
+    ip, number = F.regexp_extract("entry", "^([^=]*)=", 1), F.regexp_extract("entry", "=(-?[0-9]+)$", 1).try_cast("int")
+    read = entries.select("pool", "place", "entry", ip.alias("ip"), number.alias("slots"))
+    problem = F.when(~scalars.is_ip(F.col("ip")) | F.col("slots").isNull(), "invalid").when(~F.col("slots").between(1, most), "slots")
+    judged = read.withColumn("problem", problem)
+    first = judged.filter("problem is null").groupBy("pool", "ip").agg(F.min("place").alias("first"))
+    again = F.col("problem").isNull() & (F.col("place") > F.col("first"))
+    return judged.join(first, ["pool", "ip"], "left").select("pool", "place", "entry", "ip", "slots", F.when(again, "duplicate").otherwise(F.col("problem")).alias("problem"))

@@ -184,6 +184,17 @@ def host_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(k.alias("id"), scalars.host_slot(text).alias("slot")).select("id", "slot.ip", "slot.slots")
 
 
+@query("""
+, e AS (SELECT p_size AS pool, p_partkey AS place, concat('10.0.', p_partkey % 3, '.', p_partkey % 260 // 20, CASE WHEN p_partkey % 11 = 0 THEN '' ELSE '=' END, p_partkey % 18) AS entry, concat('10.0.', p_partkey % 3, '.', p_partkey % 260 // 20) AS ip, p_partkey % 11 = 0 AS broken, p_partkey % 18 AS slots FROM part),
+j AS (SELECT *, CASE WHEN broken THEN 'invalid' WHEN slots NOT BETWEEN 1 AND 16 THEN 'slots' END AS problem FROM e), f AS (SELECT *, min(place) FILTER (problem IS NULL) OVER (PARTITION BY pool, ip) AS first FROM j)
+SELECT pool, place, entry, CASE WHEN broken THEN '' ELSE ip END AS ip, CASE WHEN NOT broken THEN CAST(slots AS INTEGER) END AS slots, CASE WHEN problem IS NULL AND place > first THEN 'duplicate' ELSE problem END AS problem FROM f
+""")
+def host_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("p_partkey")
+    entry = F.concat(F.lit("10.0."), (n % 3).cast("string"), F.lit("."), F.floor(n % 260 / 20).cast("string"), F.when(n % 11 == 0, "").otherwise("="), (n % 18).cast("string"))
+    return planner.configured(table(spark, sf_dir, "part").select(F.col("p_size").alias("pool"), n.alias("place"), entry.alias("entry")))
+
+
 @query("SELECT o_orderkey AS id, sha256(concat('token-', CAST(o_orderkey AS VARCHAR))) AS token_hash FROM orders")
 def token_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.sha2(F.concat(F.lit("token-"), F.col("o_orderkey").cast("string")), 256).alias("token_hash"))

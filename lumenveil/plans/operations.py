@@ -315,9 +315,13 @@ def pool_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- decoders ---------------------------------------------------------------
 
 
-@query("SELECT CAST(i AS BIGINT) AS anchor, CAST(i // 2 % 20 * 32 AS DOUBLE) AS x, CAST(i // 2 // 20 * 32 AS DOUBLE) AS y FROM range(800) t(i)")
+@query("""
+, v AS (SELECT video_id, 64 + video_id % 5 * 32 AS size FROM video_info), a AS (SELECT video_id, size // 32 AS side, unnest(range(size // 32 * (size // 32) * 2)) AS anchor FROM v)
+SELECT video_id, anchor, CAST(anchor // 2 % side * 32 AS DOUBLE) AS x, CAST(anchor // 2 // side * 32 AS DOUBLE) AS y FROM a
+""")
 def anchor_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decoding.anchor_grid(spark, 640, 32)
+    videos = view(spark, sf_dir, "video_info").select("video_id", (64 + F.col("video_id") % 5 * 32).alias("size"))
+    return decoding.anchor_grid(videos, "size", 32).select("video_id", "anchor", "x", "y")
 
 
 _FIT = "least(640.0 / width, 640.0 / height)"

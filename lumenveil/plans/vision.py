@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenveil.functions import boxes
-from lumenveil.operators import fusion, keyframes, leases, motion, regions, segments, templates, timeline, tracking
+from lumenveil.operators import fusion, keyframes, leases, lenses, motion, regions, segments, templates, timeline, tracking
 from lumenveil.plans.fixtures import view
 from lumenveil.plans.operations import _IOU
 from lumenveil.plans.queries import rounded
@@ -296,3 +296,24 @@ def filled_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seen boxes, and those between two that are not far apart."""
     seen = view(spark, sf_dir, "visibility").filter("visible").selectExpr("video_id", "frame_idx", "cx as x1", "cy as y1", "cx + 40 as x2", "cy + 50 as y2")
     return timeline.filled(seen, 200)
+
+
+# -- lenses -------------------------------------------------------------------------
+
+_LENS = lenses.LENSES["pico4"]
+_FOCAL = max(_CW, _CH) * _LENS.focal
+_CAMERA = lenses.camera(_CW, _CH, _LENS)
+
+
+@query(f"""
+, px AS (SELECT c, x, y, ch, {_COLOURED} AS v FROM (SELECT s_suppkey AS c FROM supplier) k, range({_CW}) a(x), range({_CH}) d(y), range(3) e(ch)),
+n AS (SELECT x, y, (x - {_CAMERA[1]!r}) / {_CAMERA[0]!r} AS u, (y - {_CAMERA[2]!r}) / {_CAMERA[0]!r} AS v FROM range({_CW}) a(x), range({_CH}) d(y)), r AS (SELECT *, sqrt(u * u + v * v) AS r, atan(sqrt(u * u + v * v)) AS t FROM n),
+s AS (SELECT *, CASE WHEN r > 1e-8 THEN t * (1 + {_LENS.k1} * t * t + {_LENS.k2} * t * t * t * t) / r ELSE 1 END AS s FROM r), p AS (SELECT x, y, {_FOCAL!r} * u * s + {_CW / 2} AS sx, {_FOCAL!r} * v * s + {_CH / 2} AS sy FROM s),
+w AS (SELECT x, y, floor(sx)::BIGINT + i AS bx, floor(sy)::BIGINT + j AS b_y, CASE i WHEN 0 THEN 1 - (sx - floor(sx)) ELSE sx - floor(sx) END * CASE j WHEN 0 THEN 1 - (sy - floor(sy)) ELSE sy - floor(sy) END AS share FROM p, range(2) a(i), range(2) b(j))
+SELECT k.c AS video_id, ((w.y * {_CW} + w.x) * 3 + e.ch)::INT AS place, round_even(round(coalesce(sum(share * px.v), 0), 9), 0)::INT AS value
+ FROM w, range(3) e(ch), (SELECT s_suppkey AS c FROM supplier) k LEFT JOIN px ON px.c = k.c AND px.x = bx AND px.y = b_y AND px.ch = e.ch GROUP BY k.c, w.x, w.y, e.ch
+""")
+def undistorted_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The coloured frame of every supplier, straightened by a lens model."""
+    done = lenses.undistorted(_coloured(spark, sf_dir), "pico4", downscale=1).select("video_id", F.hex("pixels").alias("pixels"))
+    return done.select("video_id", F.posexplode(F.expr("transform(sequence(1, length(pixels), 2), i -> int(conv(substring(pixels, i, 2), 16, 10)))")).alias("place", "value"))
