@@ -19,22 +19,25 @@ enough to prove a bound, else by a shuffled join. Texts go to the pairs that a
 seed has found, items in chunks of bounded size.
 
 Defined cases: null or empty texts match nothing; an item with fewer than
-min_match words is covered by documents of the same words and no other; equal
+min_match words is covered by documents that hold all its words in a row (seeds of
+such lengths are made of the documents only if an item has one); equal
 matches go to the first place in the document, then in the item; very long texts
-are tiled whole, in memory that grows with their length alone; repeated items and
+are tiled whole, in memory that grows with the lengths of the document and of the
+longest item alone; repeated items and
 rows repeat in :func:`contaminations`; a null id is an id like others; an empty
 table on either side gives no overlap; other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from lumenveil.session import discard, materialize
 
@@ -68,18 +71,20 @@ class _Hashes(dict):
 _HASHES = _Hashes()
 
 
-def seeds_of(words: list[bytes], m: int) -> np.ndarray:
-    """Hashes (long) of all runs of ``m`` words; of all words, if they are fewer."""
-    if not words:
-        return np.zeros(0, np.int64)
+def seeds_of(words: list[bytes], widths: tuple[int, ...]) -> np.ndarray:
+    """Hashes (long) of all runs of each width that the words hold."""
     numbers = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-    width = min(m, len(words))
-    n = len(numbers) - width + 1
-    out = np.full(n, width, np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(width):
-            out = (out ^ (out >> np.uint64(29))) * np.uint64(_BASE) + numbers[k : k + n]
-    return out.view(np.int64)
+    found = [np.zeros(0, np.uint64)]
+    for width in widths:
+        n = len(numbers) - width + 1
+        if width < 1 or n < 1:
+            continue
+        out = np.full(n, width, np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(width):
+                out = (out ^ (out >> np.uint64(29))) * np.uint64(_BASE) + numbers[k : k + n]
+        found.append(out)
+    return np.concatenate(found).view(np.int64)
 
 
 # -- tiling ---------------------------------------------------------------
@@ -162,7 +167,8 @@ def tiles_of(doc: np.ndarray, item: np.ndarray, m: int) -> list[tuple[int, int,
 def overlap(words: list[bytes], item: list[bytes], m: int = MIN_MATCH) -> tuple[int, int]:
     """(tiles, covered words) of an item in a document."""
     if len(item) < m:
-        return (1, len(item)) if item and words == item else (0, 0)
+        join = lambda x: b" " + b" ".join(x) + b" "
+        return (1, len(item)) if item and join(item) in join(words) else (0, 0)
     vocabulary: dict[bytes, int] = {}
     target = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in item], np.int64)
     numbers = np.fromiter((vocabulary.get(w, -1) for w in words), np.int64, len(words))
@@ -190,15 +196,13 @@ def _keys(id_col: str, text_col: str) -> list:
     return [F.xxhash64(F.lit(1), F.col(id_col), F.col(text_col)).alias("row_key"), F.xxhash64(F.lit(2), F.col(text_col)).alias("text_key")]
 
 
-def _with_seeds(rows: DataFrame, m: int, *, distinct: bool) -> DataFrame:
-    """The rows, whose last column is a text, with array<long> seeds in its place."""
+def _with_seeds(rows: DataFrame, seeds: Callable[[list[bytes]], np.ndarray]) -> DataFrame:
+    """The rows, whose last column is a text, with array<long> seeds of its words in its place."""
     fields = rows.schema.fields[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [seeds_of(words_of(x.as_py()), m) for x in batch.columns[-1]]
-            if distinct:
-                found = [np.unique(x) for x in found]
+            found = [seeds(words_of(x.as_py())) for x in batch.columns[-1]]
             ends = np.cumsum([0, *map(len, found)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], names=[*(f.name for f in fields), "seeds"])
@@ -206,24 +210,33 @@ def _with_seeds(rows: DataFrame, m: int, *, distinct: bool) -> DataFrame:
     return rows.mapInArrow(run, T.StructType([*fields, T.StructField("seeds", T.ArrayType(T.LongType()))]))
 
 
+def _short_widths(items: DataFrame, m: int) -> tuple[int, ...]:
+    """The numbers of words, below m, that items have: m - 1 values at most."""
+    lengths = _with_seeds(items.select("item_text"), lambda words: np.array([min(len(words), m)], np.int64))
+    return tuple(sorted(r.n for r in lengths.select(F.explode("seeds").alias("n")).distinct().filter(F.col("n").between(1, m - 1)).collect()))
+
+
 def _indexed(items: DataFrame, m: int, coverage: float) -> DataFrame:
     """(seed, item): the seeds of each item that the join needs."""
-    every = _with_seeds(items.select("item", "item_text"), m, distinct=False).select("item", F.size("seeds").alias("places"), F.explode("seeds").alias("seed"))
+    every = _with_seeds(items.select("item", "item_text"), lambda words: seeds_of(words, (min(m, len(words)),))).select("item", F.size("seeds").alias("places"), F.explode("seeds").alias("seed"))
     weighed = every.groupBy("item", "places", "seed").agg(F.count("*").alias("n"))
     common = weighed.groupBy("seed").agg(F.count("*").alias("items"))
-    ranked = weighed.join(common, "seed").groupBy("item", "places").agg(F.array_sort(F.collect_list(F.struct((-F.col("items")).alias("commonest"), "seed", "n"))).alias("all"))
+    order = Window.partitionBy("item").orderBy(F.desc("items"), "seed").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = weighed.join(common, "seed").withColumn("upto", F.sum("n").over(order))
     # an item of n words has n - m + 1 places; as many as this may be passed over
     spare = F.greatest(F.ceil(F.lit(coverage) * (F.col("places") + m - 1) / m) - 1, F.lit(0))
-    before = F.transform("all", lambda x, k: F.struct(x["seed"].alias("seed"), F.aggregate(F.slice("all", 1, k + 1), F.lit(0).cast("long"), lambda s, y: s + y["n"]).alias("upto")))
-    return ranked.select("item", spare.alias("spare"), F.explode(before).alias("x")).filter(F.col("x.upto") > F.col("spare")).select("x.seed", "item")
+    return upto.filter(F.col("upto") > spare).select("seed", "item")
 
 
 def _pairs(docs: DataFrame, items: DataFrame, m: int, coverage: float) -> DataFrame:
-    """(row_key, text_key, item) of documents and items with a common seed."""
+    """(row_key, text_key, item) of documents and items with a common seed, as a table."""
     seeds = materialize(_indexed(items, m, coverage), "tiling-seeds")
     met = F.broadcast(seeds) if seeds.count() <= BROADCAST_SEEDS else seeds
-    told = _with_seeds(docs, m, distinct=True).select(*_KEYS, F.explode("seeds").alias("seed"))
-    return told.join(met, "seed").select(*_KEYS, "item").distinct()
+    widths = (*_short_widths(items, m), m)
+    told = _with_seeds(docs, lambda words: np.unique(seeds_of(words, widths))).select(*_KEYS, F.explode("seeds").alias("seed"))
+    pairs = materialize(told.join(met, "seed").select(*_KEYS, "item").distinct(), "tiling-pairs")
+    discard(seeds)
+    return pairs
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, *, coverage: float = COVERAGE, min_match: int = MIN_MATCH, id_col: str = "doc_id", text_col: str = "text", item_text_col: str = "text") -> DataFrame:
@@ -234,7 +247,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, coverage: float = COVERAG
     items = benchmark.filter(F.col(item_text_col).isNotNull()).select(F.unhex(F.md5(F.col(item_text_col).cast("binary"))).alias("item"), F.col(item_text_col).alias("item_text"))
     items = materialize(items.dropDuplicates(["item"]), "tiling-items")
     texts = docs.filter(F.col(text_col).isNotNull()).select(*_keys(id_col, text_col), F.col(text_col).alias("doc_text"))
-    pairs = materialize(_pairs(texts, items, min_match, coverage), "tiling-pairs")
+    pairs = _pairs(texts, items, min_match, coverage)
     sizes = pairs.groupBy(*_KEYS).agg(F.ceil(F.count("*") / CHUNK_ITEMS).alias("chunks"))
     chunks = (
         pairs.join(sizes, _KEYS).join(items, "item")
