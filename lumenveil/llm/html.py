@@ -12,12 +12,18 @@ only the articles if they hold most of its text; without one its articles are
 read, else the page. Character references are decoded, white space inside a block
 becomes one space, and blocks are joined by line feeds in page order.
 
+What a block is counts before its name. Articles that stand side by side in one
+place with one class, beside another article that is longer than each of them, are
+comments or teasers. Articles that hold less than a third of the page's text are
+teasers if one element holds twice as much in its own paragraphs. Where no article is
+marked, a block of links is a menu unless it is a sentence with words of its own.
+
 Names count only as a whole: each part of a class or id must be a name of what is
 no article or a neutral word. Elements that hold an article or main part are never
 dropped by name, nor are those with nearly all text of a page that marks neither.
 An article is dropped by name only inside another article (a comment). Inside an
 article or main part, names that may also stand for parts of it (WEAK) count only
-for blocks of links. A form is dropped likewise, unless it holds most of the text.
+for blocks of links or, of some of them (UNLESS_PROSE), for what is no sentence. A form is dropped likewise, unless it holds most of the text.
 
 Pages are parsed twice: for the hashes, which are written as a table, and for the
 text. They travel once, compressed, to meet the list of their own template
@@ -70,11 +76,13 @@ NAMES = set(
     "alert popup modal overlay newsletter subscribe subscription signup login comment comments disqus respond reply replies "
     "discussion share sharing social related recommended pagination pager widget toolbar promo promotion sponsor sponsored".split()
 )
-WEAK = set("discussion notice notices alert overlay modal popup widget banner toolbar promotion".split())
-PREFIXES = ("advert", "adsby", "cookie", "comment", "sidebar", "sponsor", "newsletter", "breadcrumb", "promo", "disqus", "navbar")
+WEAK = set("discussion notice notices alert overlay modal popup widget banner toolbar promotion social related recommended".split())
+PREFIXES = ("advert", "adsby", "adsense", "cookie", "comment", "sidebar", "sponsor", "newsletter", "breadcrumb", "promo", "disqus", "navbar")
+UNLESS_PROSE = set("social related recommended".split())
 NEUTRAL = set(
     "site page main global top bottom left right inner outer primary secondary box wrap wrapper container block section area zone bar list "
-    "link links item items button buttons icon icons form post posts article articles entry body header title text media"
+    "link links item items button buttons icon icons form post posts article articles entry body header title text media "
+    "user users reader readers slot slots sticky fixed new old all my"
     .split()
 )
 OUTSIDE_ONLY = set("header masthead topbar".split())
@@ -192,11 +200,14 @@ class Page:
         """Decides on elements with names of what is no article by what they hold."""
         n = len(self.elements)
         dropped, size, linked, self.holds, main = [False] * n, [0] * n, [0] * n, [False] * n, [False] * n
+        prose = [False] * n  # whether a text below is a sentence
         self.inner = [False] * n  # whether anything below holds an article or main part
         for element, text, link in self.texts:
             length = len(text.strip()) if text else 0
             size[element] += length
             linked[element] += length * link
+            prose[element] |= length > 0 and not link and _is_sentence(text)
+        self.size = size
         for k, (_, parent, _, _, kind) in enumerate(self.elements):
             dropped[k] = kind == "drop" or (parent >= 0 and dropped[parent])
         for k in range(n - 1, -1, -1):
@@ -212,6 +223,7 @@ class Page:
                 self.holds[parent], main[parent] = self.holds[parent] or self.holds[k], main[parent] or main[k]
                 size[parent] += size[k]
                 linked[parent] += linked[k]
+                prose[parent] |= prose[k]
         around = [-1] * n  # the nearest article or main part around an element
         for k, (_, parent, _, _, kind) in enumerate(self.elements):
             if parent >= 0:
@@ -220,15 +232,31 @@ class Page:
             most = not self.holds[0] and size[k] > MOST * size[0]
             if kind == "form":
                 self.elements[k][4] = "" if self.holds[k] or most or (inside and 2 * size[k] > size[around[k]]) else "drop"
-            elif kind == "named" or (kind == "weak" and (not inside or linked[k] >= LINK_SHARE * max(1, size[k]))):
+            elif kind == "named" or (kind in ("weak", "unless prose") and (not inside or linked[k] >= LINK_SHARE * max(1, size[k]) or (kind == "unless prose" and not prose[k]))):
                 self.elements[k][4] = "" if self.holds[k] or most else "drop"
-            elif kind == "weak":
+            elif kind in ("weak", "unless prose"):
                 self.elements[k][4] = ""
             elif kind == "named article":
                 alone = not self.holds[0] and 2 * size[k] >= size[0]
                 self.elements[k][4] = "" if self.holds[k] else "drop" if inside else "article" if alone else ""
             elif kind == "outside" and self.holds[k]:
                 self.elements[k][4] = ""
+        self._drop_rows()
+
+    def _drop_rows(self) -> None:
+        """Drops articles in a row of one shape beside a longer article of another: comments or teasers."""
+        rows: dict[tuple, list[int]] = {}
+        inside = [False] * len(self.elements)
+        for k, (_, parent, first, _, kind) in enumerate(self.elements):
+            if parent >= 0:
+                inside[k] = inside[parent] or self.elements[parent][4] in ("article", "main", "drop")
+            if kind == "article" and not inside[k]:
+                rows.setdefault((parent, self.tokens[first]), []).append(k)
+        longest = max((k for some in rows.values() for k in some), key=lambda k: self.size[k], default=-1)
+        for some in rows.values():
+            if len(some) > 1 and longest not in some and all(self.size[k] < self.size[longest] for k in some):
+                for k in some:
+                    self.elements[k][4] = "drop"
 
     def subtrees(self) -> list[tuple[int, int]]:
         """(element, hash) of block elements that hold no article or main part.
@@ -271,21 +299,55 @@ class Page:
         if any(main[k] for k in kept) and (in_main or not marked):
             wanted = [m and (a or 2 * in_both < in_main) for a, m in zip(article, main)] if in_both else main
         else:
-            wanted = article if marked else None
+            wanted = (article if self._articles_count(article, gone) else [not a for a in article]) if marked else None
         blocks, part, linked, length = [], [], 0, 0
         for element, text, link in [*self.texts, (0, None, False)]:
             if text is None:
                 block = " ".join("".join(part).split())
-                if block and (wanted or linked < LINK_SHARE * length):
+                if block and (wanted or linked < LINK_SHARE * length or _has_own_words(part, block)):
                     blocks.append(block)
                 part, linked, length = [], 0, 0
             elif not gone[element] and (not wanted or wanted[element]):
-                part.append(text)
+                part.append(text if not link else _Linked(text))
                 length += len(text.strip())
                 linked += len(text.strip()) * link
         return "\n".join(blocks)
 
 
+    def _articles_count(self, article: list[bool], gone: list[bool]) -> bool:
+        """Whether the articles are the page's text, and no teasers beside it."""
+        n = len(self.elements)
+        inside = outside = 0
+        own = [0] * n  # text of an element's own paragraphs that are in no article
+        paragraph = [-1] * n
+        for k, (tag, parent, _, _, _) in enumerate(self.elements):
+            paragraph[k] = k if tag == "p" else paragraph[parent] if parent >= 0 else -1
+        for element, text, link in self.texts:
+            length = len(text.strip()) if text and not gone[element] else 0
+            if article[element]:
+                inside += length
+            else:
+                outside += length
+                if paragraph[element] >= 0 and not link:
+                    own[self.elements[paragraph[element]][1]] += length
+        return 3 * inside >= inside + outside or max(own) < 2 * inside
+
+
+class _Linked(str):
+    """Text of a link."""
+
+
+def _is_sentence(text: str) -> bool:
+    words = text.split()
+    return len(words) >= 5 and words[-1].rstrip("\"')\u201d\u2019")[-1:] in tuple(".!?\u2026")
+
+
+def _has_own_words(part: list[str], block: str) -> bool:
+    """Whether a block of links is a sentence with two words at least outside of them."""
+    own = [w for x in part if not isinstance(x, _Linked) for w in x.split() if any(map(str.isalpha, w))]
+    return len(own) >= 2 and block[-1:] in tuple(".!?\u2026")
+
+
 def _kind(tag: str, attrs: str) -> str:
     if tag in DROPPED:
         return "drop"
@@ -312,8 +374,9 @@ def _kind(tag: str, attrs: str) -> str:
         return tag
     told = [name for name in names if _is_name(name)]
     if told:
-        strong = any(w in NAMES - WEAK or w.startswith(PREFIXES) for name in told for w in _WORD.findall(name))
-        return "named article" if tag == "article" else "named" if strong else "weak"
+        words = {w for name in told for w in _WORD.findall(name)}
+        strong = any(w in NAMES - WEAK or w.startswith(PREFIXES) for w in words)
+        return "named article" if tag == "article" else "named" if strong else "weak" if words & (WEAK - UNLESS_PROSE) else "unless prose"
     if tag == "article":
         return tag
     return "outside" if tag == "header" or not OUTSIDE_ONLY.isdisjoint(names) else ""
@@ -325,7 +388,7 @@ def _is_name(name: str) -> bool:
     for word in _WORD.findall(name):
         if word in NAMES or word.startswith(PREFIXES):
             told = True
-        elif word not in NEUTRAL and not word.isdigit():
+        elif word not in NEUTRAL and not word.lstrip("v").isdigit():
             return False
     return told
 

@@ -128,6 +128,33 @@ def test_names_never_drop_what_holds_the_text(source, want):
     assert text(source) == want
 
 
+BODY = [f"Sentence number {k} of the long body, which tells what there is to tell." for k in range(20)]
+LONG = "".join(f"<p>{x}</p>" for x in BODY)
+STORY = "<article><h1>Title</h1><p>The story is told here, in a sentence.</p></article>"
+TOLD = "Title\nThe story is told here, in a sentence."
+
+
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        *((f"<div class=body><p>The story is told here.</p></div><{tag} class='{name}'><p>first of all remarks</p></{tag}>", "The story is told here.") for tag, name in (
+            ("div", "user-comments"), ("ul", "commentlist-v2"), ("div", "ad-slot-3"), ("div", "adsense"), ("div", "sticky-ad"), ("section", "reader-comments"),
+        )),
+        (STORY + "<div class=thread><article class=c><p>I like it much.</p></article><article class=c><p>So do I.</p></article></div>", TOLD),
+        ("<article class=c><p>one post of many, in a row</p></article><article class=c><p>another post</p></article>", "one post of many, in a row\nanother post"),
+        ("<article><p>Intro.</p><div class=social><p>Social effects of the reform were felt by all.</p></div></article>", "Intro.\nSocial effects of the reform were felt by all."),
+        ("<article><p>Intro.</p><section class=related><p>Related work goes back to the first days.</p></section></article>", "Intro.\nRelated work goes back to the first days."),
+        ("<article><p>Intro.</p><div class=social>Like Share Tweet</div><div class=related><a href=1>More of this.</a> <a href=2>And that.</a></div></article>", "Intro."),
+        (f"<article class=t><p>Teaser one</p></article><div>{LONG}</div><article class=u><p>Teaser two</p></article>", "\n".join(BODY)),
+        (STORY + "<div><div><p>" + "</p></div><div><p>".join(["A remark of some length by a reader."] * 9) + "</p></div></div>", TOLD),
+        ("<p><a href=1>A long sentence that is linked as a whole</a> with bit.</p><p><a href=1>one</a> | <a href=2>two</a>.</p>", "A long sentence that is linked as a whole with bit."),
+    ],
+)
+def test_what_a_block_is_counts_before_its_name(source, want):
+    """Pages and their texts, written down by hand."""
+    assert text(source) == want
+
+
 @pytest.mark.parametrize(
     "source",
     [
