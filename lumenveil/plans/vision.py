@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenveil.functions import boxes
-from lumenveil.operators import fusion, keyframes, leases, lenses, motion, regions, segments, templates, timeline, tracking
+from lumenveil.operators import detectors, fusion, keyframes, leases, lenses, motion, regions, segments, templates, timeline, tracking
 from lumenveil.plans.fixtures import view
 from lumenveil.plans.operations import _IOU
 from lumenveil.plans.queries import rounded
@@ -317,3 +317,40 @@ def undistorted_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The coloured frame of every supplier, straightened by a lens model."""
     done = lenses.undistorted(_coloured(spark, sf_dir), "pico4", downscale=1).select("video_id", F.hex("pixels").alias("pixels"))
     return done.select("video_id", F.posexplode(F.expr("transform(sequence(1, length(pixels), 2), i -> int(conv(substring(pixels, i, 2), 16, 10)))")).alias("place", "value"))
+
+
+# -- detectors ----------------------------------------------------------------------
+
+_RAW = {
+    "index": "l_partkey % 700", "a": "(l_discount * 10 + 0.2)", "b": "(0.4 + l_tax * 7)", "p": "(l_linenumber * 0.25 + 0.5)", "q": "(l_linenumber * 0.125 + 0.75)", "r": "(l_suppkey % 5 * 0.375 + 0.875)", "s": "(l_suppkey % 7 * 0.25 + 1.125)",
+}
+_HEADS = {"cells": "array(a, b, p * 0.25, q * 0.25, r * 0.5, s * 0.5)", "anchors": "array(a, p, q, r, s)", "boxes": "array(index % 500 + p, index % 300 + q, index % 500 + p + r * 60, index % 300 + q + s * 50, a * 0.6)"}
+_RAW_SQL = f"SELECT l_orderkey % 50 AS video_id, l_orderkey AS frame_idx, l_linenumber AS k, 640 + l_orderkey % 4 * 320 AS width, 480 + l_orderkey % 3 * 240 AS height, {', '.join(f'{x} AS {n}' for n, x in _RAW.items())} FROM lineitem"
+
+
+def _in_frame(size: int) -> str:
+    fit = f"least({size}.0 / width, {size}.0 / height)"
+    left, top = (f"(({size} - trunc({side} * {fit})::INT) // 2)" for side in ("width", "height"))
+    back = lambda v, pad: f"trunc(({v} - {pad}) / {fit})::INT"
+    return f"greatest(0, {back('bx1', left)})::DOUBLE AS x1, greatest(0, {back('by1', top)})::DOUBLE AS y1, least(width, {back('bx2', left)})::DOUBLE AS x2, least(height, {back('by2', top)})::DOUBLE AS y2"
+
+
+_DECODED = {
+    "cells": "(index % 20 + p * 0.25) * 16 - exp(r * 0.5) * 8 AS bx1, (index // 20 + q * 0.25) * 16 - exp(s * 0.5) * 8 AS by1, (index % 20 + p * 0.25) * 16 + exp(r * 0.5) * 8 AS bx2, (index // 20 + q * 0.25) * 16 + exp(s * 0.5) * 8 AS by2, sqrt(least(1.0, a) * least(1.0, b)) AS score",
+    "anchors": "index // 2 % 20 * 32 - p * 32 AS bx1, index // 2 // 20 * 32 - q * 32 AS by1, index // 2 % 20 * 32 + r * 32 AS bx2, index // 2 // 20 * 32 + s * 32 AS by2, a AS score",
+    "boxes": "index % 500 + p AS bx1, index % 300 + q AS by1, index % 500 + p + r * 60 AS bx2, index % 300 + q + s * 50 AS by2, a * 0.6 AS score",
+}
+
+
+@query(f"""
+, raw AS ({_RAW_SQL}), {', '.join(f"d_{n} AS (SELECT video_id, frame_idx, index, width, height, {x} FROM raw)" for n, x in _DECODED.items())},
+f AS ({' UNION ALL '.join(f"SELECT video_id, frame_idx, index::INT AS det_id, '{n}' AS model, {_in_frame(detectors.REGISTER[n].size)}, score FROM d_{n} WHERE score >= {detectors.REGISTER[n].least_score}" for n in _DECODED)})
+SELECT video_id, frame_idx, det_id, model, x1, y1, x2, y2, round(score, 6) AS score FROM f WHERE x2 > x1 AND y2 > y1
+""")
+def decoded_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw heads of three detectors as boxes in their frames."""
+    table(spark, sf_dir, "lineitem").createOrReplaceTempView("lineitem_rows")
+    raw = spark.sql(_RAW_SQL.replace("FROM lineitem", "FROM lineitem_rows"))
+    raw = raw.select("*", *(F.col(c).cast("double").alias(f"{c}_") for c in "abpqrs")).drop(*"abpqrs").withColumnsRenamed({f"{c}_": c for c in "abpqrs"})
+    found = [detectors.decoded(raw.withColumn("values", F.expr(_HEADS[n])), n) for n in _HEADS]
+    return reduce(DataFrame.unionByName, found).withColumn("score", F.round("score", 6))

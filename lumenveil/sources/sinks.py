@@ -56,3 +56,51 @@ def export_rows(tasks: DataFrame) -> DataFrame:
 
 def export_csv(tasks: DataFrame, path: str) -> None:
     export_rows(tasks).write.mode("overwrite").option("header", True).csv(path)
+
+
+#: Parts of a keyed table by hash of its key.
+BUCKETS = 64
+
+
+def _newest(spark: SparkSession, path: str, buckets: int) -> dict[int, int]:
+    """The version of each part that a keyed table consists of; empty where there is no table."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/parts")
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return {}
+    return {r.bucket: r.version for r in read_latest(spark, f"{path}/parts").collect()}  # at most `buckets` rows
+
+
+def _parts(spark: SparkSession, path: str, versions: dict[int, int], schema) -> DataFrame:
+    folders = [f"{path}/rows/v={v}/bucket={b}" for b, v in sorted(versions.items())]
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+
+
+def read_keyed(spark: SparkSession, path: str, schema, buckets: int = BUCKETS) -> DataFrame:
+    """The rows of a table that :func:`upsert_keyed` wrote."""
+    return _parts(spark, path, _newest(spark, path, buckets), schema)
+
+
+def upsert_keyed(changes: DataFrame, path: str, version: int, key: str, order: str, buckets: int = BUCKETS) -> list[int]:
+    """Write the parts of a keyed table that ``changes`` touch; their numbers.
+
+    The table is a set of parts by hash of the key; a version writes only the parts
+    that it changes and then one small table that names the version of every part, so
+    readers see all of a version or nothing. Of several changes of a key the one of
+    the greatest ``order`` holds; rows of a null key are left out. A version that is
+    written already is refused; one that failed may be written again.
+    """
+    spark = changes.sparkSession
+    versions = _newest(spark, path, buckets)
+    if versions and max(versions.values()) >= version:
+        raise ValueError(f"version {version} is not newer than {max(versions.values())}")
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    last = changes.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*changes.columns), order).alias("row")).select("row.*")
+    touched = sorted(r.bucket for r in last.select(bucket.alias("bucket")).distinct().collect())  # at most `buckets`
+    if not touched:
+        return []
+    now = _parts(spark, path, {b: v for b, v in versions.items() if b in touched}, changes.schema)
+    merged = now.join(last.select(key), key, "left_anti").select(changes.columns).unionByName(last)
+    merged.withColumn("bucket", bucket).repartition(min(len(touched), buckets), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/rows/v={version}")
+    named = versions | dict.fromkeys(touched, version)
+    write_version(spark.createDataFrame(sorted(named.items()), "bucket int, version long").coalesce(1), f"{path}/parts", version)
+    return touched

@@ -233,3 +233,15 @@ def test_tracks_equal_those_of_a_second_tracker(spark, seed):
     got = {(r.frame_idx, r.track_id, (r.x1, r.y1, r.x2, r.y2), r.kind, r.since_frame) for r in tracking.track(fused).collect()}
     want = second_tracker(frames)
     assert got == want and {k for *_, k, _ in want} == {"track", "backfill"}
+
+
+def test_detectors_are_known_by_name(spark):
+    from lumenveil.operators import detectors
+
+    raw = spark.createDataFrame([(1, 2, 640, 640, k, v) for k, v in enumerate([[10.0, 20.0, 110.0, 220.0, 0.9], [12.0, 22.0, 112.0, 222.0, 0.8], [300.0, 300.0, 400.0, 700.0, 0.5], [1.0, 1.0, 9.0, 9.0, 0.1]])], "video_id bigint, frame_idx bigint, width int, height int, index int, values array<double>")
+    got = sorted((r.det_id, r.x1, r.y2, r.model) for r in detectors.detections(raw, "boxes").collect())
+    assert got == [(0, 10.0, 220.0, "boxes"), (2, 300.0, 640.0, "boxes")]
+    with pytest.raises(ValueError, match="unknown detector"):
+        detectors.decoded(raw, "other")
+    with pytest.raises(ValueError, match="already"):
+        detectors.register(detectors.REGISTER["boxes"])
