@@ -14,7 +14,7 @@ from lumenveil.plans.fixtures import view
 from lumenveil.plans.operations import _IOU
 from lumenveil.plans.queries import rounded
 from lumenveil.plans.registry import query
-from lumenveil.session import table
+from lumenveil.session import shuffle_partitions, table
 
 # -- template search ----------------------------------------------------------
 
@@ -32,7 +32,8 @@ def _textures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two small frames of every customer."""
     value = re.sub(r"\by\b", f"int(i / {_W})", re.sub(r"\bx\b", f"(i % {_W})", _VALUE))
     pixels = f"unhex(array_join(transform(sequence(0, {_W * _H - 1}), i -> repeat(lpad(hex(bigint({value})), 2, '0'), 3)), ''))"
-    rows = table(spark, sf_dir, "customer").selectExpr("c_custkey as c", "explode(array(0L, 1L)) as f")
+    keys = table(spark, sf_dir, "customer").selectExpr("c_custkey as c").repartition(shuffle_partitions(spark), "c")  # keys are small, frames are not
+    rows = keys.selectExpr("c", "explode(array(0L, 1L)) as f")
     return rows.selectExpr("c as video_id", "f as frame_idx", f"{_W} as width", f"{_H} as height", f"{pixels} as pixels")
 
 
@@ -225,7 +226,8 @@ def _coloured(spark: SparkSession, sf_dir: str) -> DataFrame:
         value = re.sub(rf"\b{name}\b", code, value)
     value = value.replace("//", "div")
     pixels = f"unhex(array_join(transform(sequence(0, {_CW * _CH * 3 - 1}), i -> lpad(hex(bigint({value})), 2, '0')), ''))"
-    return table(spark, sf_dir, "supplier").selectExpr("s_suppkey as c").selectExpr("c as video_id", "bigint(0) as frame_idx", f"{_CW} as width", f"{_CH} as height", f"{pixels} as pixels")
+    keys = table(spark, sf_dir, "supplier").selectExpr("s_suppkey as c").repartition(shuffle_partitions(spark), "c")  # keys are small, frames are not
+    return keys.selectExpr("c as video_id", "bigint(0) as frame_idx", f"{_CW} as width", f"{_CH} as height", f"{pixels} as pixels")
 
 
 _COLOURS = ("red", "blue", "yellow", "white", "black")
