@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenveil.session import materialize, shuffle_partitions
+from lumenveil.session import materialize, shuffle_partitions, temporary_tables
 
 #: Messages and characters of one chunk.
 CHUNK_ROWS, CHUNK_CHARS = 1024, 1 << 20
@@ -414,8 +414,9 @@ def repaired(messages: DataFrame, *, copies: Column | None = None, chunk_rows: i
     that only names it). The hash is over ``role:text`` of the repaired messages,
     joined by newlines.
     """
-    chunks = _prepared(messages, copies, chunk_rows, conv_col=conv_col, turn_col=turn_col, role_col=role_col, text_col=text_col)
-    walked = materialize(_walked(chunks), "repair-walked")
+    with temporary_tables(messages.sparkSession):
+        chunks = _prepared(messages, copies, chunk_rows, conv_col=conv_col, turn_col=turn_col, role_col=role_col, text_col=text_col)
+        walked = materialize(_walked(chunks), "repair-walked")
     return _summed(walked).withColumnRenamed("conv", conv_col)
 
 
