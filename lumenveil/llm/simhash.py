@@ -280,7 +280,8 @@ def links(fps: DataFrame, *, max_bits: int = MAX_BITS) -> DataFrame:
     fps = fps.select("fp").repartition(number, F.xxhash64(F.lit(3), "fp"))
     stored = _keyed(fps, stored_keys)
     sizes = stored.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("one"))
-    asks = _keyed(fps, asked_keys).join(sizes, "key").filter("n > 1 or one <> fp")
+    # Spark takes a table of keys for as small as its fingerprints, which are 200 times fewer, so it must not choose to broadcast it.
+    asks = _keyed(fps, asked_keys).hint("merge").join(sizes.hint("merge"), "key").filter("n > 1 or one <> fp")
     asks = materialize(asks.select("key", "n", "fp"), "simhash-asks")
     counts = asks.groupBy("key").agg(F.first("n").alias("n"), F.count("*").alias("asking"))
     parts = F.ceil(F.col("n") / BLOCK).cast("int")

@@ -115,6 +115,19 @@ def test_more_bits_than_the_keys_hold_are_refused(spark):
         simhash.links(spark.createDataFrame([(1,)], "fp long"), max_bits=5)
 
 
+def test_keys_are_never_broadcast(spark, monkeypatch):
+    """A table of keys is 200 times as large as Spark takes it to be."""
+    plans = {}
+
+    def written(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return df
+
+    monkeypatch.setattr(simhash, "materialize", written)
+    simhash.links(spark.range(1000).selectExpr("xxhash64(id) as fp"))
+    assert "SortMergeJoin" in plans["simhash-asks"] and "Broadcast" not in plans["simhash-asks"]
+
+
 def test_components_of_chains_hubs_and_loops(spark):
     edges = [(k, k + 1) for k in range(300)] + [(1000, k) for k in range(1001, 1400)] + [(5, 5), (2000, 2001), (2001, 2000)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
