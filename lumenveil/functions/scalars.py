@@ -66,10 +66,13 @@ def spoken_duration(seconds: Column) -> Column:
     )
 
 
-def format_bytes(size: Column) -> Column:
-    """IEC size with one decimal from KiB on."""
+UNITS = ("KiB", "MiB", "GiB", "TiB")
+
+
+def format_bytes(size: Column, largest: str = "TiB") -> Column:
+    """IEC size with one decimal from KiB on, up to the ``largest`` unit."""
     out = F.concat(size.cast("string"), F.lit(" B"))
-    for k, unit in enumerate(("KiB", "MiB", "GiB", "TiB"), 1):
+    for k, unit in enumerate(UNITS[: UNITS.index(largest) + 1], 1):
         out = F.when(size >= 1024**k, F.concat(F.format_string("%.1f", F.bround(size / 1024**k, 1)), F.lit(f" {unit}"))).otherwise(out)
     return F.when(size.isNull(), F.lit("-")).otherwise(out)
 

@@ -92,13 +92,13 @@ def slot_overview(hosts_slots: DataFrame, workers: DataFrame) -> DataFrame:
     return ids.join(known, "worker_id", "left").select("server", "slot", "worker_id", F.coalesce("worker_status", F.lit("missing")).alias("worker_status"), F.coalesce("holds", F.lit(False)).alias("holds"))
 
 
-def task_view(tasks: DataFrame, now: float) -> DataFrame:
-    """Display rows: names, durations, sizes and labels as text."""
+def task_view(tasks: DataFrame, now: float, *, largest: str = "TiB") -> DataFrame:
+    """Display rows: names, durations, sizes (up to the ``largest`` unit) and labels as text."""
     begun, ended = F.col("started_at"), F.col("finished_at")
     label = F.when(F.col("face_annotation") == 1, "face").when(F.col("face_annotation") == 0, "no face").otherwise("-")
     return tasks.select(
         "task_id", scalars.basename(F.col("source_object_key")).alias("file"), scalars.server_name(F.col("assigned_worker_id")).alias("server"),
-        scalars.spoken_duration(F.coalesce(ended, F.lit(now)) - begun).alias("elapsed"), scalars.format_bytes(F.col("source_size_bytes")).alias("size"), label.alias("label"),
+        scalars.spoken_duration(F.coalesce(ended, F.lit(now)) - begun).alias("elapsed"), scalars.format_bytes(F.col("source_size_bytes"), largest).alias("size"), label.alias("label"),
         F.concat(F.col("attempt_count").cast("string"), F.lit("/"), F.col("max_attempts").cast("string")).alias("attempts"),
         F.date_format(F.timestamp_seconds(F.floor("created_at")), "yyyy-MM-dd HH:mm:ss").alias("created"),
     )

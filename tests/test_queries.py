@@ -35,3 +35,20 @@ def test_entry_point_without_the_corpus_package(monkeypatch):
     monkeypatch.setattr(entry, "_present", lambda name: False)
     assert set(entry.queries()) == set(QUERIES)
     assert set(entry.oracle_sql()) == set(SQL)
+
+
+def test_task_view_of_large_files(spark, sf_dir, tmp_path):
+    """Sizes from a GiB on are in MiB, as in the query's SQL."""
+    import duckdb
+    from conftest import plain
+
+    path = tmp_path / "events.parquet"
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    con.execute(f"COPY (SELECT * REPLACE (event_id * 100003 AS event_id) FROM '{sf_dir}/events.parquet') TO '{path}' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{path}'")
+    mine = QUERIES["task_view"](spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(mine.columns)} FROM ({SQL['task_view']})").fetchall()
+    got = mine.collect()
+    assert sorted(tuple(map(plain, r)) for r in got) == sorted(tuple(map(plain, r)) for r in want)
+    assert any(r["size"].endswith(" MiB") and float(r["size"].split()[0]) >= 1024 for r in got)
