@@ -38,7 +38,7 @@ class Detector:
 
 def _from_cells(values: Column, index: Column, d: Detector) -> tuple[tuple[Column, ...], Column]:
     """values: class and object scores, then offsets of a cell."""
-    box = decoding.grid_box(index, F.lit(d.columns), F.lit(d.stride), F.slice(values, 3, 4))
+    box = decoding.grid_box(index, F.lit(d.columns), F.lit(d.stride), F.array(*(F.get(values, k) for k in range(2, 6))))
     return box, decoding.grid_score(F.get(values, 0), F.get(values, 1))
 
 
@@ -46,7 +46,7 @@ def _from_anchors(values: Column, index: Column, d: Detector) -> tuple[tuple[Col
     """values: a score, then distances in strides from one of two anchors of a cell."""
     cell = F.floor(index / 2)
     x, y = cell % d.columns * d.stride, F.floor(cell / d.columns) * d.stride
-    return decoding.box_from_distances(x, y, F.transform(F.slice(values, 2, 4), lambda v: v * d.stride)), F.get(values, 0)
+    return decoding.box_from_distances(x, y, F.array(*(F.get(values, k) * d.stride for k in range(1, 5)))), F.get(values, 0)
 
 
 def _as_given(values: Column, index: Column, d: Detector) -> tuple[tuple[Column, ...], Column]:
@@ -78,13 +78,22 @@ def decoded(raw: DataFrame, name: str) -> DataFrame:
         raise ValueError(f"unknown detector {name!r}; known are {sorted(REGISTER)}")
     d = REGISTER[name]
     box, score = d.decode(F.col("values"), F.col("index"), d)
-    boxed = raw.select("video_id", "frame_idx", "width", "height", F.col("index").cast("int").alias("det_id"), *(c.alias(f"in_{s}") for s, c in zip(SIDES, box)), score.alias("score"))
-    boxed = boxed.filter(F.col("score") >= d.least_score).withColumn("fit", decoding.letterbox(F.col("width"), F.col("height"), d.size))
+    boxed = _once(raw, ("video_id", "frame_idx", "width", "height", F.col("index").cast("int").alias("det_id"), *(c.alias(f"in_{s}") for s, c in zip(SIDES, box)), score.alias("score")))
+    boxed = _once(boxed.filter(F.col("score") >= d.least_score), ("*", decoding.letterbox(F.col("width"), F.col("height"), d.size).alias("fit")))
     sides = decoding.from_letterbox(tuple(F.col(f"in_{s}") for s in SIDES), F.col("fit"), F.col("width"), F.col("height"))
-    found = boxed.select("video_id", "frame_idx", "det_id", F.lit(name).alias("model"), *(c.cast("double").alias(s) for s, c in zip(SIDES, sides)), "score")
+    found = _once(boxed, ("video_id", "frame_idx", "det_id", F.lit(name).alias("model"), *(c.cast("double").alias(s) for s, c in zip(SIDES, sides)), "score"))
     return found.filter("x2 > x1 and y2 > y1")
 
 
+def _once(rows: DataFrame, columns: tuple) -> DataFrame:
+    """``rows.select(*columns)``, each row computed once.
+
+    Spark repeats the expressions of a selection in every filter above it, and code
+    beyond 8 kB is not compiled but interpreted.
+    """
+    return rows.select(F.inline(F.array(F.struct(*columns))))
+
+
 def detections(raw: DataFrame, name: str) -> DataFrame:
     """The boxes of a detector that no better one of their frame overlaps."""
     return fusion.nms(decoded(raw, name), REGISTER[name].overlap if name in REGISTER else 0.4, inclusive=False)

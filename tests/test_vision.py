@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lumenveil.functions import boxes, scalars
-from lumenveil.operators import fusion, masking, timeline, tracking
+from lumenveil.operators import detectors, fusion, masking, timeline, tracking
 from lumenveil.plans.fixtures import view
 
 DETECTION = "video_id bigint, frame_idx bigint, det_id int, model string, x1 double, y1 double, x2 double, y2 double, score double"
@@ -212,3 +212,13 @@ def test_hulls_gather_no_points_of_a_video(spark, sf_dir):
     from lumenveil.plans.catalogue import queries
 
     assert "collect_" not in queries()["polygon_hulls"](spark, sf_dir)._jdf.queryExecution().toString()
+
+
+def test_boxes_are_decoded_once(spark):
+    """The tests of a box repeat none of the expressions that make it."""
+    given = "video_id long, frame_idx long, width int, height int, index int, values array<double>"
+    raw = spark.createDataFrame([(1, 2, 640, 480, 3, [10.0, 20.0, 50.0, 60.0, 0.9]), (1, 2, 640, 480, 4, [10.0, 20.0, 5.0, 60.0, 0.9]), (1, 2, 640, 480, 5, [10.0, 20.0, 50.0, 160.0, 0.1])], given)
+    found = detectors.decoded(raw, "boxes")
+    assert [r.det_id for r in found.collect()] == [3]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not any("least(" in line for line in plan.splitlines() if "Filter" in line)
