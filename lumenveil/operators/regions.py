@@ -11,7 +11,7 @@ frame without a region gives no row; an unknown colour is refused.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ BLACK_VALUE, WHITE_SATURATION, WHITE_VALUE = 60, 45, 195
 # Shares of the frame that a region may cover, ratios of its sides, the
 # least longer side, the share that it fills of its box, and the aspect of a card.
 LEAST_AREA, MOST_AREA, LEAST_RATIO, MOST_RATIO, LEAST_SIDE, CARD = 0.0015, 0.035, 1.15, 2.4, 90, 1.586
-_OUTPUT = "video_id bigint, frame_idx bigint, region int, x1 int, y1 int, x2 int, y2 int, area int"
+_OUTPUT = "video_id bigint, frame_idx bigint, colour string, region int, x1 int, y1 int, x2 int, y2 int, area int"
 
 
 def hsv(image: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -45,7 +45,11 @@ def hsv(image: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def mask(image: np.ndarray, colour: str) -> np.ndarray:
     """Which pixels have a colour."""
-    hue, saturation, value = hsv(image)
+    return marked(*hsv(image), colour)
+
+
+def marked(hue: np.ndarray, saturation: np.ndarray, value: np.ndarray, colour: str) -> np.ndarray:
+    """Which pixels of given hue, saturation and value have a colour."""
     if colour == "black":
         return value < BLACK_VALUE
     if colour == "white":
@@ -88,24 +92,37 @@ def components(marked: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     return [tuple(b) for b in out.values()]
 
 
-def regions(frames: DataFrame, colour: str) -> DataFrame:
-    """(video_id, frame_idx, region, x1..y2, area): connected regions of a colour, numbered by their first pixels."""
-    if colour not in (*RANGES, "black", "white"):
-        raise ValueError(f"unknown colour {colour!r}")
+def regions_of(frames: DataFrame, colours: Sequence[str]) -> DataFrame:
+    """(video_id, frame_idx, colour, region, x1..y2, area): connected regions of each colour, numbered by their first pixels.
+
+    Frames pass once, whatever the number of colours.
+    """
+    for colour in colours:
+        if colour not in (*RANGES, "black", "white"):
+            raise ValueError(f"unknown colour {colour!r}")
+    colours = list(dict.fromkeys(colours))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = pa.schema([("video_id", pa.int64()), ("frame_idx", pa.int64()), *((c, pa.int32()) for c in ("region", "x1", "y1", "x2", "y2", "area"))])
+        kinds = [pa.int64(), pa.int64(), pa.string(), *[pa.int32()] * 6]
+        names = ["video_id", "frame_idx", "colour", "region", "x1", "y1", "x2", "y2", "area"]
         for batch in batches:
             out = []
             for row in range(batch.num_rows):
                 video, frame, width, height, pixels = (batch.column(k)[row].as_py() for k in range(5))
-                found = components(mask(np.frombuffer(pixels, np.uint8).reshape(height, width, 3), colour))
-                out += [dict(zip(kinds.names, (video, frame, k, *box))) for k, box in enumerate(found)]
-            yield pa.RecordBatch.from_pylist(out, schema=kinds)
+                seen = hsv(np.frombuffer(pixels, np.uint8).reshape(height, width, 3))
+                for colour in colours:
+                    out += [(video, frame, colour, k, *box) for k, box in enumerate(components(marked(*seen, colour)))]
+            columns = zip(*out) if out else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], names=names)
 
     return frames.select("video_id", "frame_idx", "width", "height", "pixels").mapInArrow(run, _OUTPUT)
 
 
+def regions(frames: DataFrame, colour: str) -> DataFrame:
+    """(video_id, frame_idx, region, x1..y2, area): connected regions of a colour, numbered by their first pixels."""
+    return regions_of(frames, [colour]).drop("colour")
+
+
 def card_like(found: DataFrame, sizes: DataFrame, least_side: int = LEAST_SIDE) -> DataFrame:
     """Regions of a card's size and shape, with a score. sizes: (video_id, width, height).
 

@@ -253,9 +253,7 @@ SELECT c AS video_id, colour, (row_number() OVER (PARTITION BY c, colour ORDER B
 """, recursive=True)
 def colour_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Connected regions of five colours in a frame of every supplier."""
-    frames = _coloured(spark, sf_dir)
-    found = [regions.regions(frames, c).withColumn("colour", F.lit(c)) for c in _COLOURS]
-    return reduce(DataFrame.unionByName, found).drop("frame_idx")
+    return regions.regions_of(_coloured(spark, sf_dir), _COLOURS).select("video_id", "region", "x1", "y1", "x2", "y2", "area", "colour")
 
 
 # -- leases and silence ----------------------------------------------------------------
