@@ -37,6 +37,9 @@ class Lens:
 # Lenses by name.
 LENSES = {"generic": Lens(0.45, 0.35, 0.08, 0.6), "pico4": Lens(0.44, 0.15, 0.03, 0.45)}
 
+#: Bytes of frames of one size that are straightened at once.
+STACKED = 1 << 18
+
 
 def bent(angle: np.ndarray, lens: Lens) -> np.ndarray:
     """The sensor radius of rays at an angle from the axis."""
@@ -133,11 +136,21 @@ def undistorted(frames: DataFrame, lens: str | Lens = "generic", *, strength: fl
     used = Lens(base.focal, base.k1 * strength, base.k2 * strength, base.balance)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = pa.schema([("video_id", pa.int64()), ("frame_idx", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("pixels", pa.binary())])
+        names = ["video_id", "frame_idx", "width", "height", "pixels"]
         for batch in batches:
-            for row in range(batch.num_rows):
-                video, frame, width, height, pixels = (batch.column(k)[row].as_py() for k in range(5))
-                done = straightened(np.frombuffer(pixels, np.uint8).reshape(height, width, 3), used, downscale, crop, two_eyes)
-                yield pa.RecordBatch.from_pylist([{"video_id": video, "frame_idx": frame, "width": done.shape[1], "height": done.shape[0], "pixels": done.tobytes()}], schema=kinds)
+            alike: dict[tuple[int, int], list[int]] = {}
+            for row, size in enumerate(zip(batch.column(3).to_pylist(), batch.column(2).to_pylist())):
+                alike.setdefault(size, []).append(row)
+            for (height, width), rows in alike.items():
+                most = max(1, STACKED // max(1, height * width * 3))
+                for at in range(0, len(rows), most):
+                    some = batch.take(pa.array(rows[at : at + most], pa.int64()))
+                    # the frames' colours are laid side by side as those of one frame
+                    stack = np.frombuffer(b"".join(some.column(4).to_pylist()), np.uint8).reshape(-1, height, width, 3)
+                    done = straightened(stack.transpose(1, 2, 0, 3).reshape(height, width, -1), used, downscale, crop, two_eyes)
+                    h, w = done.shape[:2]
+                    made = done.reshape(h, w, -1, 3).transpose(2, 0, 1, 3)
+                    sides = [pa.array([v] * len(made), pa.int32()) for v in (w, h)]
+                    yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), *sides, pa.array([x.tobytes() for x in made], pa.binary())], names=names)
 
     return frames.select("video_id", "frame_idx", "width", "height", "pixels").mapInArrow(run, FRAMES)

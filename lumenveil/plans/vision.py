@@ -315,8 +315,22 @@ SELECT k.c AS video_id, ((w.y * {_CW} + w.x) * 3 + e.ch)::INT AS place, round_ev
 """)
 def undistorted_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The coloured frame of every supplier, straightened by a lens model."""
-    done = lenses.undistorted(_coloured(spark, sf_dir), "pico4", downscale=1).select("video_id", F.hex("pixels").alias("pixels"))
-    return done.select("video_id", F.posexplode(F.expr("transform(sequence(1, length(pixels), 2), i -> int(conv(substring(pixels, i, 2), 16, 10)))")).alias("place", "value"))
+    return _values(lenses.undistorted(_coloured(spark, sf_dir), "pico4", downscale=1))
+
+
+def _values(frames: DataFrame) -> DataFrame:
+    """(video_id, place, value) of every byte of the frames."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 32):
+                some = batch.slice(at, 32)
+                pixels = some.column(1).to_pylist()
+                sizes = [len(p) for p in pixels]
+                columns = [np.repeat(some.column(0).to_numpy(zero_copy_only=False), sizes), np.concatenate([np.arange(n, dtype=np.int32) for n in sizes]), np.frombuffer(b"".join(pixels), np.uint8).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["video_id", "place", "value"])
+
+    return frames.select("video_id", "pixels").mapInArrow(run, "video_id bigint, place int, value int")
 
 
 # -- detectors ----------------------------------------------------------------------
