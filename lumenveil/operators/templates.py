@@ -29,16 +29,18 @@ INSET, LEAST_SIDE = 0.1, 8
 RADIUS_SIDES, LEAST_RADIUS = 2.5, 32
 HALVE_TEMPLATE, HALVE_REGION = 24, 480
 LEAST_PEAK, LEAST_RATIO = 0.92, 2.0
+#: Pixels of regions of one size that are searched at once.
+STACKED = 1 << 17
 #: Weights of blue, green and red in a grey value, of 16384.
 GREY = (1868, 9617, 4899)
 
 _CROP = "kind string, x0 int, y0 int, width int, height int, pixels binary"
 
 
-def grey(pixels: bytes, width: int, height: int) -> np.ndarray:
-    """The grey image of BGR bytes."""
-    image = np.frombuffer(pixels, np.uint8).reshape(height, width, 3).astype(np.int64)
-    return ((image @ np.array(GREY) + 8192) >> 14).astype(np.uint8)
+def grey(image: np.ndarray) -> np.ndarray:
+    """The grey values of BGR pixels."""
+    b, g, r = (image[..., k].astype(np.int32) * weight for k, weight in enumerate(GREY))
+    return ((b + g + r + 8192) >> 14).astype(np.uint8)
 
 
 def template_rect(box, width: int, height: int) -> tuple[int, int, int, int] | None:
@@ -73,38 +75,46 @@ def resized(image: np.ndarray, width: int, height: int) -> np.ndarray:
     return np.rint(weights(image.shape[0], height) @ image.astype(np.float64) @ weights(image.shape[1], width).T).astype(np.uint8)
 
 
-def responses(region: np.ndarray, template: np.ndarray) -> np.ndarray:
-    """Normalised correlation of the centred template with every window of the region."""
-    th, tw = template.shape
-    n, image, small = th * tw, region.astype(np.int64), template.astype(np.int64)
-    rows, columns = region.shape[0] - th + 1, region.shape[1] - tw + 1
+def responses(regions: np.ndarray, templates: np.ndarray) -> np.ndarray:
+    """Normalised correlation of each centred template with every window of its region.
+
+    regions: [n, height, width], or one region; templates likewise.
+    """
+    th, tw = templates.shape[-2:]
+    size = regions.shape[-2:]
+    n, image, small = th * tw, regions.astype(np.int64), templates.astype(np.int64)
+    rows, columns = size[0] - th + 1, size[1] - tw + 1
 
     def windows(values: np.ndarray) -> np.ndarray:
-        total = np.zeros((values.shape[0] + 1, values.shape[1] + 1), np.int64)
-        total[1:, 1:] = values.cumsum(0).cumsum(1)
-        return total[th:, tw:] - total[:-th, tw:] - total[th:, :-tw] + total[:-th, :-tw]
+        total = np.zeros((*values.shape[:-2], size[0] + 1, size[1] + 1), np.int64)
+        total[..., 1:, 1:] = values.cumsum(-2).cumsum(-1)
+        return total[..., th:, tw:] - total[..., :-th, tw:] - total[..., th:, :-tw] + total[..., :-th, :-tw]
 
-    flipped = np.fft.rfft2(small[::-1, ::-1], region.shape)
-    both = np.fft.irfft2(np.fft.rfft2(image) * flipped, region.shape)[th - 1 :, tw - 1 :][:rows, :columns]
+    flipped = np.fft.rfft2(small[..., ::-1, ::-1], size)
+    both = np.fft.irfft2(np.fft.rfft2(image) * flipped, size)[..., th - 1 :, tw - 1 :][..., :rows, :columns]
     sums, squares = windows(image), windows(image * image)
-    above = n * np.rint(both).astype(np.int64) - small.sum() * sums
-    spread = (n * squares - sums * sums).astype(np.float64) * float(n * (small * small).sum() - small.sum() ** 2)
+    total, power = (x.sum((-2, -1), keepdims=True) for x in (small, small * small))
+    above = n * np.rint(both).astype(np.int64) - total * sums
+    spread = (n * squares - sums * sums).astype(np.float64) * (n * power - total**2).astype(np.float64)
     return np.divide(above, np.sqrt(spread), out=np.zeros(spread.shape), where=spread > 0)
 
 
-def located(region: np.ndarray, template: np.ndarray) -> tuple[float, float, float, float]:
-    """(x, y, peak, ratio): the centre of the best window in the region, and its quality."""
-    down = 2 if template.shape[1] >= HALVE_TEMPLATE and region.shape[1] >= HALVE_REGION else 1
+def located(regions: np.ndarray, templates: np.ndarray) -> list[tuple[float, float, float, float]]:
+    """(x, y, peak, ratio) of each: the centre of the best window in the region, and its quality.
+
+    regions and templates: [n, height, width], all of a size.
+    """
+    down = 2 if templates.shape[2] >= HALVE_TEMPLATE and regions.shape[2] >= HALVE_REGION else 1
     if down > 1:
-        region = resized(region, region.shape[1] // 2, region.shape[0] // 2)
-        template = resized(template, max(LEAST_SIDE, template.shape[1] // 2), max(LEAST_SIDE, template.shape[0] // 2))
-    if region.shape[0] < template.shape[0] or region.shape[1] < template.shape[1]:
-        return 0.0, 0.0, 0.0, 0.0
-    found = responses(region, template)
-    y, x = divmod(int(found.argmax()), found.shape[1])
-    peak = float(found[y, x])
-    ratio = (peak - float(found.mean())) / (float(found.std()) + 1e-6)
-    return (x + template.shape[1] / 2) * down, (y + template.shape[0] / 2) * down, peak, ratio
+        regions = np.stack([resized(x, x.shape[1] // 2, x.shape[0] // 2) for x in regions])
+        templates = np.stack([resized(x, max(LEAST_SIDE, x.shape[1] // 2), max(LEAST_SIDE, x.shape[0] // 2)) for x in templates])
+    if regions.shape[1] < templates.shape[1] or regions.shape[2] < templates.shape[2]:
+        return [(0.0, 0.0, 0.0, 0.0)] * len(regions)
+    found = responses(regions, templates).reshape(len(regions), -1)
+    y, x = np.divmod(found.argmax(axis=1), regions.shape[2] - templates.shape[2] + 1)
+    peak = found.max(axis=1)
+    ratio = (peak - found.mean(axis=1)) / (found.std(axis=1) + 1e-6)
+    return list(zip(((x + templates.shape[2] / 2) * down).tolist(), ((y + templates.shape[1] / 2) * down).tolist(), peak.tolist(), ratio.tolist()))
 
 
 def crops(frames: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -123,14 +133,14 @@ def crops(frames: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for row in batch.to_pylist():
-                image = grey(row["pixels"], row["width"], row["height"])
+                image = np.frombuffer(row["pixels"], np.uint8).reshape(row["height"], row["width"], 3)
                 for ask in row["asked"]:
                     box = [ask[c] for c in ("x1", "y1", "x2", "y2")]
                     place = (template_rect if ask["kind"] == "template" else region_rect)(box, row["width"], row["height"])
                     if place is None:
                         continue
                     x1, y1, x2, y2 = place
-                    out.append({"video_id": row["video_id"], "frame_idx": row["frame_idx"], "origin": ask["origin"], "track_id": ask["track_id"], "kind": ask["kind"], "x0": x1, "y0": y1, "width": x2 - x1, "height": y2 - y1, "pixels": image[y1:y2, x1:x2].tobytes()})
+                    out.append({"video_id": row["video_id"], "frame_idx": row["frame_idx"], "origin": ask["origin"], "track_id": ask["track_id"], "kind": ask["kind"], "x0": x1, "y0": y1, "width": x2 - x1, "height": y2 - y1, "pixels": grey(image[y1:y2, x1:x2]).tobytes()})
             yield pa.RecordBatch.from_pylist(out, schema=fields)
 
     return joined.mapInArrow(run, f"video_id bigint, frame_idx bigint, origin bigint, track_id bigint, {_CROP}")
@@ -151,12 +161,17 @@ def search(frames: DataFrame, boxes: DataFrame, after: int = 1) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields = pa.schema([("video_id", pa.int64()), ("frame_idx", pa.int64()), ("track_id", pa.int64()), *((c, pa.float64()) for c in ("x", "y", "peak", "ratio")), ("found", pa.bool_())])
         for batch in batches:
-            out = []
+            out, alike = [], {}
             for row in batch.to_pylist():
-                template, region = (np.frombuffer(row[k]["pixels"], np.uint8).reshape(row[k]["height"], row[k]["width"]) for k in ("template", "region"))
-                x, y, peak, ratio = located(region, template)
-                found = peak >= LEAST_PEAK and ratio >= LEAST_RATIO
-                out.append({"video_id": row["video_id"], "frame_idx": row["region"]["frame_idx"], "track_id": row["track_id"], "x": row["region"]["x0"] + x, "y": row["region"]["y0"] + y, "peak": peak, "ratio": ratio, "found": found})
+                alike.setdefault(tuple(row[k][c] for k in ("template", "region") for c in ("height", "width")), []).append(row)
+            for (th, tw, rh, rw), rows in alike.items():
+                most = max(1, STACKED // (rh * rw))
+                for at in range(0, len(rows), most):
+                    some = rows[at : at + most]
+                    small, large = (np.frombuffer(b"".join(r[k]["pixels"] for r in some), np.uint8).reshape(-1, *size) for k, size in (("template", (th, tw)), ("region", (rh, rw))))
+                    for row, (x, y, peak, ratio) in zip(some, located(large, small)):
+                        region, found = row["region"], peak >= LEAST_PEAK and ratio >= LEAST_RATIO
+                        out.append({"video_id": row["video_id"], "frame_idx": region["frame_idx"], "track_id": row["track_id"], "x": region["x0"] + x, "y": region["y0"] + y, "peak": peak, "ratio": ratio, "found": found})
             yield pa.RecordBatch.from_pylist(out, schema=fields)
 
     found = both.filter("template is not null and region is not null").select("video_id", "track_id", "template", "region")

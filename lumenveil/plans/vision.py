@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenveil.functions import boxes
 from lumenveil.operators import detectors, fusion, keyframes, leases, lenses, motion, regions, segments, templates, timeline, tracking
+from lumenveil.operators.masking import FRAMES
 from lumenveil.plans.fixtures import view
 from lumenveil.plans.operations import _IOU
 from lumenveil.plans.queries import rounded
@@ -28,13 +32,41 @@ _INNER = (11, 8, 19, 16)
 _N = (_INNER[2] - _INNER[0]) * (_INNER[3] - _INNER[1])
 
 
+#: Frames that are made at once.
+_STACK = 64
+
+
+def _made(keys: DataFrame, width: int, height: int, images: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Frames of every key. images: n keys -> [n, frames of a key, height, width, 3] bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, _STACK):
+                some = batch.column(0).slice(at, _STACK).to_numpy(zero_copy_only=False).astype(np.int64)
+                made = np.ascontiguousarray(images(some), np.uint8)
+                number, size = made.shape[1], height * width * 3
+                ends = pa.py_buffer(np.arange(len(some) * number + 1, dtype=np.int32) * size)
+                pixels = pa.Array.from_buffers(pa.binary(), len(some) * number, [None, ends, pa.py_buffer(made)])
+                sides = [pa.array(np.full(len(pixels), v, np.int32)) for v in (width, height)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(some, number)), pa.array(np.tile(np.arange(number), len(some))), *sides, pixels], names=["video_id", "frame_idx", "width", "height", "pixels"])
+
+    keys = keys.repartition(shuffle_partitions(keys.sparkSession), keys.columns[0])  # keys are small, frames are not
+    return keys.mapInArrow(run, FRAMES)
+
+
+def _textured(keys: np.ndarray) -> np.ndarray:
+    """The pixels of ``_VALUE``."""
+    c, f = keys[:, None, None, None], np.arange(2)[:, None, None]
+    y, x = np.mgrid[0:_H, 0:_W]
+    u, v = x + 40 - f * (c % 7 - 3), y + 40 - f * (c % 5 - 2)
+    value = (u * u * 7 + v * v * 13 + u * v * (3 + c % 5) + c * 11) % 251
+    value = np.where((f == 1) & (c % 4 == 0), (x * 31 + y * 17 + x * y * c) % 251, value)
+    return np.repeat(value.astype(np.uint8)[..., None], 3, axis=-1)
+
+
 def _textures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two small frames of every customer."""
-    value = re.sub(r"\by\b", f"int(i / {_W})", re.sub(r"\bx\b", f"(i % {_W})", _VALUE))
-    pixels = f"unhex(array_join(transform(sequence(0, {_W * _H - 1}), i -> repeat(lpad(hex(bigint({value})), 2, '0'), 3)), ''))"
-    keys = table(spark, sf_dir, "customer").selectExpr("c_custkey as c").repartition(shuffle_partitions(spark), "c")  # keys are small, frames are not
-    rows = keys.selectExpr("c", "explode(array(0L, 1L)) as f")
-    return rows.selectExpr("c as video_id", "f as frame_idx", f"{_W} as width", f"{_H} as height", f"{pixels} as pixels")
+    return _made(table(spark, sf_dir, "customer").select("c_custkey"), _W, _H, _textured)
 
 
 @query(f"""
@@ -219,15 +251,19 @@ _COLOURED = f"(CASE WHEN {_SPOT} = 0 THEN 20 + ch * 5 WHEN {_SPOT} = 1 THEN 230
 _HUE = "CASE WHEN hi = lo THEN 0 ELSE ((60 * (CASE WHEN hi = r THEN g - b WHEN hi = g THEN b - r + 2 * (hi - lo) ELSE r - g + 4 * (hi - lo) END) + hi - lo) // (2 * (hi - lo)) % 180 + 180) % 180 END"
 
 
+def _patches(keys: np.ndarray) -> np.ndarray:
+    """The pixels of ``_COLOURED``."""
+    c, (y, x) = keys[:, None, None], np.mgrid[0:_CH, 0:_CW]
+    spot = (x // 4 * 7 + y // 3 * 5 + c * 3 + x * y // 16) % 6
+    of_channel = [
+        [20 + ch * 5, 230 + ch, 200 + x if ch == 0 else 30 + y, 170 + y if ch == 1 else 40 + x, 220 if ch == 2 else 15 + x, (25 + y, 170 + x, 210)[ch]] for ch in range(3)
+    ]
+    return np.stack([np.choose(spot, values) for values in of_channel], axis=-1).astype(np.uint8)[:, None]
+
+
 def _coloured(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A small coloured frame of every supplier."""
-    value = _COLOURED
-    for name, code in (("x", f"(i div 3 % {_CW})"), ("y", f"(i div {3 * _CW})"), ("ch", "(i % 3)")):
-        value = re.sub(rf"\b{name}\b", code, value)
-    value = value.replace("//", "div")
-    pixels = f"unhex(array_join(transform(sequence(0, {_CW * _CH * 3 - 1}), i -> lpad(hex(bigint({value})), 2, '0')), ''))"
-    keys = table(spark, sf_dir, "supplier").selectExpr("s_suppkey as c").repartition(shuffle_partitions(spark), "c")  # keys are small, frames are not
-    return keys.selectExpr("c as video_id", "bigint(0) as frame_idx", f"{_CW} as width", f"{_CH} as height", f"{pixels} as pixels")
+    return _made(table(spark, sf_dir, "supplier").select("s_suppkey"), _CW, _CH, _patches)
 
 
 _COLOURS = ("red", "blue", "yellow", "white", "black")

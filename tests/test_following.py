@@ -275,3 +275,15 @@ def test_two_threads_keep_their_tables(spark):
     for t in threads:
         t.join()
     assert found == {"one": 5, "two": 5}
+
+
+def test_regions_of_a_size_are_searched_together():
+    rng = np.random.default_rng(5)
+    large, small = rng.integers(0, 256, (6, 30, 40), dtype=np.uint8), rng.integers(0, 256, (6, 9, 11), dtype=np.uint8)
+    small[2], large[3] = 7, 9
+    together = templates.located(large, small)
+    assert np.allclose(together, [templates.located(a[None], b[None])[0] for a, b in zip(large, small)], atol=1e-12)
+    for (x, y, peak, _), a, b in zip(together, large, small):
+        plain = slow_responses(a, b)
+        row, column = divmod(int(templates.responses(a, b).argmax()), plain.shape[1])
+        assert (x, y) == (column + 5.5, row + 4.5) and np.isclose(peak, plain.max(), atol=1e-9)

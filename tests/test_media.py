@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lumenveil import schemas
 from lumenveil.functions import scalars
 from lumenveil.operators import audit, lenses, masking, pipelines, planner, regions, tracking
+from lumenveil.plans import vision
 
 FRAMES = "video_id bigint, frame_idx bigint, width int, height int, pixels binary"
 
@@ -245,3 +246,32 @@ def test_detectors_are_known_by_name(spark):
         detectors.decoded(raw, "other")
     with pytest.raises(ValueError, match="already"):
         detectors.register(detectors.REGISTER["boxes"])
+
+
+def test_colours_of_frames_in_one_pass(spark):
+    pixels = np.random.default_rng(3).integers(0, 256, (4, 9, 12, 3), dtype=np.uint8)
+    pixels[:, 2:5, 3:8] = (255, 255, 255)
+    frames = spark.createDataFrame([(1, k, 12, 9, bytearray(p.tobytes())) for k, p in enumerate(pixels)], "video_id long, frame_idx long, width int, height int, pixels binary")
+    colours = ["white", "black", "red", "white"]
+    together = regions.regions_of(frames, colours)
+    plain = [(1, f, c, k, *b) for f, p in enumerate(pixels) for c in set(colours) for k, b in enumerate(regions.components(regions.mask(p, c)))]
+    assert sorted(map(tuple, together.collect())) == sorted(plain) and plain
+    assert together._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+def test_frames_of_several_sizes_are_straightened_as_alone(spark):
+    rng = np.random.default_rng(4)
+    images = [rng.integers(0, 256, (h, w, 3), dtype=np.uint8) for h, w in [(12, 16), (8, 20), (12, 16), (9, 10), (8, 20)]]
+    frames = spark.createDataFrame([(k, 0, i.shape[1], i.shape[0], bytearray(i.tobytes())) for k, i in enumerate(images)], "video_id long, frame_idx long, width int, height int, pixels binary").coalesce(1)
+    got = {r.video_id: np.frombuffer(r.pixels, np.uint8).reshape(r.height, r.width, 3) for r in lenses.undistorted(frames, "pico4", crop=0.8).collect()}
+    for k, image in enumerate(images):
+        assert np.array_equal(got[k], lenses.straightened(image, lenses.LENSES["pico4"], 2, 0.8))
+
+
+def test_pixel_queries_make_the_frames_of_their_sql(duck):
+    keys = np.array([1, 4, 97, 5_400_000])
+    given = ", ".join(f"({k}::BIGINT)" for k in keys)
+    want = duck.execute(f"SELECT c, f, y, x, {vision._VALUE} FROM (VALUES {given}) k(c), range(2) a(f), range({vision._W}) b(x), range({vision._H}) d(y) ORDER BY 1, 2, 3, 4").fetchall()
+    assert vision._textured(keys)[..., 0].ravel().tolist() == [r[-1] for r in want]
+    want = duck.execute(f"SELECT c, y, x, ch, {vision._COLOURED} FROM (VALUES {given}) k(c), range({vision._CW}) b(x), range({vision._CH}) d(y), range(3) e(ch) ORDER BY 1, 2, 3, 4").fetchall()
+    assert vision._patches(keys).ravel().tolist() == [r[-1] for r in want]
