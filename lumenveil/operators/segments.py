@@ -8,7 +8,8 @@ agrees more with another. Pairs chain tracks over segments, and every track take
 name of the first of its chain.
 
 Rows of a video are spread by segment, whatever its length, and chains are followed
-by doubling, in as many rounds as the logarithm of the segments.
+by doubling, in as many rounds as the logarithm of the segments. Files of chains are
+many times smaller than their rows, so their joins never copy them through the driver.
 
 Defined cases: frames count from 1; frames before that belong to the first segment; a
 segment without frames ends its tracks; ties of agreement go to the smaller ids; an
@@ -81,7 +82,7 @@ def pairs(rows: DataFrame, length: int, same: float = SAME, share: float = SHARE
     both = owned.join(early, ["video_id", "segment", "frame_idx"]).filter(iou >= same)
     agreed = both.groupBy("video_id", "segment", "before_id", "next_id").agg(F.count("*").alias("frames"))
     had = early.groupBy("video_id", "segment", "next_id").agg(F.count("*").alias("had"))
-    agreed = agreed.join(had, ["video_id", "segment", "next_id"]).filter(F.col("frames") >= share * F.col("had"))
+    agreed = agreed.hint("merge").join(had.hint("merge"), ["video_id", "segment", "next_id"]).filter(F.col("frames") >= share * F.col("had"))
 
     def first(of: str, other: str) -> Column:
         return F.row_number().over(Window.partitionBy("video_id", "segment", of).orderBy(F.desc("frames"), other))
@@ -95,7 +96,7 @@ def chains(links: DataFrame) -> DataFrame:
     current = materialize(links.select("video_id", (F.col("segment") + 1).alias("segment"), F.col("next_id").alias("track_id"), F.col("segment").alias("first_segment"), F.col("track_id").alias("first_id")), "chains")
     while True:
         onward = current.select("video_id", F.col("segment").alias("first_segment"), F.col("track_id").alias("first_id"), F.col("first_segment").alias("s"), F.col("first_id").alias("i"))
-        longer = current.join(onward, ["video_id", "first_segment", "first_id"], "left")
+        longer = current.hint("merge").join(onward.hint("merge"), ["video_id", "first_segment", "first_id"], "left")
         after = materialize(longer.select("video_id", "segment", "track_id", F.coalesce("s", "first_segment").alias("first_segment"), F.coalesce("i", "first_id").alias("first_id"), F.col("s").isNotNull().alias("grew")), "chains")
         discard(current)
         grew, current = not after.filter("grew").isEmpty(), after.drop("grew")
@@ -107,7 +108,7 @@ def stitched(rows: DataFrame, length: int, same: float = SAME, share: float = SH
     """Tracked rows of all segments as those of whole videos: track_id and ``track_segment`` name a track."""
     written = materialize(rows, "segment-tracks")  # read for the pairs and for the rows
     names = chains(pairs(written, length, same, share))
-    named = written.filter(_owned(length)).join(names, ["video_id", "segment", "track_id"], "left")
+    named = written.filter(_owned(length)).hint("merge").join(names.hint("merge"), ["video_id", "segment", "track_id"], "left")
     return named.select(
         "video_id", "frame_idx", F.coalesce("first_segment", "segment").alias("track_segment"), F.coalesce("first_id", "track_id").alias("track_id"), *SIDES, "kind", "since_frame",
     )

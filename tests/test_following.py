@@ -287,3 +287,20 @@ def test_regions_of_a_size_are_searched_together():
         plain = slow_responses(a, b)
         row, column = divmod(int(templates.responses(a, b).argmax()), plain.shape[1])
         assert (x, y) == (column + 5.5, row + 4.5) and np.isclose(peak, plain.max(), atol=1e-9)
+
+
+def test_chains_are_never_broadcast(spark, monkeypatch):
+    from lumenveil.operators import segments
+
+    plans = []
+    write = segments.materialize
+
+    def written(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(segments, "materialize", written)
+    links = spark.createDataFrame([(1, s, 5, 5) for s in range(6)], "video_id long, segment long, track_id int, next_id int")
+    found = {(r.segment, r.first_segment) for r in segments.chains(links).collect()}
+    assert found == {(s + 1, 0) for s in range(6)}
+    assert len(plans) > 2 and not any("Broadcast" in p for p in plans)
