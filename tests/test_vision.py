@@ -217,7 +217,7 @@ def test_hulls_gather_no_points_of_a_video(spark, sf_dir):
 def test_boxes_are_decoded_once(spark):
     """The tests of a box repeat none of the expressions that make it."""
     given = "video_id long, frame_idx long, width int, height int, index int, values array<double>"
-    raw = spark.createDataFrame([(1, 2, 640, 480, 3, [10.0, 20.0, 50.0, 60.0, 0.9]), (1, 2, 640, 480, 4, [10.0, 20.0, 5.0, 60.0, 0.9]), (1, 2, 640, 480, 5, [10.0, 20.0, 50.0, 160.0, 0.1])], given)
+    raw = spark.createDataFrame([(1, 2, 640, 480, 3, [10.0, 100.0, 50.0, 160.0, 0.9]), (1, 2, 640, 480, 4, [10.0, 100.0, 5.0, 160.0, 0.9]), (1, 2, 640, 480, 5, [10.0, 100.0, 50.0, 160.0, 0.1])], given)
     found = detectors.decoded(raw, "boxes")
     assert [r.det_id for r in found.collect()] == [3]
     plan = found._jdf.queryExecution().executedPlan().toString()
