@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame
@@ -95,6 +96,16 @@ class Tracks:
             return None
         return value + 4 * found["confirmed"]
 
+    def _near(self, track: Track, boxes: list[dict]) -> Iterator[tuple[int, dict]]:
+        """The boxes, with their places, that meet the track's box or lie within its gate, and perhaps a few more."""
+        x1, y1, x2, y2 = track.box
+        x, y, reach = x1 + x2, y1 + y2, 2 * self.config.gate * _side(track.box) * (1 + 1e-9)
+        for j, found in enumerate(boxes):
+            a1, b1, a2, b2 = found["box"]
+            far = abs(x - a1 - a2) > reach or abs(y - b1 - b2) > reach
+            if not far or self.config.iou <= 0 or (a1 < x2 and a2 > x1 and b1 < y2 and b2 > y1):
+                yield j, found
+
     def step(self, frame: int, boxes: list[dict]) -> list[dict]:
         """Advance to ``frame``; boxes: dicts of box and confirmed, in order.
 
@@ -114,9 +125,7 @@ class Tracks:
     def _associate(self, frame: int, boxes: list[dict]) -> list[dict]:
         c, out = self.config, []
         self.forced = False
-        offers = sorted(
-            ((v, -i, -j) for i, t in enumerate(self.tracks) for j, b in enumerate(boxes) if (v := self._affinity(t, b)) is not None), reverse=True
-        )
+        offers = sorted(((v, -i, -j) for i, t in enumerate(self.tracks) for j, b in self._near(t, boxes) if (v := self._affinity(t, b)) is not None), reverse=True)
         tracks, used = set(), set()
         for _, i, j in offers:
             if -i in tracks or -j in used:

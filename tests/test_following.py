@@ -290,8 +290,6 @@ def test_regions_of_a_size_are_searched_together():
 
 
 def test_chains_are_never_broadcast(spark, monkeypatch):
-    from lumenveil.operators import segments
-
     plans = []
     write = segments.materialize
 
@@ -304,3 +302,14 @@ def test_chains_are_never_broadcast(spark, monkeypatch):
     found = {(r.segment, r.first_segment) for r in segments.chains(links).collect()}
     assert found == {(s + 1, 0) for s in range(6)}
     assert len(plans) > 2 and not any("Broadcast" in p for p in plans)
+
+
+def test_only_boxes_in_reach_are_weighed(monkeypatch):
+    """A box outside a track's gate that does not meet it is passed over."""
+    weighed = []
+    whole = tracking.Tracks._affinity
+    monkeypatch.setattr(tracking.Tracks, "_affinity", lambda self, track, found: weighed.append(found["box"][0]) or whole(self, track, found))
+    state = tracking.Tracks()
+    state.step(1, [{"box": [0, 0, 10, 10], "confirmed": True}])
+    state.step(2, [{"box": [x, 0, x + 10, 10], "confirmed": True} for x in (3, 15, 16, 900)])
+    assert weighed == [3, 15]
