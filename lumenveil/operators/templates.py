@@ -1,16 +1,18 @@
 """Template search between detections: crops, normalised correlation, peak quality.
 
 A box of one frame gives a grey template (its inner part); a later frame is searched
-around the box. Frames pass once: the crops that are wanted of each frame are joined
-to it as one array, and only crops travel on. Where wanted crops are few, Spark
-copies them to the frames and no frame is shuffled.
+around the box. Frames pass once: they are made grey, a third of their bytes, the crops
+that are wanted of each are joined to it as one array, and only crops travel on. Spark
+takes frames from Python for far smaller than they are, so this join is sorted and
+merged: neither side is copied through the driver.
 
 The correlation is exact: sums come from integral images and a Fourier transform that
 is rounded to whole numbers, so equal responses are equal numbers.
 
 Defined cases: a template below 8 pixels either way, a region smaller than its
 template and a frame that is not there give no row; a constant template or window
-has response 0; of equal peaks the first in rows, then columns, is taken.
+has response 0; of equal peaks the first in rows, then columns, is taken. Pixels that are
+not 3 bytes for each of width x height fail if a crop of them is wanted.
 """
 
 from __future__ import annotations
@@ -117,6 +119,19 @@ def located(regions: np.ndarray, templates: np.ndarray) -> list[tuple[float, flo
     return list(zip(((x + templates.shape[2] / 2) * down).tolist(), ((y + templates.shape[1] / 2) * down).tolist(), peak.tolist(), ratio.tolist()))
 
 
+def greyed(frames: DataFrame) -> DataFrame:
+    """frames (video_id, frame_idx, width, height, pixels) with one grey byte a pixel; null where pixels do not have that size."""
+    fits = F.length("pixels") == F.col("width").cast("bigint") * F.col("height") * 3
+    sized = frames.select("video_id", "frame_idx", "width", "height", F.when(fits, F.col("pixels")).alias("pixels"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [grey(np.frombuffer(p.as_buffer(), np.uint8).reshape(-1, 3)).tobytes() if p.is_valid else None for p in batch.column(4)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(made, pa.binary())], names=batch.schema.names)
+
+    return sized.mapInArrow(run, sized.schema)
+
+
 def crops(frames: DataFrame, wanted: DataFrame) -> DataFrame:
     """(video_id, frame_idx, origin, track_id, kind, x0, y0, width, height, pixels): grey crops.
 
@@ -125,7 +140,7 @@ def crops(frames: DataFrame, wanted: DataFrame) -> DataFrame:
     """
     one = F.struct("origin", "track_id", "kind", *(F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")))
     asked = wanted.groupBy("video_id", "frame_idx").agg(F.collect_list(one).alias("asked"))
-    joined = frames.join(asked, ["video_id", "frame_idx"]).select("video_id", "frame_idx", "width", "height", "pixels", "asked")
+    joined = greyed(frames).hint("merge").join(asked.hint("merge"), ["video_id", "frame_idx"]).select("video_id", "frame_idx", "width", "height", "pixels", "asked")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [("video_id", pa.int64()), ("frame_idx", pa.int64()), ("origin", pa.int64()), ("track_id", pa.int64()), ("kind", pa.string())]
@@ -133,14 +148,16 @@ def crops(frames: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for row in batch.to_pylist():
-                image = np.frombuffer(row["pixels"], np.uint8).reshape(row["height"], row["width"], 3)
+                if row["pixels"] is None:
+                    raise ValueError(f"frame {row['frame_idx']} of video {row['video_id']}: pixels are not 3 bytes for each of width x height")
+                image = np.frombuffer(row["pixels"], np.uint8).reshape(row["height"], row["width"])
                 for ask in row["asked"]:
                     box = [ask[c] for c in ("x1", "y1", "x2", "y2")]
                     place = (template_rect if ask["kind"] == "template" else region_rect)(box, row["width"], row["height"])
                     if place is None:
                         continue
                     x1, y1, x2, y2 = place
-                    out.append({"video_id": row["video_id"], "frame_idx": row["frame_idx"], "origin": ask["origin"], "track_id": ask["track_id"], "kind": ask["kind"], "x0": x1, "y0": y1, "width": x2 - x1, "height": y2 - y1, "pixels": grey(image[y1:y2, x1:x2]).tobytes()})
+                    out.append({"video_id": row["video_id"], "frame_idx": row["frame_idx"], "origin": ask["origin"], "track_id": ask["track_id"], "kind": ask["kind"], "x0": x1, "y0": y1, "width": x2 - x1, "height": y2 - y1, "pixels": image[y1:y2, x1:x2].tobytes()})
             yield pa.RecordBatch.from_pylist(out, schema=fields)
 
     return joined.mapInArrow(run, f"video_id bigint, frame_idx bigint, origin bigint, track_id bigint, {_CROP}")

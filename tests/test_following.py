@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenveil.operators import keyframes, leases, motion, segments, templates, timeline, tracking
+from lumenveil.plans import vision
 from lumenveil.streaming import expiry
 from lumenveil.streaming import queries as streams
 
@@ -313,3 +314,29 @@ def test_only_boxes_in_reach_are_weighed(monkeypatch):
     state.step(1, [{"box": [0, 0, 10, 10], "confirmed": True}])
     state.step(2, [{"box": [x, 0, x + 10, 10], "confirmed": True} for x in (3, 15, 16, 900)])
     assert weighed == [3, 15]
+
+
+def test_frames_are_never_broadcast(spark, sf_dir):
+    """Spark takes frames from Python for smaller than they are; they are merged with what is asked of them, as grey bytes."""
+    hits = vision.template_search(spark, sf_dir)
+    assert hits.count() == spark.read.parquet(f"{sf_dir}/customer.parquet").count()
+    planned = hits._jdf.queryExecution()
+    hits.collect()
+    for plan in (planned.sparkPlan().toString(), planned.executedPlan().toString()):
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    frames = vision._textures(spark, sf_dir).limit(3)
+    for row in templates.greyed(frames).join(frames.withColumnRenamed("pixels", "bytes"), ["video_id", "frame_idx"]).collect():
+        assert bytes(row.pixels) == bytes(row.bytes)[::3]  # its channels are equal
+
+
+def test_odd_pixels_matter_only_where_they_are_wanted(spark):
+    image = np.random.default_rng(3).integers(0, 256, (60, 80)).astype(np.uint8)
+    good = [(1, f, 80, 60, bytearray(_frame(image))) for f in (5, 6)]
+    odd = [(1, 7, 80, 60, None), (1, 8, 80, 60, bytearray(4801)), (1, 9, 80, 60, bytearray(4800))]
+    frames = spark.createDataFrame(good + odd, FRAMES)
+    given = spark.createDataFrame([(1, 5, 3, 20.0, 10.0, 50.0, 40.0)], BOXES)
+    (hit,) = templates.search(frames, given).collect()
+    assert hit.found and (hit.frame_idx, hit.x, hit.y) == (6, 35.0, 25.0)
+    for after in (2, 3, 4):
+        with pytest.raises(Exception, match="pixels are not 3 bytes"):
+            templates.search(frames, given, after).collect()
